@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import simhash
+from tessera.llm import bpe, langid, packing, simhash, telephony
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1,
+    "op2_language_id": langid.op2,
+    "op6_byte_bpe": bpe.op6,
+    "op8_best_fit_packing": packing.op8,
+    "op9_telephony_audio": telephony.op9,
 }
 
 #: SQL of those that SQL can express; the others are tested against brute force.
