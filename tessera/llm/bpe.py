@@ -31,8 +31,29 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x2000))) + "-" + chr(0x200A)
 #: Runs of white space with what follows up to the next: no match of the pattern crosses their ends.
 RUNS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Runs whose ids are remembered, and the longest such run.
-REMEMBERED, LONGEST = 200_000, 64
+#: Runs whose ids are remembered (twice as many at most), and the longest such run.
+REMEMBERED, LONGEST = 150_000, 64
+#: Pairs of tokens whose compatibility is remembered.
+FITS = 500_000
+
+
+class Memory:
+    """The results of late: when one half is full, what the other half has goes."""
+
+    def __init__(self):
+        self.recent: dict = {}
+        self.older: dict = {}
+
+    def get(self, key):
+        found = self.recent.get(key)
+        if found is None and (found := self.older.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.recent) >= REMEMBERED:
+            self.recent, self.older = {}, self.recent
+        self.recent[key] = value
 
 
 class BytePairEncoder:
@@ -43,14 +64,17 @@ class BytePairEncoder:
         self.tokens = {i: t for t, i in ranks.items()}
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{SPACE}\\p{{L}}\\p{{N}}]").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
         self.parts: dict[int, tuple[int, int] | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.runs: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.size = {i: len(t) for t, i in ranks.items()}
+        self.longest = max(self.size.values(), default=0)
+        self.fits: dict[int, bool] = {}
+        self.runs, self.pieces = Memory(), Memory()
         self.trie = ahocorasick.Automaton()
         for token in ranks:
             self.trie.add_word(token.decode("latin-1"), token)
         self.trie.make_automaton()
         self.shorter: dict[int, int] = {}
+        #: Tokens that merges make.
+        self.whole = {i for t, i in ranks.items() if len(t) == 1 or self.split(i) is not None}
 
     @classmethod
     def load(cls, path: str, pattern: str = PATTERN) -> BytePairEncoder:
@@ -74,18 +98,8 @@ class BytePairEncoder:
             self.parts[token] = found
         return self.parts[token]
 
-    def whole(self, token: int) -> bool:
-        """Whether merges make this token at all."""
-        return len(self.tokens[token]) == 1 or self.split(token) is not None
-
     def compatible(self, a: int, b: int) -> bool:
         """Whether encoding the bytes of both gives just these two tokens."""
-        key = (a, b)
-        if key not in self.fits:
-            self.fits[key] = self._compatible(a, b)
-        return self.fits[key]
-
-    def _compatible(self, a: int, b: int) -> bool:
         # Walks back through the merges that made both: at no time may a merge
         # across the border come before the one that is undone.
         limit = 1 << 60
@@ -114,15 +128,15 @@ class BytePairEncoder:
                     limit += 1
                     b = parts[0]
 
-    def longest_at(self, text: str) -> list[int]:
-        """For each place the longest token that starts there (-1: none)."""
-        best = [-1] * len(text)
-        size = [0] * len(text)
-        for end, token in self.trie.iter(text):
-            start = end - len(token) + 1
-            if len(token) > size[start]:
-                size[start], best[start] = len(token), self.ranks[token]
-        return best
+    def longest_at(self, text: str, piece: bytes, at: int) -> int:
+        """The longest token that starts at a place (-1: none)."""
+        n = self.trie.longest_prefix(text[at : at + self.longest])
+        while n:
+            token = self.ranks.get(piece[at : at + n])
+            if token is not None:
+                return token
+            n -= 1
+        return -1
 
     def next_shorter(self, token: int) -> int:
         """The longest token that is a proper prefix of this one (-1: none)."""
@@ -139,28 +153,37 @@ class BytePairEncoder:
         """Ids of one match of the pattern."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        best = self.longest_at(piece.decode("latin-1"))
-        given_up = bytearray(len(piece) + 1)
+        text, n = piece.decode("latin-1"), len(piece)
+        size, fits = self.size, self.fits
+        given_up = bytearray(n + 1)
         out: list[int] = []
-        at = 0
-        token = best[0] if piece else -1
-        while at < len(piece):
+        at, last = 0, -1
+        token = self.longest_at(text, piece, 0)
+        while at < n:
             while token >= 0:
-                end = at + len(self.tokens[token])
-                if not given_up[end] and self.whole(token) and (not out or self.compatible(out[-1], token)):
-                    break
+                end = at + size[token]
+                if not given_up[end] and token in self.whole:
+                    if last < 0:
+                        break
+                    fit = fits.get(last << 32 | token)
+                    if fit is None:
+                        fit = fits[last << 32 | token] = self.compatible(last, token)
+                    if fit:
+                        break
                 token = self.next_shorter(token)
             if token >= 0:
                 out.append(token)
-                at = end
-                token = best[at] if at < len(piece) else -1
+                at, last = end, token
+                if at < n:
+                    token = self.longest_at(text, piece, at)
             else:
-                if not out:
+                if last < 0:
                     raise ValueError("the ranks lack a byte of the text")
                 given_up[at] = 1
-                last = out.pop()
-                at -= len(self.tokens[last])
+                at -= size[last]
+                out.pop()
                 token = self.next_shorter(last)
+                last = out[-1] if out else -1
         return out
 
     def encode_piece_of(self, piece: str) -> list[int]:
@@ -168,23 +191,26 @@ class BytePairEncoder:
         if ids is None:
             ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
             if len(piece) <= LONGEST:
-                self.pieces[piece] = ids
+                self.pieces.put(piece, ids)
+        return ids
+
+    def encode_run(self, run: str) -> tuple[int, ...]:
+        ids = tuple(i for m in self.pattern.findall(run) for i in self.encode_piece_of(m))
+        if len(run) <= LONGEST:
+            self.runs.put(run, ids)
         return ids
 
     def encode(self, text: str) -> list[int]:
         """Ids of the whole text, without special tokens."""
         out: list[int] = []
-        runs = self.runs
+        if len(self.fits) > FITS:
+            self.fits.clear()
+        recent = self.runs.recent
         for run in RUNS.findall(text):
-            ids = runs.get(run)
+            ids = recent.get(run)
             if ids is None:
-                ids = tuple(i for m in self.pattern.finditer(run) for i in self.encode_piece_of(m[0]))
-                if len(run) <= LONGEST:
-                    if len(runs) >= REMEMBERED:
-                        runs.clear()
-                        self.pieces.clear()
-                        self.fits.clear()
-                    runs[run] = ids
+                ids = self.runs.get(run) or self.encode_run(run)
+                recent = self.runs.recent
             out += ids
         return out
 
