@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The folder that holds this library, for workers of the same machine.
+ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows in one Arrow batch: with texts of up to some 100 KB a batch stays small.
 ARROW_ROWS = 512
 
 
 def session(df: DataFrame) -> SparkSession:
-    """The session of ``df``, set up for batches of long texts."""
+    """The session of ``df``, set up for batches of long texts and for workers that find this library."""
     spark = df.sparkSession
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, ROOT]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 
@@ -43,3 +50,23 @@ def total_bytes(df: DataFrame, text: str = "text") -> int:
 
 def buckets_for(n_bytes: int, each: int) -> int:
     return max(1, -(-n_bytes // each))
+
+
+class Memory:
+    """The results of late: when one half is full, what the other half has goes."""
+
+    def __init__(self, half: int):
+        self.half = half
+        self.recent: dict = {}
+        self.older: dict = {}
+
+    def get(self, key):
+        found = self.recent.get(key)
+        if found is None and (found := self.older.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.recent) >= self.half:
+            self.recent, self.older = {}, self.recent
+        self.recent[key] = value

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, langid, packing, simhash, telephony
+from tessera.llm import bpe, langid, packing, simhash, sketch, suffixes, telephony, toolcalls
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1,
     "op2_language_id": langid.op2,
+    "op3_tool_calls": toolcalls.op3,
+    "op4_suffix_dedup": suffixes.op4,
     "op6_byte_bpe": bpe.op6,
     "op8_best_fit_packing": packing.op8,
     "op9_telephony_audio": telephony.op9,
+    "op10_bottom_k_sketch": sketch.op10,
 }
 
 #: SQL of those that SQL can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_tool_calls": toolcalls.OP3_SQL}
