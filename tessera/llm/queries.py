@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, langid, packing, simhash, sketch, suffixes, telephony, toolcalls
+from tessera.llm import bpe, langid, licences, packing, simhash, sketch, suffixes, telephony, toolcalls, urls
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1,
     "op2_language_id": langid.op2,
     "op3_tool_calls": toolcalls.op3,
     "op4_suffix_dedup": suffixes.op4,
+    "op5_licence_scan": licences.op5,
     "op6_byte_bpe": bpe.op6,
+    "op7_url_filter": urls.op7,
     "op8_best_fit_packing": packing.op8,
     "op9_telephony_audio": telephony.op9,
     "op10_bottom_k_sketch": sketch.op10,
