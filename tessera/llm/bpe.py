@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import session, table
+from tessera.llm.common import Memory, session, table
 
 #: Splits text before the merges (the pattern that comes with the rank files).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -32,42 +33,26 @@ SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x2
 #: Runs of white space with what follows up to the next: no match of the pattern crosses their ends.
 RUNS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Runs whose ids are remembered (twice as many at most), and the longest such run.
-REMEMBERED, LONGEST = 150_000, 64
+REMEMBERED, LONGEST = 300_000, 64
+#: Marks that may follow a word's letters.
+TAIL = ".,;:!?|"
 #: Pairs of tokens whose compatibility is remembered.
 FITS = 500_000
 
 
-class Memory:
-    """The results of late: when one half is full, what the other half has goes."""
-
-    def __init__(self):
-        self.recent: dict = {}
-        self.older: dict = {}
-
-    def get(self, key):
-        found = self.recent.get(key)
-        if found is None and (found := self.older.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key, value) -> None:
-        if len(self.recent) >= REMEMBERED:
-            self.recent, self.older = {}, self.recent
-        self.recent[key] = value
-
-
 class BytePairEncoder:
     """Encodes and decodes by a table of ranks (bytes -> id, lower ids merge first)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.ranks = ranks
+        self.usual = pattern == PATTERN
         self.tokens = {i: t for t, i in ranks.items()}
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{SPACE}\\p{{L}}\\p{{N}}]").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.size = {i: len(t) for t, i in ranks.items()}
         self.longest = max(self.size.values(), default=0)
         self.fits: dict[int, bool] = {}
-        self.runs, self.pieces = Memory(), Memory()
+        self.runs, self.pieces = Memory(REMEMBERED), Memory(REMEMBERED)
         self.trie = ahocorasick.Automaton()
         for token in ranks:
             self.trie.add_word(token.decode("latin-1"), token)
@@ -186,36 +171,40 @@ class BytePairEncoder:
                 last = out[-1] if out else -1
         return out
 
-    def encode_piece_of(self, piece: str) -> list[int]:
+    def encode_piece_of(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
+            ids = array("I", self.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
             if len(piece) <= LONGEST:
                 self.pieces.put(piece, ids)
         return ids
 
-    def encode_run(self, run: str) -> tuple[int, ...]:
-        ids = tuple(i for m in self.pattern.findall(run) for i in self.encode_piece_of(m))
+    def encode_run(self, run: str) -> bytes:
+        core = run.rstrip(TAIL) if self.usual else ""
+        if core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):  # letters, then marks: what the pattern makes of it is plain
+            ids = self.encode_piece_of(core)
+            if len(core) < len(run):
+                ids += self.encode_piece_of(run[len(core) :])
+        else:
+            ids = b"".join(map(self.encode_piece_of, self.pattern.findall(run)))
         if len(run) <= LONGEST:
             self.runs.put(run, ids)
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of the whole text, without special tokens."""
-        out: list[int] = []
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of the whole text, without special tokens, as little-endian unsigned 32-bit integers."""
         if len(self.fits) > FITS:
             self.fits.clear()
-        recent = self.runs.recent
-        for run in RUNS.findall(text):
-            ids = recent.get(run)
-            if ids is None:
-                ids = self.runs.get(run) or self.encode_run(run)
-                recent = self.runs.recent
-            out += ids
-        return out
+        runs = RUNS.findall(text)
+        found = list(map(self.runs.recent.get, runs))
+        if None in found:
+            new = {r: self.runs.get(r) for r, ids in zip(runs, found, strict=True) if ids is None}
+            new = {r: self.encode_run(r) if ids is None else ids for r, ids in new.items()}
+            found = [new[r] if ids is None else ids for r, ids in zip(runs, found, strict=True)]
+        return np.frombuffer(b"".join(found), "<u4")
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -241,7 +230,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         coder = encoder(path)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [np.array(coder.encode(t or ""), np.int32) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [coder.encode(t or "").astype(np.int32) for t in pdf["text"]]})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, ids array<int>")
 
@@ -254,7 +243,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         coder = encoder(path)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "bytes": [coder.decode([] if ids is None else ids) for ids in pdf["ids"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "bytes": [coder.decode(np.zeros(0, np.int32) if ids is None else ids) for ids in pdf["ids"]]})
 
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInPandas(run, "doc_id long, bytes binary")
 
@@ -270,7 +259,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             rows = []
             for t in pdf["text"]:
                 ids = coder.encode(t or "")
-                rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
+                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
