@@ -10,6 +10,7 @@ left.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, session, table
+from tessera.llm.common import Memory, cut, session, table
 
 #: Tokens of a sequence, and the id that ends each document.
 CAPACITY, END = 4096, 1
@@ -28,17 +29,36 @@ CAPACITY, END = 4096, 1
 SLACK = 8
 #: Pieces or bins that one task packs, on average.
 ITEMS = 50_000
-#: Words whose ids are remembered, and the longest such word.
-REMEMBERED, LONGEST = 200_000, 64
+#: Parts whose ids are remembered (twice as many at most), and the longest such part.
+REMEMBERED, LONGEST = 500_000, 64
+#: Characters of texts whose new parts are tokenised together.
+TOGETHER = 1 << 20
 #: str.split() parts at these, too, which the tokenizer's pattern doesn't.
 ODD = regex.compile("[\x1c-\x1f]")
+# Letters and numbers of Latin-1.
+LETTERS, NUMBERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The tokenizer's own splitting, for texts of Latin-1 only.
+PARTS = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^\t-\r \x85\xa0{LETTERS}{NUMBERS}]+")
+
+
+def apart(text: str) -> list[str] | None:
+    """Parts that are tokenised each for itself: what the tokenizer would split, in lower case; words, if the
+    text has other letters than those of Latin-1; None if it must be tokenised as a whole."""
+    if ODD.search(text):
+        return None
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split()
+    return PARTS.findall(text.lower())
 
 
 class WordTokenizer:
-    """Ids by the tokenizers library, remembered for each word between white space.
+    """Ids by the tokenizers library, remembered for each part of a text.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids
-    are those of its words, one after the other.
+    The tokenizer drops white space, and no token crosses it or the places
+    where the tokenizer splits, so a text's ids are those of its parts, one
+    after the other. Ids are held as bytes.
     """
 
     def __init__(self, path: str):
@@ -48,34 +68,54 @@ class WordTokenizer:
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.known = Memory(REMEMBERED)
 
     def encode(self, text: str) -> np.ndarray:
-        if ODD.search(text):
-            return np.array(self.own.encode(text, add_special_tokens=False).ids, np.int64)
-        words, known = text.split(), self.words
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            known.update(self.encode_words(new))
-        ids: list[int] = []
-        for w in words:
-            ids += known[w]
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
-        return np.array(ids, np.int64)
-
-
-    def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; what isn't remembered is tokenised at once for some texts together."""
+        out: list[np.ndarray] = []
+        some: list[list[str] | None] = []
+        at, start = 0, 0
+        for k, text in enumerate(texts):
+            some.append(apart(text))
+            at += len(text)
+            if at >= TOGETHER or k == len(texts) - 1:
+                out += self.encode_some(texts[start : k + 1], some)
+                some, at, start = [], 0, k + 1
+        return out
+
+    def encode_some(self, texts: list[str], parts: list[list[str] | None]) -> list[np.ndarray]:
+        recent = self.known.recent.get
+        found = [None if p is None else list(map(recent, p)) for p in parts]
+        new: dict[str, bytes | None] = {}
+        for p, f in zip(parts, found, strict=True):
+            if f and None in f:
+                new.update([x for x in zip(p, f, strict=True) if x[1] is None])
+        for x in new:
+            new[x] = self.known.get(x)
+        unknown = [x for x, ids in new.items() if ids is None]
+        for x, ids in zip(unknown, self.encode_words(unknown), strict=True):
+            new[x] = ids
+            if len(x) <= LONGEST:
+                self.known.put(x, ids)
+        out = []
+        for text, p, f in zip(texts, parts, found, strict=True):
+            if p is None:
+                out.append(np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4"))
+                continue
+            if None in f:
+                f = [new[x] if ids is None else ids for x, ids in zip(p, f, strict=True)]
+            out.append(np.frombuffer(b"".join(f), "<u4"))
+        return out
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word; all are tokenised at once and parted by their places."""
         got = self.own.encode(" ".join(words), add_special_tokens=False)
-        ids, starts = got.ids, np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
-        ends = np.cumsum([len(w) + 1 for w in words])
-        border = np.searchsorted(starts, ends).tolist()
-        return {w: tuple(ids[a:b]) for w, a, b in zip(words, [0, *border], border, strict=False)}
+        ids, starts = np.array(got.ids, "<u4"), np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
+        border = np.searchsorted(starts, np.cumsum([len(w) + 1 for w in words])).tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *border], border, strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -103,8 +143,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         coder = tokenizer(path)
         for pdf in batches:
             rows = []
-            for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = np.append(coder.encode(t or ""), end).astype("<u4")
+            for d, found in zip(pdf["doc_id"], coder.encode_all([t or "" for t in pdf["text"]]), strict=True):
+                ids = np.append(found, np.array([end], "<u4"))
                 rows += [(d, k, at, len(part := ids[at : at + capacity]), zlib.crc32(part.tobytes())) for k, at in enumerate(range(0, len(ids), capacity))]
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             out["doc_id"] = out["doc_id"].astype("Int64")
