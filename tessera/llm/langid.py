@@ -120,7 +120,7 @@ def train(texts: list[str], langs: list[str]) -> Model:
         b += RATE * pull.sum(0)
     right = ((np.sign(x @ w + b) == target) * share).sum(0)
     trust = np.log((right + 0.01) / (1.01 - right + 0.01)).clip(0.01)
-    return Model(languages, codes, w, b, (trust / trust.sum() * len(languages)).astype(np.float32) * 4)
+    return Model(languages, codes, w, b, (trust / trust.sum() * len(languages)).astype(np.float32))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return predict(docs, model or fit(docs))
 
 
-def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def known_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows whose language can be told: not ``und``, and with a score of ``least``.
 
     Columns are those of ``docs``; rows whose text says nothing about the
