@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import buckets_for, cut, session, table, total_bytes
 
 #: Bytes of a repeated string; a name's k-gram has GRAM of them.
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 20
 #: Bits of a name. Different k-grams with one name only cost work.
 NAME = (1 << 48) - 1
 #: Text bytes of a group of documents, and of a share of names; what one suffix array takes.
-GROUP, SHARE, ARRAY = 4 << 20, 16 << 20, 2 << 20
+GROUP, SHARE, ARRAY = 4 << 20, 16 << 20, 1 << 19
 #: Windows of a text that are named at once.
 CHUNK = 1 << 20
 #: Larger than any doc_id.
@@ -53,13 +53,15 @@ def names(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
     """(first window, names of the windows from there), piece by piece."""
     raw = np.frombuffer(data, np.uint8)
     for at in range(0, len(raw) - LENGTH + 1, CHUNK):
-        h = _BYTES[raw[at : at + CHUNK + LENGTH - 1]]
-        for step, factor in _STEPS:  # 16-grams
+        h = four = _BYTES[raw[at : at + CHUNK + LENGTH - 1]]
+        for step, factor in _STEPS:  # 16-grams; with the 4-gram after it, 20-grams
             h = h[:-step] * factor + h[step:]
+            four = h if step == 2 else four
+        h = h[: len(four) - 16] * _STEPS[0][1] + four[16:]
         h ^= h >> np.uint64(31)
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-        for step in (1, 2, 4, 8, 16, LENGTH - GRAM - 31):  # over LENGTH - GRAM + 1 places
+        for step in (1, 2, 4, 8, LENGTH - GRAM - 15):  # over LENGTH - GRAM + 1 places
             h = np.minimum(h[:-step], h[step:])
         yield at, h & np.uint64(NAME)
 
@@ -89,8 +91,11 @@ def encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; only what isn't told apart yet is sorted again."""
+def suffix_array(symbols: np.ndarray, enough: int) -> np.ndarray:
+    """Suffix array by prefix doubling, in which suffixes that agree in ``enough`` symbols may stand in any order.
+
+    Only what isn't told apart yet is sorted again.
+    """
     n = len(symbols)
     bits = max(1, int(symbols.max(initial=0)).bit_length())
     width = max(1, 62 // bits)
@@ -110,11 +115,11 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     while True:
         alone = new & np.concatenate([new[1:], [True]])
         at = np.flatnonzero(~alone)  # places in the order that hold ties
-        if not len(at):
+        if not len(at) or depth >= enough:
             return order
         who = order[at]
         second = rank[np.minimum(who + depth, n)]
-        by = np.lexsort((second, start[at]))
+        by = np.argsort(start[at] * (n + 1) + second, kind="stable")
         who, second, first = who[by], second[by], start[at]
         order[at] = who
         parts = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
@@ -133,7 +138,7 @@ def equal_prefixes(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
     are open after ``length`` passes share at least so many.
     """
     n = len(symbols)
-    order = suffix_array(symbols)
+    order = suffix_array(symbols, length)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     before = symbols[order - 1]  # the Burrows-Wheeler transform; the first suffix has the last symbol before it
@@ -334,8 +339,9 @@ def _group_runs(shares: int):
             by_share.setdefault(held[key][0] % shares, []).append(key)
         for share, keys in sorted(by_share.items()):
             about = np.array([held[k] for k in keys], np.int64)
-            size = np.array([len(k) for k in keys], np.int64)
-            rows.append((_RUNS, share, group, None, int(size.sum()), None, None, None, _arrays(about.tobytes(), size.tobytes(), b"".join(keys))))
+            v, low, high = np.diff(about[:, 0], prepend=0), about[:, 1].copy(), about[:, 2] - about[:, 1]
+            size = np.array([len(k) for k in keys], np.int32)
+            rows.append((_RUNS, share, group, None, int(size.sum()), None, None, None, _arrays(v.tobytes(), low.tobytes(), high.tobytes(), size.tobytes(), b"".join(keys))))
         return _frame(rows)
 
     return run
@@ -347,67 +353,72 @@ def _isin(name: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name
 
 
+def _windows(strings: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(string, first window, windows, smallest doc_id) of each stretch of windows with one smallest doc_id."""
+    old = oldest(strings, docs)
+    size = np.array([len(s) for s in strings], np.int64) + 1
+    ends = np.cumsum(size)
+    of = np.repeat(np.arange(len(strings)), size)
+    first = np.zeros(len(old), bool)
+    first[ends - size] = True
+    starts = np.flatnonzero((old != NOBODY) & (first | np.concatenate([[True], old[1:] != old[:-1]])))
+    stop = np.minimum(np.append(starts[1:], len(old)), ends[of[starts]] - LENGTH)
+    return of[starts], starts - (ends - size)[of[starts]], stop - starts, old[starts]
+
+
 def _share_older(pdf: pd.DataFrame) -> pd.DataFrame:
     """A share's runs -> for each group which windows of its runs are older elsewhere."""
-    string: dict[bytes, int] = {}
-    name, least, uses = [], [], []
-    for group, data in zip(pdf["grp"].tolist(), pdf["data"], strict=True):
-        about, size, joined = _parts(data)
-        about, at = np.frombuffer(about, np.int64).reshape(-1, 3).tolist(), 0
-        for (v, low, high), n in zip(about, np.frombuffer(size, np.int64).tolist(), strict=True):
-            key = joined[at : at + n]
-            at += n
-            i = string.setdefault(key, len(name))
-            if i == len(name):
-                name.append(v)
-                least.append(low)
-            else:
-                least[i] = min(least[i], low)
-            uses.append((group, i, high))
-    keys, low = list(string), np.array(least, np.int64)
-    by = np.argsort(np.array(name, np.int64), kind="stable").tolist()
+    index: dict[bytes, int] = {}
+    ids, name, low, high, group = [], [], [], [], []
+    for g, data in zip(pdf["grp"].tolist(), pdf["data"], strict=True):
+        v, least, more, size, joined = _parts(data)
+        ends = np.cumsum(np.frombuffer(size, np.int32)).tolist()
+        ids += [index.setdefault(joined[a:b], len(index)) for a, b in zip([0, *ends], ends, strict=False)]
+        name.append(np.cumsum(np.frombuffer(v, np.int64)))
+        low.append(np.frombuffer(least, np.int64))
+        high.append(low[-1] + np.frombuffer(more, np.int64))
+        group.append(np.full(len(ends), g, np.int64))
+    keys, use = list(index), np.array(ids, np.int64)
+    name, low, high, group = (np.concatenate(x) for x in (name, low, high, group))
+    by = np.argsort(use, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], use[by][1:] != use[by][:-1]]))
+    least, name = np.minimum.reduceat(low[by], starts), name[by][starts]
+    size = np.array([len(k) for k in keys], np.int64)
+    by = np.argsort(name, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], name[by][1:] != name[by][:-1]]))
+    count = np.diff(np.append(starts, len(by)))
     # What has a name of its own is equal to nothing but its copies, which are one here.
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * len(keys)
-    batch, size, start = [], 0, 0
-
-    def resolve(batch: list[int]) -> None:
-        old, at = oldest([keys[i] for i in batch], low[batch]), 0
-        for i in batch:
-            windows = old[at : at + len(keys[i]) - LENGTH + 1]
-            first = np.flatnonzero(np.concatenate([[True], windows[1:] != windows[:-1]]))
-            found[i] = (first, np.diff(np.append(first, len(windows))), windows[first])
-            at += len(keys[i]) + 1
-
-    while start < len(by):
-        end = start + 1
-        while end < len(by) and name[by[end]] == name[by[start]]:
-            end += 1
-        if end - start == 1:
-            i = by[start]
-            found[i] = (np.zeros(1, np.int64), np.array([len(keys[i]) - LENGTH + 1]), low[i : i + 1])
-        else:
-            batch += by[start:end]
-            size += sum(len(keys[i]) for i in by[start:end])
-        if size >= ARRAY:
-            resolve(batch)
-            batch, size = [], 0
-        start = end
-    if batch:
-        resolve(batch)
-    replies: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for group, i, high in uses:
-        use = found[i][2] < high
-        if use.any():
-            replies.setdefault(group, []).append((i, use))
+    own = by[starts[count == 1]]
+    found = [(own, np.zeros(len(own), np.int64), size[own] - LENGTH + 1, least[own])]
+    some = by[np.repeat(count > 1, count)]
+    starts = np.flatnonzero(np.concatenate([[True], name[some][1:] != name[some][:-1]])) if len(some) else np.zeros(0, np.int64)
+    filled = np.cumsum(size[some]) // ARRAY
+    cuts = [0, *starts[1:][filled[starts[1:]] != filled[starts[:-1]]].tolist(), len(some)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            part = some[a:b]
+            of, *rest = _windows([keys[i] for i in part.tolist()], least[part])
+            found.append((part[of], *rest))
+    of, first, windows, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.argsort(of, kind="stable")
+    first, windows, doc = first[by], windows[by], doc[by]
+    n = np.bincount(of, minlength=len(keys))
+    begin = np.cumsum(n) - n
+    # Every use of a run gets the run's stretches that are older than its youngest document.
+    whose = np.repeat(np.arange(len(use)), n[use])
+    entry = np.arange(len(whose)) - np.repeat(np.cumsum(n[use]) - n[use], n[use]) + begin[use[whose]]
+    keep = doc[entry] < high[whose]
+    whose, entry = whose[keep], entry[keep]
+    order = np.argsort(group[whose], kind="stable")
+    whose, entry = whose[order], entry[order]
+    cuts = np.flatnonzero(np.concatenate([[True], group[whose][1:] != group[whose][:-1]])) if len(whose) else np.zeros(0, np.int64)
     rows = []
-    for group, said in sorted(replies.items()):
-        ids = [i for i, _ in said]
-        parts = [(found[i][0][use], found[i][1][use], found[i][2][use]) for i, use in said]
-        n = np.array([len(p[0]) for p in parts], np.int64)
-        first, count, doc = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        digest = b"".join(xxhash.xxh3_128_digest(keys[i]) for i in ids)
-        v = np.array([name[i] for i in ids], np.int64)
-        rows.append((_OLDER, None, group, None, None, None, None, None, _arrays(v.tobytes(), digest, n.tobytes(), first.tobytes(), count.tobytes(), doc.tobytes())))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(whose)], strict=False):
+        w, e = whose[a:b], entry[a:b]
+        new = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        key = np.array([xxhash.xxh3_64_intdigest(keys[i]) for i in use[w[new]].tolist()], np.uint64)
+        parts = (key, np.diff(np.append(new, len(w))).astype(np.int32), first[e].astype(np.int32), windows[e].astype(np.int32), doc[e])
+        rows.append((_OLDER, None, int(group[w[0]]), None, None, None, None, None, _arrays(*[p.tobytes() for p in parts])))
     return _frame(rows)
 
 
@@ -415,29 +426,25 @@ def _remove(keep_text: bool):
     """A group's open texts and what is older elsewhere -> finished documents."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: dict[bytes, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        wanted = [np.zeros(0, np.uint64)]
-        for data in pdf["data"][pdf["kind"] == _OLDER]:
-            v, digest, n, *rest = _parts(data)
-            first, count, doc = (np.frombuffer(x, np.int64) for x in rest)
-            wanted.append(np.frombuffer(v, np.int64).astype(np.uint64))
-            ends = np.cumsum(np.frombuffer(n, np.int64)).tolist()
-            for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
-                known.setdefault(digest[16 * k : 16 * k + 16], []).append((first[a:b], count[a:b], doc[a:b]))
-        shared, unzip, rows = np.unique(np.concatenate(wanted)), zstandard.ZstdDecompressor(), []
+        parts = [_parts(data) for data in pdf["data"][pdf["kind"] == _OLDER]]
+        key, n, first, count, least = (np.frombuffer(b"".join(p[k] for p in parts), t) for k, t in enumerate((np.uint64, np.int32, np.int32, np.int32, np.int64)))
+        begin = np.cumsum(n) - n
+        place = dict(zip(key.tolist(), range(len(key)), strict=True))
+        unzip, rows = zstandard.ZstdDecompressor(), []
         for doc, zipped in pdf.loc[pdf["kind"] == _OPEN, ["doc_id", "data"]].itertuples(index=False):
-            data, starts, counts = unzip.decompress(zipped), [], []
-            name, first, count = runs(data)
-            hit = _isin(name, shared)
-            for a, c in zip(first[hit].tolist(), count[hit].tolist(), strict=True):
-                for f, n, d in known.get(xxhash.xxh3_128_digest(data[a : a + c + LENGTH - 1]), ()):
-                    older = d < doc
-                    starts.append(f[older] + a)
-                    counts.append(n[older])
-            if not sum(map(len, starts)):
+            data = unzip.decompress(zipped)
+            _, start, windows = runs(data)
+            hit = [place.get(xxhash.xxh3_64_intdigest(data[a:b]), -1) for a, b in zip(start.tolist(), (start + windows + LENGTH - 1).tolist(), strict=True)]
+            hit = np.array(hit, np.int64)
+            start, hit = start[hit >= 0], hit[hit >= 0]
+            whose = np.repeat(np.arange(len(hit)), n[hit])
+            entry = np.arange(len(whose)) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit]) + begin[hit[whose]]
+            keep = least[entry] < doc
+            whose, entry = whose[keep], entry[keep]
+            if not len(entry):
                 rows.append(_done(int(doc), data))
                 continue
-            covered, n_spans = spans(len(data), np.concatenate(starts), np.concatenate(counts))
+            covered, n_spans = spans(len(data), start[whose] + first[entry], count[entry].astype(np.int64))
             kept = np.frombuffer(data, np.uint8)[~covered].tobytes()
             rows.append((_DONE, None, None, int(doc), len(data), int(covered.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
         return _frame(rows)
