@@ -2,21 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from tessera.plans import ORACLES, QUERIES, rollout_queries
 
-from tessera.plans import ORACLES, QUERIES, query, table
+FLAGSHIP = "solve_status"
 
-FLAGSHIP = "skeleton_pool"
-
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
-
-
-@query(
-    "skeleton_pool",
-    """SELECT l_shipmode AS skeleton, count(*) AS cnt, min(l_orderkey) AS first_idx
-    FROM lineitem GROUP BY l_shipmode""",
-)
-def skeleton_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "lineitem")
-    return df.groupBy(F.col("l_shipmode").alias("skeleton")).agg(F.count(F.lit(1)).alias("cnt"), F.min("l_orderkey").alias("first_idx"))
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "rollout_queries"]
