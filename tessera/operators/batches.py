@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import cut
+
 
 def number(df: DataFrame, order: list[str], name: str = "k") -> DataFrame:
     """Adds the place of each row, from 0, by columns that tell all rows apart.
 
     Rows are range-partitioned and numbered within their partitions; what
-    stands before a partition is added up, so that no task gets all rows.
+    stands before a partition is added up, so that no task gets all rows. The
+    numbered partitions are written once, as ranges are drawn from samples and
+    would not be the same a second time.
     """
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # The id holds the partition in its upper bits and the row's place in the lower 33.
-    marked = ranged.withColumn("__id", F.monotonically_increasing_id())
+    marked = cut(ranged.withColumn("__id", F.monotonically_increasing_id()))
     part = F.shiftright("__id", 33)
     counts = marked.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
