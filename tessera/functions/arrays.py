@@ -106,7 +106,7 @@ def entropy(logits: Column) -> Column:
 
 def pick(a: Column, index: Column) -> Column:
     """Element by place from 0."""
-    return F.element_at(a, index.cast("int") + 1)
+    return F.get(a, index.cast("int"))
 
 
 def discounted(rewards: Column, gamma: float, mask: Column | None = None) -> Column:

@@ -149,12 +149,12 @@ def hash_answer(x: Column) -> Column:
 
 def last_number(x: Column) -> Column:
     """The last run of digits, points and commas that is more than a point."""
-    return F.element_at(F.filter(F.regexp_extract_all(x, F.lit(r"(-?[0-9.,]+)"), F.lit(1)), lambda n: ~n.isin("", ".")), -1)
+    return F.try_element_at(F.filter(F.regexp_extract_all(x, F.lit(r"(-?[0-9.,]+)"), F.lit(1)), lambda n: ~n.isin("", ".")), F.lit(-1))
 
 
 def last_tag(x: Column, name: str) -> Column:
     """Content of the last <name> element, trimmed; null if there is none."""
-    return strip(F.element_at(F.regexp_extract_all(x, F.lit(rf"(?s)<{name}>(.*?)</{name}>"), F.lit(1)), -1))
+    return strip(F.try_element_at(F.regexp_extract_all(x, F.lit(rf"(?s)<{name}>(.*?)</{name}>"), F.lit(1)), F.lit(-1)))
 
 
 def count_tags(x: Column, name: str) -> Column:
@@ -190,7 +190,7 @@ def passages(docs: Column) -> Column:
 
 def final_answer_line(x: Column) -> Column:
     """What the last ``Answer:`` line says; ``[INVALID]`` if there is none."""
-    return F.coalesce(F.element_at(F.regexp_extract_all(x, F.lit(r"(?i)Answer[ \t]*:[ \t]*([^\n]+)"), F.lit(1)), -1), F.lit("[INVALID]"))
+    return F.coalesce(F.try_element_at(F.regexp_extract_all(x, F.lit(r"(?i)Answer[ \t]*:[ \t]*([^\n]+)"), F.lit(1)), F.lit(-1)), F.lit("[INVALID]"))
 
 
 def drop_bracketed(x: Column) -> Column:
