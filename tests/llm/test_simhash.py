@@ -60,10 +60,10 @@ def test_links_connect_all_within_the_radius(spark):
     values = [base, base ^ 1, base ^ 3, base ^ 7, base ^ (1 << 63), base ^ (3 << 62), base ^ 0xFF00, 0]
     signed = [v - (1 << 64) if v >= 1 << 63 else v for v in values]
     df = spark.createDataFrame([(i, [v]) for i, v in enumerate(signed)], "doc_id long, f array<long>")
-    edges = [(r.a[0], r.b[0]) for r in simhash.links(df).collect()]
-    assert all((a ^ b & (1 << 64) - 1).bit_count() <= 2 or ((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a, b in edges)
-    want = roots(signed, [(a, b) for a in signed for b in signed if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2])
-    assert roots(signed, edges) == want
+    edges = [(r.a, r.b) for r in simhash.links(simhash.distinct_fingerprints(df)).collect()]
+    ids, far = range(len(values)), lambda a, b: (values[a] ^ values[b]).bit_count()
+    assert all(far(a, b) <= 2 for a, b in edges)
+    assert roots(ids, edges) == roots(ids, [(a, b) for a in ids for b in ids if far(a, b) <= 2])
 
 
 def test_components_of_a_long_chain(spark):
