@@ -76,7 +76,8 @@ def lexical(df: DataFrame) -> DataFrame:
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     n = F.length(url).cast("double")
-    shares = F.transform(F.array_distinct(F.split(url, "")), lambda c: (F.length(url) - F.length(F.replace(url, c, F.lit("")))) / n)
+    some = F.greatest(n, F.lit(1.0))
+    shares = F.transform(F.array_distinct(F.split(url, "")), lambda c: (F.length(url) - F.length(F.replace(url, c, F.lit("")))) / some)
     labels = F.split("host", r"\.")
     return df.withColumns(
         {
@@ -85,7 +86,7 @@ def lexical(df: DataFrame) -> DataFrame:
             "path_length": F.length("path").cast("double"),
             "depth": F.size(F.array_remove(F.split("path", "/"), "")).cast("double"),
             "labels": F.when(F.col("host") == "", 0.0).otherwise(F.size(labels).cast("double")),
-            "digits": F.when(n == 0, 0.0).otherwise(F.length(F.regexp_replace(url, "[^0-9]", "")) / n),
+            "digits": F.when(n == 0, 0.0).otherwise(F.length(F.regexp_replace(url, "[^0-9]", "")) / some),
             "entropy": F.aggregate(shares, F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.log2(p)).otherwise(0.0)),
             "parameters": F.when(query == "", 0.0).otherwise(F.size(F.split(query, "[&;]")).cast("double")),
             "value_length": F.length(query).cast("double"),
