@@ -90,31 +90,43 @@ def ball(x: Column, bits: int, half: int) -> Column:
     return out
 
 
-def links(fps: DataFrame, bits: int = 64, radius: int = 2, most: int | None = None) -> DataFrame:
-    """Verified links ``(a, b)`` between different fingerprints (arrays of table values).
+def distinct_fingerprints(fps: DataFrame) -> DataFrame:
+    """``(f, rep)``: each fingerprint with its smallest doc_id, which stands for it."""
+    return fps.groupBy("f").agg(F.min("doc_id").alias("rep"))
+
+
+def links(distinct: DataFrame, bits: int = 64, radius: int = 2, most: int | None = None) -> DataFrame:
+    """Verified links ``(a, b)`` between the documents that stand for different fingerprints.
 
     ``most``: over all tables the fingerprints may differ in so many bits
     (default: the radius). With one table the links connect all that lie
     within the radius of each other; with more, members of a bucket are held
-    against the bucket's member with the smallest doc_id.
+    against the bucket's member with the smallest doc_id. Fingerprints of
+    which no row has a doc_id are not linked.
     """
     most = radius if most is None else most
-    distinct = fps.groupBy("f").agg(F.min("doc_id").alias("rep"))
-    single = distinct.select("f", "rep", F.posexplode("f").alias("t", "x"))
-    hubs = single.groupBy("t", "x").agg(F.min(F.struct("rep", "f")).alias("hub"))
+    known = distinct.where("rep IS NOT NULL")
+    single = known.select("rep", F.posexplode("f").alias("t", "x"))
+    hubs = single.groupBy("t", "x").agg(F.min("rep").alias("hub"))
+    # A table's number goes into the bits above its values where there is room. Variants are dealt out as plain
+    # rows: nearly all differ, and lists made before the shuffle would only be larger.
+    spread = hubs.select("t", "hub", F.explode(ball(F.col("x"), bits, radius // 2)).alias("v"))
+    keys = ["t", "v"] if bits == 64 else ["v"]
+    if bits < 64:
+        spread = spread.select((F.shiftleft(F.col("t").cast("long"), bits) + F.col("v")).alias("v"), "hub")
     near = (
-        hubs.select("t", "hub", F.explode(ball(F.col("x"), bits, radius // 2)).alias("v"))
-        .groupBy("t", "v")
+        spread.repartition(*keys)
+        .groupBy(*keys)
         .agg(F.collect_list("hub").alias("m"))
         .where(F.size("m") > 1)
-        .select(F.array_min("m").alias("h"), F.explode("m").alias("o"))
-        .select(F.col("h.f").alias("a"), F.col("o.f").alias("b"))
+        .select(F.array_min("m").alias("a"), F.explode("m").alias("b"))
     )
-    same = single.join(hubs, ["t", "x"]).select(F.col("hub.f").alias("a"), F.col("f").alias("b"))
-    differ = F.aggregate(F.zip_with("a", "b", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda s, d: s + d)
+    same = single.join(hubs, ["t", "x"]).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     one_table = most <= radius
-    found = (near if one_table else near.unionByName(same)).where("a <> b")
-    return found.where(differ <= most).distinct()
+    found = (near if one_table else near.unionByName(same)).where("a <> b").distinct()
+    differ = F.aggregate(F.zip_with("fa", "fb", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda s, d: s + d)
+    first, second = (known.select(F.col("rep").alias(n), F.col("f").alias(f"f{n}")) for n in ("a", "b"))
+    return found.join(first, "a").join(second, "b").where(differ <= most).select("a", "b")
 
 
 def near_groups(docs: DataFrame, k: int = 3, bits: int = 64, tables: int = 1, radius: int = 2, most: int | None = None) -> DataFrame:
@@ -123,16 +135,16 @@ def near_groups(docs: DataFrame, k: int = 3, bits: int = 64, tables: int = 1, ra
     component_id is the smallest doc_id that can be reached over links, the
     row's own included. Rows without words (null, empty, white space) have
     fingerprint zero and are linked like any other. Repeated rows and ties are
-    kept, one result row each; rows with a null doc_id are kept and don't
-    count for component_id. Other columns are ignored; an empty table gives
-    an empty result.
+    kept, one result row each; rows with a null doc_id are kept, get the
+    component of equal fingerprints, else null, and don't count for it. Other
+    columns are ignored; an empty table gives an empty result.
     """
     fps = cut(fingerprints(docs, k, bits, tables))
-    groups = connected_components(links(fps, bits, radius, most))
-    least = fps.groupBy("f").agg(F.min("doc_id").alias("rep"))
-    rooted = least.join(groups.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
-    top = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_f = cut(rooted.join(top, "root").select("f", "component_id"))
+    distinct = cut(distinct_fingerprints(fps))
+    groups = connected_components(links(distinct, bits, radius, most))
+    top = groups.groupBy("root").agg(F.min("node").alias("component_id"))
+    moved = groups.join(top, "root").select(F.col("node").alias("rep"), "component_id")
+    by_f = cut(distinct.join(moved, "rep", "left").select("f", F.coalesce("component_id", "rep").alias("component_id")))
     return fps.join(by_f, "f").select("doc_id", "f", "component_id")
 
 
