@@ -87,7 +87,9 @@ def merge_groups(sketches: DataFrame, key: str, column: str = "sketch", k: int =
     one = sketches.select(F.col(key), F.explode(column).alias("h")).distinct()
     low = one.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("h"))).where(F.col("r") <= k)
     merged = low.groupBy(key).agg(F.sort_array(F.collect_list("h")).alias(column))
-    return sketches.select(key).distinct().join(merged, F.col(key).eqNullSafe(merged[key]), "left").select(sketches[key], F.coalesce(merged[column], F.array().cast("array<bigint>")).alias(column))
+    keys = sketches.select(F.col(key).alias("__key")).distinct()
+    none = F.array().cast("array<bigint>")
+    return keys.join(merged, F.col("__key").eqNullSafe(F.col(key)), "left").select(F.col("__key").alias(key), F.coalesce(column, none).alias(column))
 
 
 def as_text(a: Column) -> Column:
@@ -122,22 +124,25 @@ def with_next(docs: DataFrame) -> DataFrame:
     Texts are shuffled once, in groups of neighbouring ids; only the last of
     each group looks at another group.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # A cast of a column that needs none would leave a renaming in one of the uses, and the shuffle would run again.
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long")
+    rows = docs.select(doc_id, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("sketch", sketch(F.col("text")))
     span = rows.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).head()
     none = rows.where("doc_id IS NULL").select("*", F.lit(None).cast("string").alias("next_text"), F.lit(None).cast("array<bigint>").alias("next_sketch"))
     if span["a"] is None:
         return none
-    near = rows.where("doc_id IS NOT NULL").withColumn("g", F.shiftright("doc_id", NEAR))
+    # All three uses of the groups have the same filters and columns below the shuffle, so that it runs once.
+    near = rows.where("doc_id IS NOT NULL").withColumn("g", F.shiftright("doc_id", NEAR)).where("g IS NOT NULL")
     group = Window.partitionBy("g")
     later = group.orderBy("doc_id").rangeBetween(1, Window.unboundedFollowing)
-    found = near.withColumn("first", F.row_number().over(group.orderBy("doc_id", "text"))).withColumn("next", F.first(F.struct("text", "sketch")).over(later))
-    within = found.where("next IS NOT NULL").select("doc_id", "text", "sketch", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"))
+    found = near.withColumn("head", F.min("doc_id").over(group)).withColumns({"next_text": F.first("text").over(later), "next_sketch": F.first("sketch").over(later)})
+    within = found.where("next_text IS NOT NULL").select("doc_id", "text", "sketch", "next_text", "next_sketch")
     groups = rows.where("doc_id IS NOT NULL").select(F.shiftright("doc_id", NEAR).alias("id")).distinct()
     a, b = span["a"] >> NEAR, span["b"] >> NEAR
     after = successors(groups, a, b).select(F.coalesce("next", F.lit(a)).alias("g2"), F.col("id").alias("g"))
-    heads = found.where("first = 1").select(F.col("g").alias("g2"), F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"))
-    ends = found.where("next IS NULL").select("g", "doc_id", "text", "sketch").join(after.join(heads, "g2"), "g")
+    heads = found.where("doc_id = head").groupBy("g").agg(F.min(F.struct("text", "sketch")).alias("h")).select(F.col("g").alias("g2"), F.col("h.text").alias("next_text"), F.col("h.sketch").alias("next_sketch"))
+    ends = found.where("next_text IS NULL").select("g", "doc_id", "text", "sketch").join(after.join(heads, "g2"), "g")
     return within.unionByName(ends.select("doc_id", "text", "sketch", "next_text", "next_sketch")).unionByName(none)
 
 
