@@ -23,6 +23,8 @@ KEYWORDS = frozenset(
 )
 #: A query can't end with these.
 OPEN_ENDED = KEYWORDS - {"ALL", "ASC", "DESC", "END", "NULL", "ISNULL", "NOTNULL", "FIRST", "LAST", "ROW", "ROWS"}
+#: Keywords that an operand can begin with.
+BEGINNERS = frozenset({"ALL", "ANY", "CASE", "CAST", "CURRENT", "DISTINCT", "EXISTS", "NOT", "NULL", "SELECT"})
 #: What a query starts with.
 STARTS = ("SELECT", "WITH", "INSERT", "UPDATE", "DELETE", "VALUES")
 
@@ -109,11 +111,19 @@ def mask(sql: str, typed: bool = False) -> str:
     out: list[str] = []
     clause, stack = [""], []
     operand = False  # whether the last token ended an operand, so that a name after it is an alias
+    waiting = False  # whether the last token was an operator that needs an operand
     i = 0
     while i < len(toks):
         kind, t = toks[i]
+        if kind in ("name", "call", "string", "number", "mark", "star"):
+            if waiting and t in (")", ","):
+                raise ValueError(f"an operator lacks its operand before {t}")
+            waiting = False
         after = toks[i + 1] if i + 1 < len(toks) else ("", "")
         if kind == "key":
+            if waiting and t not in BEGINNERS:
+                raise ValueError(f"an operator lacks its operand before {t}")
+            waiting = False
             if t == "AS":
                 if stack and stack[-1] == "CAST":
                     out.append("AS")
@@ -166,6 +176,9 @@ def mask(sql: str, typed: bool = False) -> str:
             else:
                 out.append(t)
                 operand = False
+            waiting = not operand
+            i += 1
+            continue
         elif t == "(":
             stack.append(out[-1] if out else "")
             clause.append(clause[-1] if out and out[-1] in ("FROM", "JOIN", ",") else "")
