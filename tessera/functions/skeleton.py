@@ -37,7 +37,7 @@ TABLE, COLUMN, LITERAL = "<TABLE>", "<COLUMN>", "<LITERAL>"
 
 
 def strip_comments(sql: str) -> str:
-    """Comments as one space each; quotes of any kind are kept. An open block comment goes up to the last character."""
+    """Comments as one space each; quotes of any kind are kept. Of an open block comment the last character stays."""
     out, i = [], 0
     closing = {"'": "'", '"': '"', "[": "]", "`": "`"}
     while i < len(sql):
@@ -61,8 +61,6 @@ def strip_comments(sql: str) -> str:
             end = sql.find("*/", i + 2)
             out.append(" ")
             i = len(sql) - 1 if end < 0 else end + 2
-            if end < 0:
-                break
         else:
             out.append(c)
             i += 1
