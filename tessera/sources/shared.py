@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder that holds this library.
+ROOT = str(Path(__file__).resolve().parents[2])
 #: Spark removes the shuffle files of an execution at its end if this is set.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers of this machine find the library, wherever the driver was started."""
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, ROOT]))
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir, shared by all its machines.
 
