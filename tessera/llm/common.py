@@ -2,68 +2,38 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The folder that holds this library, for workers of the same machine.
-ROOT = str(Path(__file__).resolve().parents[2])
+from tessera.sources.shared import cut, reachable, shared_folder
+
+__all__ = ["ARROW_ROWS", "Memory", "buckets_for", "cut", "forget", "id_and_text", "session", "shared_folder", "table", "total_bytes", "with_number"]
+
 #: Rows in one Arrow batch: with texts of up to some 100 KB a batch stays small.
 ARROW_ROWS = 512
 
 
 def session(df: DataFrame) -> SparkSession:
     """The session of ``df``, set up for batches of long texts and for workers that find this library."""
-    spark = df.sparkSession
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, ROOT]))
+    spark = reachable(df.sparkSession)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, shared by all its machines.
-
-    Only where none is set, as in tests, a folder of this machine is taken.
-    """
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-#: Spark removes the shuffle files of an execution at its end if this is set.
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and go on from there.
 
-    That ends the lineage, and sizes are known again: a checkpoint would keep
-    the estimates of the plan behind it, which joins multiply. What was
-    shuffled on the way there is not needed again and goes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN, None)
-    spark.conf.set(CLEAN, "true")
-    try:
-        df.select("*").write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEAN)
-        else:
-            spark.conf.set(CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+def id_and_text(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` for Python: ids are strings there, as pandas would turn numbers beside a null into floats."""
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def with_number(df: DataFrame) -> DataFrame:
+    """The ``doc_id`` of what comes back from Python as a number again."""
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def total_bytes(df: DataFrame, text: str = "text") -> int:
@@ -78,8 +48,11 @@ def buckets_for(n_bytes: int, each: int) -> int:
 class Memory:
     """The results of late: when one half is full, what the other half has goes."""
 
+    known: weakref.WeakSet[Memory] = weakref.WeakSet()
+
     def __init__(self, half: int):
         self.half = half
+        self.known.add(self)
         self.recent: dict = {}
         self.older: dict = {}
 
@@ -90,6 +63,16 @@ class Memory:
         return found
 
     def put(self, key, value) -> None:
+        self.turn()
+        self.recent[key] = value
+
+    def turn(self) -> None:
+        """Starts a new half if the recent one is full."""
         if len(self.recent) >= self.half:
             self.recent, self.older = {}, self.recent
-        self.recent[key] = value
+
+
+def forget() -> None:
+    """Empties all memories of this process: what works on large arrays next needs the room."""
+    for memory in list(Memory.known):
+        memory.recent, memory.older = {}, {}

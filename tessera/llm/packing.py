@@ -69,6 +69,9 @@ class WordTokenizer:
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
         self.known = Memory(REMEMBERED)
+        #: Which tokens end a part that the tokenizer has split off.
+        self.ends = np.zeros(self.own.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[i for t, i in self.own.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -87,19 +90,25 @@ class WordTokenizer:
         return out
 
     def encode_some(self, texts: list[str], parts: list[list[str] | None]) -> list[np.ndarray]:
-        recent = self.known.recent.get
-        found = [None if p is None else list(map(recent, p)) for p in parts]
+        recent, older = self.known.recent, self.known.older
+        find = recent.get
+        found = [None if p is None else list(map(find, p)) for p in parts]
         new: dict[str, bytes | None] = {}
         for p, f in zip(parts, found, strict=True):
             if f and None in f:
                 new.update([x for x in zip(p, f, strict=True) if x[1] is None])
+        unknown = []
         for x in new:
-            new[x] = self.known.get(x)
-        unknown = [x for x, ids in new.items() if ids is None]
+            ids = older.get(x)
+            if ids is None:
+                unknown.append(x)
+            else:
+                new[x] = recent[x] = ids
         for x, ids in zip(unknown, self.encode_words(unknown), strict=True):
             new[x] = ids
             if len(x) <= LONGEST:
-                self.known.put(x, ids)
+                recent[x] = ids
+        self.known.turn()
         out = []
         for text, p, f in zip(texts, parts, found, strict=True):
             if p is None:
@@ -111,11 +120,16 @@ class WordTokenizer:
         return out
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word; all are tokenised at once and parted by their places."""
-        got = self.own.encode(" ".join(words), add_special_tokens=False)
-        ids, starts = np.array(got.ids, "<u4"), np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
-        border = np.searchsorted(starts, np.cumsum([len(w) + 1 for w in words])).tolist()
-        return [ids[a:b].tobytes() for a, b in zip([0, *border], border, strict=False)]
+        """Ids of each word; all are tokenised at once and parted where words end, or else by their places."""
+        joined = " ".join(words)
+        ids = np.array(self.own.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        border = np.flatnonzero(self.ends[ids]) + 1
+        if len(border) != len(words):
+            got = self.own.encode(joined, add_special_tokens=False)
+            starts = np.fromiter((a for a, _ in got.offsets), np.int64, len(ids))
+            border = np.searchsorted(starts, np.cumsum([len(w) + 1 for w in words]))
+        raw, places = ids.tobytes(), (4 * border).tolist()
+        return [raw[a:b] for a, b in zip([0, *places], places, strict=False)]
 
 
 @lru_cache(maxsize=2)
