@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memory, session, table
+from tessera.llm.common import Memory, id_and_text, session, table, with_number
 
 #: Splits text before the merges (the pattern that comes with the rank files).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -232,7 +232,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [coder.encode(t or "").astype(np.int32) for t in pdf["text"]]})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, ids array<int>")
+    return with_number(id_and_text(docs).mapInPandas(run, "doc_id string, ids array<int>"))
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -245,7 +245,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "bytes": [coder.decode(np.zeros(0, np.int32) if ids is None else ids) for ids in pdf["ids"]]})
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInPandas(run, "doc_id long, bytes binary")
+    return with_number(encoded.select(F.col("doc_id").cast("string"), "ids").mapInPandas(run, "doc_id string, bytes binary"))
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -264,7 +264,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return with_number(id_and_text(docs).mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import session, table
+from tessera.llm.common import id_and_text, session, table, with_number
 
 #: Features: hashed byte n-grams of these lengths.
 GRAMS, BUCKETS = (1, 2, 3, 4), 1 << 13
@@ -167,7 +168,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return with_number(id_and_text(docs).mapInPandas(run, "doc_id string, lang_pred string, score double, ambiguous boolean"))
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -186,12 +187,11 @@ def known_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
     place = columns.index("text")
 
     def run(batches):
-        for pdf in batches:
-            said = shared.value.predict([None if t is None else str(t) for t in pdf.iloc[:, place]])
-            keep = np.array([lang != UNDETERMINED and score >= least for lang, score, _ in said], bool)
-            yield pdf[keep]
+        for batch in batches:
+            said = shared.value.predict([None if t is None else str(t) for t in batch.column(place).to_pylist()])
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score, _ in said], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

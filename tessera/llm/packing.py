@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memory, cut, session, table
+from tessera.llm.common import Memory, cut, id_and_text, session, table, with_number
 
 #: Tokens of a sequence, and the id that ends each document.
 CAPACITY, END = 4096, 1
@@ -161,10 +161,9 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                 ids = np.append(found, np.array([end], "<u4"))
                 rows += [(d, k, at, len(part := ids[at : at + capacity]), zlib.crc32(part.tobytes())) for k, at in enumerate(range(0, len(ids), capacity))]
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return with_number(id_and_text(docs).mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long"))
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, session, table
+from tessera.llm.common import cut, forget, id_and_text, session, table, with_number
 from tessera.llm.components import connected_components
 
 #: Seed of the shingle hash; a further 64 bits take the next seed.
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, k: int = 3, bits: int = 64, tables: int = 1) -
     words64 = -(-bits * tables // 64)
 
     def run(batches):
+        forget()
         for pdf in batches:
             values = [split(fingerprint(t, k, words64)) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "f": values})
@@ -78,7 +79,7 @@ def fingerprints(docs: DataFrame, k: int = 3, bits: int = 64, tables: int = 1) -
         kind = {32: ">u4", 16: ">u2"}[bits]
         return f.astype(">u8").view(kind)[:tables].astype(np.int64).tolist()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, f array<long>")
+    return with_number(id_and_text(docs).mapInPandas(run, "doc_id string, f array<long>"))
 
 
 def ball(x: Column, bits: int, half: int) -> Column:

@@ -31,14 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import buckets_for, cut, session, table, total_bytes
+from tessera.llm.common import buckets_for, cut, forget, session, table, total_bytes
 
 #: Bytes of a repeated string; a name's k-gram has GRAM of them.
 LENGTH, GRAM = 50, 20
 #: Bits of a name. Different k-grams with one name only cost work.
 NAME = (1 << 48) - 1
 #: Text bytes of a group of documents, and of a share of names; what one suffix array takes.
-GROUP, SHARE, ARRAY = 4 << 20, 16 << 20, 1 << 19
+GROUP, SHARE, ARRAY = 4 << 20, 8 << 20, 1 << 19
 #: Windows of a text that are named at once.
 CHUNK = 1 << 20
 #: Larger than any doc_id.
@@ -202,16 +202,21 @@ def spans(n: int, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, int
     return covered, int(np.count_nonzero(covered[1:] & ~covered[:-1])) + int(n > 0 and covered[0])
 
 
-_ROW = "kind int, share int, grp int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, data binary"
+_ROW = "kind int, share int, grp int, doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, data binary"
 _COLUMNS = ["kind", "share", "grp", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "data"]
 # Kinds of rows.
 _TEXT, _NAMES, _COPY, _DONE, _OPEN, _RUNS, _OLDER = range(7)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=_COLUMNS)
-    for c in ("doc_id", "n_bytes", "n_removed", "n_spans"):
+    """Rows with their types; ids are strings here, as pandas would turn numbers beside a null into floats."""
+    out = pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
+    out["kind"] = out["kind"].astype("int32")
+    for c in ("share", "grp"):
+        out[c] = out[c].astype("Int32")
+    for c in ("n_bytes", "n_removed", "n_spans"):
         out[c] = out[c].astype("Int64")
+    out["doc_id"] = pd.Series([None if d is None or pd.isna(d) else str(d) for d in out["doc_id"]], dtype=object)
     return out
 
 
@@ -250,6 +255,7 @@ def _name_rows(shares: int):
             yield int(share[a]), pack_names(name[a:b]), (group[a:b].astype("<i4") | flag[a:b].astype("<i4") << 31).tobytes()
 
     def run(batches):
+        forget()
         held, at, doc = [], 0, 0
         for pdf in batches:
             out = []
@@ -305,9 +311,10 @@ def _group_runs(shares: int):
     """A group's texts, shared names and copies -> finished documents, open ones, and their runs by share."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget()
         group, unzip = int(pdf["grp"].iloc[0]), zstandard.ZstdDecompressor()
         shared = np.unique(np.concatenate([np.zeros(0, np.uint64), *[unpack_names(x) for x in pdf["data"][pdf["kind"] == _NAMES]]]))
-        copies = set(pdf["doc_id"][pdf["kind"] == _COPY].tolist())
+        copies = set(map(int, pdf["doc_id"][pdf["kind"] == _COPY]))
         rows: list[tuple] = []
         held: dict[bytes, list[int]] = {}
         for doc, zipped in pdf.loc[pdf["kind"] == _TEXT, ["doc_id", "data"]].itertuples(index=False):
@@ -439,7 +446,7 @@ def _remove(keep_text: bool):
             start, hit = start[hit >= 0], hit[hit >= 0]
             whose = np.repeat(np.arange(len(hit)), n[hit])
             entry = np.arange(len(whose)) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit]) + begin[hit[whose]]
-            keep = least[entry] < doc
+            keep = least[entry] < int(doc)
             whose, entry = whose[keep], entry[keep]
             if not len(entry):
                 rows.append(_done(int(doc), data))
@@ -473,13 +480,13 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     hashed = counted.select("doc_id", "grp", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
     least = hashed.groupBy("sha").agg(F.min("doc_id").alias("least"))
     copies = hashed.join(least, "sha").where("doc_id > least").select(
-        F.lit(_COPY).alias("kind"), F.lit(None).cast("int").alias("share"), "grp", "doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("data", "binary"))]
+        F.lit(_COPY).alias("kind"), F.lit(None).cast("int").alias("share"), "grp", F.col("doc_id").cast("string").alias("doc_id"), *[F.lit(None).cast(t).alias(c) for c, t in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("data", "binary"))]
     )
-    texts = rows.mapInPandas(_compress, _ROW)
+    texts = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_compress, _ROW)
     first = cut(texts.unionByName(shared).unionByName(copies).groupBy("grp").applyInPandas(_group_runs(shares), _ROW))
     older = first.where(F.col("kind") == _RUNS).groupBy("share").applyInPandas(_share_older, _ROW)
     second = first.where(F.col("kind") == _OPEN).unionByName(older).groupBy("grp").applyInPandas(_remove(keep_text), _ROW)
-    return first.where(F.col("kind") == _DONE).unionByName(second).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "data")
+    return first.where(F.col("kind") == _DONE).unionByName(second).select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "data")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

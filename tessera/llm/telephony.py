@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import session, table
+from tessera.llm.common import id_and_text, session, table, with_number
 
 # Format codes of WAVE files.
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 17
@@ -175,7 +175,7 @@ def store(docs: DataFrame, code: int = MU_LAW) -> DataFrame:
             made = [payload(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [n for _, n in made], "media": [wave(p, code) for p, _ in made]})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return with_number(id_and_text(docs).mapInPandas(run, "doc_id string, n_bytes long, media binary"))
 
 
 def inspect(stored: DataFrame) -> DataFrame:
@@ -191,7 +191,8 @@ def inspect(stored: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
             yield pd.concat([pdf[["doc_id", "n_bytes"]].reset_index(drop=True), out], axis=1)
 
-    return stored.mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    named = stored.select(F.col("doc_id").cast("string"), "n_bytes", "media")
+    return with_number(named.mapInPandas(run, "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"))
 
 
 def expand(stored: DataFrame, to: int = 16000) -> DataFrame:
@@ -202,7 +203,7 @@ def expand(stored: DataFrame, to: int = 16000) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "media": [None if m is None else resampled_wave(m, to) for m in pdf["media"]]})
 
-    return stored.select("doc_id", "media").mapInPandas(run, "doc_id long, media binary")
+    return with_number(stored.select(F.col("doc_id").cast("string"), "media").mapInPandas(run, "doc_id string, media binary"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
