@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import batches
 
+#: Pieces of a line of weights, at most: what draws are dealt out by is no larger, whatever the number of rows.
+PIECES = 8192
 #: Sources that a pool entry lists at most.
 SOURCES = 20
 
@@ -102,7 +104,7 @@ def resample_weighted(rows: DataFrame, key: str, weight: Column, n: int, seed: i
     held against all draws.
     """
     weighed = batches.number(rows.select(F.col(key), (F.abs(weight).cast("double") + 1e-8).alias("w")), [key], "__k")
-    piece = F.floor(F.col("__k") / 1024)
+    piece = F.floor(F.col("__k") / max(1024, -(-weighed.count() // PIECES)))
     sums = weighed.groupBy(piece.alias("__p")).agg(F.sum("w").alias("__w"))
     order = Window.orderBy("__p")
     sums = sums.withColumn("__to", F.sum("__w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
