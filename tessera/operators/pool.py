@@ -19,11 +19,6 @@ def split_by_success(rows: DataFrame, skeleton: str = "skeleton", error: str = "
     return rows.where(good), rows.where(~good)
 
 
-def smallest(column: str, n: int) -> Column:
-    """The n smallest values of a group, in order: lists of a group are bounded only by its size, so see :func:`pool`."""
-    return F.slice(F.array_sort(F.collect_list(column)), 1, n)
-
-
 def pool(rows: DataFrame, skeleton: str, index: str, firsts: list[str], sources: int = SOURCES) -> DataFrame:
     """``(pool_id, skeleton, count, first_<index>, first_<c>..., source_indices)`` for each skeleton.
 
@@ -40,7 +35,11 @@ def pool(rows: DataFrame, skeleton: str, index: str, firsts: list[str], sources:
 
 
 def entries(rows: DataFrame, skeleton: str, fields: list[str], order: str) -> DataFrame:
-    """``(fid, skeleton, count, entries)`` of the skeletons that aren't blank, with ids by skeleton."""
+    """``(fid, skeleton, count, entries)`` of the skeletons that aren't blank, with ids by skeleton.
+
+    The list of all entries is what is asked for here; for large groups join
+    rows by skeleton instead, as ``operators.retrieval.rank_candidates`` does.
+    """
     kept = rows.where(F.trim(F.col(skeleton)) != "")
     grouped = kept.groupBy(F.col(skeleton).alias("skeleton")).agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_list(F.struct(order, *fields))).alias("entries"))
     return batches.number(grouped, ["skeleton"], "fid")
