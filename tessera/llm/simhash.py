@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, forget, id_and_text, session, table, with_number
 from tessera.llm.components import connected_components
-from tessera.llm.sketch import hashes, words
+from tessera.llm.sketch import hashes, let, words
 
 #: Seed of the shingle hash; a further 64 bits take the next seed.
 SEED = 42
@@ -139,7 +139,7 @@ def alike(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataF
     """
     ids = pairs.select("a").union(pairs.select("b")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("a"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")).join(ids, "a", "left_semi")
-    sets = cut(rows.select("a", F.array_distinct(hashes(words(F.col("text")), k)).alias("s")).dropDuplicates(["a"]))
+    sets = cut(rows.select("a", F.array_distinct(let(words(F.col("text")), lambda w: hashes(w, k))).alias("s")).dropDuplicates(["a"]))
     both = pairs.join(sets.withColumnRenamed("s", "sa"), "a").join(sets.select(F.col("a").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
