@@ -47,10 +47,11 @@ def shingles(text: str | None, k: int) -> Iterator[bytes]:
         yield joined[at[i] : at[i + k] - 1]
 
 
-def fingerprint(text: str | None, k: int = 3, words64: int = 1) -> np.ndarray:
+def fingerprint(text: str | None, k: int = 3, words64: int = 1, kinds: list[np.ndarray] | None = None) -> np.ndarray:
     """``words64`` unsigned 64-bit values; a bit is 1 if over half the hashes set it.
 
-    Null, empty and white-space texts give zeros.
+    Null, empty and white-space texts give zeros. ``kinds`` gets the different
+    hashes of each chunk of shingles.
     """
     ones, n = np.zeros((words64, 64), np.int64), 0
     source = shingles(text, k)
@@ -58,21 +59,32 @@ def fingerprint(text: str | None, k: int = 3, words64: int = 1) -> np.ndarray:
         n += len(part)
         for j in range(words64):
             h = np.fromiter((xxhash.xxh64_intdigest(s, SEED + j) for s in part), np.uint64, len(part))
+            if kinds is not None and j == 0:
+                kinds.append(np.unique(h))
             ones[j] += np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
     bits = (2 * ones > n).astype(np.uint8)
     return np.packbits(bits, axis=1).view(">u8").astype(np.uint64).ravel()
 
 
-def fingerprints(docs: DataFrame, k: int = 3, bits: int = 64, tables: int = 1) -> DataFrame:
-    """``(doc_id, f)``: f is an array of ``tables`` values of ``bits`` bits (64, 32 or 16)."""
+def fingerprints(docs: DataFrame, k: int = 3, bits: int = 64, tables: int = 1, sets: bool = False) -> DataFrame:
+    """``(doc_id, f)``: f is an array of ``tables`` values of ``bits`` bits (64, 32 or 16).
+
+    With ``sets`` also s: a hash of the set of different shingles.
+    """
     session(docs)
     words64 = -(-bits * tables // 64)
 
     def run(batches):
         forget()
         for pdf in batches:
-            values = [split(fingerprint(t, k, words64)) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "f": values})
+            values, kinds = [], []
+            for t in pdf["text"]:
+                parts: list[np.ndarray] | None = [] if sets else None
+                values.append(split(fingerprint(t, k, words64, parts)))
+                if parts is not None:
+                    kinds.append(xxhash.xxh64_intdigest(np.unique(np.concatenate(parts)).tobytes() if parts else b"") - (1 << 63))
+            out = pd.DataFrame({"doc_id": pdf["doc_id"], "f": values})
+            yield out.assign(s=kinds) if sets else out
 
     def split(f: np.ndarray) -> list[int]:
         if bits == 64:
@@ -80,7 +92,7 @@ def fingerprints(docs: DataFrame, k: int = 3, bits: int = 64, tables: int = 1) -
         kind = {32: ">u4", 16: ">u2"}[bits]
         return f.astype(">u8").view(kind)[:tables].astype(np.int64).tolist()
 
-    return with_number(id_and_text(docs).mapInPandas(run, "doc_id string, f array<long>"))
+    return with_number(id_and_text(docs).mapInPandas(run, "doc_id string, f array<long>" + (", s long" if sets else "")))
 
 
 def ball(x: Column, bits: int, half: int) -> Column:
@@ -93,8 +105,8 @@ def ball(x: Column, bits: int, half: int) -> Column:
 
 
 def distinct_fingerprints(fps: DataFrame) -> DataFrame:
-    """``(f, rep)``: each fingerprint with its smallest doc_id, which stands for it."""
-    return fps.groupBy("f").agg(F.min("doc_id").alias("rep"))
+    """``(f, rep)``: each fingerprint (and set of shingles) with its smallest doc_id, which stands for it."""
+    return fps.groupBy(*[c for c in ("f", "s") if c in fps.columns]).agg(F.min("doc_id").alias("rep"))
 
 
 def links(distinct: DataFrame, bits: int = 64, radius: int = 2, most: int | None = None) -> DataFrame:
@@ -154,9 +166,10 @@ def near_groups(docs: DataFrame, k: int = 3, bits: int = 64, tables: int = 1, ra
     kept, one result row each; rows with a null doc_id are kept, get the
     component of equal fingerprints, else null, and don't count for it. Other
     columns are ignored; an empty table gives an empty result. With
-    ``similarity`` links must also hold by the shingles: see :func:`alike`.
+    ``similarity`` links must also hold by the shingles: see :func:`alike`;
+    equal fingerprints of different sets of shingles are linked only so.
     """
-    fps = cut(fingerprints(docs, k, bits, tables))
+    fps = cut(fingerprints(docs, k, bits, tables, sets=similarity is not None))
     distinct = cut(distinct_fingerprints(fps))
     found = links(distinct, bits, radius, most)
     if similarity is not None:
@@ -164,8 +177,9 @@ def near_groups(docs: DataFrame, k: int = 3, bits: int = 64, tables: int = 1, ra
     groups = connected_components(found)
     top = groups.groupBy("root").agg(F.min("node").alias("component_id"))
     moved = groups.join(top, "root").select(F.col("node").alias("rep"), "component_id")
-    by_f = cut(distinct.join(moved, "rep", "left").select("f", F.coalesce("component_id", "rep").alias("component_id")))
-    return fps.join(by_f, "f").select("doc_id", "f", "component_id")
+    key = [c for c in ("f", "s") if c in distinct.columns]
+    by_f = cut(distinct.join(moved, "rep", "left").select(*key, F.coalesce("component_id", "rep").alias("component_id")))
+    return fps.join(by_f, key).select("doc_id", "f", "component_id")
 
 
 #: The near-dedup stage of a pipeline: five-word shingles and similarity 0.8. Of 320 bits texts that are so alike

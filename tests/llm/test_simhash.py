@@ -82,6 +82,18 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert set(range(40)) | {43, 44, 45, 46, None} <= ids
 
 
+def kept_of(spark, texts):
+    df = fixtures.documents(spark, [(i, t, "en") for i, t in enumerate(texts)], odd=False)
+    return {r.doc_id for r in simhash.near_dedup(df).collect()}
+
+
+def test_a_repeated_line_does_not_make_copies(spark):
+    line = "name amount date place total tax sum "
+    texts = [line * 200 + " ".join(f"own{i}x{j}" for j in range(60)) for i in range(20)]
+    assert len({tuple(simhash.fingerprint(t, 5, 5)) for t in texts}) == 1
+    assert kept_of(spark, [*texts, texts[3]]) == set(range(20))
+
+
 def test_empty_table(spark):
     assert simhash.near_groups(fixtures.empty(spark)).count() == 0
     assert simhash.near_dedup(fixtures.empty(spark)).count() == 0
