@@ -109,6 +109,35 @@ def distinct_fingerprints(fps: DataFrame) -> DataFrame:
     return fps.groupBy(*[c for c in ("f", "s") if c in fps.columns]).agg(F.min("doc_id").alias("rep"))
 
 
+def buckets(distinct: DataFrame, bits: int = 64, radius: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``(t, hub, rep)``: of table t the documents with one value, and the smallest of them; ``(t, m)``: the hubs whose values share a variant."""
+    single = distinct.where("rep IS NOT NULL").select("rep", F.posexplode("f").alias("t", "x"))
+    hubs = single.groupBy("t", "x").agg(F.min("rep").alias("hub"))
+    # A table's number goes into the bits above its values where there is room. Variants are dealt out as plain
+    # rows: nearly all differ, and lists made before the shuffle would only be larger.
+    spread = hubs.select("t", "hub", F.explode(ball(F.col("x"), bits, radius // 2)).alias("v"))
+    keys = ["t", "v"] if bits == 64 else ["v"]
+    if bits < 64:
+        spread = spread.select((F.shiftleft(F.col("t").cast("long"), bits) + F.col("v")).alias("v"), "hub")
+    near = spread.repartition(*keys).groupBy(*keys).agg(F.collect_list("hub").alias("m")).where(F.size("m") > 1)
+    if bits < 64:
+        near = near.withColumn("t", F.shiftright("v", bits).cast("int"))
+    return single.join(hubs, ["t", "x"]).select("t", "hub", "rep"), near.select("t", "m")
+
+
+def within(pairs: DataFrame, distinct: DataFrame, most: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose fingerprints differ in at most ``most`` bits."""
+    differ = F.aggregate(F.zip_with("fa", "fb", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda s, d: s + d)
+    first, second = (distinct.where("rep IS NOT NULL").select(F.col("rep").alias(n), F.col("f").alias(f"f{n}")) for n in ("a", "b"))
+    return pairs.join(first, "a").join(second, "b").where(differ <= most).select("a", "b")
+
+
+def stars(members: DataFrame, near: DataFrame, one_table: bool = False) -> DataFrame:
+    """The pairs ``(a, b)`` of each bucket's smallest document and its other ones."""
+    found = near.select(F.array_min("m").alias("a"), F.explode("m").alias("b"))
+    return (found if one_table else found.union(members.select(F.col("hub").alias("a"), F.col("rep").alias("b")))).where("a <> b").distinct()
+
+
 def links(distinct: DataFrame, bits: int = 64, radius: int = 2, most: int | None = None) -> DataFrame:
     """Verified links ``(a, b)`` between the documents that stand for different fingerprints.
 
@@ -119,44 +148,96 @@ def links(distinct: DataFrame, bits: int = 64, radius: int = 2, most: int | None
     which no row has a doc_id are not linked.
     """
     most = radius if most is None else most
-    known = distinct.where("rep IS NOT NULL")
-    single = known.select("rep", F.posexplode("f").alias("t", "x"))
-    hubs = single.groupBy("t", "x").agg(F.min("rep").alias("hub"))
-    # A table's number goes into the bits above its values where there is room. Variants are dealt out as plain
-    # rows: nearly all differ, and lists made before the shuffle would only be larger.
-    spread = hubs.select("t", "hub", F.explode(ball(F.col("x"), bits, radius // 2)).alias("v"))
-    keys = ["t", "v"] if bits == 64 else ["v"]
-    if bits < 64:
-        spread = spread.select((F.shiftleft(F.col("t").cast("long"), bits) + F.col("v")).alias("v"), "hub")
-    near = (
-        spread.repartition(*keys)
-        .groupBy(*keys)
-        .agg(F.collect_list("hub").alias("m"))
-        .where(F.size("m") > 1)
-        .select(F.array_min("m").alias("a"), F.explode("m").alias("b"))
-    )
-    same = single.join(hubs, ["t", "x"]).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    one_table = most <= radius
-    found = (near if one_table else near.unionByName(same)).where("a <> b").distinct()
-    differ = F.aggregate(F.zip_with("fa", "fb", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda s, d: s + d)
-    first, second = (known.select(F.col("rep").alias(n), F.col("f").alias(f"f{n}")) for n in ("a", "b"))
-    return found.join(first, "a").join(second, "b").where(differ <= most).select("a", "b")
+    return within(stars(*buckets(distinct, bits, radius), most <= radius), distinct, most)
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """``(a, s)``: the different hashes of the k-word shingles of the documents in ``ids(a)``. Of rows that repeat a doc_id one is taken."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("a"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")).join(ids, "a", "left_semi")
+    return cut(rows.select("a", F.array_distinct(let(words(F.col("text")), lambda w: hashes(w, k))).alias("s")).dropDuplicates(["a"]))
 
 
 def alike(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
     """The links ``(a, b)`` whose documents share at least ``similarity`` of their different k-word shingles.
 
     Only documents of some link are read as shingles; each link holds the two
-    arrays of hashes once. Of rows that repeat a doc_id one is taken.
+    arrays of hashes once.
     """
-    ids = pairs.select("a").union(pairs.select("b")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("a"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")).join(ids, "a", "left_semi")
-    sets = cut(rows.select("a", F.array_distinct(let(words(F.col("text")), lambda w: hashes(w, k))).alias("s")).dropDuplicates(["a"]))
+    sets = shingle_sets(docs, pairs.select("a").union(pairs.select("b")).distinct(), k)
     both = pairs.join(sets.withColumnRenamed("s", "sa"), "a").join(sets.select(F.col("a").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def top_of(found: DataFrame) -> DataFrame:
+    """``(rep, component_id)`` of all ends of links: the smallest that can be reached."""
+    groups = connected_components(found)
+    top = groups.groupBy("root").agg(F.min("node").alias("component_id"))
+    return groups.join(top, "root").select(F.col("node").alias("rep"), "component_id")
+
+
+def unsettled(members: DataFrame, near: DataFrame, moved: DataFrame) -> DataFrame:
+    """``(a, c)``: the documents, with their components, of buckets that hold three or more of more than one component.
+
+    Of three some were not held against each other.
+    """
+    known = cut(members.join(moved, "rep", "left").select("t", "hub", "rep", F.coalesce("component_id", "rep").alias("c")))
+    value = cut(known.groupBy("t", "hub").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")))
+    key = near.select("t", "m", F.explode("m").alias("hub")).join(value, ["t", "hub"])
+    mixed = key.groupBy("t", "m").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 2 AND low <> high")
+    at = mixed.select("t", F.explode("m").alias("hub")).union(value.where("n > 2 AND low <> high").select("t", "hub")).distinct()
+    return known.join(at, ["t", "hub"], "left_semi").select(F.col("rep").alias("a"), "c").distinct()
+
+
+def sharing(docs: DataFrame, ids: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of ``ids(a, c)`` with different c: all that can be as alike, and few others.
+
+    Shingles are ordered by how few documents have them. Of two sets that
+    share ``s`` of their shingles and more, one of the first
+    ``n - ceil(2s / (1 + s) n) + 1`` of the shorter's n is among the first
+    ``n - ceil(s n) + 1`` of the longer's. What a large group has in common
+    stands last and makes no pairs.
+    """
+    sets = shingle_sets(docs, ids.select("a"), k).join(ids, "a")
+    each = sets.select("a", "c", F.size("s").alias("n"), F.explode("s").alias("w"))
+    often = cut(each.groupBy("w").agg(F.count("*").alias("df")).where("df > 1"))
+    # Of the shingles that only one document has the number is enough: they come first and meet none.
+    listed = each.join(often, "w").groupBy("a", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("l"))
+    first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1 - (F.col("n") - F.size("l"))
+    prefix = cut(
+        listed.withColumns({"probe": first(similarity), "index": first(2 * similarity / (1 + similarity))})
+        .where("probe > 0")
+        .select("a", "c", "n", "index", F.posexplode(F.slice("l", F.lit(1), F.col("probe").cast("int"))).alias("p", "x"))
+        .select("a", "c", "n", (F.col("p") < F.col("index")).alias("short"), F.col("x.w").alias("w"))
+    )
+    # Components meet before documents do: a shingle of one component alone makes no pairs, however many documents have it.
+    ends = cut(prefix.groupBy("w", "c").agg(F.max("short").alias("short")))
+    meet = ends.where("short").select("w", F.col("c").alias("cb")).join(ends.select("w", F.col("c").alias("ca")), "w").where("ca <> cb")
+    shorter = prefix.where("short").select("w", F.col("c").alias("cb"), F.col("a").alias("b"), F.col("n").alias("nb"))
+    longer = prefix.select("w", F.col("c").alias("ca"), "a", F.col("n").alias("na"))
+    pairs = cut(meet).join(shorter, ["w", "cb"]).join(longer, ["w", "ca"]).where((F.col("nb") <= F.col("na")) & (F.col("nb") >= similarity * F.col("na") - 1e-9))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def alike_links(docs: DataFrame, distinct: DataFrame, bits: int, radius: int, most: int, k: int, similarity: float) -> DataFrame:
+    """``(rep, component_id)``: components of links between documents of one bucket of any table.
+
+    Links differ in at most ``most`` bits and hold by the shingles. First the
+    members of a bucket are held against its smallest. That settles large
+    groups of copies; members that are alike to each other but not to the
+    smallest are then found by the rare shingles that they share.
+    """
+    members, near = buckets(distinct, bits, radius)
+    members, near = cut(members), cut(near.select("t", F.array_sort("m").alias("m")).distinct())
+    found = cut(alike(cut(within(stars(members, near), distinct, most)), docs, k, similarity))
+    moved = top_of(found)
+    left = cut(unsettled(members, near, moved))
+    if left.isEmpty():
+        return moved
+    more = cut(alike(cut(within(sharing(docs, left, k, similarity), distinct, most)), docs, k, similarity))
+    return moved if more.isEmpty() else top_of(found.union(more))
+
+
 def near_groups(docs: DataFrame, k: int = 3, bits: int = 64, tables: int = 1, radius: int = 2, most: int | None = None, similarity: float | None = None) -> DataFrame:
     """``(doc_id, f, component_id)`` for every row of ``docs(doc_id, text)``.
 
@@ -171,12 +252,7 @@ def near_groups(docs: DataFrame, k: int = 3, bits: int = 64, tables: int = 1, ra
     """
     fps = cut(fingerprints(docs, k, bits, tables, sets=similarity is not None))
     distinct = cut(distinct_fingerprints(fps))
-    found = links(distinct, bits, radius, most)
-    if similarity is not None:
-        found = alike(cut(found), docs, k, similarity)
-    groups = connected_components(found)
-    top = groups.groupBy("root").agg(F.min("node").alias("component_id"))
-    moved = groups.join(top, "root").select(F.col("node").alias("rep"), "component_id")
+    moved = top_of(links(distinct, bits, radius, most)) if similarity is None else alike_links(docs, distinct, bits, radius, radius if most is None else most, k, similarity)
     key = [c for c in ("f", "s") if c in distinct.columns]
     by_f = cut(distinct.join(moved, "rep", "left").select(*key, F.coalesce("component_id", "rep").alias("component_id")))
     return fps.join(by_f, key).select("doc_id", "f", "component_id")

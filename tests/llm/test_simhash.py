@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,6 +97,25 @@ def test_a_repeated_line_does_not_make_copies(spark):
     assert kept_of(spark, [*texts, texts[3]]) == set(range(20))
 
 
+@pytest.mark.parametrize("head", [280, 7])
+def test_copies_among_documents_with_one_boilerplate(spark, head):
+    """Boilerplate once, and a line so often that it decides all bits: every document is in one bucket."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    boilerplate = (" ".join(word() for _ in range(head)) + " ") * (200 if head == 7 else 1)
+    texts = []
+    for _ in range(30):
+        own = [word() for _ in range(60)]
+        changed = [*own[:30], "changed", *own[31:]]
+        texts += [f"{boilerplate}{' '.join(own)}", f"{boilerplate}{' '.join(changed)}"]
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    ids = range(len(texts))
+    edges = [(a, b) for a in ids for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = roots(ids, edges)
+    assert len(set(want.values())) == 30
+    assert kept_of(spark, texts) == set(want.values())
+
+
 def test_empty_table(spark):
     assert simhash.near_groups(fixtures.empty(spark)).count() == 0
     assert simhash.near_dedup(fixtures.empty(spark)).count() == 0
