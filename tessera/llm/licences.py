@@ -56,8 +56,8 @@ TEMPLATES = {
 }
 #: Prefix of templates that are another wording of the label after it.
 NOTICE = "notice-"
-#: Rarest words that are looked up, the largest share of documents that may have one, and words that must agree.
-RAREST, COMMON, AGREE = 6, 0.2, 2
+#: Rarest words that are looked up, and words that must agree.
+RAREST, AGREE = 6, 2
 #: Share of a template's words that must stand in their places.
 COVERAGE = 0.6
 
@@ -93,7 +93,7 @@ class Index:
 
     def weigh(self, documents: dict[bytes, int], n: int) -> None:
         """Sets the words' weights from the number of documents that have them, of n in all."""
-        self.idf = {w: math.log((n + 1) / (documents.get(w, 0) + 1)) for w in self.vocabulary if documents.get(w, 0) <= COMMON * n}
+        self.idf = {w: math.log((n + 1) / (documents.get(w, 0) + 1)) for w in self.vocabulary}
 
     def search(self, text: list[bytes], joined: bytes) -> dict[str, float]:
         """Labels that are verified, with the share of the template's words in place."""

@@ -58,5 +58,13 @@ def test_search_equals_trying_every_place():
             assert found[name] >= best or any(o != label and o.removeprefix(licences.NOTICE) == name for o in index.templates)
 
 
+def test_a_notice_that_half_of_the_documents_carry(spark):
+    labels = [x for x in licences.TEMPLATES if not x.startswith(licences.NOTICE)]
+    for label in labels:
+        rows = [(i, "own text " + (licences.TEMPLATES[label][1] if i % 2 else "of something else"), "en") for i in range(8)]
+        got = {r.doc_id: r.labels for r in licences.scan(fixtures.documents(spark, rows, odd=False)).collect()}
+        assert got == {i: label if i % 2 else "" for i in range(8)}
+
+
 def test_empty_table(spark):
     assert licences.scan(fixtures.empty(spark)).count() == 0
