@@ -2,10 +2,10 @@
 
 The index holds where each word stands in the licence templates. How rare a
 word is comes from the number of documents that have it, over the whole
-corpus. A document's rarest licence words are looked up; each of their places
-and each posting propose a template and where it would start; what several
-words propose is a candidate, which is verified by the template's mandatory
-key phrase and by how many of its words stand where they should.
+corpus. Of each template whose mandatory key phrase a document has, the rarest
+words are looked up, so many that no place at which the template stands can
+miss all of them; each of their places proposes where it would start, which is
+verified by the key phrase and by how many words stand where they should.
 """
 
 from __future__ import annotations
@@ -56,8 +56,6 @@ TEMPLATES = {
 }
 #: Prefix of templates that are another wording of the label after it.
 NOTICE = "notice-"
-#: Rarest words that are looked up, and words that must agree.
-RAREST, AGREE = 6, 2
 #: Share of a template's words that must stand in their places.
 COVERAGE = 0.6
 
@@ -90,27 +88,35 @@ class Index:
                 self.postings.setdefault(word, []).append((label, place))
         self.vocabulary = set(self.postings)
         self.idf: dict[bytes, float] = {}
+        self.rarest: dict[str, dict[bytes, list[int]]] = {}
 
     def weigh(self, documents: dict[bytes, int], n: int) -> None:
-        """Sets the words' weights from the number of documents that have them, of n in all."""
+        """Sets the words' weights from the number of documents that have them, of n in all.
+
+        A template's rarest words are those that stand in one more of its
+        places than may differ: one of them is in place wherever it stands.
+        """
         self.idf = {w: math.log((n + 1) / (documents.get(w, 0) + 1)) for w in self.vocabulary}
+        for label, (_, text) in self.templates.items():
+            self.rarest[label] = own = {}
+            for w in sorted(set(text), key=lambda w: (-self.idf[w], w)):
+                if (len(text) - sum(map(len, own.values()))) / len(text) < COVERAGE:
+                    break
+                own[w] = [place for other, place in self.postings[w] if other == label]
 
     def search(self, text: list[bytes], joined: bytes) -> dict[str, float]:
         """Labels that are verified, with the share of the template's words in place."""
-        present = self.idf.keys() & self.vocabulary.intersection(text)
-        rare = sorted(present, key=lambda w: (-self.idf[w], w))[:RAREST]
+        rare = {label: self.rarest[label] for label, (key, _) in self.templates.items() if key in joined}
         if not rare:
             return {}
-        wanted: dict[bytes, list[int]] = {w: [] for w in rare}
+        wanted: dict[bytes, list[int]] = {w: [] for own in rare.values() for w in own}
         for i, w in enumerate(text):
             if w in wanted:
                 wanted[w].append(i)
-        votes = Counter((label, i - place) for w in rare for i in wanted[w] for label, place in self.postings[w])
+        starts = {(label, i - place) for label, own in rare.items() for w, at in own.items() for i in wanted[w] for place in at}
         out: dict[str, float] = {}
-        for (label, start), n in votes.items():
+        for label, start in starts:
             key, template = self.templates[label]
-            if n < min(AGREE, len(rare)):
-                continue
             share = sum(1 for k, w in enumerate(template) if 0 <= start + k < len(text) and text[start + k] == w) / len(template)
             name = label.removeprefix(NOTICE)
             if share >= COVERAGE and share > out.get(name, 0) and key in b" ".join(text[max(0, start) : start + len(template)]):

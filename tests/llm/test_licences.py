@@ -66,5 +66,14 @@ def test_a_notice_that_half_of_the_documents_carry(spark):
         assert got == {i: label if i % 2 else "" for i in range(8)}
 
 
+def test_a_text_with_all_notices():
+    index = licences.Index()
+    index.weigh({}, 10)
+    crowd = ["mozilla creative redistribution attribution gnu apache commons"]
+    doc = " and ".join([*crowd, *(text for _, text in licences.TEMPLATES.values()), *crowd]).encode().split()
+    found = index.search(doc, b" " + b" ".join(doc) + b" ")
+    assert found == {label.removeprefix(licences.NOTICE): 1.0 for label in licences.TEMPLATES}
+
+
 def test_empty_table(spark):
     assert licences.scan(fixtures.empty(spark)).count() == 0
