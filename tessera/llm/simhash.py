@@ -5,12 +5,16 @@ in at most ``radius`` bits have a value within half the radius of both, so
 each emits all variants within half the radius and equal variants meet in a
 shuffle. All values that share a variant lie within the radius of each other:
 a bucket has at most as many different values as a ball has members, and
-linking its members to the smallest of them loses no connection.
+linking its members to the smallest of them loses no connection. That takes
+an even radius: with an odd one a bucket's members could lie one bit further
+apart, so it is refused.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,11 +22,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, forget, id_and_text, session, table, with_number
+from tessera.llm.common import cut, forget, free, session, table, with_number
 from tessera.llm.components import connected_components
 from tessera.llm.sketch import hashes, let, words
 
-#: Seed of the shingle hash; a further 64 bits take the next seed.
+#: Seed of the shingle hash.
 SEED = 42
 #: Shingles hashed at once, so that a very long text needs bounded memory.
 CHUNK = 1 << 15
@@ -47,6 +51,16 @@ def shingles(text: str | None, k: int) -> Iterator[bytes]:
         yield joined[at[i] : at[i + k] - 1]
 
 
+def further(h: np.ndarray, j: int) -> np.ndarray:
+    """The j-th further 64 bits of each hash: the hash itself for j = 0, else it is mixed anew (splitmix64)."""
+    if j == 0:
+        return h
+    z = h + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
+
+
 def fingerprint(text: str | None, k: int = 3, words64: int = 1, kinds: list[np.ndarray] | None = None) -> np.ndarray:
     """``words64`` unsigned 64-bit values; a bit is 1 if over half the hashes set it.
 
@@ -57,22 +71,23 @@ def fingerprint(text: str | None, k: int = 3, words64: int = 1, kinds: list[np.n
     source = shingles(text, k)
     while part := [s for _, s in zip(range(CHUNK), source)]:
         n += len(part)
+        h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), np.uint64, len(part))
+        if kinds is not None:
+            kinds.append(np.unique(h))
         for j in range(words64):
-            h = np.fromiter((xxhash.xxh64_intdigest(s, SEED + j) for s in part), np.uint64, len(part))
-            if kinds is not None and j == 0:
-                kinds.append(np.unique(h))
-            ones[j] += np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+            ones[j] += np.unpackbits(further(h, j).astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
     bits = (2 * ones > n).astype(np.uint8)
     return np.packbits(bits, axis=1).view(">u8").astype(np.uint64).ravel()
 
 
 def fingerprints(docs: DataFrame, k: int = 3, bits: int = 64, tables: int = 1, sets: bool = False) -> DataFrame:
-    """``(doc_id, f)``: f is an array of ``tables`` values of ``bits`` bits (64, 32 or 16).
+    """``(doc_id, t, f)``: f is an array of ``tables`` values of ``bits`` bits (64, or 56 at most), t a hash of the text.
 
     With ``sets`` also s: a hash of the set of different shingles.
     """
     session(docs)
     words64 = -(-bits * tables // 64)
+    weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
 
     def run(batches):
         forget()
@@ -83,16 +98,18 @@ def fingerprints(docs: DataFrame, k: int = 3, bits: int = 64, tables: int = 1, s
                 values.append(split(fingerprint(t, k, words64, parts)))
                 if parts is not None:
                     kinds.append(xxhash.xxh64_intdigest(np.unique(np.concatenate(parts)).tobytes() if parts else b"") - (1 << 63))
-            out = pd.DataFrame({"doc_id": pdf["doc_id"], "f": values})
+            out = pd.DataFrame({"doc_id": pdf["doc_id"], "t": pdf["t"], "f": values})
             yield out.assign(s=kinds) if sets else out
 
     def split(f: np.ndarray) -> list[int]:
         if bits == 64:
             return f[:tables].view(np.int64).tolist()
-        kind = {32: ">u4", 16: ">u2"}[bits]
-        return f.astype(">u8").view(kind)[:tables].astype(np.int64).tolist()
+        every = np.unpackbits(f.astype(">u8").view(np.uint8))[: bits * tables]
+        return (every.reshape(tables, bits) @ weights).tolist()
 
-    return with_number(id_and_text(docs).mapInPandas(run, "doc_id string, f array<long>" + (", s long" if sets else "")))
+    text = F.col("text").cast("string")
+    named = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
+    return with_number(named.mapInPandas(run, "doc_id string, t long, f array<long>" + (", s long" if sets else "")))
 
 
 def ball(x: Column, bits: int, half: int) -> Column:
@@ -105,14 +122,27 @@ def ball(x: Column, bits: int, half: int) -> Column:
 
 
 def distinct_fingerprints(fps: DataFrame) -> DataFrame:
-    """``(f, rep)``: each fingerprint (and set of shingles) with its smallest doc_id, which stands for it."""
-    return fps.groupBy(*[c for c in ("f", "s") if c in fps.columns]).agg(F.min("doc_id").alias("rep"))
+    """``(node, f, rep)``: each fingerprint (and set of shingles s) with its smallest doc_id and, with s, the hash t of that one's text.
+
+    Nodes are numbers in the order of rep, then of s and f, so that rows that
+    repeat a doc_id with different texts are nodes of their own; what has no
+    doc_id has none.
+    """
+    if "s" in fps.columns:
+        one = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t"))
+        named, order = fps.groupBy("f", "s").agg(F.min(one).alias("least")).select("f", "s", F.col("least.doc_id").alias("rep"), "least.t"), ["rep", "s", "f"]
+    else:
+        named, order = fps.groupBy("f").agg(F.min("doc_id").alias("rep")), ["rep", "f"]
+    placed = named.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id())
+    return placed.withColumn("node", F.when(F.col("rep").isNotNull(), F.col("node")))
 
 
 def buckets(distinct: DataFrame, bits: int = 64, radius: int = 2) -> tuple[DataFrame, DataFrame]:
-    """``(t, hub, rep)``: of table t the documents with one value, and the smallest of them; ``(t, m)``: the hubs whose values share a variant."""
-    single = distinct.where("rep IS NOT NULL").select("rep", F.posexplode("f").alias("t", "x"))
-    hubs = single.groupBy("t", "x").agg(F.min("rep").alias("hub"))
+    """``(t, hub, node)``: of table t the nodes with one value, and the smallest of them; ``(t, m)``: the hubs whose values share a variant."""
+    if radius % 2:
+        raise ValueError("the radius must be even: see the module's text")
+    single = distinct.where("node IS NOT NULL").select("node", F.posexplode("f").alias("t", "x"))
+    hubs = single.groupBy("t", "x").agg(F.min("node").alias("hub"))
     # A table's number goes into the bits above its values where there is room. Variants are dealt out as plain
     # rows: nearly all differ, and lists made before the shuffle would only be larger.
     spread = hubs.select("t", "hub", F.explode(ball(F.col("x"), bits, radius // 2)).alias("v"))
@@ -122,74 +152,84 @@ def buckets(distinct: DataFrame, bits: int = 64, radius: int = 2) -> tuple[DataF
     near = spread.repartition(*keys).groupBy(*keys).agg(F.collect_list("hub").alias("m")).where(F.size("m") > 1)
     if bits < 64:
         near = near.withColumn("t", F.shiftright("v", bits).cast("int"))
-    return single.join(hubs, ["t", "x"]).select("t", "hub", "rep"), near.select("t", "m")
+    return single.join(hubs, ["t", "x"]).select("t", "hub", "node"), near.select("t", "m")
 
 
 def within(pairs: DataFrame, distinct: DataFrame, most: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose fingerprints differ in at most ``most`` bits."""
+    """The pairs ``(a, b)`` of nodes whose fingerprints differ in at most ``most`` bits."""
     differ = F.aggregate(F.zip_with("fa", "fb", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda s, d: s + d)
-    first, second = (distinct.where("rep IS NOT NULL").select(F.col("rep").alias(n), F.col("f").alias(f"f{n}")) for n in ("a", "b"))
+    first, second = (distinct.where("node IS NOT NULL").select(F.col("node").alias(n), F.col("f").alias(f"f{n}")) for n in ("a", "b"))
     return pairs.join(first, "a").join(second, "b").where(differ <= most).select("a", "b")
 
 
 def stars(members: DataFrame, near: DataFrame, one_table: bool = False) -> DataFrame:
-    """The pairs ``(a, b)`` of each bucket's smallest document and its other ones."""
+    """The pairs ``(a, b)`` of each bucket's smallest node and its other ones."""
     found = near.select(F.array_min("m").alias("a"), F.explode("m").alias("b"))
-    return (found if one_table else found.union(members.select(F.col("hub").alias("a"), F.col("rep").alias("b")))).where("a <> b").distinct()
+    return (found if one_table else found.union(members.select(F.col("hub").alias("a"), F.col("node").alias("b")))).where("a <> b").distinct()
 
 
 def links(distinct: DataFrame, bits: int = 64, radius: int = 2, most: int | None = None) -> DataFrame:
-    """Verified links ``(a, b)`` between the documents that stand for different fingerprints.
+    """Verified links ``(a, b)`` between the nodes of different fingerprints.
 
     ``most``: over all tables the fingerprints may differ in so many bits
     (default: the radius). With one table the links connect all that lie
     within the radius of each other; with more, members of a bucket are held
-    against the bucket's member with the smallest doc_id. Fingerprints of
-    which no row has a doc_id are not linked.
+    against the bucket's smallest member. Fingerprints of which no row has a
+    doc_id are not linked.
     """
     most = radius if most is None else most
     return within(stars(*buckets(distinct, bits, radius), most <= radius), distinct, most)
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``(a, s)``: the different hashes of the k-word shingles of the documents in ``ids(a)``. Of rows that repeat a doc_id one is taken."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("a"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")).join(ids, "a", "left_semi")
-    return cut(rows.select("a", F.array_distinct(let(words(F.col("text")), lambda w: hashes(w, k))).alias("s")).dropDuplicates(["a"]))
+def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """``(a, s)``: the different hashes of the k-word shingles of the texts that stand for ``nodes(a, doc_id, t)``.
+
+    Rows that repeat a doc_id and its text are one.
+    """
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+    found = rows.join(nodes, ["doc_id", "t"])
+    return cut(found.select("a", F.array_distinct(let(words(F.col("text")), lambda w: hashes(w, k))).alias("s")).dropDuplicates(["a"]))
 
 
-def alike(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
+def of_nodes(ids: DataFrame, distinct: DataFrame) -> DataFrame:
+    """``(a, doc_id, t)``: which document and text stands for each node of ``ids(a)``."""
+    return distinct.where("node IS NOT NULL").select(F.col("node").alias("a"), F.col("rep").alias("doc_id"), "t").join(ids.select("a"), "a", "left_semi")
+
+
+def alike(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, k: int, similarity: float) -> DataFrame:
     """The links ``(a, b)`` whose documents share at least ``similarity`` of their different k-word shingles.
 
     Only documents of some link are read as shingles; each link holds the two
     arrays of hashes once.
     """
-    sets = shingle_sets(docs, pairs.select("a").union(pairs.select("b")).distinct(), k)
+    sets = shingle_sets(docs, of_nodes(pairs.select("a").union(pairs.select("b")), distinct), k)
     both = pairs.join(sets.withColumnRenamed("s", "sa"), "a").join(sets.select(F.col("a").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
 def top_of(found: DataFrame) -> DataFrame:
-    """``(rep, component_id)`` of all ends of links: the smallest that can be reached."""
+    """``(node, top)`` of all ends of links: the smallest node that can be reached."""
     groups = connected_components(found)
-    top = groups.groupBy("root").agg(F.min("node").alias("component_id"))
-    return groups.join(top, "root").select(F.col("node").alias("rep"), "component_id")
+    top = groups.groupBy("root").agg(F.min("node").alias("top"))
+    return groups.join(top, "root").select("node", "top")
 
 
 def unsettled(members: DataFrame, near: DataFrame, moved: DataFrame) -> DataFrame:
-    """``(a, c)``: the documents, with their components, of buckets that hold three or more of more than one component.
+    """``(a, c)``: the nodes, with their components, of buckets that hold three or more of more than one component.
 
     Of three some were not held against each other.
     """
-    known = cut(members.join(moved, "rep", "left").select("t", "hub", "rep", F.coalesce("component_id", "rep").alias("c")))
+    known = cut(members.join(moved, "node", "left").select("t", "hub", "node", F.coalesce("top", "node").alias("c")))
     value = cut(known.groupBy("t", "hub").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")))
     key = near.select("t", "m", F.explode("m").alias("hub")).join(value, ["t", "hub"])
     mixed = key.groupBy("t", "m").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 2 AND low <> high")
     at = mixed.select("t", F.explode("m").alias("hub")).union(value.where("n > 2 AND low <> high").select("t", "hub")).distinct()
-    return known.join(at, ["t", "hub"], "left_semi").select(F.col("rep").alias("a"), "c").distinct()
+    return known.join(at, ["t", "hub"], "left_semi").select(F.col("node").alias("a"), "c").distinct()
 
 
-def sharing(docs: DataFrame, ids: DataFrame, k: int, similarity: float) -> DataFrame:
+def sharing(docs: DataFrame, ids: DataFrame, distinct: DataFrame, k: int, similarity: float) -> DataFrame:
     """Pairs ``(a, b)`` of ``ids(a, c)`` with different c: all that can be as alike, and few others.
 
     Shingles are ordered by how few documents have them. Of two sets that
@@ -198,7 +238,7 @@ def sharing(docs: DataFrame, ids: DataFrame, k: int, similarity: float) -> DataF
     ``n - ceil(s n) + 1`` of the longer's. What a large group has in common
     stands last and makes no pairs.
     """
-    sets = shingle_sets(docs, ids.select("a"), k).join(ids, "a")
+    sets = shingle_sets(docs, of_nodes(ids, distinct), k).join(ids, "a")
     each = sets.select("a", "c", F.size("s").alias("n"), F.explode("s").alias("w"))
     often = cut(each.groupBy("w").agg(F.count("*").alias("df")).where("df > 1"))
     # Of the shingles that only one document has the number is enough: they come first and meet none.
@@ -220,7 +260,7 @@ def sharing(docs: DataFrame, ids: DataFrame, k: int, similarity: float) -> DataF
 
 
 def alike_links(docs: DataFrame, distinct: DataFrame, bits: int, radius: int, most: int, k: int, similarity: float) -> DataFrame:
-    """``(rep, component_id)``: components of links between documents of one bucket of any table.
+    """``(node, top)``: components of links between nodes of one bucket of any table.
 
     Links differ in at most ``most`` bits and hold by the shingles. First the
     members of a bucket are held against its smallest. That settles large
@@ -229,50 +269,85 @@ def alike_links(docs: DataFrame, distinct: DataFrame, bits: int, radius: int, mo
     """
     members, near = buckets(distinct, bits, radius)
     members, near = cut(members), cut(near.select("t", F.array_sort("m").alias("m")).distinct())
-    found = cut(alike(cut(within(stars(members, near), distinct, most)), docs, k, similarity))
+    found = cut(alike(cut(within(stars(members, near), distinct, most)), docs, distinct, k, similarity))
     moved = top_of(found)
     left = cut(unsettled(members, near, moved))
     if left.isEmpty():
         return moved
-    more = cut(alike(cut(within(sharing(docs, left, k, similarity), distinct, most)), docs, k, similarity))
+    more = cut(alike(cut(within(sharing(docs, left, distinct, k, similarity), distinct, most)), docs, distinct, k, similarity))
     return moved if more.isEmpty() else top_of(found.union(more))
 
 
-def near_groups(docs: DataFrame, k: int = 3, bits: int = 64, tables: int = 1, radius: int = 2, most: int | None = None, similarity: float | None = None) -> DataFrame:
-    """``(doc_id, f, component_id)`` for every row of ``docs(doc_id, text)``.
-
-    component_id is the smallest doc_id that can be reached over links, the
-    row's own included. Rows without words (null, empty, white space) have
-    fingerprint zero and are linked like any other. Repeated rows and ties are
-    kept, one result row each; rows with a null doc_id are kept, get the
-    component of equal fingerprints, else null, and don't count for it. Other
-    columns are ignored; an empty table gives an empty result. With
-    ``similarity`` links must also hold by the shingles: see :func:`alike`;
-    equal fingerprints of different sets of shingles are linked only so.
-    """
+def near_rows(docs: DataFrame, k: int = 3, bits: int = 64, tables: int = 1, radius: int = 2, most: int | None = None, similarity: float | None = None) -> DataFrame:
+    """``(doc_id, t, f, component_id)`` for every row of ``docs``, t being a hash of its text: see :func:`near_groups`."""
     fps = cut(fingerprints(docs, k, bits, tables, sets=similarity is not None))
     distinct = cut(distinct_fingerprints(fps))
     moved = top_of(links(distinct, bits, radius, most)) if similarity is None else alike_links(docs, distinct, bits, radius, radius if most is None else most, k, similarity)
     key = [c for c in ("f", "s") if c in distinct.columns]
-    by_f = cut(distinct.join(moved, "rep", "left").select(*key, F.coalesce("component_id", "rep").alias("component_id")))
-    return fps.join(by_f, key).select("doc_id", "f", "component_id")
+    # Nodes are in the order of their smallest doc_id, so the smallest node has the component's.
+    first = distinct.select(F.col("node").alias("top"), F.col("rep").alias("component_id"))
+    by_f = cut(distinct.join(moved, "node", "left").withColumn("top", F.coalesce("top", "node")).join(first, "top", "left").select(*key, "component_id"))
+    return fps.join(by_f, key).select("doc_id", "t", "f", "component_id")
+
+
+def near_groups(docs: DataFrame, **how) -> DataFrame:
+    """``(doc_id, f, component_id)`` for every row of ``docs(doc_id, text)``.
 
+    Parameters are those of :func:`near_rows`. component_id is the smallest
+    doc_id that can be reached over links, the row's own included. Rows
+    without words (null, empty, white space) have fingerprint zero and are
+    linked like any other. Repeated rows and ties are kept, one result row
+    each. Rows that repeat a doc_id with another text are documents of their
+    own, linked by their own texts. Rows with a null doc_id are kept, get the
+    component of equal fingerprints, else null, and don't count for it. Other
+    columns are ignored; an empty table gives an empty result. Very long texts
+    are hashed in chunks. With ``similarity`` links must also hold by the
+    shingles: see :func:`alike`; equal fingerprints of different sets of
+    shingles are linked only so.
+    """
+    return near_rows(docs, **how).select("doc_id", "f", "component_id")
 
-#: The near-dedup stage of a pipeline: five-word shingles and similarity 0.8. Of 320 bits texts that are so alike
-#: differ in 45 or so, and random ones in 160; what is left of those in between is told apart by the shingles.
-NEAR = {"k": 5, "bits": 32, "tables": 10, "radius": 2, "most": 72, "similarity": 0.8}
+
+#: The near-dedup stage of a pipeline: five-word shingles and similarity 0.8, of which a bucket of some table catches
+#: RECALL at least; tables have LEAST bits, more where random values would meet too often.
+NEAR = {"k": 5, "radius": 2, "similarity": 0.8}
+RECALL, LEAST, ROOM = 0.9, 28, 6
+
+
+@lru_cache
+def widths(n: int, similarity: float, radius: int) -> dict[str, int]:
+    """Bits of a table, number of tables and most different bits for n documents.
+
+    Texts of equal length that share ``similarity`` of their shingles have an
+    angle whose share of a half turn is the chance that a bit differs. Two
+    values of b bits are within the radius with the binomial's probability; so
+    many tables are taken that one of them has the pair with RECALL. Bits grow
+    with the logarithm of n, so that a value meets few strangers at any size.
+    """
+    bits = min(56, max(LEAST, math.ceil(math.log2(max(n, 1))) + ROOM))
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    meet = sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(radius + 1))
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - meet)) if meet < 1 else 1
+    total = bits * tables
+    return {"bits": bits, "tables": tables, "most": max(radius, math.ceil(total * p + 4 * math.sqrt(total * p * (1 - p))))}
 
 
 def near_dedup(docs: DataFrame, **how) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id.
 
     Documents without any word and those with a null doc_id stay. Of several
-    rows with the kept doc_id all stay. Columns are those of ``docs``.
+    rows with the kept doc_id and text all stay; a row that repeats a doc_id
+    with another text goes or stays by its own text. Columns are those of
+    ``docs``.
     """
-    found = near_groups(docs, **(NEAR | how)).where("doc_id <> component_id")
-    wordless = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
-    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, (F.col("doc_id") == F.col("__gone")) & ~wordless, "left_anti").select(*docs.columns)
+    how = NEAR | how
+    how = widths(docs.count(), how["similarity"], how["radius"]) | how
+    one, two = free(docs, "gone", "hash")
+    found = near_rows(docs, **how).where("doc_id <> component_id")
+    text = F.col("text").cast("string")
+    wordless = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
+    gone = found.select(F.col("doc_id").alias(one), F.col("t").alias(two)).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col(one)) & (F.xxhash64(text) == F.col(two)) & ~wordless, "left_anti").select(*docs.columns)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import components, simhash
+from tessera.llm.common import cut
 from tests.llm import fixtures
 
 
@@ -63,7 +64,9 @@ def test_links_connect_all_within_the_radius(spark):
     values = [base, base ^ 1, base ^ 3, base ^ 7, base ^ (1 << 63), base ^ (3 << 62), base ^ 0xFF00, 0]
     signed = [v - (1 << 64) if v >= 1 << 63 else v for v in values]
     df = spark.createDataFrame([(i, [v]) for i, v in enumerate(signed)], "doc_id long, f array<long>")
-    edges = [(r.a, r.b) for r in simhash.links(simhash.distinct_fingerprints(df)).collect()]
+    distinct = cut(simhash.distinct_fingerprints(df))
+    ids_of = {r.node: r.rep for r in distinct.collect()}
+    edges = [(ids_of[r.a], ids_of[r.b]) for r in simhash.links(distinct).collect()]
     ids, far = range(len(values)), lambda a, b: (values[a] ^ values[b]).bit_count()
     assert all(far(a, b) <= 2 for a, b in edges)
     assert roots(ids, edges) == roots(ids, [(a, b) for a in ids for b in ids if far(a, b) <= 2])
@@ -116,6 +119,55 @@ def test_copies_among_documents_with_one_boilerplate(spark, head):
     assert kept_of(spark, texts) == set(want.values())
 
 
+def test_an_odd_radius_is_refused(spark):
+    with pytest.raises(ValueError, match="even"):
+        simhash.near_groups(fixtures.documents(spark), radius=3)
+
+
+def test_rows_that_repeat_an_id_go_or_stay_by_their_own_text(spark):
+    rng = random.Random(7)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(80)) for x in "abc")
+    rows = [(3, a, "en"), (5, a, "en"), (5, b, "en"), (5, b, "en"), (7, b, "en"), (9, c, "en"), (9, "", "en")]
+    df = fixtures.documents(spark, rows, odd=False)
+    found = sorted((r.doc_id, r.component_id) for r in simhash.near_groups(df, **simhash.NEAR, **WIDE).collect())
+    assert found == [(3, 3), (5, 3), (5, 5), (5, 5), (7, 5), (9, 9), (9, 9)]
+    kept = sorted((r.doc_id, r.text) for r in simhash.near_dedup(df).collect())
+    assert kept == sorted([(3, a), (5, b), (5, b), (9, c), (9, "")])
+
+
+WIDE = simhash.widths(10, 0.8, 2)
+
+
+def test_widths_follow_the_number_of_documents():
+    before = 0
+    for n in (0, 1, 10**4, 10**6, 10**8, 10**10):
+        w = simhash.widths(n, 0.8, 2)
+        assert w["bits"] >= max(before, simhash.LEAST) and n * (w["bits"] + 1) <= 2 ** w["bits"]
+        before = w["bits"]
+
+
+def test_recall_at_the_similarity(spark):
+    """Pairs of 0.8 and a little more are found with RECALL, those of 0.75 and less are not linked."""
+    rng = random.Random(11)
+    rows, true, false = [], [], []
+    for i in range(600):
+        words = [f"w{rng.randrange(10**7)}" for _ in range(200)]
+        other = list(words)
+        for at in rng.sample(range(4, 196), rng.choice([3, 4, 5, 8, 12])):
+            other[at] = f"x{rng.randrange(10**7)}"
+        a, b = (set(simhash.shingles(" ".join(x), 5)) for x in (words, other))
+        j = len(a & b) / len(a | b)
+        if 0.8 <= j < 0.87:
+            true.append((2 * i, 2 * i + 1))
+        elif j < 0.8:
+            false.append((2 * i, 2 * i + 1))
+        rows += [(2 * i, " ".join(words), "en"), (2 * i + 1, " ".join(other), "en")]
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(fixtures.documents(spark, rows, odd=False), **simhash.NEAR, **WIDE).collect()}
+    assert len(true) > 150 and len(false) > 100
+    assert sum(got[b] == a for a, b in true) >= simhash.RECALL * len(true)
+    assert all(got[b] == b for _, b in false)
+
+
 def test_empty_table(spark):
     assert simhash.near_groups(fixtures.empty(spark)).count() == 0
     assert simhash.near_dedup(fixtures.empty(spark)).count() == 0
