@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import buckets_for, cut, forget, session, table, total_bytes
+from tessera.llm.common import buckets_for, cut, forget, free, session, table, total_bytes
 
 #: Bytes of a repeated string; a name's k-gram has GRAM of them.
 LENGTH, GRAM = 50, 20
@@ -202,6 +202,15 @@ def spans(n: int, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, int
     return covered, int(np.count_nonzero(covered[1:] & ~covered[:-1])) + int(n > 0 and covered[0])
 
 
+def characters(data: bytes, covered: np.ndarray) -> bytes:
+    """What is left of UTF-8 text; a character that lost some of its bytes goes as a whole."""
+    raw = np.frombuffer(data, np.uint8)
+    whose = np.cumsum((raw & 0xC0) != 0x80) - 1
+    lost = np.zeros(int(whose[-1]) + 1, bool)
+    lost[whose[covered]] = True
+    return raw[~lost[whose]].tobytes()
+
+
 _ROW = "kind int, share int, grp int, doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, data binary"
 _COLUMNS = ["kind", "share", "grp", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "data"]
 # Kinds of rows.
@@ -314,7 +323,9 @@ def _group_runs(shares: int):
         forget()
         group, unzip = int(pdf["grp"].iloc[0]), zstandard.ZstdDecompressor()
         shared = np.unique(np.concatenate([np.zeros(0, np.uint64), *[unpack_names(x) for x in pdf["data"][pdf["kind"] == _NAMES]]]))
-        copies = set(map(int, pdf["doc_id"][pdf["kind"] == _COPY]))
+        known_copies = pdf.loc[pdf["kind"] == _COPY, ["doc_id", "kept_sha256"]]
+        copies = set(zip(map(int, known_copies["doc_id"]), known_copies["kept_sha256"], strict=True))
+        copied = {d for d, _ in copies}
         rows: list[tuple] = []
         held: dict[bytes, list[int]] = {}
         for doc, zipped in pdf.loc[pdf["kind"] == _TEXT, ["doc_id", "data"]].itertuples(index=False):
@@ -323,8 +334,8 @@ def _group_runs(shares: int):
                 rows.append(_done(None, data))
                 continue
             doc = int(doc)
-            if doc in copies and len(data) >= LENGTH:
-                rows.append((_DONE, None, None, doc, len(data), len(data), 1, hashlib.sha256(b"").hexdigest(), None))
+            if doc in copied and (doc, sha := hashlib.sha256(data).hexdigest()) in copies:
+                rows.append((_DONE, None, None, doc, len(data), len(data), 1, hashlib.sha256(b"").hexdigest(), bytes.fromhex(sha)))
                 continue
             name, first, count = runs(data)
             hit = _isin(name, shared)
@@ -453,7 +464,8 @@ def _remove(keep_text: bool):
                 continue
             covered, n_spans = spans(len(data), start[whose] + first[entry], count[entry].astype(np.int64))
             kept = np.frombuffer(data, np.uint8)[~covered].tobytes()
-            rows.append((_DONE, None, None, int(doc), len(data), int(covered.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+            text = hashlib.sha256(data).digest() + characters(data, covered) if keep_text else None
+            rows.append((_DONE, None, None, int(doc), len(data), int(covered.sum()), n_spans, hashlib.sha256(kept).hexdigest(), text))
         return _frame(rows)
 
     return run
@@ -462,12 +474,14 @@ def _remove(keep_text: bool):
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, data)`` for every row of ``docs(doc_id, text)``.
 
-    ``data``: the kept bytes, if ``keep_text`` and some were removed but not
-    all; else null. A null text is an empty one. Texts of fewer than LENGTH
-    bytes stay whole. Rows that repeat a doc_id are documents of their own:
-    none of them is older than the others. Rows with a null doc_id stay whole
-    and make nothing old. Other columns are ignored; an empty table gives an
-    empty result.
+    ``data``, only where bytes were removed: the input's SHA-256 if it went as
+    a copy of another; with ``keep_text`` also for others, followed by the text
+    that is left, without characters that lost some of their bytes. A null text
+    is an empty one. Texts of fewer than LENGTH bytes stay whole; very long
+    ones are named in chunks. Rows that repeat a doc_id are documents of their
+    own, whatever their texts: none of them is older than the others. Rows with
+    a null doc_id stay whole and make nothing old. Other columns are ignored;
+    an empty table gives an empty result.
     """
     session(docs)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -480,7 +494,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     hashed = counted.select("doc_id", "grp", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
     least = hashed.groupBy("sha").agg(F.min("doc_id").alias("least"))
     copies = hashed.join(least, "sha").where("doc_id > least").select(
-        F.lit(_COPY).alias("kind"), F.lit(None).cast("int").alias("share"), "grp", F.col("doc_id").cast("string").alias("doc_id"), *[F.lit(None).cast(t).alias(c) for c, t in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("data", "binary"))]
+        F.lit(_COPY).alias("kind"), F.lit(None).cast("int").alias("share"), "grp", F.col("doc_id").cast("string").alias("doc_id"), *[F.lit(None).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.lower(F.hex("sha")).alias("kept_sha256"), F.lit(None).cast("binary").alias("data")
     )
     texts = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_compress, _ROW)
     first = cut(texts.unionByName(shared).unionByName(copies).groupBy("grp").applyInPandas(_group_runs(shares), _ROW))
@@ -494,16 +508,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A character that lost some of its bytes goes as a whole. No row goes;
     what is a copy as a whole has an empty text. Columns are those of
-    ``docs``; of rows that repeat a doc_id all with the same text are cut alike.
+    ``docs``. Rows that repeat a doc_id are told apart by their texts, those
+    with the same text are cut alike. An empty table gives an empty result.
     """
-    found = cut(remove_repeats(docs, keep_text=True).where("n_removed > 0"))
-    changed = found.groupBy(F.col("doc_id").alias("__id"), F.col("n_bytes").alias("__n")).agg(F.first(F.coalesce("data", F.lit(b""))).alias("__data"))
-    text = F.when(F.col("__id").isNull(), F.col("text")).otherwise(F.try_validate_utf8(F.col("__data").cast("string")))
-    whole = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = docs.join(changed, (F.col("doc_id") == F.col("__id")) & (whole == F.col("__n")), "left")
-    clean = F.when(F.col("__id").isNull(), F.col("text")).otherwise(F.coalesce(text, F.regexp_replace(F.make_valid_utf8(F.col("__data").cast("string")), "�", "")))
-    out = out.withColumn("__text", clean)
-    picked = [F.col("__text").alias("text") if c == "text" else F.when(F.col("__id").isNull(), F.col(c)).otherwise(F.char_length("__text")).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    id_, sha, left, text = free(docs, "id", "sha", "left", "new")
+    found = cut(remove_repeats(docs, keep_text=True).where("n_removed > 0").select("doc_id", "data"))
+    changed = found.select(F.col("doc_id").alias(id_), F.lower(F.hex(F.substring("data", 1, 32))).alias(sha), F.expr("substring(data, 33)").cast("string").alias(left)).dropDuplicates([id_, sha])
+    own = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    out = docs.join(changed, (F.col("doc_id") == F.col(id_)) & (own == F.col(sha)), "left")
+    out = out.withColumn(text, F.when(F.col(id_).isNull(), F.col("text")).otherwise(F.col(left)))
+    picked = [F.col(text).alias("text") if c == "text" else F.when(F.col(id_).isNull(), F.col(c)).otherwise(F.char_length(text)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*picked)
 
 

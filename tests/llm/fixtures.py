@@ -32,15 +32,28 @@ def texts(seed: int = 3, n: int = 40) -> list[tuple]:
     return rows
 
 
-def documents(spark: SparkSession, rows: list[tuple] | None = None, odd: bool = True) -> DataFrame:
-    """The table documents; with ``odd`` also a row without an id, a repeated row and columns with clashing names."""
+def documents(spark: SparkSession, rows: list[tuple] | None = None, odd: bool = True, again: bool = False) -> DataFrame:
+    """The table documents; with ``odd`` also a row without an id, a repeated row and columns with clashing names.
+
+    With ``again`` some ids come a second time with another text, one of equal length too, and one with the text of
+    a smaller id.
+    """
     rows = texts() if rows is None else rows
     full = [(d, t, lang, "src", None if t is None else len(t)) for d, t, lang in rows]
     if odd:
         full += [(None, "a row without an id " * 5, None, None, None), full[3]]
+    if again:
+        full += [(d, t, lang, "again", len(t)) for d, t, lang in repeated(rows)]
     df = spark.createDataFrame(full, SCHEMA)
     return df.selectExpr("*", "1 AS f", "'x' AS component_id", "2 AS grp", "3 AS sketch", "4 AS item", "5 AS node") if odd else df
 
 
+def repeated(rows: list[tuple]) -> list[tuple]:
+    """Rows whose ids ``rows`` has, with other texts."""
+    long = [r for r in rows if r[1] and len(r[1]) > 300]
+    (a, ta, _), (b, tb, _), (c, tc, _) = long[0], long[1], long[2]
+    return [(b, ta, "en"), (b, tb[::-1], "en"), (c, "kept \ufffd here, and more than fifty bytes of other words \ufffd", "en"), (a, "zzzz", "en"), (a, "", "en")]
+
+
 def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)
