@@ -68,14 +68,14 @@ def resemblance(a: Column, b: Column, k: int = K) -> Column:
 
 def distinct_count(a: Column, k: int = K) -> Column:
     """Estimate of the number of different shingles: exact below k."""
-    largest = F.element_at(a, -1).cast("double") / float(1 << 64) + 0.5
+    largest = F.try_element_at(a, F.lit(-1)).cast("double") / float(1 << 64) + 0.5
     return F.when(F.size(a) < k, F.size(a).cast("double")).otherwise((k - 1) / largest)
 
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
     """Estimate of the share of a's shingles that b has; 1 for an empty a."""
     both = resemblance(a, b, k) * distinct_count(merge(a, b, k), k)
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.least(F.lit(1.0), both / distinct_count(a, k)))
+    return F.when(F.size(a) == 0, 1.0).otherwise(F.least(F.lit(1.0), F.try_divide(both, distinct_count(a, k))))
 
 
 def merge_groups(sketches: DataFrame, key: str, column: str = "sketch", k: int = K) -> DataFrame:
@@ -121,6 +121,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     Next is the document with the next larger doc_id; after the largest comes
     the smallest. Rows that repeat a doc_id all get the next different one;
     of its rows the one with the smallest text. A null doc_id has no next.
+    Rows of one doc_id stand in one window, which is read once and spills.
     Texts are shuffled once, in groups of neighbouring ids; only the last of
     each group looks at another group.
     """
@@ -135,8 +136,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     # All three uses of the groups have the same filters and columns below the shuffle, so that it runs once.
     near = rows.where("doc_id IS NOT NULL").withColumn("g", F.shiftright("doc_id", NEAR)).where("g IS NOT NULL")
     group = Window.partitionBy("g")
-    later = group.orderBy("doc_id").rangeBetween(1, Window.unboundedFollowing)
-    found = near.withColumn("head", F.min("doc_id").over(group)).withColumns({"next_text": F.first("text").over(later), "next_sketch": F.first("sketch").over(later)})
+    # From the largest to the smallest: what stands before a row and is the smallest of its id comes next.
+    back = group.orderBy(F.col("doc_id").desc(), F.col("text").desc())
+    least = near.withColumns({"head": F.min("doc_id").over(group), "least": F.coalesce(F.lead("doc_id").over(back) != F.col("doc_id"), F.lit(True))})
+    later = lambda c: F.last(F.when(F.col("least"), F.col(c)), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    found = least.withColumns({"next_text": later("text"), "next_sketch": later("sketch")})
     within = found.where("next_text IS NOT NULL").select("doc_id", "text", "sketch", "next_text", "next_sketch")
     groups = rows.where("doc_id IS NOT NULL").select(F.shiftright("doc_id", NEAR).alias("id")).distinct()
     a, b = span["a"] >> NEAR, span["b"] >> NEAR
@@ -167,6 +171,8 @@ def compare_edited(docs: DataFrame) -> DataFrame:
         resemblance(F.col("sketch"), F.col("edited.sketch")).alias("near_edited"),
         F.when(F.col("next_sketch").isNotNull(), resemblance(F.col("sketch"), F.col("next_sketch"))).alias("near_next"),
         distinct_count(F.col("sketch")).alias("n_shingles"),
+        let(merge(F.col("sketch"), F.col("edited.sketch")), lambda m: distinct_count(m)).alias("n_both"),
+        containment(F.col("sketch"), F.col("edited.sketch")).alias("kept"),
     )
 
 

@@ -48,6 +48,23 @@ def test_against_brute_force(spark):
     check(spark, fixtures.texts())
 
 
+def test_next_of_repeated_ids_is_the_smallest_text(spark):
+    rows = [(1, "first of all", "en"), (1, "again", "en"), (2, "zzzz", "en"), (2, "bbbb", "en"), (2, "cccc", "en"), (2, "a", "en"), (3, "x y", "en"), (900, "q r", "en"), (900, "p", "en")]
+    df = fixtures.documents(spark, rows, odd=False).repartition(5)
+    after = {1: "a", 2: "x y", 3: "p", 900: "again"}
+    got = sorted((r.doc_id, r.text, r.next_text) for r in sketch.with_next(df).collect())
+    assert got == sorted((d, t, after[d]) for d, t, _ in rows)
+
+
+def test_estimates_of_the_query_are_exact_for_short_texts(spark):
+    rows = [r for r in fixtures.texts() if r[1] is None or len(r[1].split()) < 30]
+    want = edited({d: t for d, t, _ in rows})
+    for r in sketch.compare_edited(fixtures.documents(spark, rows, odd=False)).collect():
+        a, b = shingles({d: t for d, t, _ in rows}[r.doc_id]), shingles(want[r.doc_id][1])
+        assert (r.n_shingles, r.n_both) == (len(a), len(a | b))
+        assert abs(r.kept - (len(a & b) / len(a) if a else 1.0)) < 1e-9
+
+
 def test_scattered_ids(spark):
     rows = [(d, t, lang) for d, (_, t, lang) in zip([-(10**15), -5, 0, 1, 63, 64, 4096, 10**6, 10**6 + 1, 10**12, 2**62], fixtures.texts(), strict=False)]
     check(spark, rows, odd=False)
