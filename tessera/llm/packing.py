@@ -1,10 +1,12 @@
 """Best-fit packing of tokenised documents by hierarchical residual packing.
 
 Each partition packs its pieces best-fit, longest first, and emits the bins
-that are nearly full. The other bins are items of the next round, in fewer
-partitions, until one is left or a round joins nothing more. A task holds
-ITEMS lengths on average at any size of the input: rounds shrink with what is
-left.
+that are nearly full. Underfull bins that can still be joined are items of the
+next round, in fewer partitions, until one partition has packed them all. Two
+bins over half of a sequence never fit together, and a task leaves at most one
+that is not over half; so these go on, with as many of the emptiest others. A
+task holds ITEMS lengths on average at any size of the input, and a round has
+about 2 / ITEMS of the items before it.
 """
 
 from __future__ import annotations
@@ -67,7 +69,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
+        #: A text that holds one of the added tokens is tokenised as a whole: they are found before it is split.
+        self.added = [t.content.lower() for t in self.own.get_added_tokens_decoder().values()]
         self.known = Memory(REMEMBERED)
         #: Which tokens end a part that the tokenizer has split off.
         self.ends = np.zeros(self.own.get_vocab_size(with_added_tokens=True), bool)
@@ -82,7 +85,8 @@ class WordTokenizer:
         some: list[list[str] | None] = []
         at, start = 0, 0
         for k, text in enumerate(texts):
-            some.append(apart(text))
+            low = text.lower()
+            some.append(None if any(t in low for t in self.added) else apart(text))
             at += len(text)
             if at >= TOGETHER or k == len(texts) - 1:
                 out += self.encode_some(texts[start : k + 1], some)
@@ -148,7 +152,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 
     A null or empty text is the end id alone. Each row is a document of its
     own, repeated rows too; a null doc_id stays null; other columns are
-    ignored.
+    ignored; a very long text gives as many pieces as it needs; an empty table
+    gives an empty result.
     """
     session(docs)
     path = path or default_path()
@@ -222,7 +227,7 @@ def pack(pieces_: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, each:
     """
     numbered = cut(pieces_.withColumn("item", F.monotonically_increasing_id()))
     left, n, number = numbered.select("item", "length"), numbered.count(), 0
-    placed, before = None, None
+    placed = None
     while True:
         tasks = max(1, -(-n // each))
         packed = cut(pack_round(left.repartition(tasks, F.xxhash64("item", F.lit(number))), number, capacity, slack))
@@ -236,11 +241,14 @@ def pack(pieces_: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, each:
             )
         if tasks == 1:
             break
-        under = step.where(~F.col("full")).groupBy("bin").agg(F.first("used").alias("length"))
-        left, before = cut(under.select(F.col("bin").alias("item"), "length")), n
-        n, number = left.count(), number + 1
-        if not n or n > 0.9 * before:
+        under = step.where(~F.col("full")).groupBy("bin").agg(F.first("used").alias("length")).select(F.col("bin").alias("item"), "length")
+        small = cut(under.where(F.col("length") * 2 <= capacity))
+        n = small.count()
+        if not n:
             break
+        # A small bin takes up one of the others at most, and the emptiest have room for whatever fits anywhere.
+        left = cut(small.union(under.where(F.col("length") * 2 > capacity).orderBy("length", "item").limit(n)))
+        n, number = left.count(), number + 1
     return numbered.join(placed, "item").drop("item")
 
 
