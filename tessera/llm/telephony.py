@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,8 +35,12 @@ STEPS = (
 RATE = 8000
 #: A payload's length is a positive multiple of this, filled up with FILL.
 UNIT, FILL = 576, 255
-#: Samples that are decoded at once when features are computed.
+#: Samples that are decoded or resampled at once.
 CHUNK = 1 << 20
+#: Bytes of an ADPCM block when payloads are read as such: a part of a UNIT.
+BLOCK = 64
+#: Rate of the sound that is stored as PCM.
+WIDE = 16000
 
 
 def mu_law_table() -> np.ndarray:
@@ -89,21 +94,41 @@ def parse(media: bytes) -> dict:
 
 
 def decode_adpcm(data: bytes, block: int) -> np.ndarray:
-    """All full blocks at once: each step decodes one nibble of every block."""
-    blocks = np.frombuffer(data, np.uint8)[: len(data) // block * block].reshape(-1, block)
+    """All full blocks at once, each step decoding one nibble of every block; then a shorter last one.
+
+    What is left after the full blocks and shorter than a block's head of 4
+    bytes holds no sample.
+    """
+    full = len(data) // block * block
+    rest = data[full:]
+    out = decode_blocks(np.frombuffer(data, np.uint8, full).reshape(-1, block))
+    if len(rest) < 4:
+        return out
+    return np.concatenate([out, decode_blocks(np.frombuffer(rest, np.uint8).reshape(1, -1))])
+
+
+def decode_blocks(blocks: np.ndarray) -> np.ndarray:
+    """The samples of blocks (one a row), block after block."""
     steps, moves = np.array(STEPS, np.int32), np.array(INDEX_MOVES * 2, np.int32)
     value = blocks[:, 0].astype(np.int32) | blocks[:, 1].astype(np.int8).astype(np.int32) << 8
     index = np.minimum(blocks[:, 2].astype(np.int32), len(STEPS) - 1)
-    nibbles = np.stack([blocks[:, 4:] & 15, blocks[:, 4:] >> 4], axis=2).reshape(len(blocks), -1).astype(np.int32)
-    out = np.empty((len(blocks), nibbles.shape[1] + 1), np.int16)
-    out[:, 0] = value
-    for i in range(nibbles.shape[1]):
-        n, step = nibbles[:, i], steps[index]
-        change = (step >> 3) + np.where(n & 1, step >> 2, 0) + np.where(n & 2, step >> 1, 0) + np.where(n & 4, step, 0)
-        value = np.clip(value + np.where(n & 8, -change, change), -32768, 32767)
-        index = np.clip(index + moves[n], 0, len(STEPS) - 1)
-        out[:, i + 1] = value
-    return out.ravel()
+    # For each step index and nibble the change of the value.
+    n, step = np.arange(16), steps[:, None]
+    change = (step >> 3) + np.where(n & 1, step >> 2, 0) + np.where(n & 2, step >> 1, 0) + np.where(n & 4, step, 0)
+    change = np.where(n & 8, -change, change).ravel()
+    places = 2 * (blocks.shape[1] - 4)
+    nibbles = np.empty((places, len(blocks)), np.uint8)
+    nibbles[0::2], nibbles[1::2] = (blocks[:, 4:] & 15).T, (blocks[:, 4:] >> 4).T
+    out = np.empty((places + 1, len(blocks)), np.int16)
+    out[0] = value
+    for i in range(places):
+        nibble = nibbles[i]
+        value = value + change[index * 16 + nibble]
+        np.clip(value, -32768, 32767, out=value)
+        index = index + moves[nibble]
+        np.clip(index, 0, len(STEPS) - 1, out=index)
+        out[i + 1] = value
+    return out.T.ravel()
 
 
 def decode(media: bytes) -> tuple[np.ndarray, int]:
@@ -119,32 +144,26 @@ def decode(media: bytes) -> tuple[np.ndarray, int]:
 
 
 def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation to another rate."""
+    """Linear interpolation to another rate, piece by piece."""
     if rate == to or not len(samples):
         return samples.astype(np.int16)
     n = max(1, len(samples) * to // rate)
-    return np.rint(np.interp(np.arange(n) * (rate / to), np.arange(len(samples)), samples)).astype(np.int16)
+    out = np.empty(n, np.int16)
+    for at in range(0, n, CHUNK):
+        place = np.arange(at, min(n, at + CHUNK)) * (rate / to)
+        a, b = int(place[0]), min(len(samples), int(place[-1]) + 2)
+        out[at : at + len(place)] = np.rint(np.interp(place, np.arange(a, b), samples[a:b]))
+    return out
 
 
-def resampled_wave(media: bytes, to: int = 16000) -> bytes:
+def resampled_wave(media: bytes, to: int = WIDE) -> bytes:
     """The decoded sound as 16-bit PCM at another rate."""
     samples, rate = decode(media)
     return wave(resample(samples, rate, to).astype("<i2").tobytes(), PCM, to)
 
 
-def features(media: bytes) -> str:
-    """``rms:peak:crossings``: root mean square and peak of the decoded samples, sign changes.
-
-    Whole numbers, summed up over pieces of the stored samples, so that a very
-    long sound needs no more memory than its bytes and one piece.
-    """
-    x = parse(media)
-    if x["code"] not in TABLES:
-        samples = decode(media)[0]
-        pieces = [samples[i : i + CHUNK] for i in range(0, len(samples), CHUNK)]
-    else:
-        stored, linear = np.frombuffer(x["samples"], np.uint8), TABLES[x["code"]]
-        pieces = (linear[stored[i : i + CHUNK]] for i in range(0, len(stored), CHUNK))
+def measure(pieces: Iterable[np.ndarray]) -> str:
+    """``rms:peak:crossings`` of samples: root mean square and peak, sign changes; whole numbers."""
     n = energy = peak = crossings = 0
     last = None
     for p in pieces:
@@ -156,6 +175,49 @@ def features(media: bytes) -> str:
     return f"{round((energy / max(n, 1)) ** 0.5)}:{peak}:{crossings}"
 
 
+def cut_up(samples: np.ndarray, table_: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """The samples, or what the table has for them, in pieces of CHUNK."""
+    for i in range(0, len(samples), CHUNK):
+        yield samples[i : i + CHUNK] if table_ is None else table_[samples[i : i + CHUNK]]
+
+
+def features(media: bytes) -> str:
+    """See :func:`measure`; a very long sound needs no more memory than its bytes and one piece."""
+    x = parse(media)
+    if x["code"] in TABLES:
+        return measure(cut_up(np.frombuffer(x["samples"], np.uint8), TABLES[x["code"]]))
+    return measure(cut_up(decode(media)[0]))
+
+
+def as_adpcm(parts: list[bytes]) -> Iterator[np.ndarray]:
+    """The samples of each part read as ADPCM blocks of BLOCK bytes; parts are decoded together up to CHUNK bytes.
+
+    The parts' lengths are multiples of BLOCK.
+    """
+    held: list[bytes] = []
+
+    def flush():
+        sizes = [len(p) // BLOCK * ((BLOCK - 4) * 2 + 1) for p in held]
+        ends = np.cumsum(sizes).tolist()
+        samples = np.concatenate([decode_adpcm(b, BLOCK) for b in in_blocks(b"".join(held))])
+        held.clear()
+        for a, b in zip([0, *ends], ends, strict=False):
+            yield samples[a:b]
+
+    for p in parts:
+        held.append(p)
+        if sum(map(len, held)) >= CHUNK:
+            yield from flush()
+    if held:
+        yield from flush()
+
+
+def in_blocks(data: bytes) -> Iterator[bytes]:
+    size = max(1, CHUNK // BLOCK) * BLOCK
+    for at in range(0, len(data), size):
+        yield data[at : at + size]
+
+
 def payload(text: str | None) -> tuple[bytes, int]:
     """UTF-8 bytes filled up to a positive multiple of UNIT, and their own number."""
     data = (text or "").encode("utf-8", "surrogatepass")
@@ -166,7 +228,8 @@ def store(docs: DataFrame, code: int = MU_LAW) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_bytes, media)``: each text's payload as 8-bit telephony samples.
 
     A null or empty text is one unit of fill. Each row gives one, repeated
-    rows too; a null doc_id stays null; other columns are ignored.
+    rows too; a null doc_id stays null; other columns are ignored; a very long
+    text is one long sound; an empty table gives an empty result.
     """
     session(docs)
 
@@ -179,23 +242,39 @@ def store(docs: DataFrame, code: int = MU_LAW) -> DataFrame:
 
 
 def inspect(stored: DataFrame) -> DataFrame:
-    """Reads stored sounds back: size and hash of samples and of the file, and features."""
+    """Reads stored 8-bit sounds back: size and hash of samples and of the file, and features.
+
+    ``a_law``: features of the samples read as A-law; ``adpcm``: of the samples
+    read as blocks of IMA ADPCM, and pcm_bytes and pcm_sha256 of the file in
+    which that sound is stored as 16-bit PCM, resampled to WIDE. Null media
+    give nulls, repeated rows one row each, an empty table an empty result.
+    """
     session(stored)
+    columns = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "a_law", "adpcm", "pcm_bytes", "pcm_sha256"]
 
     def run(batches):
         for pdf in batches:
+            there = [m for m in pdf["media"] if m is not None]
+            stored_ = [parse(m)["samples"] for m in there]
             rows = []
-            for media in pdf["media"]:
-                data = parse(media)["samples"]
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(media)))
-            out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            for media, data, sound in zip(there, stored_, as_adpcm(stored_), strict=True):
+                pcm = wave(resample(sound, RATE, WIDE).astype("<i2").tobytes(), PCM, WIDE)
+                rows.append(
+                    (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(media))
+                    + (measure(cut_up(np.frombuffer(data, np.uint8), TABLES[A_LAW])), measure(cut_up(sound)), len(pcm), hashlib.sha256(pcm).hexdigest())
+                )
+            found = iter(rows)
+            out = pd.DataFrame([(None,) * len(columns) if m is None else next(found) for m in pdf["media"]], columns=columns)
+            for c in ("payload_bytes", "tail_crc32", "media_bytes", "pcm_bytes"):
+                out[c] = out[c].astype("Int64")
             yield pd.concat([pdf[["doc_id", "n_bytes"]].reset_index(drop=True), out], axis=1)
 
     named = stored.select(F.col("doc_id").cast("string"), "n_bytes", "media")
-    return with_number(named.mapInPandas(run, "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"))
+    kind = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return with_number(named.mapInPandas(run, f"{kind}, a_law string, adpcm string, pcm_bytes long, pcm_sha256 string"))
 
 
-def expand(stored: DataFrame, to: int = 16000) -> DataFrame:
+def expand(stored: DataFrame, to: int = WIDE) -> DataFrame:
     """``(doc_id, media)`` -> ``(doc_id, media)`` decoded, resampled and stored as 16-bit PCM; null stays null."""
     session(stored)
 

@@ -50,6 +50,25 @@ def test_adpcm_blocks():
     assert np.abs(got[50:].astype(int) - sound[50:]).mean() < 900
 
 
+def test_a_shorter_last_block():
+    sound = (np.sin(np.arange(505 * 2 + 101) / 9) * 12000).astype(np.int16)
+    want, data = [], b""
+    for values, data in encode_adpcm(sound, 256):
+        want += values
+    assert len(data) % 256
+    assert T.decode(T.wave(data, T.IMA_ADPCM, block=256))[0].tolist() == want
+    assert T.decode(T.wave(data[:512] + b"abc", T.IMA_ADPCM, block=256))[0].tolist() == want[:1010]
+
+
+def test_sounds_decoded_together_and_in_chunks(monkeypatch):
+    parts = [T.payload(t * n)[0] for t, n in (("abc", 10), ("hello ", 700), ("", 1), ("zé", 4000))]
+    want = [T.decode_adpcm(p, T.BLOCK).tolist() for p in parts]
+    wide = [T.resample(np.array(w, np.int16), 8000, 11025).tolist() for w in want]
+    monkeypatch.setattr(T, "CHUNK", 1000)
+    assert [x.tolist() for x in T.as_adpcm(parts)] == want
+    assert [T.resample(np.array(w, np.int16), 8000, 11025).tolist() for w in want] == wide
+
+
 @pytest.mark.parametrize("code", [T.MU_LAW, T.A_LAW])
 def test_media_round_trip_and_resampling(code):
     data, n = T.payload("hello " * 300)
@@ -79,6 +98,15 @@ def test_stored_documents(spark):
         full = data + b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(full), hashlib.sha256(full).hexdigest())
         assert r.tail_crc32 == zlib.crc32(full[-32:]) and r.media_bytes > len(full)
+        pcm = T.resampled_wave(T.wave(full, T.IMA_ADPCM, block=T.BLOCK))
+        assert (r.pcm_bytes, r.pcm_sha256) == (len(pcm), hashlib.sha256(pcm).hexdigest())
+        assert r.adpcm == T.features(T.wave(full, T.IMA_ADPCM, block=T.BLOCK)) and r.a_law == T.features(T.wave(full, T.A_LAW))
         assert seen.setdefault(data, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
     assert T.inspect(T.store(fixtures.empty(spark))).count() == 0
     assert T.expand(T.store(df)).count() == df.count()
+
+
+def test_null_media(spark):
+    df = spark.createDataFrame([(1, 0, None), (2, 576, bytearray(T.wave(b"a" * 576)))], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in T.inspect(df).collect()}
+    assert got[1].payload_sha256 is None and got[1].pcm_bytes is None and got[2].payload_bytes == 576
