@@ -34,8 +34,16 @@ def canonical(json: Column) -> Column:
     return F.to_json(F.try_parse_json(json))
 
 
+def step(parameter: str) -> str:
+    """The path to a parameter, whatever characters its name has but both kinds of quotes."""
+    return f'$["{parameter}"]' if "'" in parameter else f"$['{parameter}']"
+
+
 def errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
-    """What is wrong with a call's arguments, as a sorted array of strings; empty if all is well."""
+    """What is wrong with a call's arguments, as a sorted array of strings; empty if all is well.
+
+    A whole number is an integer however it is written, and however large.
+    """
     parsed = F.try_parse_json(arguments)
     kind = lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
     none = F.array().cast("array<string>")
@@ -43,8 +51,12 @@ def errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
     def against(schema: dict[str, tuple[str, bool]]) -> Column:
         found = []
         for parameter, (type_, required) in sorted(schema.items()):
-            value = F.try_variant_get(parsed, f"$.{parameter}", "variant")
-            wrong = F.when(~kind(value).isin(*TYPES[type_]), F.lit(f"type:{parameter}"))
+            value = F.try_variant_get(parsed, step(parameter), "variant")
+            fits = kind(value).isin(*TYPES[type_])
+            if type_ == "integer":  # 1.0 and 1e3 are whole numbers, too
+                as_double = F.try_variant_get(value, "$", "double")
+                fits = fits | (kind(value).isin(*TYPES["number"]) & (as_double % 1.0 == 0.0))
+            wrong = F.when(~fits, F.lit(f"type:{parameter}"))
             found.append(F.when(value.isNull(), F.lit(f"missing:{parameter}") if required else F.lit(None)).otherwise(wrong))
         unknown = F.array_except(F.json_object_keys(arguments), F.array(*[F.lit(p) for p in sorted(schema)]))
         more = F.transform(F.coalesce(unknown, none), lambda k: F.concat(F.lit("unknown:"), k))
@@ -60,26 +72,45 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """``(conv_id, call_id, level)`` for conversations in which some call stands before one that it needs.
 
     ``level`` is the longest way down to a call that needs nothing; calls of a
-    circle and those that need one have none. Each round settles a level.
+    circle and those that need one have none. Chains of calls that need one
+    call each are shortened by pointer doubling, so the rounds follow the
+    logarithm of their length; after that a round settles a level of the
+    calls that need several.
     """
+    keys = ["conv_id", "call_id"]
     place = calls.select("conv_id", F.col("call_id").alias("need"), F.col("at").alias("need_at"))
-    edges = needs.join(place, ["conv_id", "need"]).join(calls.select("conv_id", "call_id", "at"), ["conv_id", "call_id"])
+    edges = needs.distinct().join(place, ["conv_id", "need"]).join(calls.select(*keys, "at"), keys)
     odd = edges.where("need_at >= at").select("conv_id").distinct()
-    waiting = cut(edges.join(odd, "conv_id", "left_semi").select("conv_id", "call_id", "need"))
-    if waiting.isEmpty():
-        return calls.select("conv_id", "call_id", F.lit(0).alias("level")).where("false")
-    open_ = cut(calls.join(odd, "conv_id", "left_semi").select("conv_id", "call_id"))
-    settled, level = None, 0
-    while True:
-        ready = cut(open_.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            break
-        settled = ready if settled is None else settled.unionByName(ready)
-        waiting = cut(waiting.join(ready.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti"))
-        open_ = cut(open_.join(ready, ["conv_id", "call_id"], "left_anti"))
-        level += 1
-    stuck = open_.withColumn("level", F.lit(None).cast("int"))
-    return stuck if settled is None else settled.unionByName(stuck)
+    edges = cut(edges.join(odd, "conv_id", "left_semi").select(*keys, "need"))
+    if edges.isEmpty():
+        return calls.select(*keys, F.lit(0).alias("level")).where("false")
+    every = cut(calls.join(odd, "conv_id", "left_semi").select(*keys))
+    several = cut(edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys))
+    chain = cut(edges.join(several, keys, "left_anti").select(*keys, F.col("need").alias("to"), F.lit(1).alias("way")))
+    longest = chain.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).head()["n"] or 0
+    for _ in range(longest.bit_length()):
+        next_ = chain.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("further"), F.col("way").alias("more"))
+        chain = cut(chain.join(next_, ["conv_id", "to"], "left").select(*keys, F.coalesce("further", "to").alias("to"), (F.col("way") + F.coalesce("more", F.lit(0))).alias("way")))
+    # What a chain still leads to a call of a chain after so many rounds is a circle's: it never gets a level.
+    inner = edges.join(several, keys, "left_semi")
+    ends = chain.select("conv_id", F.col("call_id").alias("need"), "to", "way")
+    waiting = cut(inner.join(ends, ["conv_id", "need"], "left").select(*keys, F.coalesce("to", "need").alias("need"), (F.coalesce("way", F.lit(0)) + 1).alias("way")))
+    heads = every.join(chain.select(*keys), keys, "left_anti")
+    settled = cut(heads.join(several, keys, "left_anti").withColumn("level", F.lit(0)))
+    fresh, left = settled, several
+    reached = cut(waiting.select(*keys, F.lit(0).alias("level")).limit(0))
+    while not left.isEmpty() and not fresh.isEmpty():
+        known = fresh.select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("below"))
+        hit = waiting.join(known, ["conv_id", "need"]).select(*keys, (F.col("below") + F.col("way")).alias("level"))
+        reached = cut(reached.unionByName(hit).groupBy(*keys).agg(F.max("level").alias("level")))
+        waiting = cut(waiting.join(known.select("conv_id", "need"), ["conv_id", "need"], "left_anti"))
+        ready = left.join(waiting.select(*keys).distinct(), keys, "left_anti")
+        fresh = cut(ready.join(reached, keys))
+        left = cut(left.join(fresh.select(*keys), keys, "left_anti"))
+        settled = cut(settled.unionByName(fresh))
+    below = settled.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("below"))
+    chained = chain.join(below, ["conv_id", "to"], "left").select(*keys, (F.col("below") + F.col("way")).cast("int").alias("level"))
+    return settled.select(*keys, F.col("level").cast("int").alias("level")).unionByName(chained).unionByName(left.select(*keys, F.lit(None).cast("int").alias("level")))
 
 
 def number(df: DataFrame, order: list[str]) -> DataFrame:
@@ -160,17 +191,19 @@ def from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of chats: a user turn calls ``reply``, the assistant turn after it is the result.
 
     A call's id is ``c`` and its turn; an assistant turn at t answers the call
-    of turn t - 1. A call needs the one two turns before it, if it isn't among
-    the first two turns after a system turn or the start (turn 2 or later).
+    of turn t - 1. What a call needs follows from its text's length, so that
+    all kinds occur: by the remainder of 4 the call two turns later (0; that
+    one is out of place, and a circle if it needs this one), none (1), or the
+    call two turns before (2 and 3), if it isn't among the first two turns.
     """
     turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     turns = turns.where("turn IS NOT NULL")
     id_of = lambda t: F.concat(F.lit("c"), t.cast("string"))
-    t = F.col("turn")
-    earlier = F.when(t >= 2, id_of(t - 2))
-    arguments = F.to_json(F.struct(earlier.alias("after"), F.col("text").alias("question"), t.alias("turn")))
+    t, kind = F.col("turn"), F.char_length("text") % 4
+    other = F.when(kind == 0, id_of(t + 2)).when((kind > 1) & (t >= 2), id_of(t - 2))
+    arguments = F.to_json(F.struct(other.alias("after"), F.col("text").alias("question"), t.alias("turn")))
     calls = turns.where("role = 'user'").select(
-        "conv_id", id_of(t).alias("call_id"), t.alias("at"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.array_compact(F.array(earlier)).alias("needs")
+        "conv_id", id_of(t).alias("call_id"), t.alias("at"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.array_compact(F.array(other)).alias("needs")
     )
     results = turns.where("role = 'assistant'").select("conv_id", id_of(t - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
@@ -181,19 +214,29 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH calls AS (
+WITH RECURSIVE calls AS (
   SELECT conv_id, 'c' || turn AS call_id, turn, text,
-    CASE WHEN turn >= 2 THEN 'c' || (turn - 2) END AS after
+    CASE WHEN length(text) % 4 = 0 THEN 'c' || (turn + 2) WHEN length(text) % 4 > 1 AND turn >= 2 THEN 'c' || (turn - 2) END AS after
   FROM conversations WHERE role = 'user'),
 results AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'),
-placed AS (
-  SELECT c.*, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) - 1 AS position,
-    CASE WHEN c.after IS NOT NULL AND NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.call_id = c.after)
-      THEN 'needs:' || c.after ELSE '' END AS problems
-  FROM calls c)
+edges AS (SELECT c.conv_id, c.call_id, c.after, p.turn >= c.turn AS misplaced
+  FROM calls c JOIN calls p ON p.conv_id = c.conv_id AND p.call_id = c.after),
+odd AS (SELECT conv_id FROM edges GROUP BY conv_id HAVING bool_or(misplaced)),
+depth AS (
+  SELECT c.conv_id, c.call_id, 0 AS level FROM calls c
+  WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.conv_id = c.conv_id AND e.call_id = c.call_id)
+  UNION ALL
+  SELECT e.conv_id, e.call_id, d.level + 1 FROM edges e JOIN depth d ON d.conv_id = e.conv_id AND d.call_id = e.after),
+leveled AS (
+  SELECT c.*, CASE WHEN o.conv_id IS NULL THEN 0 ELSE d.level END AS level,
+    CASE WHEN c.after IS NOT NULL AND e.call_id IS NULL THEN 'needs:' || c.after ELSE '' END AS problems
+  FROM calls c LEFT JOIN odd o ON o.conv_id = c.conv_id
+  LEFT JOIN depth d ON d.conv_id = c.conv_id AND d.call_id = c.call_id
+  LEFT JOIN edges e ON e.conv_id = c.conv_id AND e.call_id = c.call_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY level NULLS LAST, turn) - 1 AS position FROM leveled)
 SELECT coalesce(p.conv_id, r.conv_id) AS conv_id, coalesce(p.call_id, r.call_id) AS call_id,
   CASE WHEN p.call_id IS NULL THEN 'no_call' WHEN r.call_id IS NULL THEN 'no_result' ELSE 'linked' END AS status,
-  CAST(p.position AS BIGINT) AS position, FALSE AS circle, coalesce(p.problems, '') AS problems,
+  CAST(p.position AS BIGINT) AS position, p.call_id IS NOT NULL AND p.level IS NULL AS circle, coalesce(p.problems, '') AS problems,
   coalesce(p.problems = '', FALSE) AS valid,
   '{' || CASE WHEN p.call_id IS NULL THEN '' ELSE '"arguments":{' ||
       CASE WHEN p.after IS NULL THEN '' ELSE '"after":' || CAST(to_json(p.after) AS VARCHAR) || ',' END ||

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 
@@ -51,21 +52,54 @@ def test_topological_order_of_misplaced_calls(spark):
     assert [got[2, k].position for k in "zxy"] == [0, 1, 2]
 
 
+def test_levels_of_any_graph(spark):
+    """Random needs, several and one, forwards and backwards, circles: levels by brute force."""
+    rng = random.Random(3)
+    calls, needs = [], {}
+    for conv in range(12):
+        n = rng.randint(2, 25)
+        for i in range(n):
+            few = rng.choice([0, 1, 1, 1, 2, 3]) if conv % 3 else 1
+            pick = [f"c{rng.randrange(n) if rng.random() < 0.15 else rng.randrange(i + 1, n + 1)}" for _ in range(few)] if conv % 3 else [f"c{i + 1}"]
+            needs[conv, f"c{i}"] = {x for x in pick if int(x[1:]) < n}
+            calls.append((conv, f"c{i}", i, "noop", "{}", pick))
+
+    def level(c, path=()):
+        if c in path:
+            return None
+        below = [level((c[0], x), (*path, c)) for x in needs[c]]
+        return None if None in below else max((b + 1 for b in below), default=0)
+
+    df = spark.createDataFrame([c[:5] for c in calls], "conv_id long, call_id string, at long, name string, arguments string")
+    edges = spark.createDataFrame([(c[0], c[1], x) for c in calls for x in c[5]], "conv_id long, call_id string, need string")
+    got = {(r.conv_id, r.call_id): r.level for r in toolcalls.levels(df, edges).collect()}
+    odd = {c[0] for c in calls if any(int(x[1:]) >= c[2] for x in needs[c[0], c[1]])}
+    assert got == {c: level(c) for c in needs if c[0] in odd}
+    assert None in got.values() and max(x for x in got.values() if x is not None) > 5
+
+
 def test_long_conversations_are_numbered_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(toolcalls, "PIECE", 4)
     got = linked(spark, [(1, f"c{i}", i * 3, "noop", "{}", []) for i in range(30)], [])
     assert [got[1, f"c{i}"].position for i in range(30)] == list(range(30))
 
 
-@pytest.mark.parametrize("args,said", [('{"a": 1}', ""), ('{"a": null}', "type:a"), ('{"a": 1, "b": "x"}', "type:b"), ("{}", "missing:a"), ("", "not_an_object"), ('{"a": true, "note": 3}', "type:a,type:note")])
+@pytest.mark.parametrize("args,said", [('{"a": 1}', ""), ('{"a": null}', "type:a"), ('{"a": 1, "b": "x"}', "type:b"), ("{}", "missing:a"), ("", "not_an_object"), ('{"a": true, "note": 3}', "type:a,type:note"), ('{"a": 99999999999999999999}', ""), ('{"a": 1.0}', ""), ('{"a": 1e3}', ""), ('{"a": 1.5}', "type:a")])
 def test_schemas(spark, args, said):
     assert linked(spark, [(1, "a", 0, "sum", args, [])], [])[1, "a"].problems == said
 
 
+def test_parameters_with_odd_names(spark):
+    schemas = {"f": {"a.b": ("string", True), "c d": ("integer", True), "e'f": ("boolean", True)}}
+    a = spark.createDataFrame([(1, "a", 0, "f", '{"a.b": "x", "c d": 2, "e\'f": true}', [], "clash")], CALLS)
+    assert toolcalls.link(a, spark.createDataFrame([], RESULTS), schemas).head().problems == ""
+
+
 def test_conversations_with_odd_rows(spark):
-    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 2, "user", None), (1, None, "user", "x"), (None, 0, "user", "x"), (2, 5, "user", "late"), (3, 1, None, "x")]
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 2, "user", "xy"), (1, None, "user", "x"), (None, 0, "user", "x"), (2, 5, "user", "too late"), (3, 1, None, "x"), (4, 0, "user", None), (4, 2, "user", "ab")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS call_id", "2 AS at")
     got = {(r.conv_id, r.call_id): r for r in toolcalls.link(*toolcalls.from_conversations(df), toolcalls.REPLY).collect()}
-    assert set(got) == {(1, "c0"), (1, "c2"), (2, "c5")}
-    assert got[1, "c0"].status == "linked" and got[1, "c2"].valid and got[2, "c5"].problems == "needs:c3"
+    assert set(got) == {(1, "c0"), (1, "c2"), (2, "c5"), (4, "c0"), (4, "c2")}
+    assert got[1, "c0"].status == "linked" and got[1, "c2"].valid and got[2, "c5"].problems == "needs:c7"
+    assert got[4, "c0"].circle and got[4, "c2"].circle and not got[1, "c2"].circle
     assert toolcalls.link(*toolcalls.from_conversations(df.where("false")), toolcalls.REPLY).count() == 0
