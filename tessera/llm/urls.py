@@ -23,8 +23,9 @@ SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 SAMPLE = 20_000
 #: Trees, their depth and seed.
 TREES, DEPTH, SEED = 12, 4, 11
-#: Weight of the overall share in a suffix's share of blocked URLs.
-PRIOR = 5.0
+#: Weight of the overall share in a suffix's share of blocked URLs, and the folds of the training URLs: a fold sees what
+#: the others say about a suffix.
+PRIOR, FOLDS = 5.0, 5
 FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digits", "entropy", "parameters", "value_length", "marks", "secure", "suffix1", "suffix2", "suffix_urls"]
 
 
@@ -98,10 +99,22 @@ def lexical(df: DataFrame) -> DataFrame:
     )
 
 
-def suffixes(labelled: DataFrame, name: str, share: float) -> DataFrame:
-    """``(name, <name>_share, <name>_urls)``: the smoothed share of blocked URLs of each suffix, and how many there are."""
-    counted = labelled.groupBy(name).agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"))
-    return counted.select(name, ((F.col("bad") + PRIOR * share) / (F.col("n") + PRIOR)).alias(f"{name}_share"), F.log1p("n").alias(f"{name}_urls"))
+def counts(labelled: DataFrame, name: str) -> DataFrame:
+    """``(name, fold, bad, n)``: blocked and all URLs of each suffix in each fold."""
+    return labelled.groupBy(name, "fold").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"))
+
+
+def suffixes(counted: DataFrame, name: str, share: float, without_fold: bool = False) -> DataFrame:
+    """``(name, <name>_share, <name>_urls)``: the smoothed share of blocked URLs of each suffix, and how many there are.
+
+    ``without_fold``: for each fold what all the others have.
+    """
+    total = counted.groupBy(name).agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    if without_fold:
+        own = counted.select(name, "fold", F.col("bad").alias("own_bad"), F.col("n").alias("own"))
+        total = own.join(total, name).select(name, "fold", (F.col("bad") - F.col("own_bad")).alias("bad"), (F.col("n") - F.col("own")).alias("n"))
+    told = [((F.col("bad") + PRIOR * share) / (F.col("n") + PRIOR)).alias(f"{name}_share"), F.log1p("n").alias(f"{name}_urls")]
+    return total.select(name, *(["fold"] if without_fold else []), *told)
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -112,7 +125,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labels: DataFrame |
     the pages that rules decide do, of which ``sample`` are taken, those whose
     URLs hash lowest. Without labelled URLs the score is 0. Null URLs and
     those without ``://`` have an empty host and path; repeated rows give one
-    row each; a null page_id stays null; other columns are ignored.
+    row each; a null page_id stays null; other columns are ignored; a very
+    long URL is judged as a whole; an empty table gives an empty result. What
+    the trees see of a suffix in training comes from other folds of the URLs.
     """
     ruled = lexical(decide(parts(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"))), rules))
     if labels is None:
@@ -123,15 +138,17 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labels: DataFrame |
     out = ["page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score"]
     if known is None:
         return ruled.withColumn("score", F.lit(0.0)).select(*out)
-    one, two = (cut(suffixes(labelled, s, known)) for s in ("s1", "s2"))
+    labelled = labelled.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int"))
+    counted = {s: cut(counts(labelled, s)) for s in ("s1", "s2")}
 
-    def described(df: DataFrame) -> DataFrame:
-        joined = df.join(one, "s1", "left").join(two, "s2", "left")
-        filled = joined.withColumns({"suffix1": F.coalesce("s1_share", F.lit(known)), "suffix2": F.coalesce("s2_share", F.lit(known)), "suffix_urls": F.coalesce("s2_urls", F.lit(0.0))})
+    def described(df: DataFrame, without_fold: bool = False) -> DataFrame:
+        for s in counted:
+            df = df.join(suffixes(counted[s], s, known, without_fold), [s, "fold"] if without_fold else s, "left")
+        filled = df.withColumns({"suffix1": F.coalesce("s1_share", F.lit(known)), "suffix2": F.coalesce("s2_share", F.lit(known)), "suffix_urls": F.coalesce("s2_urls", F.lit(0.0))})
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(filled)
 
     few = labelled.orderBy(F.xxhash64("url"), "url").limit(sample)
-    training = cut(described(few).select("features", "label"))
+    training = cut(described(few, without_fold=True).select("features", "label"))
     if training.select("label").distinct().count() < 2:
         return ruled.withColumn("score", F.lit(known)).select(*out)
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.2).fit(training)

@@ -52,6 +52,16 @@ def test_held_out_accuracy(spark):
     assert np.mean([got[i] == bool(y) for i, _, y in rows[600:]]) > 0.95
 
 
+def test_suffix_statistics_leave_out_the_own_fold(spark):
+    rows = [(f"http://{h}.net/{i}", h, i % 3, float(i % 2)) for i in range(40) for h in ("a", "b")] + [("http://c.net/", "c", 1, 1.0)]
+    df = spark.createDataFrame(rows, "url string, s1 string, fold int, label double")
+    got = {(r.s1, r.fold): (r.s1_share, r.s1_urls) for r in urls.suffixes(urls.counts(df, "s1"), "s1", 0.5, without_fold=True).collect()}
+    for s, fold in {(r[1], r[2]) for r in rows}:
+        others = [r[3] for r in rows if r[1] == s and r[2] != fold]
+        assert got[s, fold][0] == (sum(others) + urls.PRIOR * 0.5) / (len(others) + urls.PRIOR)
+        assert abs(got[s, fold][1] - np.log1p(len(others))) < 1e-12
+
+
 def test_without_labels_or_rows(spark):
     df = spark.createDataFrame([(1, "http://a.net/"), (2, None)], "page_id long, url string")
     assert {(r.page_id, r.verdict, r.score) for r in urls.judge(df).collect()} == {(1, "allow", 0.0), (2, "allow", 0.0)}
