@@ -21,41 +21,117 @@ from tessera.llm.common import id_and_text, session, table, with_number
 
 # Phrases whose places are counted, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Licence notices that are looked for: label -> (mandatory key phrase, text).
+# Licence notices that are looked for: label -> (mandatory key phrase, text); another wording of the same
+# label has something after a slash.
 TEMPLATES = {
+    "agpl": (
+        "gnu affero general public license",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license "
+        "as published by the free software foundation either version 3 of the license or at your option any later version",
+    ),
     "apache": (
         "apache license",
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
         "you may obtain a copy of the license at",
     ),
+    "apache/header": (
+        "apache license",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+        "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing "
+        "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+    ),
+    "apache/terms": (
+        "apache license",
+        "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution 1 definitions "
+        "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document",
+    ),
     "bsd": (
         "redistribution and use in source and binary forms",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     ),
+    "bsd/two clauses": (
+        "redistribution and use in source and binary forms",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+        "in the documentation and or other materials provided with the distribution",
+    ),
+    "boost": (
+        "boost software license",
+        "boost software license version 1 0 august 17th 2003 permission is hereby granted free of charge to any person or organization obtaining a copy "
+        "of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software",
+    ),
     "cc": (
         "creative commons",
         "this work is licensed under a creative commons attribution international license",
     ),
+    "cc0": (
+        "waived all copyright and related or neighboring rights",
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    ),
     "gpl": (
         "general public license",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
         "as published by the free software foundation",
     ),
+    "gpl/header": (
+        "gnu general public license",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
+        "as published by the free software foundation either version 2 of the license or at your option any later version "
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+        "merchantability or fitness for a particular purpose see the gnu general public license for more details "
+        "you should have received a copy of the gnu general public license along with this program",
+    ),
+    "gpl/terms": (
+        "gnu general public license",
+        "gnu general public license version 3 29 june 2007 copyright c 2007 free software foundation inc everyone is permitted to copy and distribute "
+        "verbatim copies of this license document but changing it is not allowed preamble the gnu general public license is a free copyleft license "
+        "for software and other kinds of works",
+    ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that "
+        "the above copyright notice and this permission notice appear in all copies",
+    ),
+    "lgpl": (
+        "gnu lesser general public license",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license "
+        "as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    ),
     "mit": (
         "permission is hereby granted free of charge",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
         "the software to deal in the software without restriction",
     ),
+    "mit/terms": (
+        "permission is hereby granted free of charge",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+        "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute "
+        "sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other "
+        "liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
     "mpl": (
         "mozilla public license",
         "this source code form is subject to the terms of the mozilla public license v 2 0",
     ),
-    "notice-apache": ("apache license", "this work is licensed under the apache license version 2 0"),
-    "notice-gpl": ("general public license", "this work is licensed under the gnu general public license version 3"),
-    "notice-mit": ("mit license", "this work is licensed under the mit license"),
+    "unlicense": (
+        "free and unencumbered software released into the public domain",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software "
+        "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+    ),
+    "apache/note": ("apache license", "this work is licensed under the apache license version 2 0"),
+    "gpl/note": ("general public license", "this work is licensed under the gnu general public license version 3"),
+    "mit/note": ("mit license", "this work is licensed under the mit license"),
 }
-#: Prefix of templates that are another wording of the label after it.
-NOTICE = "notice-"
 #: Share of a template's words that must stand in their places.
 COVERAGE = 0.6
 
@@ -118,7 +194,7 @@ class Index:
         for label, start in starts:
             key, template = self.templates[label]
             share = sum(1 for k, w in enumerate(template) if 0 <= start + k < len(text) and text[start + k] == w) / len(template)
-            name = label.removeprefix(NOTICE)
+            name = label.split("/")[0]
             if share >= COVERAGE and share > out.get(name, 0) and key in b" ".join(text[max(0, start) : start + len(template)]):
                 out[name] = share
         return out
@@ -150,7 +226,9 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, phr
     (the templates' too), score (1 with a base place, else the best verified
     template's share of words in place, else 0). Null and empty texts have no
     words; repeated rows give one row each; a null doc_id stays null; other
-    columns are ignored.
+    columns are ignored; a very long text is scanned as a whole; an empty table
+    gives an empty result. What other documents hold decides which words are
+    looked up, never which labels are found.
     """
     index = Index(templates)
     index.weigh(*document_frequencies(docs, index.vocabulary))
