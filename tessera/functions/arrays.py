@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Elements of the padded rows that are summed up at once.
+CELLS = 1 << 20
+
 
 def let(x: Column, body) -> Column:
     """``body(x)`` with x computed once."""
@@ -34,6 +42,12 @@ def masked_mean(v: Column, mask: Column, eps: float = 1e-8) -> Column:
     return masked_sum(v, mask) / (total(mask) + eps)
 
 
+def lengths(mask: Column) -> tuple[Column, Column]:
+    """(positions that the mask has, all others)."""
+    n = total(mask)
+    return n, F.size(mask) - n
+
+
 def positions(a: Column) -> Column:
     """0, 1, ... for each element; empty for an empty array."""
     return F.transform(a, lambda _, i: i)
@@ -109,43 +123,106 @@ def pick(a: Column, index: Column) -> Column:
     return F.get(a, index.cast("int"))
 
 
+def by_length(rows: list[np.ndarray]) -> Iterator[list[int]]:
+    """Numbers of rows in groups of like length, so that a padded group has at most CELLS elements or is one row."""
+    part: list[int] = []
+    for i in sorted(range(len(rows)), key=lambda i: len(rows[i])):
+        if part and (len(part) + 1) * len(rows[i]) > CELLS:
+            yield part
+            part = []
+        part.append(i)
+    if part:
+        yield part
+
+
+def scan_back(values: list[np.ndarray], factor: float, keep: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """For each row the sums out[t] = value[t] + factor * keep[t + 1] * out[t + 1], all rows of a group at once.
+
+    ``keep`` defaults to ones. The work is linear in the elements.
+    """
+    out: list[np.ndarray] = [np.zeros(0)] * len(values)
+    for part in by_length(values):
+        n = max(len(values[i]) for i in part)
+        x, k = np.zeros((n + 1, len(part))), np.ones((n + 1, len(part)))
+        for j, i in enumerate(part):  # rows end together, as they are summed up from their ends
+            x[n - len(values[i]) : n, j] = values[i]
+            if keep is not None:
+                k[n - len(values[i]) : n, j] = keep[i]
+        for t in range(n - 1, -1, -1):
+            x[t] += factor * k[t + 1] * x[t + 1]
+        for j, i in enumerate(part):
+            out[i] = x[n - len(values[i]) : n, j]
+    return out
+
+
+def numbers(column: pd.Series) -> list[np.ndarray]:
+    """Arrays of a column as doubles; a null one is empty."""
+    return [np.zeros(0) if v is None else np.asarray(v, np.float64) for v in column]
+
+
 def discounted(rewards: Column, gamma: float, mask: Column | None = None) -> Column:
-    """Reverse discounted sums; where a mask is given, the sum starts anew at positions that it lacks."""
-    pairs = F.reverse(F.arrays_zip(rewards.alias("r"), (mask if mask is not None else F.transform(rewards, lambda _: F.lit(1))).alias("m")))
-    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out"))
+    """Reverse discounted sums; where a mask is given, the sum starts anew at positions that it lacks. Null stays null."""
 
-    def step(s: Column, p: Column) -> Column:
-        now = p["r"] + gamma * s["sum"]
-        return F.struct((now * p["m"]).alias("sum"), F.concat(s["out"], F.array(now)).alias("out"))
+    def sums(r: pd.Series, m: pd.Series | None) -> pd.Series:
+        found = scan_back(numbers(r), gamma, None if m is None else numbers(m))
+        return pd.Series([None if v is None else x for v, x in zip(r, found, strict=True)], dtype=object)
 
-    return F.reverse(F.aggregate(pairs, start, step)["out"])
+    if mask is None:
 
+        @F.pandas_udf("array<double>")
+        def run(r: pd.Series) -> pd.Series:
+            return sums(r, None)
 
-def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
-    """Generalised advantage estimates of a sequence, by a reverse fold; the value after the end is 0."""
-    pairs = F.reverse(F.arrays_zip(rewards.alias("r"), values.alias("v")))
-    start = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("out"))
+        return run(rewards)
 
-    def step(s: Column, p: Column) -> Column:
-        now = p["r"] + gamma * s["next"] - p["v"] + gamma * lam * s["last"]
-        return F.struct(p["v"].alias("next"), now.alias("last"), F.concat(s["out"], F.array(now)).alias("out"))
+    @F.pandas_udf("array<double>")
+    def masked(r: pd.Series, m: pd.Series) -> pd.Series:
+        return sums(r, m)
 
-    return F.reverse(F.aggregate(pairs, start, step)["out"])
+    return masked(rewards, mask)
 
 
-def adaptive_kl(kls: Column, steps: Column, start: float, target: float, horizon: float) -> Column:
-    """The coefficient after each step of an adaptive controller, folded over arrays in order."""
-    pairs = F.arrays_zip(kls.alias("kl"), steps.alias("n"))
-    first = F.struct(F.lit(start).alias("beta"), F.array().cast("array<double>").alias("out"))
+def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
+    """Generalised advantage estimates of a sequence; the value after the end is 0. Null stays null."""
 
-    def step(s: Column, p: Column) -> Column:
-        error = F.greatest(F.least(p["kl"] / target - 1, F.lit(0.2)), F.lit(-0.2))
-        beta = s["beta"] * (1 + error * p["n"] / horizon)
-        return F.struct(beta.alias("beta"), F.concat(s["out"], F.array(beta)).alias("out"))
+    @F.pandas_udf("array<double>")
+    def run(r: pd.Series, v: pd.Series) -> pd.Series:
+        deltas = [a + gamma * np.append(b[1:], 0.0)[: len(a)] - b for a, b in zip(numbers(r), numbers(v), strict=True)]
+        found = scan_back(deltas, gamma * lam)
+        return pd.Series([None if a is None or b is None else x for a, b, x in zip(r, v, found, strict=True)], dtype=object)
 
-    return F.aggregate(pairs, first, step)["out"]
+    return run(rewards, values)
 
 
 def distinct_first(a: Column, n: int) -> Column:
     """The first n different elements in their order."""
     return F.slice(F.array_distinct(a), 1, n)
+
+
+# Learning rates by step -------------------------------------------------------
+
+
+def warm_up(step: Column, steps: int) -> Column:
+    """Share of the rate that the first steps have."""
+    return F.least(F.lit(1.0), step / float(max(1, steps)))
+
+
+def cosine_rate(step: Column, warmup: int, total: int, least: float = 0.0, cycles: float = 0.5) -> Column:
+    """Rises from the least rate over the warm-up, then falls along a cosine to it."""
+    share = (step - warmup) / float(max(1, total - warmup))
+    wave = (1 + F.cos(F.lit(math.pi * 2 * cycles) * share)) / 2
+    return least + (1 - least) * F.when(step < warmup, warm_up(step, warmup)).otherwise(wave)
+
+
+def constant_rate(step: Column, warmup: int) -> Column:
+    """Rises over the warm-up, then stays."""
+    return warm_up(step, warmup)
+
+
+def stable_rate(step: Column, warmup: int, total: int, least: float = 0.0, cycles: float = 0.5, stable: float = 0.9) -> Column:
+    """Rises over the warm-up, stays for a share of the other steps, then falls along a cosine; the least rate after the end."""
+    level = int((total - warmup) * stable)
+    fall = total - warmup - level
+    share = (step - warmup - level) / float(max(1, fall))
+    wave = F.greatest(F.lit(0.0), 0.5 * (1 + F.cos(F.lit(math.pi * cycles * 2) * share)))
+    return F.when(step < warmup, warm_up(step, warmup)).when(step < warmup + level, 1.0).when(step < total, (1 - least) * wave + least).otherwise(F.lit(float(least)))

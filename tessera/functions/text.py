@@ -197,3 +197,19 @@ def drop_bracketed(x: Column) -> Column:
     """Trimmed, `` [title]`` as a full stop, other bracketed notes gone, double spaces once made single."""
     out = F.replace(strip(x), F.lit(" [title]"), F.lit(". "))
     return F.replace(F.regexp_replace(out, r"\[.*?\]", ""), F.lit("  "), F.lit(" "))
+
+
+def choice(x: Column, letters: str = "A-D") -> Column:
+    """The letter after ``Answer:``, as it is written; empty without one."""
+    return F.regexp_extract(x, rf"(?i)Answer[ \t]*:[ \t]*\$?([{letters}])\$?", 1)
+
+
+def thought_and_box(x: Column) -> Column:
+    """Whether a text is a thought in its tags and then has a box."""
+    return x.rlike(r"(?s)\A<think>.*</think>.*\\boxed\{.*\}.*\z")
+
+
+def same_lines(a: Column, b: Column) -> Column:
+    """Equal but for white space at the ends of the texts and of their lines."""
+    lines = lambda x: F.array_join(F.transform(F.split(strip(x), "\n"), strip), "\n")
+    return lines(a) == lines(b)

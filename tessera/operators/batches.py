@@ -2,30 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import cut
+from tessera.sources.shared import cut, free
+
+
+def ranged(df: DataFrame, order: list[str], id_: str) -> DataFrame:
+    """``df`` in range partitions by columns that tell all rows apart, with the partition and the place in it in ``id_``.
+
+    The partitions are written once, as ranges are drawn from samples and
+    would not be the same a second time.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # The id holds the partition in its upper bits and the row's place in the lower 33.
+    return cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(id_, F.monotonically_increasing_id()))
 
 
 def number(df: DataFrame, order: list[str], name: str = "k") -> DataFrame:
     """Adds the place of each row, from 0, by columns that tell all rows apart.
 
     Rows are range-partitioned and numbered within their partitions; what
-    stands before a partition is added up, so that no task gets all rows. The
-    numbered partitions are written once, as ranges are drawn from samples and
-    would not be the same a second time.
+    stands before a partition is added up, so that no task gets all rows.
     """
-    spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    # The id holds the partition in its upper bits and the row's place in the lower 33.
-    marked = cut(ranged.withColumn("__id", F.monotonically_increasing_id()))
-    part = F.shiftright("__id", 33)
-    counts = marked.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    place = F.col("__b") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    return marked.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn(name, place).drop("__p", "__b", "__id")
+    id_, part, n, before = free(df, "id", "part", "n", "before")
+    marked = ranged(df, order, id_).withColumn(part, F.shiftright(id_, 33))
+    counts = marked.groupBy(part).agg(F.count(F.lit(1)).alias(n))
+    upto = counts.select(part, F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    place = F.col(before) + F.col(id_).bitwiseAND(F.lit((1 << 33) - 1))
+    return marked.join(F.broadcast(upto), part).withColumn(name, place).select(*df.columns, name)
+
+
+def running(df: DataFrame, order: list[str], value: Column, name: str, largest: bool = False) -> DataFrame:
+    """Adds the sum, or the largest, of ``value`` up to each row by columns that tell all rows apart.
+
+    As in :func:`number` partitions are reduced by themselves and only their
+    results, one row each, are put in one place.
+    """
+    reduce = F.max if largest else F.sum
+    id_, part, x, before = free(df, "id", "part", "x", "before")
+    marked = ranged(df.withColumn(x, value), order, id_).withColumn(part, F.shiftright(id_, 33))
+    totals = marked.groupBy(part).agg(reduce(x).alias(before))
+    upto = totals.select(part, reduce(before).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)).alias(before))
+    own = reduce(x).over(Window.partitionBy(part).orderBy(id_).rowsBetween(Window.unboundedPreceding, 0))
+    full = F.greatest(own, before) if largest else F.coalesce(F.col(before), F.lit(0)) + own
+    return marked.join(F.broadcast(upto), part).withColumn(name, full).select(*df.columns, name)
+
+
+def place_in_group(df: DataFrame, group: str, order: list[str], name: str = "place") -> DataFrame:
+    """Adds the place of each row in its group, from 0; a group may hold most of all rows."""
+    (first,) = free(df, "first")
+    numbered = number(df, [group, *order], name)
+    starts = numbered.groupBy(F.col(group).alias(f"{first}_group")).agg(F.min(name).alias(first))
+    joined = numbered.join(starts, F.col(group).eqNullSafe(F.col(f"{first}_group")))
+    return joined.select(*df.columns, (F.col(name) - F.col(first)).alias(name))
 
 
 def take(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -98,3 +128,96 @@ def unite(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     for c in shared:
         joined = joined.withColumn(c, F.when(F.col(c).eqNullSafe(F.col(f"__{c}")), F.col(c)).otherwise(F.raise_error(F.lit(f"{c} differs"))))
     return joined.drop(*[f"__{c}" for c in shared])
+
+
+def from_columns(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    """Rows of lists of equal length, numbered by ``k``; raises if lengths differ or columns aren't those of the schema."""
+    lengths = {c: len(v) for c, v in columns.items()}
+    if len(set(lengths.values())) > 1:
+        raise ValueError(f"columns differ in length: {lengths}")
+    names = [part.split()[0] for part in schema.split(", ")]
+    if set(names) != set(columns):
+        raise ValueError(f"columns are {sorted(columns)}, the schema has {names}")
+    rows = [(k, *row) for k, row in enumerate(zip(*(columns[c] for c in names), strict=True))]
+    return spark.createDataFrame(rows, f"k long, {schema}")
+
+
+def check_lengths(df: DataFrame, arrays: list[str]) -> DataFrame:
+    """``df``, raising at the first row whose arrays differ in length."""
+    same = reduce_and([F.size(arrays[0]) == F.size(a) for a in arrays[1:]])
+    first = F.when(same, F.col(arrays[0])).otherwise(F.raise_error(F.lit(f"{', '.join(arrays)} differ in length")))
+    return df.withColumn(arrays[0], first)
+
+
+def reduce_and(conditions: list[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
+def collate(numbered: DataFrame, size: int, columns: list[str], name: str = "k") -> DataFrame:
+    """Batches of ``size`` rows as one row each with a list for each column, in order: ``(batch, n, columns)``.
+
+    Lists have ``size`` elements at most.
+    """
+    out = fold(numbered, size, columns, name)
+    return out.select(F.col("row").alias("batch"), F.size(columns[0]).alias("n"), *columns)
+
+
+def save(df: DataFrame, path: str, meta: dict[str, str] | None = None) -> None:
+    """Writes a batch as Parquet, with its meta information beside it."""
+    df.write.mode("overwrite").parquet(f"{path}/rows")
+    pairs = [(k, v) for k, v in sorted((meta or {}).items())]
+    df.sparkSession.createDataFrame(pairs, "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    """What :func:`save` has written: rows and meta information."""
+    return spark.read.parquet(f"{path}/rows"), {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/meta").toLocalIterator()}
+
+
+def pop(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the named columns, all others); raises for a name that isn't there."""
+    lacking = [c for c in columns if c not in df.columns]
+    if lacking:
+        raise ValueError(f"there is no {', '.join(lacking)}")
+    return df.select(*columns), df.drop(*columns)
+
+
+def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns under new names; raises for a name that isn't there."""
+    lacking = [c for c in names if c not in df.columns]
+    if lacking:
+        raise ValueError(f"there is no {', '.join(lacking)}")
+    return df.withColumnsRenamed(names)
+
+
+def concat(parts: list[DataFrame], name: str | None = None) -> DataFrame:
+    """All rows, columns by name; ``name`` numbers the parts."""
+    numbered = [p if name is None else p.withColumn(name, F.lit(i)) for i, p in enumerate(parts)]
+    out = numbered[0]
+    for p in numbered[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def reverse(numbered: DataFrame, n: int, name: str = "k") -> Column:
+    """Places from the end."""
+    return F.lit(n) - 1 - F.col(name)
+
+
+def inverse(permutation: DataFrame, target: str, source: str) -> DataFrame:
+    """The permutation that undoes ``(source -> target)``."""
+    return permutation.select(F.col(target).alias(source), F.col(source).alias(target))
+
+
+def mini_batches(numbered: DataFrame, size: int, epochs: int, name: str = "k") -> DataFrame:
+    """Each row once for each epoch, with ``epoch`` and ``batch``."""
+    each = numbered.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    return each.withColumn("batch", F.floor(F.col(name) / size))
+
+
+def differing(df: DataFrame, a: Column, b: Column) -> DataFrame:
+    """One row: rows, and how many of them have different values; nulls and NaNs are equal to their like."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~a.eqNullSafe(b)).alias("different"))

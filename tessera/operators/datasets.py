@@ -56,3 +56,36 @@ def shuffle_choices(rows: DataFrame, key: str, choices: str, seed: int) -> DataF
 def split_by_place(numbered: DataFrame, n: int, share: float, place: str = "k") -> DataFrame:
     """Adds ``split``: the first share of the rows is for training."""
     return numbered.withColumn("split", F.when(F.col(place) < int(n * share), "train").otherwise("test"))
+
+
+def first_known(fields: dict[str, Column], default: str) -> Column:
+    """``struct<value, origin>``: the first field that is known, and its name; else the default."""
+    value = F.coalesce(*fields.values(), F.lit(default))
+    origin = F.coalesce(*[F.when(x.isNotNull(), F.lit(n)) for n, x in fields.items()], F.lit("default"))
+    return F.struct(value.alias("value"), origin.alias("origin"))
+
+
+def loss_mask(prompt: Column, response: Column) -> Column:
+    """0 for each token of the prompt, 1 for each of the response."""
+    return F.concat(F.array_repeat(F.lit(0), prompt), F.array_repeat(F.lit(1), response))
+
+
+def choice_record(query: Column, choices: list[Column], label: Column) -> Column:
+    """``struct<query, choices, label>`` of a question with choices."""
+    return F.struct(query.alias("query"), F.array(*choices).alias("choices"), label.alias("label"))
+
+
+def both_answers(pairs: DataFrame, keys: list[str], chosen: str, rejected: str) -> DataFrame:
+    """``(keys, kind, response)``: the chosen and the rejected answer of each pair as rows."""
+    return pairs.unpivot(keys, [chosen, rejected], "kind", "response").withColumn("kind", F.when(F.col("kind") == chosen, "chosen").otherwise("rejected"))
+
+
+def within_dates(rows: DataFrame, column: str, first: str, last: str) -> DataFrame:
+    """Rows whose time is from the first day's to the last day's start, which reaches the scan as a filter."""
+    kind = dict(rows.dtypes)[column]
+    return rows.where(F.col(column).between(F.lit(first).cast(kind), F.lit(last).cast(kind)))
+
+
+def last_turns(turns: DataFrame, conversation: str, turn: str, role: str) -> DataFrame:
+    """``(conversation, last_turn, last_role, turns)``."""
+    return turns.groupBy(conversation).agg(F.max(turn).alias("last_turn"), F.max_by(role, turn).alias("last_role"), F.count(F.lit(1)).alias("turns"))

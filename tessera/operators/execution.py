@@ -6,12 +6,15 @@ run in Arrow batches, each with a deadline; failures are data.
 
 from __future__ import annotations
 
+import hashlib
 import sqlite3
 import time
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -20,6 +23,8 @@ from tessera.functions import text as T
 TIMEOUT, FETCH, SHOWN = 20.0, 30, 300
 #: Virtual machine steps between two looks at the clock.
 STEPS = 10_000
+#: Rows of a result that are read at once and at most, and digests of results that a task remembers.
+PIECE, MOST, KEPT = 10_000, 5_000_000, 100_000
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -28,8 +33,23 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return differ.agg((F.count(F.lit(1)) == 0).alias("same"))
 
 
-def run_sqlite(path: str, sql: str, timeout: float = TIMEOUT, fetch: int | None = None) -> tuple[str, list | None, str]:
-    """(status, rows, detail): ok, timeout, error, or db_not_found; rows only if ok. The file is opened read-only."""
+def digest(cursor: sqlite3.Cursor) -> bytes:
+    """A digest of the set of a result's rows: their order and repeats don't count, 1 and 1.0 are equal."""
+    found, n = np.zeros((0, 2), np.int64), 0
+    while rows := cursor.fetchmany(PIECE):
+        n += len(rows)
+        if n > MOST:
+            raise sqlite3.Error(f"the result has more than {MOST} rows")
+        new = np.array([(hash(r), hash((r, 1))) for r in rows], np.int64)
+        found = np.unique(np.concatenate([found, new]), axis=0)
+    return hashlib.sha256(found.tobytes()).digest()
+
+
+def run_sqlite(path: str, sql: str, timeout: float = TIMEOUT, fetch: int | None = None, read: Callable[[sqlite3.Cursor], object] | None = None) -> tuple[str, object, str]:
+    """(status, rows, detail): ok, timeout, error, or db_not_found; rows, or what ``read`` makes of them, only if ok.
+
+    The file is opened read-only.
+    """
     try:
         db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
     except sqlite3.Error as e:
@@ -39,6 +59,8 @@ def run_sqlite(path: str, sql: str, timeout: float = TIMEOUT, fetch: int | None
     db.text_factory = lambda b: b.decode("utf-8", "replace")
     try:
         cursor = db.execute(sql)
+        if read is not None:
+            return "ok", read(cursor), ""
         return "ok", cursor.fetchall() if fetch is None else cursor.fetchmany(fetch), ""
     except sqlite3.OperationalError as e:
         if "unable to open" in str(e):
@@ -74,21 +96,29 @@ def execute(rows: DataFrame, path: str, sql: str, timeout: float = TIMEOUT, fetc
 
 
 def compare(rows: DataFrame, path: str, predicted: str, gold: str, timeout: float = 5.0) -> DataFrame:
-    """Adds ``correct``: whether both queries of a row have the same set of result rows. Gold results are kept for a task."""
+    """Adds ``correct``: whether both queries of a row have the same set of result rows.
+
+    Results are read in pieces and kept as digests only; of the gold ones the
+    last KEPT used are remembered by a task. A result of more than MOST rows
+    counts as none.
+    """
     n_path, n_pred, n_gold = (rows.columns.index(c) for c in (path, predicted, gold))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple[str, str], frozenset | None] = {}
+        known: OrderedDict[tuple[str, str], bytes | None] = OrderedDict()
 
-        def results(p: str, s: str) -> frozenset | None:
-            status, got, _ = run_sqlite(p, s, timeout)
-            return frozenset(got) if status == "ok" else None
+        def results(p: str, s: str) -> bytes | None:
+            status, got, _ = run_sqlite(p, s, timeout, read=digest)
+            return got if status == "ok" else None
 
         for pdf in batches:
             said = []
             for p, s, g in zip(pdf.iloc[:, n_path], pdf.iloc[:, n_pred], pdf.iloc[:, n_gold], strict=True):
                 if (p, g) not in known:
                     known[p, g] = results(p, g)
+                known.move_to_end((p, g))
+                if len(known) > KEPT:
+                    known.popitem(last=False)
                 said.append(known[p, g] is not None and s is not None and results(p, s) == known[p, g])
             yield pdf.assign(correct=said)
 
@@ -108,17 +138,54 @@ def rewards(completion: Column, correct: Column) -> Column:
     return F.struct(form.alias("format"), run.alias("exec"), (form + 3 * run).alias("score"), (run > 0).alias("acc_exec"), ((form > 0) & (run > 0)).alias("acc_strict"))
 
 
-def scores_by(function: Callable[[str | None, str | None], float], answer: Column, truth: Column) -> Column:
-    """A Python scorer as a column: pairs for which it fails have 0.0."""
+def scored(function: Callable[[str | None, str | None], float], answer: Column, truth: Column) -> Column:
+    """A Python scorer as ``struct<score, error>``: pairs for which it fails have 0.0 and what went wrong."""
 
-    @F.pandas_udf("double")
-    def run(a: pd.Series, t: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf("score double, error string")
+    def run(a: pd.Series, t: pd.Series) -> pd.DataFrame:
+        out: list[tuple[float, str | None]] = []
         for x, y in zip(a, t, strict=True):
             try:
-                out.append(float(function(x, y)))
-            except Exception:  # noqa: BLE001  a scorer's failure is a score of nothing
-                out.append(0.0)
-        return pd.Series(out, dtype="float64")
+                out.append((float(function(x, y)), None))
+            except Exception as e:  # noqa: BLE001  a scorer's failure is a score of nothing
+                out.append((0.0, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["score", "error"])
 
     return run(answer, truth)
+
+
+def scores_by(function: Callable[[str | None, str | None], float], answer: Column, truth: Column) -> Column:
+    """The scores of :func:`scored`."""
+    return scored(function, answer, truth)["score"]
+
+
+#: Ways to reward completions, by name: (completion, answer, truth) -> score.
+MANAGERS: dict[str, Callable[[Column, Column, Column], Column]] = {
+    "format": lambda completion, answer, truth: T.format_reward(completion),
+    "result": lambda completion, answer, truth: answer.eqNullSafe(truth).cast("double"),
+    "format_and_result": lambda completion, answer, truth: rewards(completion, answer.eqNullSafe(truth))["score"],
+}
+
+
+def reward(manager: str, completion: Column, answer: Column, truth: Column) -> Column:
+    """The score by a manager's name; raises for others than MANAGERS has."""
+    if manager not in MANAGERS:
+        raise ValueError(f"no such reward manager: {manager}; there are {', '.join(MANAGERS)}")
+    return MANAGERS[manager](completion, answer, truth)
+
+
+def by_source(source: Column, scorers: dict[str, Column]) -> Column:
+    """The score of a row's source; raises for a source that has no scorer."""
+    out = F.raise_error(F.concat(F.lit("no scorer for "), F.coalesce(source, F.lit("null")))).cast("double")
+    for name, score in scorers.items():
+        out = F.when(source == name, score.cast("double")).otherwise(out)
+    return out
+
+
+def tool_rewards(steps: DataFrame, instance: str, step: str, score: str, penalty: float = -0.05) -> DataFrame:
+    """Adds ``tool_reward`` to the calls of a scoring tool: nothing for a call that does better than the one before it, else a penalty.
+
+    Before the first call an instance's score is 0.
+    """
+    before = F.lag(score, 1, 0.0).over(Window.partitionBy(instance).orderBy(step))
+    return steps.withColumn("tool_reward", F.when(F.col(score) > before, 0.0).otherwise(F.lit(float(penalty))))

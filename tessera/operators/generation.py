@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -28,21 +30,75 @@ def stub(prompts: list[str]) -> list[str]:
     return out
 
 
-def complete(rows: DataFrame, prompt: str, answer: str, make: Callable[[], TextGenerator] = lambda: stub) -> DataFrame:
-    """Adds the generator's answers; a batch for which it fails has nulls."""
+class Retrying:
+    """A generator that asks again: waits double each time, and endpoints take turns; the last failure is raised."""
+
+    def __init__(self, endpoints: list[TextGenerator], tries: int = 3, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep):
+        if not endpoints or tries < 1:
+            raise ValueError("an endpoint and a try are needed")
+        self.endpoints, self.tries, self.wait, self.sleep, self.turn = endpoints, tries, wait, sleep, 0
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        for k in range(self.tries):
+            ask = self.endpoints[self.turn % len(self.endpoints)]
+            self.turn += 1
+            try:
+                said = ask(prompts)
+                if len(said) != len(prompts):
+                    raise ValueError(f"{len(said)} answers to {len(prompts)} prompts")
+                return said
+            except Exception:
+                if k + 1 == self.tries:
+                    raise
+                self.sleep(self.wait * 2**k)
+        raise AssertionError
+
+
+def structured(generate: TextGenerator, prompts: list[str], check: Callable[[dict], str | None], tries: int = 3) -> list[tuple[dict | None, str | None]]:
+    """(value, error) for each prompt: a JSON object that ``check`` has nothing against.
+
+    What is wrong with an answer is told in the next try's prompt; after the
+    last try the error stays.
+    """
+    out: list[tuple[dict | None, str | None]] = [(None, None)] * len(prompts)
+    left, asked = list(range(len(prompts))), list(prompts)
+    for _ in range(tries):
+        if not left:
+            break
+        for i, said in zip(list(left), generate([asked[i] for i in left]), strict=True):
+            value = None
+            try:
+                value = json.loads(said)
+                wrong = check(value) if isinstance(value, dict) else "no object"
+            except ValueError as e:
+                wrong = f"no JSON: {e}"
+            out[i] = (None, wrong) if wrong else (value, None)
+            asked[i] = f"{prompts[i]}\n\nThe last answer was not accepted: {wrong}"
+        left = [i for i in left if out[i][1] is not None]
+    return out
+
+
+def complete(rows: DataFrame, prompt: str, answer: str, make: Callable[[], TextGenerator] = lambda: stub, error: str | None = None) -> DataFrame:
+    """Adds the generator's answers; a batch for which it fails has nulls, and what went wrong in ``error``, if that is named."""
     place = rows.columns.index(prompt)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generate = make()
         for pdf in batches:
+            wrong = None
             try:
                 said = generate(pdf.iloc[:, place].tolist())
-            except Exception:  # noqa: BLE001  a failed call is a missing answer
-                said = [None] * len(pdf)
-            yield pdf.assign(**{answer: said})
+            except Exception as e:  # noqa: BLE001  a failed call is a missing answer
+                said, wrong = [None] * len(pdf), f"{type(e).__name__}: {e}"
+            yield pdf.assign(**{answer: said} | ({error: [wrong] * len(pdf)} if error else {}))
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    return rows.mapInPandas(run, f"{schema}, `{answer}` string")
+    return rows.mapInPandas(run, f"{schema}, `{answer}` string" + (f", `{error}` string" if error else ""))
+
+
+def error_summary(rows: DataFrame, kind: str) -> DataFrame:
+    """One row: how many errors there are, and their kinds in order; kinds are few."""
+    return rows.agg(F.count(F.lit(1)).alias("errors"), F.array_sort(F.collect_set(kind)).alias("kinds"))
 
 
 def in_rounds(pending: DataFrame, key: str, attempt: Callable[[DataFrame, int], DataFrame], rounds: int, target: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -9,12 +9,24 @@ from tessera.functions import arrays as A
 
 #: Keeps a mean over nothing from dividing by zero.
 EPSILON = 1e-8
+#: Bins of a histogram that an order statistic is looked for in.
+BINS = 4096
 
 
 def masked_mean(value: Column, mask: Column) -> Column:
     return F.sum(value * mask) / (F.sum(mask) + EPSILON)
 
 
+def weighted_mean(value: Column, weight: Column) -> Column:
+    """The mean of values that count by their weights; null if nothing counts."""
+    return F.try_divide(F.sum(value * weight), F.sum(weight))
+
+
+def clip(value: Column, low: Column, high: Column) -> Column:
+    """The value within its bounds, which may be columns."""
+    return F.greatest(F.least(value, high), low)
+
+
 def aggregate_loss(rows: DataFrame, loss: str, mask: str, mode: str, width: int | None = None) -> DataFrame:
     """One row ``loss`` of rows with arrays of token losses and a mask.
 
@@ -60,11 +72,16 @@ def value_loss(tokens: DataFrame, predicted: Column, target: Column, old: Column
 
 
 def masked_moments(tokens: DataFrame, value: Column, mask: Column) -> DataFrame:
-    """One row ``(mean, var)`` over what the mask has, with Bessel's correction; null for fewer than two."""
-    n, s, q = F.sum(mask), F.sum(mask * value), F.sum(mask * value * value)
-    mean = s / (n + EPSILON)
-    var = (q - 2 * mean * s + mean * mean * n) / (n + EPSILON) * n / F.nullif(n - 1, F.lit(0.0))
-    return tokens.agg(mean.alias("mean"), F.when(n > 1, var).alias("var"))
+    """One row ``(mean, var)`` of values that count as often as the mask says, with Bessel's correction.
+
+    ``var`` is null for fewer than two. The data is read twice: squares are
+    those of deviations from the mean, so that large means do no harm.
+    """
+    first = tokens.agg(F.sum(mask).cast("double").alias("__n"), (F.sum(mask * value) / (F.sum(mask) + EPSILON)).alias("__mean"))
+    off = value - F.col("__mean")
+    both = tokens.join(F.broadcast(first)).agg(F.first("__n").alias("n"), F.first("__mean").alias("mean"), F.sum(mask * off * off).alias("q"))
+    var = F.col("q") / (F.col("n") + EPSILON) * F.try_divide(F.col("n"), F.col("n") - 1)
+    return both.select("mean", F.when(F.col("n") > 1, var).alias("var"))
 
 
 def whiten(tokens: DataFrame, value: str, mask: str) -> DataFrame:
@@ -86,11 +103,31 @@ def sft_loss(tokens: DataFrame, version: str) -> DataFrame:
 
 
 def order_statistic(values: DataFrame, column: str, k: int) -> float | None:
-    """The k-th smallest value (from 1), found from counts of each different value."""
-    counts = values.groupBy(column).count()
-    running = counts.withColumn("upto", F.sum("count").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)))
-    found = running.where(F.col("upto") >= k).agg(F.min(column).alias("v")).head()
-    return found["v"]
+    """The k-th smallest value (from 1); null if there are fewer. Nulls and NaNs don't count.
+
+    A histogram of BINS equal bins tells which bin has it, the next one parts
+    that bin, until it holds one value: a few passes, and no task or driver
+    ever has more than BINS counts.
+    """
+    x = F.col(column).cast("double")
+    known = values.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    ends = known.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("n")).head()
+    low, high, below = ends["low"], ends["high"], 0
+    if ends["n"] < k:
+        return None
+    while low < high:
+        width = (high - low) / BINS
+        inside = known.where(F.col("x").between(low, high))
+        if low + width > low and high - width < high:
+            bin_ = F.least(F.floor((F.col("x") - low) / width), F.lit(BINS - 1))
+        else:  # so few numbers lie between that each is a bin
+            bin_ = F.col("x")
+        for r in inside.groupBy(bin_.alias("b")).agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("b").toLocalIterator():
+            if below + r["n"] >= k:
+                low, high = r["low"], r["high"]
+                break
+            below += r["n"]
+    return low
 
 
 def entropy_band_loss(tokens: DataFrame, low: float, high: float) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import batches
+
 
 def reduce_metrics(metrics: DataFrame) -> DataFrame:
     """``(key, value)`` rows to one for each key: the maximum if its name has "max", else the minimum if "min", else the mean."""
@@ -76,6 +78,38 @@ def flops(rows: DataFrame, group: str, length: str, params: int, head_dim: int,
     return rows.groupBy(group).agg(((dense + attention) / 1e12).alias("tflops"))
 
 
-def running_best(rows: DataFrame, step: str, value: str) -> Column:
-    """The largest value so far; steps are few."""
-    return F.max(value).over(Window.orderBy(step).rowsBetween(Window.unboundedPreceding, 0))
+def running_best(rows: DataFrame, step: str, value: str) -> DataFrame:
+    """Adds ``best``, the largest value up to each step, and ``saves``: the step reaches it. Steps tell rows apart."""
+    return batches.running(rows, [step], F.col(value), "best", largest=True).withColumn("saves", F.col(value) >= F.col("best"))
+
+
+def record(metrics: DataFrame, path: str) -> None:
+    """Appends ``metrics(step, key, value)`` to the table of a run: what watches a run reads it as a stream or a table."""
+    metrics.select(F.col("step").cast("long"), F.col("key").cast("string"), F.col("value").cast("double")).write.mode("append").parquet(path)
+
+
+def recorded(spark: SparkSession, path: str) -> DataFrame:
+    """``(step, key, value)`` of a run: of repeated records of a step and key the largest value counts."""
+    return spark.read.parquet(path).groupBy("step", "key").agg(F.max("value").alias("value"))
+
+
+def by_source(rows: DataFrame, source: str, prompt: str, reward: str, length: str) -> DataFrame:
+    """``(source, score, length, prompts)``: means of each prompt's rows, averaged over the prompts of a source."""
+    each = rows.groupBy(prompt, F.col(source).alias("source")).agg(F.avg(reward).alias("mean"), F.avg(length).alias("len"))
+    return each.groupBy("source").agg(F.avg("mean").alias("score"), F.avg("len").alias("length"), F.count(F.lit(1)).alias("prompts"))
+
+
+def throughput(rows: DataFrame, length: str, seconds: float, workers: int) -> DataFrame:
+    """One row ``(tokens, per_second)``: all tokens, and those of one worker in a second."""
+    return rows.agg(F.sum(length).cast("long").alias("tokens"), (F.sum(length) / (seconds * workers)).alias("per_second"))
+
+
+def balance(rows: DataFrame, part: str, length: str) -> DataFrame:
+    """One row ``(min, max, diff, mean)`` of the parts' total lengths."""
+    totals = rows.groupBy(part).agg(F.sum(length).alias("n"))
+    return totals.agg(F.min("n").alias("min"), F.max("n").alias("max"), (F.max("n") - F.min("n")).alias("diff"), F.avg("n").alias("mean"))
+
+
+def moments(rows: DataFrame, value: str) -> DataFrame:
+    """One row ``(mean, max, min, std)`` over all partitions."""
+    return rows.agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"), F.stddev_samp(value).alias("std"))

@@ -35,14 +35,23 @@ def pool(rows: DataFrame, skeleton: str, index: str, firsts: list[str], sources:
 
 
 def entries(rows: DataFrame, skeleton: str, fields: list[str], order: str) -> DataFrame:
-    """``(fid, skeleton, count, entries)`` of the skeletons that aren't blank, with ids by skeleton.
+    """``(fid, skeleton, count, place, order, fields...)``: the entries of the skeletons that aren't blank, one row each.
 
-    The list of all entries is what is asked for here; for large groups join
-    rows by skeleton instead, as ``operators.retrieval.rank_candidates`` does.
+    Skeletons have ids in their order, and a skeleton's entries places by
+    ``order``, which tells rows apart: a skeleton that most rows have is no
+    list in one place.
     """
-    kept = rows.where(F.trim(F.col(skeleton)) != "")
-    grouped = kept.groupBy(F.col(skeleton).alias("skeleton")).agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_list(F.struct(order, *fields))).alias("entries"))
-    return batches.number(grouped, ["skeleton"], "fid")
+    kept = rows.where(F.trim(F.col(skeleton)) != "").select(F.col(skeleton).alias("skeleton"), order, *fields)
+    groups = batches.number(kept.groupBy("skeleton").agg(F.count(F.lit(1)).alias("count")), ["skeleton"], "fid")
+    placed = batches.place_in_group(kept, "skeleton", [order])
+    return placed.join(groups, "skeleton").select("fid", "skeleton", "count", "place", order, *fields)
+
+
+def demonstrations(rows: DataFrame, group: str, order: str, failed: str) -> DataFrame:
+    """Adds ``demos`` and the number of ``failed`` ones of the row's group, and its ``place`` in it; ``order`` tells rows apart."""
+    counts = rows.groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).alias("demos"), F.count_if(F.col(failed)).alias("__failed"))
+    placed = batches.place_in_group(rows.drop(failed), group, [order])
+    return placed.join(counts, F.col(group).eqNullSafe(F.col("__group"))).withColumnRenamed("__failed", failed).drop("__group")
 
 
 def frequency_profile(pool_: DataFrame, digits: int = 4) -> DataFrame:
@@ -142,3 +151,35 @@ def stratified_quota(candidates: DataFrame, weights: list[float], budget: int, s
     left = budget - taken.count()
     rest = candidates.select("idx").distinct().join(taken, "idx", "left_anti")
     return taken.unionByName(rest.orderBy(*order).limit(max(0, left)).withColumn("rank", F.lit(-1)))
+
+
+def sample_rest(rows: DataFrame, taken: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows of those whose key isn't taken yet."""
+    return sample_exact(rows.join(taken.select(key).distinct(), key, "left_anti"), key, n, seed)
+
+
+def budget_split(used: Column, budget: int, share: float) -> tuple[Column, Column]:
+    """(what is left of a budget, how much of that is drawn at random)."""
+    left = F.greatest(F.lit(0), F.lit(budget) - used)
+    return left, F.floor(left * share)
+
+
+def output_stats(rows: DataFrame, kind: str, key: str) -> DataFrame:
+    """``(kind, n, distinct)``: rows and different keys of each kind."""
+    return rows.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("distinct"))
+
+
+def percentiles(rows: DataFrame, value: str, at: list[float]) -> DataFrame:
+    """``(p, value)`` for each percentile, exactly."""
+    one = rows.agg(F.percentile(value, F.array(*[F.lit(p / 100) for p in at])).alias("v"))
+    return one.select(F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in at]).alias("p"), F.col("v").alias("value"))).alias("x")).select("x.p", "x.value")
+
+
+def above_edges(rows: DataFrame, edges: DataFrame, value: str, key: str, n: int) -> DataFrame:
+    """For each of a few ``edges(p, edge)`` the n rows with the largest values at or above it."""
+    return first_n_by_group(rows.join(F.broadcast(edges), F.col(value) >= F.col("edge")), "p", [F.desc(F.round(value, 12)), key], n)
+
+
+def compact(rows: DataFrame, keys: list[str], texts: dict[str, tuple[Column, int]]) -> DataFrame:
+    """Keys, and texts cut to their first characters, for a report."""
+    return rows.select(*keys, *[F.substring(x, 1, n).alias(name) for name, (x, n) in texts.items()])

@@ -61,3 +61,19 @@ def full_batches(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     """Adds ``batch``; rows beyond the last full one go."""
     n = rows.count() // size
     return batches.number(rows, order).withColumn("batch", F.floor(F.col("k") / size)).where(F.col("batch") < n).drop("k")
+
+
+def structural(categories: DataFrame, id_: str, wanted: range) -> DataFrame:
+    """The categories of errors that concern a query's structure."""
+    return categories.where(F.col(id_).between(wanted.start, wanted.stop - 1))
+
+
+def diagnosis_stats(diagnoses: DataFrame, category: str, wanted: range) -> DataFrame:
+    """One row: diagnoses, those of structural errors, and the others."""
+    s = F.col(category).between(wanted.start, wanted.stop - 1)
+    return diagnoses.agg(F.count(F.lit(1)).alias("diagnosed"), F.count_if(s).alias("structural"), F.count_if(~s).alias("other"))
+
+
+def first_epochs(rows: DataFrame, key: str, epoch: str) -> DataFrame:
+    """``(key, epoch)``: each row in the first epoch that has it; later ones exclude it."""
+    return rows.groupBy(key).agg(F.min(epoch).alias(epoch))

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import batches
+from tessera.operators.losses import masked_moments
+
 #: Reward of a rollout that is right in format and result.
 SOLVED = 4.0
 EPSILON = 1e-6
@@ -82,22 +85,10 @@ def opo(rollouts: DataFrame, length: str = "n_tokens") -> DataFrame:
     return rollouts.withColumn("advantage", r - base)
 
 
-def whitening(df: DataFrame, value: Column, weight: Column, eps: float = 1e-8) -> DataFrame:
-    """One row ``(mean, var)`` of values that count ``weight`` times, with Bessel's correction.
-
-    The deviations are summed by moments around one value of the data, so that
-    one pass is enough and large means do no harm.
-    """
-    n, s, q = F.sum(weight), F.sum(weight * value), F.sum(weight * value * value)
-    mean = s / (n + eps)
-    biased = (q - 2 * mean * s + mean * mean * n) / (n + eps)
-    return df.agg(mean.alias("mean"), (biased * n / (n - 1)).alias("var"))
-
-
 def reinforce_baseline(rollouts: DataFrame, length: str = "n_tokens") -> DataFrame:
-    """Adds ``advantage``: reward less the group's mean, whitened over all tokens of the batch."""
+    """Adds ``advantage``: reward less the group's mean, whitened over all tokens of the batch; null for a batch of one token."""
     centred = rollouts.withColumn("__c", F.col("reward") - F.when(F.count(F.lit(1)).over(by("uid")) == 1, 0.0).otherwise(F.avg("reward").over(by("uid"))))
-    m = whitening(centred, F.col("__c"), F.col(length))
+    m = masked_moments(centred, F.col("__c"), F.col(length))
     return centred.join(F.broadcast(m)).withColumn("advantage", (F.col("__c") - F.col("mean")) / F.sqrt(F.col("var") + 1e-8)).drop("__c", "mean", "var")
 
 
@@ -181,3 +172,50 @@ def kl_estimate(logp: Column, ref: Column, kind: str) -> Column:
         k = F.exp(-d) + d - 1
         return F.greatest(F.least(k, F.lit(10.0)), F.lit(-10.0))
     raise ValueError(f"no such estimate: {kind}")
+
+
+def adaptive_kl(steps: DataFrame, order: list[str], kl: str, n: str, start: float, target: float, horizon: float) -> DataFrame:
+    """Adds ``beta``, the coefficient of an adaptive controller after each step.
+
+    A step multiplies the coefficient by 1 plus its clipped error, which does
+    not depend on the coefficient: the product up to a step is a running sum
+    of logarithms, counts of negative factors and of zeros.
+    """
+    error = F.greatest(F.least(F.col(kl) / target - 1, F.lit(0.2)), F.lit(-0.2))
+    factor = 1 + error * F.col(n) / horizon
+    parts = {"__log": F.when(factor != 0, F.log(F.abs(factor))).otherwise(0.0), "__odd": (factor < 0).cast("long"), "__zero": (factor == 0).cast("long")}
+    out = steps
+    for name, part in parts.items():
+        out = batches.running(out, order, part, name)
+    sign = F.when(F.col("__zero") > 0, 0.0).when(F.col("__odd") % 2 == 1, -1.0).otherwise(1.0)
+    return out.withColumn("beta", sign * start * F.exp("__log")).drop(*parts)
+
+
+def kl_controller(kind: str, steps: DataFrame, order: list[str], kl: str, n: str, start: float, target: float = 0.1, horizon: float = 10_000.0) -> DataFrame:
+    """Adds ``beta`` by the controller's name: ``fixed`` or ``adaptive``."""
+    if kind == "fixed":
+        return steps.withColumn("beta", F.lit(float(start)))
+    if kind == "adaptive":
+        if horizon <= 0:
+            raise ValueError("the horizon must be larger than 0")
+        return adaptive_kl(steps, order, kl, n, start, target, horizon)
+    raise ValueError(f"no such controller: {kind}")
+
+
+#: Estimators of advantages of whole rollouts, by name.
+ESTIMATORS = {
+    "grpo": lambda df: grpo(df),
+    "grpo_no_std": lambda df: grpo(df, with_std=False),
+    "grpo_passk": lambda df: pass_at_k(df),
+    "rloo": lambda df: rloo(df),
+    "opo": lambda df: opo(df),
+    "reinforce_plus_plus_baseline": lambda df: reinforce_baseline(df),
+    "soft": lambda df: soft_advantage(df),
+}
+
+
+def advantage(rollouts: DataFrame, estimator: str, allowed: tuple[str, ...] = tuple(ESTIMATORS)) -> DataFrame:
+    """Adds ``advantage`` by an estimator's name; raises for others than the allowed ones."""
+    if estimator not in allowed or estimator not in ESTIMATORS:
+        raise ValueError(f"no such estimator: {estimator}; there are {', '.join(x for x in ESTIMATORS if x in allowed)}")
+    return ESTIMATORS[estimator](rollouts)

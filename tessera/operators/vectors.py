@@ -15,6 +15,8 @@ from tessera.sources.shared import cut
 
 #: Vectors of a block: a task multiplies two blocks.
 BLOCK = 4096
+#: Chosen vectors after which blocks are written anew.
+REFRESH = 16
 #: Dimensions of the built-in embedding.
 DIMENSIONS = 64
 
@@ -65,7 +67,7 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, k: int, same: bool =
     task of its own and sends k candidates a query, of which the best k are
     kept. Ties go to the smaller id. ``same``: a vector is not its own
     neighbour. Work is the number of queries times that of the base: for large
-    bases pass a sample as queries, or candidates from an index.
+    bases ask ``operators.index``.
     """
     n_base, n_queries = max(1, -(-base.count() // block)), max(1, -(-queries.count() // block))
     left = cut(blocks(queries, key, n_queries)).select(F.col("block").alias("q"), F.col("ids").alias("qi"), F.col("matrix").alias("qm"))
@@ -84,7 +86,7 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, k: int, same: bool =
                     s = qm[at : at + 512] @ bm.T
                     if same:
                         s[part[:, None] == bi[None, :]] = -np.inf
-                    order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    order = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :k]  # ties go to the smaller id
                     value = np.take_along_axis(s, order, 1)
                     keep = np.isfinite(value)
                     yield pd.DataFrame({"query": np.repeat(part, order.shape[1])[keep.ravel()], "neighbour": bi[order].ravel()[keep.ravel()], "similarity": value.ravel()[keep.ravel()]})
@@ -120,8 +122,10 @@ def farthest_first(candidates: DataFrame, start: DataFrame, key: str, k: int) ->
 
     ``start(key, distance)`` has the distances to what exists already. Blocks
     of vectors stay on the executors; a step sends one vector to them and
-    brings back the farthest candidate of each block. Distances within 1e-6
-    below 0 count as 0; selection ends when nothing is left.
+    brings back the farthest candidate of each block. Every REFRESH steps the
+    blocks are written anew with the distances to all that is chosen, so a step
+    compares with REFRESH vectors at most, however many are chosen. Distances
+    within 1e-6 below 0 count as 0; selection ends when nothing is left.
     """
     n = max(1, -(-candidates.count() // BLOCK))
     first = candidates.join(start, key).select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"), "distance")
@@ -133,22 +137,26 @@ def farthest_first(candidates: DataFrame, start: DataFrame, key: str, k: int) ->
         m = m / np.where(norms == 0, 1, norms)
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [pdf[key].to_numpy(np.int64).tobytes()], "matrix": [m.tobytes()], "start": [pdf["distance"].to_numpy(np.float64).tobytes()]})
 
+    def distances(ids: bytes, matrix: bytes, start_: bytes, centers: np.ndarray, done: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, vectors and their distances; what has been chosen is at minus infinity."""
+        i = np.frombuffer(ids, np.int64)
+        m = np.frombuffer(matrix, np.float64).reshape(len(i), -1)
+        d = np.frombuffer(start_, np.float64)
+        if len(centers):
+            d = np.minimum(d, 1 - (m @ centers.T).max(1))
+        return i, m, np.where(np.isin(i, done), -np.inf, np.where(d > -1e-6, np.maximum(d, 0), d))
+
     packed = cut(first.groupBy("block").applyInPandas(pack, "block int, ids binary, matrix binary, start binary"))
     chosen: list[tuple[int, int, float]] = []
     centers: list[np.ndarray] = []
+    done: list[int] = []
     for rank in range(k):
-        shared, done = np.array(centers), {c[1] for c in chosen}
 
-        def best(batches: Iterator[pd.DataFrame], shared=shared, done=done) -> Iterator[pd.DataFrame]:
+        def best(batches: Iterator[pd.DataFrame], centers=np.array(centers), done=tuple(done)) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 rows = []
                 for ids, matrix, start_ in pdf[["ids", "matrix", "start"]].itertuples(index=False):
-                    ids = np.frombuffer(ids, np.int64)
-                    m = np.frombuffer(matrix, np.float64).reshape(len(ids), -1)
-                    d = np.frombuffer(start_, np.float64)
-                    if len(shared):
-                        d = np.minimum(d, 1 - (m @ shared.T).max(1))
-                    d = np.where(np.isin(ids, list(done)), -np.inf, np.where(d > -1e-6, np.maximum(d, 0), d))
+                    ids, m, d = distances(ids, matrix, start_, centers, done)
                     i = int(d.argmax())
                     if np.isfinite(d[i]) and d[i] >= 0:
                         rows.append((int(ids[i]), float(d[i]), m[i]))
@@ -159,4 +167,14 @@ def farthest_first(candidates: DataFrame, start: DataFrame, key: str, k: int) ->
             break
         chosen.append((rank, top[0]["id"], top[0]["distance"]))
         centers.append(np.array(top[0]["vector"]))
+        done.append(top[0]["id"])
+        if len(centers) == REFRESH and rank + 1 < k:
+
+            def refresh(batches: Iterator[pd.DataFrame], centers=np.array(centers), done=tuple(done)) -> Iterator[pd.DataFrame]:
+                for pdf in batches:
+                    pdf["start"] = [distances(*x, centers, done)[2].tobytes() for x in pdf[["ids", "matrix", "start"]].itertuples(index=False)]
+                    yield pdf
+
+            packed = cut(packed.mapInPandas(refresh, packed.schema))
+            centers, done = [], []
     return candidates.sparkSession.createDataFrame(chosen, f"selection_rank int, {key} long, distance double")

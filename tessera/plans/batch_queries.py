@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import batches as B
 from tessera.operators import datasets as D
+from tessera.operators import metrics as M
 from tessera.operators import partitioning as P
 from tessera.plans import query, table
+from tessera.sources.shared import shared_folder
 
 #: A batch: orders with their places.
 NUMBERED = "n AS (SELECT o_orderkey AS id, o_custkey AS obs, o_orderpriority AS tag, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders)"
@@ -22,22 +26,22 @@ def numbered(spark, d: str) -> DataFrame:
 
 @query("batch_select", "SELECT o_orderkey, o_custkey FROM orders")
 def batch_select(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return B.pop(table(spark, d, "orders"), ["o_orderkey", "o_custkey"])[0]
 
 
 @query("batch_pop", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def batch_pop(spark, d):
-    return table(spark, d, "orders").drop("o_custkey")
+    return B.pop(table(spark, d, "orders"), ["o_custkey"])[1]
 
 
 @query("batch_rename", "SELECT o_orderkey AS id, o_custkey AS observation FROM orders")
 def batch_rename(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey").withColumnsRenamed({"o_orderkey": "id", "o_custkey": "observation"})
+    return B.rename(table(spark, d, "orders").select("o_orderkey", "o_custkey"), {"o_orderkey": "id", "o_custkey": "observation"})
 
 
-@query("batch_gather", f"WITH {NUMBERED}, w AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, (o_orderkey * 7) % 100 AS k FROM orders WHERE o_orderkey < 500) SELECT pos, k, id, obs, tag FROM w JOIN n USING (k)")
+@query("batch_gather", f"WITH {NUMBERED}, w AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, (o_orderkey * 7) % 100 AS k FROM orders) SELECT pos, k, id, obs, tag FROM w JOIN n USING (k)")
 def batch_gather(spark, d):
-    w = B.number(table(spark, d, "orders").where("o_orderkey < 500").select("o_orderkey"), ["o_orderkey"], "pos")
+    w = B.number(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], "pos")
     return B.take(numbered(spark, d), "k", w.select("pos", (F.col("o_orderkey") * 7 % 100).alias("k")))
 
 
@@ -65,7 +69,8 @@ def batch_union(spark, d):
 @query("batch_concat", "SELECT o_orderkey AS id, 'a' AS part FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'b' FROM orders WHERE o_orderkey % 3 = 0")
 def batch_concat(spark, d):
     ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
-    return ids.where("id % 2 = 0").withColumn("part", F.lit("a")).unionByName(ids.where("id % 3 = 0").withColumn("part", F.lit("b")))
+    both = B.concat([ids.where("id % 2 = 0"), ids.where("id % 3 = 0")], "part")
+    return both.withColumn("part", F.get(F.array(F.lit("a"), F.lit("b")), F.col("part")))
 
 
 @query("batch_chunk", f"WITH {NUMBERED} SELECT id, k, k * 5 // (SELECT count(*) FROM n) AS chunk FROM n")
@@ -77,13 +82,14 @@ def batch_chunk(spark, d):
 @query("batch_reorder", f"WITH {NUMBERED} SELECT (SELECT count(*) FROM n) - 1 - k AS pos, id, obs FROM n")
 def batch_reorder(spark, d):
     x = numbered(spark, d)
-    return x.select((F.lit(x.count()) - 1 - F.col("k")).alias("pos"), "id", "obs")
+    return x.select(B.reverse(x, x.count()).alias("pos"), "id", "obs")
 
 
 @query("batch_inverse_permutation", f"WITH {NUMBERED}, p AS (SELECT k, (k * 7 + 3) % (SELECT count(*) FROM n) AS target FROM n) SELECT target AS k, k AS source FROM p")
 def batch_inverse_permutation(spark, d):
     x = numbered(spark, d)
-    return x.select(((F.col("k") * 7 + 3) % x.count()).alias("k"), F.col("k").alias("source"))
+    moved = x.select("k", ((F.col("k") * 7 + 3) % x.count()).alias("source"))
+    return B.inverse(moved, "source", "k")
 
 
 @query("batch_repeat_interleaved", f"WITH {NUMBERED} SELECT k * 3 + c AS pos, id FROM n, (SELECT unnest([0, 1, 2]) AS c)")
@@ -114,7 +120,7 @@ def batch_pad_with_copies(spark, d):
 
 @query("batch_mini_batches", f"WITH {NUMBERED} SELECT e AS epoch, k // 64 AS batch, id FROM n, (SELECT unnest([CAST(0 AS INTEGER), CAST(1 AS INTEGER)]) AS e)")
 def batch_mini_batches(spark, d):
-    return numbered(spark, d).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch"), F.floor(F.col("k") / 64).alias("batch"), "id")
+    return B.mini_batches(numbered(spark, d), 64, 2).select("epoch", "batch", "id")
 
 
 @query(
@@ -146,7 +152,7 @@ def batch_fold_unfold(spark, d):
 @query("batch_equal_columns", "SELECT count(*) AS rows, count(*) FILTER (a IS DISTINCT FROM b) AS different FROM (SELECT nullif(o_custkey, 7) AS a, CASE WHEN o_custkey = 7 THEN NULL ELSE o_custkey END AS b FROM orders)")
 def batch_equal_columns(spark, d):
     a, b = F.nullif("o_custkey", F.lit(7)), F.when(F.col("o_custkey") != 7, F.col("o_custkey"))
-    return table(spark, d, "orders").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~a.eqNullSafe(b)).alias("different"))
+    return B.differing(table(spark, d, "orders"), a, b)
 
 
 @query("balanced_partitions")
@@ -186,7 +192,8 @@ def canonical_record(spark, d):
     "SELECT doc_id, coalesce(nullif(lang, 'en'), source, 'none') AS ground_truth, CASE WHEN lang = 'en' THEN 'source' ELSE 'lang' END AS origin FROM documents",
 )
 def record_with_fallback(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.coalesce(F.nullif("lang", F.lit("en")), "source", F.lit("none")).alias("ground_truth"), F.when(F.col("lang") == "en", "source").otherwise("lang").alias("origin"))
+    x = D.first_known({"lang": F.nullif("lang", F.lit("en")), "source": F.col("source")}, "none")
+    return table(spark, d, "documents").select("doc_id", x["value"].alias("ground_truth"), F.when(F.col("lang") == "en", "source").otherwise("lang").alias("origin"))
 
 
 @query(
@@ -229,7 +236,7 @@ def multiturn_loss_spans(spark, d):
 )
 def sft_loss_mask(spark, d):
     p, n = F.least(F.size(F.split("text", " ")), F.lit(6)), F.least(F.length("text"), F.lit(5))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.array_repeat(F.lit(0), p), F.array_repeat(F.lit(1), n)).alias("mask"))
+    return table(spark, d, "conversations").select("conv_id", "turn", D.loss_mask(p, n).alias("mask"))
 
 
 @query(
@@ -254,12 +261,13 @@ def drop_bracketed(spark, d):
 @query("choices_record", "SELECT doc_id, 'quality: ' || quality AS query, [toxic, 1 - toxic] AS choices, quality AS label FROM labels WHERE quality IS NOT NULL")
 def choices_record(spark, d):
     x = table(spark, d, "labels").where("quality IS NOT NULL")
-    return x.select("doc_id", F.concat(F.lit("quality: "), F.col("quality").cast("string")).alias("query"), F.array("toxic", 1 - F.col("toxic")).alias("choices"), F.col("quality").alias("label"))
+    c = D.choice_record(F.concat(F.lit("quality: "), F.col("quality").cast("string")), [F.col("toxic"), 1 - F.col("toxic")], F.col("quality"))
+    return x.select("doc_id", c.alias("c")).select("doc_id", "c.*")
 
 
 @query("unpivot_preferences", "SELECT doc_id, 'chosen' AS kind, quality AS response FROM labels UNION ALL SELECT doc_id, 'rejected', toxic FROM labels")
 def unpivot_preferences(spark, d):
-    return table(spark, d, "labels").selectExpr("doc_id", "stack(2, 'chosen', quality, 'rejected', toxic) AS (kind, response)")
+    return D.both_answers(table(spark, d, "labels"), ["doc_id"], "quality", "toxic")
 
 
 @query("preference_split", "WITH n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS c FROM labels) SELECT doc_id, quality AS chosen, toxic AS rejected, CASE WHEN k < floor(c * 0.75) THEN 'train' ELSE 'test' END AS split FROM n")
@@ -270,14 +278,14 @@ def preference_split(spark, d):
 
 @query("date_range_filter", "SELECT o_orderkey, [o_orderstatus] || [o_orderpriority] AS cases FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31'")
 def date_range_filter(spark, d):
-    x = table(spark, d, "orders").where("o_orderdate BETWEEN TIMESTAMP_NTZ '1997-01-01' AND TIMESTAMP_NTZ '1997-12-31'")
+    x = D.within_dates(table(spark, d, "orders"), "o_orderdate", "1997-01-01", "1997-12-31")
     return x.select("o_orderkey", F.concat(F.array("o_orderstatus"), F.array("o_orderpriority")).alias("cases"))
 
 
 @query("union_of_languages", "SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'de'")
 def union_of_languages(spark, d):
     x = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    return x.where("lang = 'en'").unionByName(x.where("lang = 'de'"))
+    return B.concat([x.where("lang = 'en'"), x.where("lang = 'de'")])
 
 
 @query("shuffled_choices")
@@ -306,7 +314,7 @@ def boxed_answers(spark, d):
     "SELECT conv_id, max(turn) AS last_turn, arg_max(role, turn) AS last_role, count(*) AS turns FROM conversations GROUP BY conv_id",
 )
 def best_turn_by_conversation(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("last_role"), F.count(F.lit(1)).alias("turns"))
+    return D.last_turns(table(spark, d, "conversations"), "conv_id", "turn", "role")
 
 
 @query(
@@ -316,3 +324,27 @@ def best_turn_by_conversation(spark, d):
 def fifo_numbers(spark, d):
     k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
     return table(spark, d, "events").select("user_id", "event_id", k.alias("place"), F.floor((k - 1) / 8).alias("slice"))
+
+
+@query("batch_collated", f"WITH {NUMBERED} SELECT k // 32 AS batch, CAST(count(*) AS INTEGER) AS n, list(id ORDER BY k) AS id, list(tag ORDER BY k) AS tag FROM n GROUP BY 1")
+def batch_collated(spark, d):
+    return B.collate(numbered(spark, d), 32, ["id", "tag"])
+
+
+@query("batch_saved", f"WITH {NUMBERED} SELECT id, obs, k, 'orders' AS source FROM n")
+def batch_saved(spark, d):
+    """A batch written with its meta information and read again."""
+    path = f"{shared_folder(spark)}/batch-{uuid.uuid4().hex}"
+    B.save(numbered(spark, d).select("id", "obs", "k"), path, {"source": "orders"})
+    rows, meta = B.load(spark, path)
+    return rows.withColumn("source", F.lit(meta["source"]))
+
+
+@query("metrics_table", "SELECT event_id % 50 AS step, event_type AS key, max(value) AS value FROM events GROUP BY 1, 2")
+def metrics_table(spark, d):
+    """Metrics appended to a run's table in two goes, and read again."""
+    path = f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
+    x = table(spark, d, "events").select((F.col("event_id") % 50).alias("step"), F.col("event_type").alias("key"), "value", "event_id")
+    for part in (0, 1):
+        M.record(x.where(F.col("event_id") % 2 == part), path)
+    return M.recorded(spark, path)

@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
+from tessera.operators import batches
 from tessera.operators import losses as L
 from tessera.operators import metrics as M
+from tessera.operators import preferences as P
 from tessera.plans import query, table
 from tessera.plans.rollout_queries import ROLLOUTS, TOKENS, q, r, rollouts, sequences, tokens
 
 WITH = f"WITH {ROLLOUTS}, {TOKENS}"
+#: The same with tokens made once, for queries that use them several times.
+WITH_ONCE = WITH.replace("tokens AS (", "tokens AS MATERIALIZED (")
 
 # Aggregation of token losses -------------------------------------------------
 
@@ -64,16 +68,16 @@ def masked_mean(spark, d):
     return sequences(spark, d).select("uid", "sample", r(A.masked_mean(F.col("rewards"), F.col("mask")), "mean"))
 
 
-_MOMENTS = "c AS (SELECT sum(reward * m) / (sum(m) + 1e-8) AS mean, sum(m) AS n FROM tokens), v AS (SELECT any_value(mean) AS mean, sum(m * (reward - mean) * (reward - mean)) / (any_value(n) + 1e-8) * any_value(n) / (any_value(n) - 1) AS var FROM tokens, c)"
+_MOMENTS = "c AS MATERIALIZED (SELECT sum(reward * m) / (sum(m) + 1e-8) AS mean, sum(m) AS n FROM tokens), v AS MATERIALIZED (SELECT any_value(mean) AS mean, sum(m * (reward - mean) * (reward - mean)) / (any_value(n) + 1e-8) * any_value(n) / (any_value(n) - 1) AS var FROM tokens, c)"
 
 
-@query("masked_variance", f"{WITH}, {_MOMENTS} SELECT {q('mean', 'mean')}, {q('var', 'var')} FROM v")
+@query("masked_variance", f"{WITH_ONCE}, {_MOMENTS} SELECT {q('mean', 'mean')}, {q('var', 'var')} FROM v")
 def masked_variance(spark, d):
     out = L.masked_moments(tokens(spark, d), F.col("reward"), F.col("m"))
     return out.select(r(F.col("mean"), "mean"), r(F.col("var"), "var"))
 
 
-@query("masked_whiten", f"{WITH}, {_MOMENTS} SELECT uid, sample, pos, {q('(reward - mean) / sqrt(var + 1e-8)', 'white')}, {q('(reward - mean) / sqrt(var + 1e-8) + mean', 'shifted')} FROM tokens, v")
+@query("masked_whiten", f"{WITH_ONCE}, {_MOMENTS} SELECT uid, sample, pos, {q('(reward - mean) / sqrt(var + 1e-8)', 'white')}, {q('(reward - mean) / sqrt(var + 1e-8) + mean', 'shifted')} FROM tokens, v")
 def masked_whiten(spark, d):
     out = L.whiten(tokens(spark, d), "reward", "m")
     return out.select("uid", "sample", "pos", r(F.col("white"), "white"), r(F.col("white") + F.col("mean"), "shifted"))
@@ -81,12 +85,13 @@ def masked_whiten(spark, d):
 
 @query("distributed_moments", f"{WITH} SELECT {q('avg(reward)', 'mean')}, max(reward) AS max, min(reward) AS min, {q('stddev_samp(reward)', 'std')} FROM tokens")
 def distributed_moments(spark, d):
-    return tokens(spark, d).agg(r(F.avg("reward"), "mean"), F.max("reward").alias("max"), F.min("reward").alias("min"), r(F.stddev_samp("reward"), "std"))
+    x = M.moments(tokens(spark, d), "reward")
+    return x.select(r(F.col("mean"), "mean"), "max", "min", r(F.col("std"), "std"))
 
 
 @query("distributed_masked_mean", f"{WITH} SELECT {q('sum(reward * m) / sum(m)', 'mean')} FROM tokens")
 def distributed_masked_mean(spark, d):
-    return tokens(spark, d).agg(r(F.sum(F.col("reward") * F.col("m")) / F.sum("m"), "mean"))
+    return tokens(spark, d).agg(r(L.weighted_mean(F.col("reward"), F.col("m")), "mean"))
 
 
 # SFT losses -------------------------------------------------------------------
@@ -173,7 +178,7 @@ _IDS = f"WITH {ROLLOUTS}, s AS (SELECT uid, sample, [(uid + p) % 6 FOR p IN rang
     f"{WITH} SELECT uid, sample, pos, {q('greatest(least(reward, 0.7), 0.2)', 'clipped')} FROM tokens",
 )
 def clip_by_value(spark, d):
-    return tokens(spark, d).select("uid", "sample", "pos", r(F.greatest(F.least("reward", F.lit(0.7)), F.lit(0.2)), "clipped"))
+    return tokens(spark, d).select("uid", "sample", "pos", r(L.clip(F.col("reward"), F.lit(0.2), F.lit(0.7)), "clipped"))
 
 
 @query(
@@ -229,14 +234,11 @@ def score_at_last_token(spark, d):
 )
 def response_with_target(spark, d):
     """The response gives way to a target and the end id; masks and positions follow."""
-    ids = F.concat(F.slice("ids", 1, 2), F.array(F.col("uid") % 7, F.lit(5).cast("long")))
-    return sequences(spark, d).select("uid", "sample", ids.alias("ids"), F.transform(ids, lambda _: F.lit(1)).alias("mask"), F.transform(ids, lambda _, i: i.cast("long")).alias("positions"))
+    return sequences(spark, d).select("uid", "sample", P.replaced(F.col("ids"), 2, F.array(F.col("uid") % 7), 5).alias("x")).select("uid", "sample", "x.*")
 
 
 @query("split_into_batches", f"WITH {ROLLOUTS}, n AS (SELECT uid, sample, row_number() OVER (ORDER BY uid, sample) - 1 AS k FROM rollouts) SELECT uid, sample, k // 256 AS batch FROM n")
 def split_into_batches(spark, d):
-    from tessera.operators import batches
-
     return batches.number(rollouts(spark, d), ["uid", "sample"]).select("uid", "sample", F.floor(F.col("k") / 256).alias("batch"))
 
 
@@ -281,8 +283,8 @@ def data_metrics(spark, d):
 
 @query("response_lengths", f"{_IDS} SELECT uid, sample, {q('list_sum(mask)', 'response')}, {q('len(mask) - list_sum(mask)', 'rest')} FROM s")
 def response_lengths(spark, d):
-    n = A.total(F.col("mask"))
-    return sequences(spark, d).select("uid", "sample", r(n, "response"), r(F.size("mask") - n, "rest"))
+    n, rest = A.lengths(F.col("mask"))
+    return sequences(spark, d).select("uid", "sample", r(n, "response"), r(rest, "rest"))
 
 
 @query(
@@ -298,7 +300,7 @@ def timing_metrics(spark, d):
 
 @query("throughput_metrics", f"WITH {ROLLOUTS} SELECT CAST(sum(n_tokens) AS BIGINT) AS tokens, {q('sum(n_tokens) / (2.5 * 8)', 'per_second_and_gpu')} FROM rollouts")
 def throughput_metrics(spark, d):
-    return rollouts(spark, d).agg(F.sum("n_tokens").cast("long").alias("tokens"), r(F.sum("n_tokens") / (2.5 * 8), "per_second_and_gpu"))
+    return M.throughput(rollouts(spark, d), "n_tokens", 2.5, 8).select("tokens", r(F.col("per_second"), "per_second_and_gpu"))
 
 
 @query(
@@ -341,8 +343,8 @@ def metric_names(spark, d):
     f"""WITH {ROLLOUTS}, s AS (SELECT uid % 8 AS part, sum(n_tokens) AS n FROM rollouts GROUP BY 1) SELECT {q('min(n)', 'min')}, {q('max(n)', 'max')}, {q('max(n) - min(n)', 'diff')}, {q('avg(n)', 'mean')} FROM s""",
 )
 def length_balance(spark, d):
-    s = rollouts(spark, d).groupBy((F.col("uid") % 8).alias("part")).agg(F.sum("n_tokens").alias("n"))
-    return s.agg(r(F.min("n"), "min"), r(F.max("n"), "max"), r(F.max("n") - F.min("n"), "diff"), r(F.avg("n"), "mean"))
+    x = M.balance(rollouts(spark, d).withColumn("part", F.col("uid") % 8), "part", "n_tokens")
+    return x.select(*[r(F.col(c), c) for c in ("min", "max", "diff", "mean")])
 
 
 @query(
@@ -353,7 +355,24 @@ def flops_estimate(spark, d):
     return M.flops(rollouts(spark, d), "uid", "n_tokens", params=7_000_000, head_dim=128, heads=32, layers=28).select("uid", r(F.col("tflops"), "tflops"))
 
 
-@query("lists_by_key", "SELECT event_type AS key, list(value ORDER BY event_id) AS vals FROM events WHERE event_id < 1000 GROUP BY event_type")
+@query("lists_by_key", "SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS place, value FROM events")
 def lists_by_key(spark, d):
-    x = table(spark, d, "events").where("event_id < 1000").groupBy(F.col("event_type").alias("key"))
-    return x.agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda e: e["value"]).alias("vals"))
+    """The list of each key as rows with their places: a few keys have all rows."""
+    x = table(spark, d, "events").select(F.col("event_type").alias("key"), "event_id", "value")
+    return batches.place_in_group(x, "key", ["event_id"]).select("key", "place", "value")
+
+
+_RATES = "CASE WHEN k < 50 THEN k / 50.0 ELSE"
+
+
+@query(
+    "learning_rates",
+    f"""WITH s AS (SELECT event_id AS step, CAST(event_id % 1100 AS DOUBLE) AS k FROM events)
+    SELECT step, {q('CASE WHEN k < 50 THEN 0.1 + 0.9 * k / 50.0 ELSE 0.1 + 0.45 * (1 + cos(pi() * (k - 50) / 950.0)) END', 'cosine')},
+    {q(f'{_RATES} 1 END', 'constant')},
+    {q(f'{_RATES} CASE WHEN k < 810 THEN 1 WHEN k < 1000 THEN 0.1 + 0.45 * (1 + cos(pi() * (k - 810) / 190.0)) ELSE 0.1 END END', 'stable')} FROM s""",
+)
+def learning_rates(spark, d):
+    k = (F.col("event_id") % 1100).cast("double")
+    rates = {"cosine": A.cosine_rate(k, 50, 1000, 0.1), "constant": A.constant_rate(k, 50), "stable": A.stable_rate(k, 50, 1000, 0.1, stable=0.8)}
+    return table(spark, d, "events").select(F.col("event_id").alias("step"), *[r(x, n) for n, x in rates.items()])

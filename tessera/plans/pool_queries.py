@@ -2,62 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
 from tessera.functions import skeleton as S
 from tessera.functions import text as T
+from tessera.operators import generation as G
+from tessera.operators import index as I
 from tessera.operators import pool as P
 from tessera.operators import retrieval as R
 from tessera.operators import vectors as V
 from tessera.plans import query, table
 from tessera.plans.rollout_queries import q, r
+from tessera.plans.shapes import COMMENTED, NORMAL, ROUGH, SHAPES
+from tessera.sources.shared import shared_folder
 
 # Skeletons ------------------------------------------------------------------------
 
-#: Queries with their indexes, made of the parts table.
-_SQL = "s AS (SELECT p_partkey AS idx, 'select a.p_name as n, count(*) from part as a where a.p_size > ' || p_size || ' and p_brand = ''' || p_brand || ''' order by n limit ' || (p_partkey % 9) AS sql FROM part)"
+def values(rows: list[tuple]) -> str:
+    """Numbered rows of strings as SQL."""
+    text = lambda x: "CAST(NULL AS VARCHAR)" if x is None else "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({k}, {', '.join(map(text, row))})" for k, row in enumerate(rows))
+
+
+def filled(x: str) -> str:
+    """SQL that puts a part's number and brand into a pattern."""
+    return f"replace(replace({x}, '#', CAST(p_size AS VARCHAR)), '@', p_brand)"
+
+
+_SQL = f"x(k, raw, want) AS (VALUES {values(SHAPES)}), s AS (SELECT p_partkey AS idx, want FROM part JOIN x ON k = p_partkey % {len(SHAPES)})"
 _SKELETONS = "k AS (SELECT p_partkey AS idx, p_type || ' ' || p_brand AS skeleton, p_name AS question, 'db' || p_size AS db_id FROM part)"
 
 
-def sqls(spark, d: str) -> DataFrame:
-    text = F.concat(F.lit("select a.p_name as n, count(*) from part as a where a.p_size > "), F.col("p_size").cast("string"), F.lit(" and p_brand = '"), "p_brand", F.lit("' order by n limit "), (F.col("p_partkey") % 9).cast("string"))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("idx"), text.alias("sql"))
+def sqls(spark, d: str, shapes: list[tuple]) -> DataFrame:
+    """Queries with their indexes: patterns that a part's number and brand are put into."""
+    raw = F.get(F.array(*[F.lit(x[0]) for x in shapes]), (F.col("p_partkey") % len(shapes)).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.replace(F.replace(raw, F.lit("#"), F.col("p_size").cast("string")), F.lit("@"), F.col("p_brand")).alias("sql"))
 
 
 def skeletons(spark, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.concat("p_type", F.lit(" "), "p_brand").alias("skeleton"), F.col("p_name").alias("question"), F.concat(F.lit("db"), F.col("p_size").cast("string")).alias("db_id"))
 
 
-@query("sql_skeleton", f"WITH {_SQL} SELECT idx, 'SELECT _, COUNT(*) FROM _ WHERE _ > _ AND _ = _ ORDER BY _ LIMIT _' AS skeleton, CAST(NULL AS VARCHAR) AS error FROM s")
+_PLAIN = "replace(replace(replace(want, '<TABLE>', '_'), '<COLUMN>', '_'), '<LITERAL>', '_')"
+
+
+@query("sql_skeleton", f"WITH {_SQL} SELECT idx, {_PLAIN} AS skeleton, want IS NULL AS failed FROM s")
 def sql_skeleton(spark, d):
-    return sqls(spark, d).withColumn("x", S.skeleton(F.col("sql"))).select("idx", "x.skeleton", "x.error")
+    found = S.with_skeletons(sqls(spark, d, SHAPES), "sql", "x")
+    return found.select("idx", "x.skeleton", F.col("x.error").isNotNull().alias("failed"))
 
 
-@query("sql_typed_skeleton", f"WITH {_SQL} SELECT idx, 'SELECT <COLUMN>, COUNT(*) FROM <TABLE> WHERE <COLUMN> > <LITERAL> AND <COLUMN> = <LITERAL> ORDER BY <COLUMN> LIMIT <LITERAL>' AS skeleton FROM s")
+@query("sql_typed_skeleton", f"WITH {_SQL} SELECT idx, want AS skeleton FROM s")
 def sql_typed_skeleton(spark, d):
-    return sqls(spark, d).select("idx", S.skeleton(F.col("sql"), typed=True)["skeleton"].alias("skeleton"))
+    return S.with_skeletons(sqls(spark, d, SHAPES), "sql", "x", typed=True).select("idx", "x.skeleton")
 
 
-@query("skeleton_to_underscores", f"WITH {_SQL} SELECT idx, 'SELECT _ FROM _ WHERE _ > ' || idx AS underscore, 'SELECT <COLUMN> FROM <TABLE> WHERE <LITERAL> > ' || idx AS typed FROM s")
+@query("skeleton_to_underscores", f"WITH {_SQL} SELECT idx, {_PLAIN} || idx AS underscore, want || idx AS typed FROM s WHERE want IS NOT NULL")
 def skeleton_to_underscores(spark, d):
-    x = F.concat(F.lit("SELECT <COLUMN> FROM <TABLE> WHERE <LITERAL> > "), F.col("idx").cast("string"))
-    return sqls(spark, d).select("idx", S.for_embedding(x, "underscore").alias("underscore"), S.for_embedding(x, "typed").alias("typed"))
+    typed = F.get(F.array(*[F.lit(x[1]) for x in SHAPES]), (F.col("p_partkey") % len(SHAPES)).cast("int"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.concat(typed, F.col("p_partkey").cast("string")).alias("x")).where("x IS NOT NULL")
+    return rows.select("idx", S.for_embedding(F.col("x"), "underscore").alias("underscore"), S.for_embedding(F.col("x"), "typed").alias("typed"))
 
 
-@query("sql_without_comments", f"WITH {_SQL} SELECT idx, 'a' || ' ' || sql || ' ' || chr(10) || '''--''' AS sql FROM s")
+@query("sql_without_comments", f"WITH x(k, raw, want) AS (VALUES {values(COMMENTED)}) SELECT p_partkey AS idx, {filled('want')} AS sql FROM part JOIN x ON k = p_partkey % {len(COMMENTED)}")
 def sql_without_comments(spark, d):
-    x = F.concat(F.lit("a/* x */"), "sql", F.lit("-- end\n'--'"))
-    return sqls(spark, d).select("idx", S.without_comments(x).alias("sql"))
+    return sqls(spark, d, COMMENTED).select("idx", S.without_comments(F.col("sql")).alias("sql"))
 
 
-@query("fallback_skeleton", f"WITH {_SQL} SELECT idx, 'select _ as _ , _ ( * ) from _ as _ where _ > _ and _ = _ order by _ limit _' AS rough, 'select _ as _ ( * ) from _ as _ where _ order by _ limit _' AS simple FROM s")
+@query("fallback_skeleton", f"WITH x(k, raw, rough, simple) AS (VALUES {values(ROUGH)}) SELECT p_partkey AS idx, rough, simple FROM part JOIN x ON k = p_partkey % {len(ROUGH)}")
 def fallback_skeleton(spark, d):
-    x = sqls(spark, d).withColumn("rough", S.fallback(F.col("sql")))
+    x = sqls(spark, d, ROUGH).withColumn("rough", S.fallback(F.col("sql")))
     return x.select("idx", "rough", S.simplify(F.col("rough")).alias("simple"))
 
 
+@query("normalised_sql", f"WITH x(k, raw, want) AS (VALUES {values(NORMAL)}) SELECT p_partkey AS idx, {filled('want')} AS sql FROM part JOIN x ON k = p_partkey % {len(NORMAL)}")
+def normalised_sql(spark, d):
+    return sqls(spark, d, NORMAL).select("idx", S.normalised_sql(F.col("sql")).alias("sql"))
+
+
 @query(
     "bag_jaccard",
     f"""WITH t AS (SELECT p_partkey AS idx, unnest(string_split(p_name || ' ' || p_type, ' ')) AS w FROM part), u AS (SELECT p_partkey AS idx, unnest(string_split(p_type || ' ' || p_name || ' ' || p_type, ' ')) AS w FROM part),
@@ -85,7 +111,8 @@ def identifier_suffixes(spark, d):
 
 @query("schema_name_sets", "SELECT 'r' || n_regionkey AS db_id, list(DISTINCT lower(n_name) ORDER BY lower(n_name)) AS names FROM nation GROUP BY 1")
 def schema_name_sets(spark, d):
-    return table(spark, d, "nation").groupBy(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("db_id")).agg(F.array_sort(F.collect_set(F.lower("n_name"))).alias("names"))
+    n = table(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("db_id"), "n_name")
+    return S.names_by_database(n, "db_id", "n_name")
 
 
 # Pools ----------------------------------------------------------------------------
@@ -109,10 +136,9 @@ def pool_success_split(spark, d):
     return good.select("idx", F.lit("success").alias("part")).unionByName(bad.select("idx", F.lit("error").alias("part")))
 
 
-@query("skeleton_entries", f"WITH {_SKELETONS}, e AS (SELECT skeleton, count(*) AS count, list(idx ORDER BY idx) AS idxs, list(db_id ORDER BY idx) AS dbs FROM k GROUP BY 1) SELECT row_number() OVER (ORDER BY skeleton) - 1 AS fid, * FROM e")
+@query("skeleton_entries", f"WITH {_SKELETONS}, e AS (SELECT skeleton, count(*) AS count FROM k GROUP BY 1), f AS (SELECT row_number() OVER (ORDER BY skeleton) - 1 AS fid, * FROM e) SELECT fid, skeleton, count, row_number() OVER (PARTITION BY skeleton ORDER BY idx) - 1 AS place, idx, db_id FROM f JOIN k USING (skeleton)")
 def skeleton_entries(spark, d):
-    x = P.entries(skeletons(spark, d), "skeleton", ["db_id"], "idx")
-    return x.select("fid", "skeleton", "count", F.col("entries.idx").alias("idxs"), F.col("entries.db_id").alias("dbs"))
+    return P.entries(skeletons(spark, d), "skeleton", ["db_id"], "idx")
 
 
 @query("pool_frequency_buckets", f"WITH {_POOL} SELECT CAST(sum(count) AS BIGINT) AS used, count(*) AS unique, round(sum(count) / count(*), 4) AS mean, max(count) AS most, count(*) FILTER (count = 1) AS once, count(*) FILTER (count BETWEEN 2 AND 5) AS few, count(*) FILTER (count BETWEEN 6 AND 10) AS some, count(*) FILTER (count >= 11) AS many FROM p")
@@ -136,24 +162,24 @@ def last_success_per_rank(spark, d):
     return P.last_by_rank(x, "rank", "place", "status", "purchase").select("rank", "place", "value")
 
 
-@query("main_output", "SELECT user_id AS rank, arg_max(value, event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1 ORDER BY 1 LIMIT 100")
+@query("main_output", "SELECT user_id AS rank, arg_max(value, event_id) AS value FROM events WHERE event_type = 'purchase'  GROUP BY 1")
 def main_output(spark, d):
-    return last_success_per_rank(spark, d).orderBy("rank").limit(100).select("rank", "value")
+    return last_success_per_rank(spark, d).select("rank", "value")
 
 
 @query("output_stats", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def output_stats(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
+    return P.output_stats(table(spark, d, "events"), "event_type", "user_id").select("event_type", "n", F.col("distinct").alias("users"))
 
 
-@query("demo_bank", f"WITH {_SKELETONS} SELECT db_id, count(*) AS demos, count(*) FILTER (idx % 7 = 0) AS failed, list(idx ORDER BY idx) AS ids FROM k GROUP BY 1")
+@query("demo_bank", f"WITH {_SKELETONS} SELECT db_id, count(*) OVER (PARTITION BY db_id) AS demos, count(*) FILTER (idx % 7 = 0) OVER (PARTITION BY db_id) AS failed, row_number() OVER (PARTITION BY db_id ORDER BY idx) - 1 AS place, idx FROM k")
 def demo_bank(spark, d):
-    return skeletons(spark, d).groupBy("db_id").agg(F.count(F.lit(1)).alias("demos"), F.count_if(F.col("idx") % 7 == 0).alias("failed"), F.array_sort(F.collect_list("idx")).alias("ids"))
+    return P.demonstrations(skeletons(spark, d).withColumn("failed", F.col("idx") % 7 == 0), "db_id", "idx", "failed").select("db_id", "demos", "failed", "place", "idx")
 
 
 @query("error_summary", "SELECT count(*) AS errors, list(DISTINCT event_type ORDER BY event_type) AS kinds FROM events WHERE value < 5")
 def error_summary(spark, d):
-    return table(spark, d, "events").where("value < 5").agg(F.count(F.lit(1)).alias("errors"), F.array_sort(F.collect_set("event_type")).alias("kinds"))
+    return G.error_summary(table(spark, d, "events").where("value < 5"), "event_type")
 
 
 # Samples --------------------------------------------------------------------------
@@ -171,8 +197,8 @@ def type_budgets(spark, d):
 
 @query("budget_split", "SELECT p_partkey, greatest(0, 512 - p_size * 13) AS effective, CAST(floor(greatest(0, 512 - p_size * 13) * 0.5) AS BIGINT) AS random FROM part")
 def budget_split(spark, d):
-    e = F.greatest(F.lit(0), 512 - F.col("p_size") * 13)
-    return table(spark, d, "part").select("p_partkey", e.alias("effective"), F.floor(e * 0.5).alias("random"))
+    effective, drawn = P.budget_split(F.col("p_size") * 13, 512, 0.5)
+    return table(spark, d, "part").select("p_partkey", effective.alias("effective"), drawn.alias("random"))
 
 
 @query("sample_exact")
@@ -203,8 +229,8 @@ def seeded_order(spark, d):
 @query("random_fill")
 def random_fill(spark, d):
     """Rows not yet taken, in hash order."""
-    rest = skeletons(spark, d).join(table(spark, d, "orders").select(F.col("o_custkey").alias("idx")).distinct(), "idx", "left_anti")
-    return P.sample_exact(rest, "idx", 50, 7).select("idx")
+    taken = table(spark, d, "orders").select(F.col("o_custkey").alias("idx"))
+    return P.sample_rest(skeletons(spark, d), taken, "idx", 50, 7).select("idx")
 
 
 # Vectors --------------------------------------------------------------------------
@@ -238,8 +264,7 @@ def outlier_scores(spark, d):
 @query("outlier_percentiles", f"WITH {_OUT} SELECT p, {q('(SELECT quantile_cont(outlier, [0.5, 0.75, 0.9, 0.95, 0.97, 0.99, 0.995, 0.999, 1.0]) FROM o)[i]', 'value')} FROM (SELECT unnest([50.0, 75.0, 90.0, 95.0, 97.0, 99.0, 99.5, 99.9, 100.0]) AS p, unnest(range(1, 10)) AS i)")
 def outlier_percentiles(spark, d):
     at = [50.0, 75.0, 90.0, 95.0, 97.0, 99.0, 99.5, 99.9, 100.0]
-    one = scores(spark, d).agg(F.percentile("outlier", F.array(*[F.lit(p / 100) for p in at])).alias("v"))
-    return one.select(F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in at]).alias("p"), F.col("v"))).alias("x")).select(F.col("x.p").alias("p"), r(F.col("x.v"), "value"))
+    return P.percentiles(scores(spark, d), "outlier", at).select("p", r(F.col("value"), "value"))
 
 
 @query("outlier_topn", f"WITH {_OUT} SELECT vec_id, {q('outlier', 'outlier')} FROM o ORDER BY round(outlier, 12) DESC, vec_id LIMIT 30")
@@ -250,8 +275,8 @@ def outlier_topn(spark, d):
 @query("outlier_bucket_samples", f"WITH {_OUT}, t AS (SELECT CAST(0.9 AS DOUBLE) AS p, quantile_cont(outlier, 0.9) AS edge FROM o UNION ALL SELECT CAST(0.99 AS DOUBLE), quantile_cont(outlier, 0.99) FROM o) SELECT p, vec_id FROM (SELECT p, vec_id, row_number() OVER (PARTITION BY p ORDER BY round(outlier, 12) DESC, vec_id) AS k FROM o, t WHERE outlier >= edge) WHERE k <= 50")
 def outlier_bucket_samples(spark, d):
     x = scores(spark, d)
-    edges = x.agg(F.percentile("outlier", F.array(F.lit(0.9), F.lit(0.99))).alias("e")).select(F.explode(F.arrays_zip(F.array(F.lit(0.9), F.lit(0.99)).alias("p"), F.col("e"))).alias("t")).select("t.p", F.col("t.e").alias("edge"))
-    return P.first_n_by_group(x.join(F.broadcast(edges), F.col("outlier") >= F.col("edge")), "p", [F.desc(F.round("outlier", 12)), "vec_id"], 50).select("p", "vec_id")
+    edges = P.percentiles(x, "outlier", [90.0, 99.0]).select((F.col("p") / 100).alias("p"), F.col("value").alias("edge"))
+    return P.above_edges(x, edges, "outlier", "vec_id", 50).select("p", "vec_id")
 
 
 @query("outlier_filter", f"WITH {_OUT} SELECT vec_id FROM o WHERE outlier <= 0.75")
@@ -265,6 +290,25 @@ def one_nn_min_dist(spark, d):
     return V.distance_to(e.where("label <> 0"), e.where("label = 0"), "vec_id").select("vec_id", r(F.col("distance"), "distance"))
 
 
+@query("index_search", f"WITH {_NEAR} SELECT a AS query, CAST(rank AS INTEGER) AS rank, b AS neighbour, {q('s', 'similarity')} FROM n WHERE rank <= 5 AND a % 100 = 0")
+def index_search(spark, d):
+    """Every hundredth vector against an index of all that is written and read again, with all cells searched: exact."""
+    index = I.build(table(spark, d, "embeddings"), "vec_id", f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    asked = table(spark, d, "embeddings").where("vec_id % 100 = 0")
+    found = I.search(I.load(spark, index.path), asked, "vec_id", 5, probes=index.cells, same=True)
+    return found.select("query", "rank", "neighbour", r(F.col("similarity"), "similarity"))
+
+
+@query("index_recall")
+def index_recall(spark, d):
+    """Share of the exact five neighbours of every hundredth vector that a search of few cells finds."""
+    e = table(spark, d, "embeddings")
+    index = I.build(e, "vec_id", f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    asked = e.where("vec_id % 100 = 0")
+    found = I.search(index, asked, "vec_id", 5, same=True)
+    return I.recall(found, V.nearest(asked, e, "vec_id", 5, same=True))
+
+
 @query("kcenter")
 def kcenter(spark, d):
     """Ten complementary vectors: farthest first from label 0."""
@@ -280,12 +324,12 @@ def embedded_texts(spark, d):
 
 @query("train_skeleton_or_default", f"WITH {_SKELETONS} SELECT idx, CASE WHEN idx % 7 = 0 THEN 'select _' ELSE skeleton END AS skeleton FROM k")
 def train_skeleton_or_default(spark, d):
-    return skeletons(spark, d).select("idx", F.coalesce(F.when(F.col("idx") % 7 != 0, F.col("skeleton")), F.lit("select _")).alias("skeleton"))
+    return skeletons(spark, d).select("idx", S.or_default(F.when(F.col("idx") % 7 != 0, F.col("skeleton")), "select _").alias("skeleton"))
 
 
 @query("compact_records", "SELECT doc_id, substr(text, 1, 100) AS sql, substr(source, 1, 3) AS question FROM documents")
 def compact_records(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.substring("text", 1, 100).alias("sql"), F.substring("source", 1, 3).alias("question"))
+    return P.compact(table(spark, d, "documents"), ["doc_id"], {"sql": (F.col("text"), 100), "question": (F.col("source"), 3)})
 
 
 # Retrieval ------------------------------------------------------------------------
@@ -349,13 +393,12 @@ def candidate_list(spark, d):
 
 @query("structural_errors", "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey BETWEEN 17 AND 30")
 def structural_errors(spark, d):
-    return table(spark, d, "nation").where(F.col("n_nationkey").isin(*range(17, 31))).orderBy("n_nationkey").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return R.structural(table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), "id", range(17, 31))
 
 
 @query("diagnosis_stats", "SELECT count(*) AS diagnosed, count(*) FILTER (p_size BETWEEN 17 AND 30) AS structural, count(*) FILTER (p_size NOT BETWEEN 17 AND 30) AS other FROM part")
 def diagnosis_stats(spark, d):
-    s = F.col("p_size").between(17, 30)
-    return table(spark, d, "part").agg(F.count(F.lit(1)).alias("diagnosed"), F.count_if(s).alias("structural"), F.count_if(~s).alias("other"))
+    return R.diagnosis_stats(table(spark, d, "part"), "p_size", range(17, 31))
 
 
 @query("augmented_training_set", "SELECT n_nationkey AS sample_id, n_name AS name, CAST(NULL AS VARCHAR) AS origin FROM nation UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY r_regionkey), r_name, 'new' FROM region")
@@ -374,4 +417,4 @@ def sft_batches(spark, d):
 def excluded_by_epoch(spark, d):
     """Each epoch's rows less those that an earlier one has."""
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("idx"), (F.col("o_orderkey") % 4).cast("int").alias("epoch"))
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy("idx").orderBy("epoch"))).where("r = 1").select("epoch", "idx")
+    return R.first_epochs(rows, "idx", "epoch").select("epoch", "idx")
\ No newline at end of file

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
+from tessera.operators import metrics as M
+from tessera.operators import preferences as P
 from tessera.operators import rollouts as R
 from tessera.plans import query, table
+from tessera.sources import files
 
 #: Rollouts: an order is a prompt, its lines are samples with rewards from 0 to 4.
 ROLLOUTS = """rollouts AS (SELECT l_orderkey AS uid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS sample,
@@ -171,8 +174,8 @@ def accuracy_band_filter(spark, d):
     SELECT source, {q('avg(mean)', 'score')}, {q('avg(len)', 'length')}, count(*) AS prompts FROM p GROUP BY source""",
 )
 def reward_by_source(spark, d):
-    each = rollouts(spark, d).groupBy("uid", (F.col("uid") % 5).alias("source")).agg(F.avg("reward").alias("mean"), F.avg("n_tokens").alias("len"))
-    return each.groupBy("source").agg(r(F.avg("mean"), "score"), r(F.avg("len"), "length"), F.count(F.lit(1)).alias("prompts"))
+    x = rollouts(spark, d).withColumn("source", F.col("uid") % 5)
+    return M.by_source(x, "source", "uid", "reward", "n_tokens").select("source", r(F.col("score"), "score"), r(F.col("length"), "length"), "prompts")
 
 
 @query(
@@ -180,9 +183,9 @@ def reward_by_source(spark, d):
     f"WITH {ROLLOUTS} SELECT uid, list(reward ORDER BY sample) AS rewards, list(n_tokens ORDER BY sample) AS lengths, {q('sum(reward) / count(*)', 'acc')} FROM rollouts GROUP BY uid",
 )
 def validation_arrays(spark, d):
-    ordered = F.array_sort(F.collect_list(F.struct("sample", "reward", "n_tokens")))
-    out = rollouts(spark, d).groupBy("uid").agg(ordered.alias("x"), (F.sum("reward") / F.count(F.lit(1))).alias("acc"))
-    return out.select("uid", F.col("x.reward").alias("rewards"), F.col("x.n_tokens").alias("lengths"), r(F.col("acc"), "acc"))
+    x = rollouts(spark, d)
+    lists = files.ordered_lists(x.select("uid", "sample", F.col("reward").alias("rewards"), F.col("n_tokens").alias("lengths")), "uid", "sample", ["rewards", "lengths"])
+    return lists.join(x.groupBy("uid").agg(r(F.sum("reward") / F.count(F.lit(1)), "acc")), "uid")
 
 
 @query(
@@ -192,8 +195,7 @@ def validation_arrays(spark, d):
 )
 def best_so_far(spark, d):
     steps = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 100).alias("step")).agg(F.avg("value").alias("score"))
-    best = F.max("score").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-    return steps.select("step", r(F.col("score"), "score", 4), r(best, "best", 4), (F.col("score") >= best).alias("saves"))
+    return M.running_best(steps, "step", "score").select("step", r(F.col("score"), "score", 4), r(F.col("best"), "best", 4), "saves")
 
 
 @query(
@@ -251,22 +253,31 @@ def kl_estimates(spark, d):
     f"WITH {ROLLOUTS}, {TOKENS} SELECT uid, sample, {q('sum(reward - 0.1 * (logp - ref) * m)', 'reward')}, {q('sum((logp - ref) * m) / (sum(m) + 1e-8)', 'kl')} FROM tokens GROUP BY uid, sample",
 )
 def kl_penalised_rewards(spark, d):
-    kls = F.zip_with(F.zip_with("logps", "refs", lambda a, b: a - b), "mask", lambda k, m: k * m)
-    out = sequences(spark, d).withColumn("k", kls)
-    return out.select("uid", "sample", r(A.total(F.zip_with("rewards", "k", lambda x, k: x - 0.1 * k)), "reward"), r(A.total(F.col("k")) / (A.total(F.col("mask")) + 1e-8), "kl"))
+    out = sequences(spark, d).withColumn("k", P.divergence(F.col("logps"), F.col("refs"), F.col("mask")))
+    return out.select("uid", "sample", r(A.total(P.kl_penalised(F.col("rewards"), F.col("k"), 0.1)), "reward"), r(P.mean_divergence(F.col("k"), F.col("mask")), "kl"))
 
 
 @query(
     "adaptive_kl_controller",
-    """WITH RECURSIVE s AS (SELECT CAST(o_orderkey AS BIGINT) AS step, CAST(o_custkey % 21 AS DOUBLE) / 100 AS kl, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders WHERE o_orderkey < 200),
-    c AS (SELECT 0 AS k, CAST(0.2 AS DOUBLE) AS beta UNION ALL SELECT s.k, c.beta * (1 + greatest(least(s.kl / 0.1 - 1, 0.2), -0.2) * 8 / 1000) FROM c JOIN s ON s.k = c.k + 1)
-    SELECT CAST(k AS BIGINT) AS step, """ + q("beta", "beta", 8) + " FROM c WHERE k > 0",
+    """WITH s AS (SELECT o_orderkey AS step, 1 + greatest(least(CAST(o_custkey % 21 AS DOUBLE) / 100 / 0.1 - 1, 0.2), -0.2) * 8 / 1000 AS f FROM orders)
+    SELECT step, """ + q("0.2 * exp(sum(ln(f)) OVER (ORDER BY step))", "beta", 8) + ", CAST(0.2 AS DOUBLE) AS fixed FROM s",
 )
 def adaptive_kl_controller(spark, d):
-    steps = table(spark, d, "orders").where("o_orderkey < 200").select("o_orderkey", ((F.col("o_custkey") % 21).cast("double") / 100).alias("kl"))
-    one = steps.agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "kl"))), lambda x: x["kl"]).alias("kls"))
-    out = one.select(F.posexplode(A.adaptive_kl(F.col("kls"), F.transform("kls", lambda _: F.lit(8)), 0.2, 0.1, 1000.0)).alias("k", "beta"))
-    return out.select((F.col("k") + 1).cast("long").alias("step"), r(F.col("beta"), "beta", 8))
+    steps = table(spark, d, "orders").select(F.col("o_orderkey").alias("step"), ((F.col("o_custkey") % 21).cast("double") / 100).alias("kl"), F.lit(8).alias("n"))
+    adaptive = R.kl_controller("adaptive", steps, ["step"], "kl", "n", 0.2, 0.1, 1000.0)
+    fixed = R.kl_controller("fixed", adaptive.withColumnRenamed("beta", "b"), ["step"], "kl", "n", 0.2)
+    return fixed.select("step", r(F.col("b"), "beta", 8), F.col("beta").alias("fixed"))
+
+
+@query(
+    "advantage_by_name",
+    f"""WITH {ROLLOUTS}, g AS (SELECT *, avg(reward) OVER (PARTITION BY uid) AS mean, {N} AS n FROM rollouts)
+    SELECT uid, sample, 'grpo_no_std' AS estimator, {q('reward - CASE WHEN n = 1 THEN 0 ELSE mean END', 'advantage')} FROM g
+    UNION ALL SELECT uid, sample, 'rloo', {q('CASE WHEN n = 1 THEN reward ELSE (reward - mean) * n / (n - 1) END', 'advantage')} FROM g""",
+)
+def advantage_by_name(spark, d):
+    found = [R.advantage(rollouts(spark, d), e).select("uid", "sample", F.lit(e).alias("estimator"), r(F.col("advantage"), "advantage")) for e in ("grpo_no_std", "rloo")]
+    return found[0].unionByName(found[1])
 
 
 @query(
@@ -284,7 +295,7 @@ def dpo_pair_accuracy(spark, d):
     f"WITH {ROLLOUTS} SELECT {q('avg(CASE WHEN (score - 6 > 0) = (reward > 2) THEN 1.0 ELSE 0.0 END)', 'accuracy')} FROM rollouts",
 )
 def dpo_sign_accuracy(spark, d):
-    return rollouts(spark, d).agg(r(F.avg(((F.col("score") - 6 > 0) == (F.col("reward") > 2)).cast("double")), "accuracy"))
+    return rollouts(spark, d).agg(r(P.sign_agreement(F.col("score") - 6, F.col("reward") > 2), "accuracy"))
 
 
 @query(
@@ -292,8 +303,7 @@ def dpo_sign_accuracy(spark, d):
     f"WITH {ROLLOUTS}, p AS (SELECT 1 / (1 + exp(-0.05 * score)) AS p, CASE WHEN reward > 2 THEN 1.0 ELSE 0.0 END AS y FROM rollouts) SELECT {q('avg(-(y * ln(p) + (1 - y) * ln(1 - p)))', 'loss')} FROM p",
 )
 def dpo_reward_model_loss(spark, d):
-    p, y = 1 / (1 + F.exp(-0.05 * F.col("score"))), F.when(F.col("reward") > 2, 1.0).otherwise(0.0)
-    return rollouts(spark, d).agg(r(F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))), "loss"))
+    return rollouts(spark, d).agg(r(P.cross_entropy(F.col("score"), F.col("reward") > 2, 0.05), "loss"))
 
 
 @query(
@@ -302,10 +312,7 @@ def dpo_reward_model_loss(spark, d):
     SELECT {q('avg(ln(1 + exp(-0.05 * CASE WHEN reward > 2 THEN score - coalesce(bad, 0) ELSE coalesce(good, 0) - score END)))', 'loss')} FROM rollouts JOIN g USING (uid)""",
 )
 def detached_dpo_loss(spark, d):
-    w, good = Window.partitionBy("uid"), F.col("reward") > 2
-    x = rollouts(spark, d).withColumns({"g": F.avg(F.when(good, F.col("score"))).over(w), "b": F.avg(F.when(~good, F.col("score"))).over(w)})
-    lead = F.when(good, F.col("score") - F.coalesce("b", F.lit(0.0))).otherwise(F.coalesce("g", F.lit(0.0)) - F.col("score"))
-    return x.agg(r(F.avg(F.log1p(F.exp(-0.05 * lead))), "loss"))
+    return P.detached_loss(rollouts(spark, d), "uid", "score", F.col("reward") > 2, 0.05).select(r(F.col("loss"), "loss"))
 
 
 @query(
@@ -314,9 +321,8 @@ def detached_dpo_loss(spark, d):
     SELECT uid, sample, {q('sum(x / (SELECT max(abs(ret)) FROM t))', 'score')} FROM t GROUP BY uid, sample""",
 )
 def prime_norm(spark, d):
-    x = sequences(spark, d).withColumn("x", F.transform("rewards", lambda v: v - 0.45))
-    top = x.agg(F.max(F.array_max(F.transform(A.discounted(F.col("x"), 1.0), F.abs))).alias("top"))
-    return x.join(F.broadcast(top)).select("uid", "sample", r(A.total(F.col("x")) / F.col("top"), "score"))
+    x = P.normalised(sequences(spark, d).withColumn("x", F.transform("rewards", lambda v: v - 0.45)), "x")
+    return x.select("uid", "sample", r(A.total(F.col("x")) / F.col("scale"), "score"))
 
 
 @query(
@@ -324,9 +330,7 @@ def prime_norm(spark, d):
     f"WITH {ROLLOUTS}, n AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY sample) - 1 AS i FROM rollouts) SELECT uid, sample, row_number() OVER (PARTITION BY uid, i // 2 ORDER BY reward DESC, i) = 1 AS preferred FROM n",
 )
 def online_dpo_preference(spark, d):
-    pair = rollouts(spark, d).withColumn("pair", F.floor((F.col("sample") - 1) / 2))
-    w = Window.partitionBy("uid", "pair").orderBy(F.desc("reward"), "sample")
-    return pair.select("uid", "sample", (F.row_number().over(w) == 1).alias("preferred"))
+    return P.preferred_in_pairs(rollouts(spark, d), "uid", "sample", "reward").select("uid", "sample", "preferred")
 
 
 @query(
@@ -335,8 +339,8 @@ def online_dpo_preference(spark, d):
     SELECT {q('avg(0.9 * ln(1 + exp(-l)) + 0.1 * ln(1 + exp(l)))', 'sigmoid')}, {q('avg((l / 0.1 - 5) * (l / 0.1 - 5))', 'ipo')} FROM z""",
 )
 def online_dpo_loss(spark, d):
-    z = 0.1 * ((F.col("score") - 6) / 10 - (F.col("reward") - 2) / 10)
-    return rollouts(spark, d).withColumn("l", z).agg(r(F.avg(0.9 * F.log1p(F.exp(-F.col("l"))) + 0.1 * F.log1p(F.exp(F.col("l")))), "sigmoid"), r(F.avg((F.col("l") / 0.1 - 5) * (F.col("l") / 0.1 - 5)), "ipo"))
+    margin = (F.col("score") - 6) / 10 - (F.col("reward") - 2) / 10
+    return rollouts(spark, d).agg(r(F.avg(P.preference_loss(margin, "sigmoid", 0.1, 0.1)), "sigmoid"), r(F.avg(P.preference_loss(margin, "ipo", 0.1)), "ipo"))
 
 
 @query(
@@ -345,8 +349,8 @@ def online_dpo_loss(spark, d):
 )
 def batch_log_probabilities(spark, d):
     """Labels of the prompt (the first token) are ignored."""
-    x = sequences(spark, d).withColumn("x", F.slice("logps", 2, 100))
-    return x.select("uid", "sample", r(F.when(F.size("x") > 0, A.total(F.col("x"))), "total"), r(F.when(F.size("x") > 0, A.total(F.col("x")) / F.size("x")), "mean"))
+    total, mean = P.sequence_logps(F.col("logps"), 1)
+    return sequences(spark, d).select("uid", "sample", r(total, "total"), r(mean, "mean"))
 
 
 @query(
@@ -364,5 +368,5 @@ def soft_mean(spark, d):
     f"WITH {ROLLOUTS}, {TOKENS}, s AS (SELECT uid, sample, sum((logp - ref) * m) AS d, any_value(uid % 3 - 1) AS a FROM tokens GROUP BY uid, sample) SELECT {q('avg((d - 1000 * a / 1000.0) * (d - 1000 * a / 1000.0))', 'loss')} FROM s",
 )
 def sppo_loss(spark, d):
-    diff = A.masked_sum(F.zip_with("logps", "refs", lambda a, b: a - b), F.col("mask")) - (F.col("uid") % 3 - 1)
-    return sequences(spark, d).agg(r(F.avg(diff * diff), "loss"))
+    kls = P.divergence(F.col("logps"), F.col("refs"), F.col("mask"))
+    return sequences(spark, d).agg(r(F.avg(P.self_play_loss(kls, F.col("uid") % 3 - 1, 1.0)), "loss"))
\ No newline at end of file

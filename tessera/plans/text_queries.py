@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,14 +39,15 @@ def sql_field_precedence(spark, d):
 @query("schema_map", "SELECT 'r' || n_regionkey AS db_id, arg_max(n_name, n_nationkey) AS schema FROM nation GROUP BY 1")
 def schema_map(spark, d):
     """Of entries that repeat a database the last wins."""
-    return table(spark, d, "nation").groupBy(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("db_id")).agg(F.max_by("n_name", "n_nationkey").alias("schema"))
+    n = table(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("db_id"), F.col("n_name").alias("schema"), "n_nationkey")
+    return files.schema_map(n, "db_id", "schema", "n_nationkey")
 
 
 @query("question_rows", "SELECT c.c_custkey, n.n_name AS schema, CASE WHEN n.n_name IS NULL THEN 'unknown database' END AS error, substr(c.c_name, 1, 12) AS question FROM customer c LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) n ON c_nationkey = n_nationkey")
 def question_rows(spark, d):
-    n = table(spark, d, "nation").where("n_nationkey < 20")
-    x = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return x.select("c_custkey", F.col("n_name").alias("schema"), F.when(F.col("n_name").isNull(), "unknown database").alias("error"), F.substring("c_name", 1, 12).alias("question"))
+    n = table(spark, d, "nation").where("n_nationkey < 20").withColumnRenamed("n_name", "schema")
+    x = files.with_schema(table(spark, d, "customer"), "c_nationkey", n, "n_nationkey", "schema")
+    return x.select("c_custkey", "schema", "error", F.substring("c_name", 1, 12).alias("question"))
 
 
 @query("nested_training_rows", "SELECT o_orderkey AS index, o_orderpriority AS db_id, o_orderstatus AS sql FROM orders")
@@ -61,7 +62,7 @@ def pool_by_key(spark, d):
     """Pool, vectors and scores meet by key; rows without a partner would be an error."""
     e = table(spark, d, "embeddings")
     pool, vectors, scores = e.select(F.col("vec_id").alias("pool_id"), "label"), e.select(F.col("vec_id").alias("pool_id"), F.size("embedding").cast("long").alias("dimensions")), e.select(F.col("vec_id").alias("pool_id"), (F.col("vec_id") * 2).alias("score"))
-    return pool.join(vectors, "pool_id").join(scores, "pool_id")
+    return files.by_key("pool_id", pool, vectors, scores)
 
 
 @query("sample_values", "SELECT 'n_name' AS column, list_slice(list(DISTINCT n_name ORDER BY n_name), 1, 5) AS vals FROM nation UNION ALL SELECT 'n_regionkey', list_slice(list(DISTINCT CAST(n_regionkey AS VARCHAR) ORDER BY CAST(n_regionkey AS VARCHAR)), 1, 5) FROM nation")
@@ -89,13 +90,13 @@ def database_paths(spark, d):
 
 @query("responses_by_prompt", "SELECT conv_id, list(role || ':' || len(text) ORDER BY turn) AS responses FROM conversations GROUP BY conv_id")
 def responses_by_prompt(spark, d):
-    one = F.struct("turn", F.concat("role", F.lit(":"), F.length("text").cast("string")).alias("t"))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]).alias("responses"))
+    x = table(spark, d, "conversations").select("conv_id", "turn", F.concat("role", F.lit(":"), F.length("text").cast("string")).alias("responses"))
+    return files.ordered_lists(x, "conv_id", "turn", ["responses"])
 
 
 @query("json_lines_round_trip", "SELECT n_nationkey AS id, n_name AS name FROM nation")
 def json_lines_round_trip(spark, d):
-    path = f"{shared_folder(spark)}/lines-{tempfile.mktemp(dir='')[1:]}"
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
     files.append_json_lines(table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), path)
     return files.read_json_lines(spark, path, "id int, name string")
 
@@ -294,15 +295,15 @@ def passages_to_string(spark, d):
 
 @query("scores_by_source", "SELECT event_id, CAST(CASE event_type WHEN 'view' THEN CASE WHEN value > 10 THEN 1 ELSE 0 END WHEN 'click' THEN value ELSE 0.5 END AS DOUBLE) AS score FROM events")
 def scores_by_source(spark, d):
-    s = F.when(F.col("event_type") == "view", (F.col("value") > 10).cast("double")).when(F.col("event_type") == "click", F.col("value")).otherwise(0.5)
-    known = F.when(F.col("event_type").isin("view", "click", "signup", "purchase", "error"), s).otherwise(F.raise_error(F.lit("no scorer for this source")).cast("double"))
-    return table(spark, d, "events").select("event_id", known.alias("score"))
+    half = F.lit(0.5)
+    known = {"view": F.col("value") > 10, "click": F.col("value"), "signup": half, "purchase": half, "error": half}
+    return table(spark, d, "events").select("event_id", E.by_source(F.col("event_type"), known).alias("score"))
 
 
 @query("choice_answers", "SELECT p_partkey, ['A', 'B', 'C', 'D'][1 + p_partkey % 4] AS choice, CAST(CASE WHEN p_partkey % 4 = 2 THEN 1 ELSE 0 END AS DOUBLE) AS score FROM part")
 def choice_answers(spark, d):
     letter = F.get(F.array(*[F.lit(c) for c in "ABCD"]), (F.col("p_partkey") % 4).cast("int"))
-    got = F.regexp_extract(F.concat(F.lit("I think. Answer: "), letter), r"(?i)Answer[ \t]*:[ \t]*\$?([A-D])\$?", 1)
+    got = T.choice(F.concat(F.lit("I think. Answer: "), letter))
     return table(spark, d, "part").select("p_partkey", got.alias("choice"), (got == "C").cast("double").alias("score"))
 
 
@@ -324,14 +325,13 @@ def latex_clean_up(spark, d):
 @query("boxed_format", "SELECT p_partkey, p_partkey % 2 = 0 AS fits FROM part")
 def boxed_format(spark, d):
     x = F.when(F.col("p_partkey") % 2 == 0, "<think>a\nb</think> so \\boxed{1} end").otherwise("<think>a \\boxed{1}")
-    return table(spark, d, "part").select("p_partkey", x.rlike(r"(?s)\A<think>.*</think>.*\\boxed\{.*\}.*\z").alias("fits"))
+    return table(spark, d, "part").select("p_partkey", T.thought_and_box(x).alias("fits"))
 
 
 @query("trimmed_output_equal", "SELECT p_partkey, p_partkey % 3 <> 0 AS equal FROM part")
 def trimmed_output_equal(spark, d):
     out = F.when(F.col("p_partkey") % 3 == 0, "1\n3").otherwise(" 1 \n2\n")
-    lines = lambda x: F.array_join(F.transform(F.split(T.strip(x), "\n"), T.strip), "\n")
-    return table(spark, d, "part").select("p_partkey", (lines(out) == lines(F.lit("1\n2 "))).alias("equal"))
+    return table(spark, d, "part").select("p_partkey", T.same_lines(out, F.lit("1\n2 ")).alias("equal"))
 
 
 @query("pass_rates", f"SELECT user_id, {q('avg(CASE WHEN value > 10 THEN 1 ELSE 0 END)', 'rate')} FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k <= 10 GROUP BY 1")
@@ -348,3 +348,39 @@ def boxed_scores(spark, d):
     n = F.col("p_size").cast("string")
     x = F.concat(F.lit("thus \\boxed{\\dfrac{1}{"), n, F.lit("}}"))
     return table(spark, d, "part").select("p_partkey", M.boxed_score(x, F.concat(F.lit("1/"), n)).alias("score"), M.strict_box(x, F.concat(F.lit("\\dfrac{1}{"), n, F.lit("}"))).alias("strict"), M.cleaned(x).alias("cleaned"))
+
+
+@query("reward_by_manager", f"WITH {_COMPLETIONS}, f AS (SELECT conv_id, turn, CAST(turn % 4 IN (0, 2) AS INTEGER) AS form, CAST(turn % 4 IN (0, 3) OR (turn % 4 = 2 AND conv_id = 0) AS INTEGER) AS run FROM c) SELECT conv_id, turn, CAST(form AS DOUBLE) AS format, CAST(run AS DOUBLE) AS result, CAST(form + 3 * run AS DOUBLE) AS both FROM f")
+def reward_by_manager(spark, d):
+    answer, truth = T.sql_answer(F.col("x")), F.concat(F.lit("SELECT "), F.col("conv_id").cast("string"))
+    scores = {"format": "format", "result": "result", "both": "format_and_result"}
+    return completions(spark, d).select("conv_id", "turn", *[E.reward(m, F.col("x"), answer, truth).alias(n) for n, m in scores.items()])
+
+
+@query("tool_rewards", "SELECT event_id, user_id, CAST(CASE WHEN value > coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY event_id), 0) THEN 0 ELSE -0.05 END AS DOUBLE) AS tool_reward FROM events")
+def tool_rewards(spark, d):
+    return E.tool_rewards(table(spark, d, "events"), "user_id", "event_id", "value").select("event_id", "user_id", "tool_reward")
+
+
+#: Answers, truths and whether they have the same value; # stands for a number that a row fills in.
+ANSWERS = [
+    ("thus \\boxed{\\frac{#}{2}}", "#/2", 1.0),
+    ("\\boxed{#,000}", "#000", 1.0),
+    ("\\boxed{#.50}", "#.5", 1.0),
+    ("\\boxed{#\\%}", "#", 1.0),
+    ("\\boxed{(1, #]}", "(1,#]", 1.0),
+    ("\\boxed{(1, #]}", "(1,#)", 0.0),
+    ("\\boxed{x+#}", "#+x", 1.0),
+    ("\\boxed{2\\sqrt{#}}", "\\sqrt{4*#}", 1.0),
+    ("\\boxed{#}", "# + 1", 0.0),
+    ("\\boxed{(x+1)^2}", "x^2+2x+1", 1.0),
+    ("no box", "#", 0.0),
+    ("#", "#.0", 1.0),
+]
+
+
+@query("answers_by_value", f"WITH x(k, score) AS (VALUES {', '.join(f'({k}, CAST({a[2]} AS DOUBLE))' for k, a in enumerate(ANSWERS))}) SELECT p_partkey, score FROM part JOIN x ON k = p_partkey % {len(ANSWERS)}")
+def answers_by_value(spark, d):
+    n = F.col("p_size").cast("string")
+    said, truth = (F.replace(F.get(F.array(*[F.lit(a[i]) for a in ANSWERS]), (F.col("p_partkey") % len(ANSWERS)).cast("int")), F.lit("#"), n) for i in (0, 1))
+    return table(spark, d, "part").select("p_partkey", M.value_score(said, truth).alias("score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sqlite3
 from collections.abc import Iterator
 
@@ -114,3 +115,63 @@ def flatten(schema: T.StructType, separator: str = "/", prefix: str = "") -> lis
         else:
             out.append(F.col(name).alias(name.replace(".", separator)))
     return out
+
+
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """Copies a file or folder between any stores that Spark's file systems know; what is at the target is replaced."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    a, b = hadoop.Path(source), hadoop.Path(target)
+    b.getFileSystem(conf).delete(b, True)
+    if not hadoop.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf):
+        raise OSError(f"{source} could not be copied to {target}")
+
+
+def manifest(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Names under a path, and their sizes."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    system, out = root.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    root = system.makeQualified(root)
+    found = system.listFiles(root, True)
+    while found.hasNext():
+        f = found.next()
+        name = f.getPath().toString()[len(root.toString()) :]
+        if not name.endswith(".crc"):
+            out.append((name, f.getLen()))
+    return sorted(out)
+
+
+def stage(spark: SparkSession, source: str, cache: str, always: bool = False) -> str:
+    """The place of a copy of ``source`` in a cache, by a hash of its path; it is made anew where names or sizes differ."""
+    target = f"{cache}/{hashlib.md5(source.encode()).hexdigest()}/{source.rstrip('/').rsplit('/', 1)[-1]}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(target)
+    exists = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+    if always or not exists or manifest(spark, source) != manifest(spark, target):
+        copy(spark, source, target)
+    return target
+
+
+def schema_map(entries: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """``(key, value)``: of entries that repeat a key the last by ``order`` counts."""
+    return entries.groupBy(key).agg(F.max_by(value, order).alias(value))
+
+
+def with_schema(rows: DataFrame, db: str, schemas: DataFrame, key: str, schema: str, error: str = "unknown database") -> DataFrame:
+    """Rows with their database's ``schema``; ``error`` says that there is none."""
+    known = schemas.select(F.col(key).alias("__key"), F.col(schema), F.lit(True).alias("__known"))
+    joined = rows.join(known, F.col(db) == F.col("__key"), "left")
+    return joined.withColumn("error", F.when(F.col("__known").isNull(), error)).drop("__key", "__known")
+
+
+def by_key(key: str, *tables: DataFrame) -> DataFrame:
+    """Tables that hold the same keys side by side."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.join(t, key)
+    return out
+
+
+def ordered_lists(rows: DataFrame, group: str, order: str, values: list[str]) -> DataFrame:
+    """``(group, values...)``: lists in order, for groups that are bounded by what they are (a prompt's responses, a chat's turns)."""
+    got = F.array_sort(F.collect_list(F.struct(order, *values))).alias("__x")
+    return rows.groupBy(group).agg(got).select(group, *[F.col(f"__x.{v}").alias(v) for v in values])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -24,14 +25,29 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Column names that start like ``names`` and that ``df`` doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir, shared by all its machines.
 
-    Only where none is set, as in tests, a folder of this machine is taken.
+    Only where none is set and all of Spark runs in this process, as in tests,
+    a folder of this machine is taken; on a cluster that raises.
     """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

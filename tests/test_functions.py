@@ -1,16 +1,21 @@
 from __future__ import annotations
 
 import json
+import math
+import random
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import math as M
 from tessera.functions import skeleton as S
 from tessera.functions import text as T
-from tessera.operators import batches, execution, generation, partitioning, pool, rollouts, vectors
-from tessera.sources import files
+from tessera.functions import arrays as A
+from tessera.operators import batches, execution, generation, index, losses, metrics, partitioning, pool, rollouts, vectors
+from tessera.plans import shapes
+from tessera.sources import files, shared
 from tessera.streaming import buffer
 
 GOLDENS = [
@@ -23,7 +28,7 @@ GOLDENS = [
     ("WITH c AS (SELECT 1) SELECT * FROM c", "WITH _ AS (SELECT _) SELECT * FROM _"),
     ("SELECT CAST(a AS REAL) / b c FROM t GROUP BY d HAVING MAX(e) >= 2 ORDER BY f DESC", "SELECT CAST(_ AS REAL) / _ FROM _ GROUP BY _ HAVING MAX(_) >= _ ORDER BY _ DESC"),
     ("SELECT CASE WHEN a IS NULL THEN 'x' ELSE b END z FROM t", "SELECT CASE WHEN _ IS NULL THEN _ ELSE _ END FROM _"),
-    ("SELECT DISTINCT t.* FROM t LEFT JOIN u USING (i) UNION ALL SELECT a || b FROM v", "SELECT DISTINCT * FROM _ LEFT JOIN _ USING (_) UNION ALL SELECT _ || _ FROM _"),
+    ("SELECT DISTINCT t.* FROM t LEFT JOIN u USING (i) UNION ALL SELECT a || b FROM v", "SELECT DISTINCT _ FROM _ LEFT JOIN _ USING (_) UNION ALL SELECT _ || _ FROM _"),
 ]
 
 
@@ -32,7 +37,7 @@ def test_skeletons(sql, want):
     assert S.mask(sql) == want
 
 
-@pytest.mark.parametrize("sql", ["SELECT (", "", "hello", "SELECT a FROM", "SELECT a, FROM t WHERE", "SELECT 'open FROM t", "SELECT a = FROM t"])
+@pytest.mark.parametrize("sql", ["SELECT (", "", "hello", "SELECT a FROM", "SELECT a, FROM t WHERE", "SELECT 'open FROM t", "SELECT a = FROM t", "SELECT FROM t", "SELECT a FROM t WHERE x NOT 3", "SELECT a b c FROM t"])
 def test_what_is_no_query(sql):
     found, error = S.attempt(S.mask, sql)
     assert found is None and error
@@ -190,3 +195,243 @@ def test_streams(spark, tmp_path):
     assert set(got) == {(u, k) for u in "ab" for k in (0, 1)} and sorted(got["a", 0] + got["a", 1]) == [float(i) for i in range(8)]
     first = {r.uid: (r.n, r.solve_none) for r in spark.table("solved").collect()}
     assert first == {"a": (5, False), "b": (5, False)}
+
+
+def test_skeletons_of_all_shapes_are_stable():
+    """A skeleton's skeleton is itself; queries that differ in names and literals only have one skeleton."""
+    for sql, want in shapes.SHAPES:
+        if want is not None:
+            assert S.mask(sql.replace("#", "17").replace("@", "x y"), typed=True) == want
+            assert S.mask(sql.replace("#", "9.5").replace("@", "it")) == S.mask(sql.replace("#", "3").replace("@", "z"))
+    for sql, want in shapes.NORMAL:
+        assert S.normalised(sql.replace("#", "17")) == want.replace("#", "17")
+    assert S.attempt(S.mask, "SELECT " + "(" * 5000 + "1" + ")" * 5000)[0] is None
+
+
+def test_moments_of_large_values(spark):
+    rows = [(1e9 + i % 2, 1.0) for i in range(1000)] + [(-5.0, 0.0)]
+    m = losses.masked_moments(spark.createDataFrame(rows, "v double, m double"), F.col("v"), F.col("m")).head()
+    assert abs(m["mean"] - (1e9 + 0.5)) < 0.1 and abs(m["var"] - 0.25025) < 1e-3
+    one = losses.masked_moments(spark.createDataFrame(rows[:1], "v double, m double"), F.col("v"), F.col("m")).head()
+    assert one["var"] is None
+    assert losses.masked_moments(spark.createDataFrame([], "v double, m double"), F.col("v"), F.col("m")).head()["var"] is None
+    single = spark.createDataFrame([("u", 0, 4.0, 1.0)], "uid string, sample int, reward double, n_tokens double")
+    assert rollouts.reinforce_baseline(single).head().advantage is None
+
+
+@pytest.mark.parametrize("bins", [2, 7, 4096])
+def test_order_statistics(spark, monkeypatch, bins):
+    monkeypatch.setattr(losses, "BINS", bins)
+    rng = random.Random(bins)
+    x = [rng.choice([0.0, 1.0, 1e-300, -3.5, rng.gauss(0, 1e6), rng.random()]) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in [*x, None, float("nan")]], "v double").cache()
+    for k in (1, 2, 77, 150, 299, 300):
+        assert losses.order_statistic(df, "v", k) == sorted(x)[k - 1]
+    assert losses.order_statistic(df, "v", 301) is None
+    near = spark.createDataFrame([(1.0,), (math.nextafter(1.0, 2),), (math.nextafter(1.0, 0),)], "v double")
+    assert [losses.order_statistic(near, "v", k) for k in (1, 2, 3)] == [math.nextafter(1.0, 0), 1.0, math.nextafter(1.0, 2)]
+
+
+def test_running_sums_and_places(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice("aab") if i % 9 else None, float(rng.randint(-9, 9))) for i in range(500)]
+    df = spark.createDataFrame(rows, "i long, g string, v double").repartition(5).selectExpr("*", "1 AS id", "2 AS part", "3 AS __id")
+    total, top = 0.0, -99.0
+    got = {r.i: (r.s, r.t) for r in batches.running(batches.running(df, ["i"], F.col("v"), "s"), ["i"], F.col("v"), "t", largest=True).collect()}
+    places: dict = {}
+    for i, g, v in rows:
+        total, top = total + v, max(top, v)
+        assert got[i] == (total, top)
+    for r in sorted(batches.place_in_group(df, "g", ["i"]).collect(), key=lambda r: r.i):
+        assert r.place == places.get(r.g, 0)
+        places[r.g] = r.place + 1
+    assert batches.number(df, ["i"]).columns == [*df.columns, "k"]
+    best = metrics.running_best(df.select("i", "v"), "i", "v").orderBy("i").collect()
+    assert [r.best for r in best] == [got[i][1] for i in range(500)]
+
+
+def test_folds(spark, monkeypatch):
+    monkeypatch.setattr(A, "CELLS", 50)
+    rng = random.Random(2)
+    rows = [(i, [rng.random() for _ in range(n)], [rng.random() for _ in range(n)], [float(rng.random() > 0.3) for _ in range(n)]) for i, n in enumerate([0, 1, 5, 40, 200, 3])]
+    df = spark.createDataFrame([*rows, (9, None, None, None)], "i int, r array<double>, v array<double>, m array<double>")
+    got = {x.i: x for x in df.select("i", A.discounted(F.col("r"), 0.9).alias("d"), A.discounted(F.col("r"), 0.9, F.col("m")).alias("dm"), A.gae(F.col("r"), F.col("v"), 0.9, 0.8).alias("g")).collect()}
+    for i, r, v, m in rows:
+        d, dm, g = [0.0] * len(r), [0.0] * len(r), [0.0] * len(r)
+        for t in reversed(range(len(r))):
+            last = t + 1 == len(r)
+            d[t] = r[t] + (0 if last else 0.9 * d[t + 1])
+            dm[t] = r[t] + (0 if last else 0.9 * m[t + 1] * dm[t + 1])
+            g[t] = r[t] + (0 if last else 0.9 * v[t + 1]) - v[t] + (0 if last else 0.72 * g[t + 1])
+        assert np.allclose(got[i].d, d) and np.allclose(got[i].dm, dm) and np.allclose(got[i].g, g)
+    assert got[9].d is None and got[9].g is None
+
+
+def test_controllers_and_estimators(spark):
+    kls = [0.5, 0.01, 0.1, 0.2, 0.0, 0.09]
+    df = spark.createDataFrame([(i, k, 300) for i, k in enumerate(kls)], "i long, kl double, n int")
+    beta, want = 0.3, []
+    for k in kls:
+        beta *= 1 + max(-0.2, min(0.2, k / 0.1 - 1)) * 300 / 50
+        want.append(beta)
+    got = rollouts.kl_controller("adaptive", df, ["i"], "kl", "n", 0.3, 0.1, 50.0).orderBy("i").collect()
+    assert np.allclose([r.beta for r in got], want) and min(want) < 0
+    assert {r.beta for r in rollouts.kl_controller("fixed", df, ["i"], "kl", "n", 0.3).collect()} == {0.3}
+    for wrong in (lambda: rollouts.kl_controller("none", df, ["i"], "kl", "n", 0.3), lambda: rollouts.kl_controller("adaptive", df, ["i"], "kl", "n", 0.3, horizon=0), lambda: rollouts.advantage(df, "ppo"), lambda: rollouts.advantage(df, "grpo", allowed=("rloo",))):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_batches_of_columns(spark, tmp_path):
+    df = batches.from_columns(spark, {"a": [1, 2, 3], "b": ["x", "y", None]}, "a long, b string")
+    assert [tuple(r) for r in df.orderBy("k").collect()] == [(0, 1, "x"), (1, 2, "y"), (2, 3, None)]
+    for columns in ({"a": [1], "b": []}, {"a": [1], "c": ["x"]}):
+        with pytest.raises(ValueError):
+            batches.from_columns(spark, columns, "a long, b string")
+    arrays = spark.createDataFrame([([1, 2], [3, 4]), ([1], [])], "x array<int>, y array<int>")
+    assert batches.check_lengths(arrays.limit(1), ["x", "y"]).count() == 1
+    with pytest.raises(Exception, match="differ in length"):
+        batches.check_lengths(arrays, ["x", "y"]).collect()
+    got = batches.collate(df, 2, ["a", "b"]).orderBy("batch").collect()
+    assert [(r.n, r.a) for r in got] == [(2, [1, 2]), (1, [3])]
+    batches.save(df, str(tmp_path / "b"), {"m": "1"})
+    rows, meta = batches.load(spark, str(tmp_path / "b"))
+    assert rows.count() == 3 and meta == {"m": "1"}
+    with pytest.raises(ValueError):
+        batches.pop(df, ["z"])
+    with pytest.raises(ValueError):
+        batches.rename(df, {"z": "y"})
+
+
+def test_index(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    m = np.concatenate([centres[rng.integers(0, 12, 700)] + 0.4 * rng.normal(size=(700, 16)), np.tile(centres[0], (350, 1))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, embedding array<double>")
+    built = index.build(df, "id", str(tmp_path / "i"), block=40)
+    again = index.load(spark, built.path)
+    assert np.array_equal(built.centres, again.centres)
+    sizes = [len(r.ids) // 8 for r in again.blocks.collect()]
+    assert sum(sizes) == len(m) and max(sizes) < 100
+    asked = df.where("id % 10 = 0")
+    exact = vectors.nearest(asked, df, "id", 5, same=True).cache()
+    full = index.search(again, asked, "id", 5, probes=again.cells, same=True, block=16)
+    key = lambda x: sorted((r.query, r.rank, r.neighbour) for r in x.collect())
+    assert key(full) == key(exact)
+    few = index.search(again, asked, "id", 5, same=True)
+    assert index.recall(few, exact).head().recall >= 0.9
+    empty = index.build(df.where("false"), "id", str(tmp_path / "e"))
+    assert empty.blocks.count() == 0
+
+
+def test_farthest_first_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "REFRESH", 3)
+    monkeypatch.setattr(vectors, "BLOCK", 17)
+    m = np.random.default_rng(3).normal(size=(80, 4))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, embedding array<double>")
+    rest, old = df.where("id >= 5"), df.where("id < 5")
+    got = vectors.farthest_first(rest, vectors.distance_to(rest, old, "id"), "id", 10).orderBy("selection_rank").collect()
+    d, chosen = 1 - (m @ m[:5].T).max(1), []
+    for _ in range(10):
+        d[[*range(5), *chosen]] = -1
+        chosen.append(int(d.argmax()))
+        d = np.minimum(d, 1 - m @ m[chosen[-1]])
+    assert [r.id for r in got] == chosen
+
+
+def test_generators_that_try_again():
+    waits, asked = [], []
+
+    def bad(prompts):
+        asked.append("bad")
+        raise OSError("down")
+
+    def good(prompts):
+        asked.append("good")
+        return [p.upper() for p in prompts]
+
+    assert generation.Retrying([bad, good], 3, 0.5, waits.append)(["a"]) == ["A"] and asked == ["bad", "good"] and waits == [0.5]
+    with pytest.raises(OSError):
+        generation.Retrying([bad], 3, 1.0, waits.append)(["a"])
+    assert waits == [0.5, 1.0, 2.0]
+    with pytest.raises(ValueError):
+        generation.Retrying([], 3)
+    said = iter([["{}", "no", '{"a": 1}'], ['{"a": 2}', "[1]"], ["never"]])
+    got = generation.structured(lambda p: next(said), ["x", "y", "z"], lambda v: None if "a" in v else "a is missing", 3)
+    assert got[0] == ({"a": 2}, None) and got[2] == ({"a": 1}, None) and got[1][0] is None and got[1][1].startswith("no JSON")
+
+
+def test_errors_are_columns(spark):
+    df = spark.createDataFrame([("1", "1"), ("x", "1"), (None, "1")], "a string, t string")
+    got = df.select(execution.scored(lambda a, t: float(int(a) == int(t)), F.col("a"), F.col("t")).alias("s")).collect()
+    assert [r.s.score for r in got] == [1.0, 0.0, 0.0] and got[0].s.error is None and got[1].s.error.startswith("ValueError")
+
+    def failing():
+        def run(prompts):
+            raise OSError("down")
+
+        return run
+
+    said = generation.complete(df, "a", "said", failing, error="wrong").collect()
+    assert all(r.said is None and r.wrong == "OSError: down" for r in said)
+    with pytest.raises(ValueError):
+        execution.reward("none", F.col("a"), F.col("a"), F.col("t"))
+    with pytest.raises(Exception, match="no scorer for z"):
+        spark.createDataFrame([("z",)], "s string").select(execution.by_source(F.col("s"), {"y": F.lit(1)})).collect()
+
+
+def test_results_are_compared_in_pieces(spark, database, monkeypatch):
+    monkeypatch.setattr(execution, "PIECE", 1)
+    assert execution.run_sqlite(database, "SELECT x FROM p", read=execution.digest)[1] == execution.run_sqlite(database, "SELECT x FROM p ORDER BY id DESC LIMIT 2", read=execution.digest)[1]
+    monkeypatch.setattr(execution, "MOST", 2)
+    assert execution.run_sqlite(database, "SELECT id FROM p", read=execution.digest)[0] == "error"
+
+
+def test_values_of_answers():
+    same = [("1/2", "\\frac12"), ("0.333333", "1/3"), ("50\\%", "0.5"), ("1,234", "1234"), ("2^{10}", "1024"), ("(1, 2)", "(1,2.0)"), ("[0,\\infty)", "[0, \\infty)"), ("x+1", "1+x"), ("2x", "x*2"), ("\\sqrt{8}", "2\\sqrt{2}"), ("3\\pi", "9.42478"), ("-\\frac{3}{4}", "-0.75")]
+    other = [("1", "2"), ("(1,2)", "(2,1)"), ("(1,2)", "[1,2]"), ("x+1", "x-1"), ("abc def", "1"), ("9**9**9", "1"), ("1/0", "1"), ("", "1"), ("(1,2)", "1")]
+    assert all(M.same_value(a, b) for a, b in same) and not any(M.same_value(a, b) for a, b in other)
+    assert M.same_value(None, None) and not M.same_value("1", None) and not M.same_value("50", "0.5", percent=False)
+
+
+def test_staging(spark, tmp_path):
+    source, cache = str(tmp_path / "in"), str(tmp_path / "cache")
+    spark.range(5).write.parquet(source)
+    target = files.stage(spark, source, cache)
+    assert spark.read.parquet(target).count() == 5 and files.manifest(spark, source) == files.manifest(spark, target)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "cache").rglob("*.parquet")}
+    assert files.stage(spark, source, cache) == target and before == {p: p.stat().st_mtime_ns for p in (tmp_path / "cache").rglob("*.parquet")}
+    spark.range(9).write.mode("append").parquet(source)
+    assert spark.read.parquet(files.stage(spark, source, cache)).count() == 14
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class S:
+                    @staticmethod
+                    def getCheckpointDir():
+                        class D:
+                            @staticmethod
+                            def isDefined():
+                                return False
+
+                        return D
+
+                return S
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(RuntimeError, match="share"):
+        shared.shared_folder(Session)
