@@ -189,3 +189,8 @@ def tool_rewards(steps: DataFrame, instance: str, step: str, score: str, penalty
     """
     before = F.lag(score, 1, 0.0).over(Window.partitionBy(instance).orderBy(step))
     return steps.withColumn("tool_reward", F.when(F.col(score) > before, 0.0).otherwise(F.lit(float(penalty))))
+
+
+def gold_uses(rows: DataFrame, gold: str) -> DataFrame:
+    """``(gold, used)``: each different gold query, to be run once, and how many rows want its result."""
+    return rows.groupBy(gold).agg(F.count(F.lit(1)).alias("used"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import batches
+from tessera.operators.pool import first_n_by_group
 
 
 def reduce_metrics(metrics: DataFrame) -> DataFrame:
@@ -113,3 +114,8 @@ def balance(rows: DataFrame, part: str, length: str) -> DataFrame:
 def moments(rows: DataFrame, value: str) -> DataFrame:
     """One row ``(mean, max, min, std)`` over all partitions."""
     return rows.agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"), F.stddev_samp(value).alias("std"))
+
+
+def pass_rates(rows: DataFrame, group: str, order: str, passed: Column, n: int) -> DataFrame:
+    """``(group, rate)``: the share that passes of each group's first n rows."""
+    return first_n_by_group(rows, group, [order], n).groupBy(group).agg(F.avg(passed.cast("double")).alias("rate"))

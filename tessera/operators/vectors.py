@@ -96,9 +96,14 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, k: int, same: bool =
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "neighbour", "similarity")
 
 
-def outliers(vectors: DataFrame, key: str, k: int) -> DataFrame:
-    """``(key, nearest_sim, mean_sim, outlier)`` from the k nearest others; a vector without others has similarity 0."""
-    near = nearest(vectors, vectors, key, k, same=True).groupBy(F.col("query").alias(key)).agg(F.max("similarity").alias("nearest_sim"), F.avg("similarity").alias("mean_sim"))
+def outliers(vectors: DataFrame, key: str, k: int, found: DataFrame | None = None) -> DataFrame:
+    """``(key, nearest_sim, mean_sim, outlier)`` from the k nearest others; a vector without others has similarity 0.
+
+    ``found``: the neighbours, where another search than the exact one has
+    found them (``operators.index.search``).
+    """
+    near = nearest(vectors, vectors, key, k, same=True) if found is None else found
+    near = near.groupBy(F.col("query").alias(key)).agg(F.max("similarity").alias("nearest_sim"), F.avg("similarity").alias("mean_sim"))
     out = vectors.select(key).join(near, key, "left").na.fill(0.0, ["nearest_sim", "mean_sim"])
     return out.withColumn("outlier", 1 - F.col("mean_sim"))
 

@@ -11,6 +11,7 @@ from tessera.functions import math as M
 from tessera.functions import text as T
 from tessera.operators import execution as E
 from tessera.operators import generation as G
+from tessera.operators import metrics
 from tessera.plans import query, table
 from tessera.plans.rollout_queries import q, r
 from tessera.sources import files
@@ -159,7 +160,7 @@ def result_set_equal(spark, d):
 
 @query("gold_results_once", "SELECT o_orderpriority AS gold, count(*) AS used FROM orders GROUP BY 1")
 def gold_results_once(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("gold")).agg(F.count(F.lit(1)).alias("used"))
+    return E.gold_uses(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "gold"), "gold")
 
 
 @query("validation_status", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'sql_empty' WHEN 1 THEN 'timeout' WHEN 2 THEN 'execution_error' WHEN 3 THEN 'empty_result' ELSE 'ok' END AS status, CASE p_partkey % 5 WHEN 3 THEN 'forward_sql_empty' ELSE 'forward_sql_invalid' END AS reason FROM part")
@@ -336,10 +337,7 @@ def trimmed_output_equal(spark, d):
 
 @query("pass_rates", f"SELECT user_id, {q('avg(CASE WHEN value > 10 THEN 1 ELSE 0 END)', 'rate')} FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k <= 10 GROUP BY 1")
 def pass_rates(spark, d):
-    from tessera.operators.pool import first_n_by_group
-
-    x = first_n_by_group(table(spark, d, "events"), "user_id", ["event_id"], 10)
-    return x.groupBy("user_id").agg(r(F.avg((F.col("value") > 10).cast("double")), "rate"))
+    return metrics.pass_rates(table(spark, d, "events"), "user_id", "event_id", F.col("value") > 10, 10).select("user_id", r(F.col("rate"), "rate"))
 
 
 @query("boxed_scores")

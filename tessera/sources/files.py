@@ -12,26 +12,63 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as X
+from tessera.operators import batches
+from tessera.sources.shared import cut
 
 #: One table of a database's catalog.
 TABLE = "db string, name string, columns array<struct<name: string, type: string>>, primary_keys array<string>, foreign_keys array<struct<column: string, ref_table: string, ref_column: string>>"
 
 
+def json_array_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, idx, text)``: the objects of files that are one JSON array each, with their places.
+
+    Files are read in pieces that end at closing braces, by as many tasks as
+    there are splits. Whether a piece begins inside a string follows from the
+    quotes before it, how deep it ends from the brackets outside strings
+    before it; both are running sums. An object ends where one is closed right
+    inside the array.
+    """
+    raw = spark.read.option("lineSep", "}").text(path)
+    pieces = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
+    order = ["file", "at", "n"]
+    count = lambda c, x: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    pieces = pieces.withColumn("bare", F.regexp_replace("value", r"(?s)\\.", ""))
+    pieces = batches.running(pieces, order, count('"', F.col("bare")), "quotes")
+    inside = (F.col("quotes") - count('"', F.col("bare"))) % 2 == 1
+    outside = F.regexp_replace(F.when(inside, F.regexp_replace("bare", r'(?s)^[^"]*("|$)', "")).otherwise(F.col("bare")), r'(?s)"[^"]*("|$)', "")
+    pieces = pieces.withColumns({"outside": outside, "closes": (F.col("quotes") % 2 == 0).cast("int")})
+    change = count("{", F.col("outside")) + count("[", F.col("outside")) - count("]", F.col("outside")) - F.col("closes")
+    pieces = batches.running(pieces.withColumn("change", change), order, F.col("change"), "depth")
+    # What stands after the last object closes nothing, which is seen as one brace too many: each file starts anew.
+    starts = pieces.groupBy("file").agg(F.min_by(F.col("depth") - F.col("change"), F.struct("at", "n")).alias("base"))
+    pieces = pieces.join(starts, "file").withColumn("ends", ((F.col("closes") == 1) & (F.col("depth") - F.col("base") == 1)).cast("long"))
+    numbered = batches.running(pieces.select(*order, "value", "ends"), order, F.col("ends"), "upto").withColumn("record", F.col("upto") - F.col("ends"))
+    joined = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "n", "value"))), lambda p: p["value"]), "}"), F.lit("}"))
+    texts = numbered.groupBy("file", "record").agg(joined.alias("text"), F.max("ends").alias("whole")).where("whole = 1")
+    first = texts.groupBy("file").agg(F.min("record").alias("first"))
+    return texts.join(first, "file").select("file", (F.col("record") - F.col("first")).alias("idx"), F.regexp_replace("text", r"^[\s\x{FEFF}]*\[?\s*,?\s*", "").alias("text"))
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """Records of a file that is one JSON array, with their place in it as ``idx``.
+    """Records of a file that is one JSON array of objects, with their place in it as ``idx``.
 
     Names that differ in case only are different fields. The place comes from
-    the array itself, not from how it is read.
+    the array itself, not from how it is read; no task has the whole file.
+    Without a schema all fields of all records are found in a pass before, as
+    strings, numbers or JSON.
     """
+    texts = json_array_texts(spark, path)
     before = spark.conf.get("spark.sql.caseSensitive")
     spark.conf.set("spark.sql.caseSensitive", "true")
     try:
-        whole = spark.read.text(path, wholetext=True)
         if schema is None:
-            schema = spark.read.option("multiLine", True).json(path).schema
-        kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-        parsed = whole.select(F.posexplode(F.from_json("value", T.ArrayType(kind))).alias("idx", "record"))
-        return parsed.select(F.col("idx").cast("long").alias("idx"), "record.*")
+            texts = cut(texts)
+            found = texts.agg(F.schema_of_variant_agg(F.parse_json("text")).alias("s")).head()["s"]
+            schema = found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+            kind = T._parse_datatype_string(schema)
+        else:
+            kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+        return texts.select("idx", F.from_json("text", kind).alias("record")).select("idx", "record.*")
     finally:
         spark.conf.set("spark.sql.caseSensitive", before)
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,15 +54,40 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+_open = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that this thread cuts off inside, at the end.
+
+    What is made of them must be written or read by then.
+    """
+    made: list[str] = []
+    stack = _open.__dict__.setdefault("stack", [])
+    stack.append(made)
+    try:
+        yield
+    finally:
+        stack.remove(made)
+        conf = spark._jsc.hadoopConfiguration()
+        for path in made:
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(conf).delete(there, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from there.
 
     That ends the lineage, and sizes are known again: a checkpoint would keep
     the estimates of the plan behind it, which joins multiply. What was
-    shuffled on the way there is not needed again and goes.
+    shuffled on the way there is not needed again and goes. The table stays
+    until the folder is cleared, or :func:`scratch` ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    if stack := _open.__dict__.get("stack"):
+        stack[-1].append(path)
     before = spark.conf.get(CLEAN, None)
     spark.conf.set(CLEAN, "true")
     try:

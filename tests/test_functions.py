@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import random
 import sqlite3
 
@@ -172,6 +173,27 @@ def test_catalog_and_files(spark, database, tmp_path):
     assert files.read_json_lines(spark, str(tmp_path / "none"), "a int").count() == 0
 
 
+def test_json_arrays_in_pieces(spark, tmp_path):
+    """Braces, brackets, quotes and backslashes in strings, nesting, white space; splits of some bytes."""
+    rng = random.Random(6)
+    odd = ['a"b', "}{", "]", "[", "\\\\", '\\"', "é\n,", "", "}}\\", "x" * 70]
+    records = [{"sql": rng.choice(odd) + rng.choice(odd), "SQL": rng.choice(odd), "n": {"a": [{"b": rng.choice(odd)}] * rng.randint(0, 2)}, "k": k} for k in range(60)]
+    (tmp_path / "a.json").write_text(json.dumps(records, indent=2, ensure_ascii=False))
+    (tmp_path / "b.json").write_text("\ufeff " + json.dumps(records[:7], separators=(",", ":")) + "\n")
+    (tmp_path / "c.json").write_text("[ ]")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        for name, want in (("a", records), ("b", records[:7]), ("c", [])):
+            got = files.json_array_texts(spark, str(tmp_path / f"{name}.json")).orderBy("idx").collect()
+            assert [r.idx for r in got] == list(range(len(want))) and [json.loads(r.text) for r in got] == want
+        assert files.json_array_texts(spark, str(tmp_path)).count() == 67
+        rows = files.read_json_array(spark, str(tmp_path / "a.json")).orderBy("idx").collect()
+        assert [(r.sql, r["SQL"], r.k) for r in rows] == [(x["sql"], x["SQL"], x["k"]) for x in records]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_rounds_of_synthesis(spark):
     def attempt(rows, k):
         return rows.withColumn("ok", F.col("id") <= k).withColumn("reason", F.lit("late"))
@@ -406,6 +428,18 @@ def test_staging(spark, tmp_path):
     assert spark.read.parquet(files.stage(spark, source, cache)).count() == 14
 
 
+def test_scratch_tables_go(spark):
+    with shared.scratch(spark):
+        kept = shared.cut(spark.range(3))
+        files_ = kept.inputFiles()
+        with shared.scratch(spark):
+            inner = shared.cut(spark.range(2)).inputFiles()
+        assert kept.count() == 3 and not any(os.path.exists(f.removeprefix("file://")) for f in inner)
+    assert files_ and not any(os.path.exists(f.removeprefix("file://")) for f in files_)
+    stays = shared.cut(spark.range(4))
+    assert stays.count() == 4 and all(os.path.exists(f.removeprefix("file://")) for f in stays.inputFiles())
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Context:
         master = "spark://host:7077"
