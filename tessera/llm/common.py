@@ -7,7 +7,7 @@ import weakref
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import cut, reachable, shared_folder
+from tessera.sources.shared import cut, free, reachable, shared_folder
 
 __all__ = ["ARROW_ROWS", "Memory", "buckets_for", "cut", "forget", "free", "id_and_text", "session", "shared_folder", "table", "total_bytes", "with_number"]
 
@@ -31,17 +31,6 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def free(df: DataFrame, *names: str) -> list[str]:
-    """Column names that start like ``names`` and that ``df`` doesn't have."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def with_number(df: DataFrame) -> DataFrame:
     """The ``doc_id`` of what comes back from Python as a number again."""
     return df.withColumn("doc_id", F.col("doc_id").cast("long"))

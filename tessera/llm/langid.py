@@ -24,6 +24,8 @@ from tessera.llm.common import id_and_text, session, table, with_number
 GRAMS, BUCKETS = (1, 2, 3, 4), 1 << 13
 #: Bound of the training sample: texts for each language, and the longest such text in bytes.
 PER_LANGUAGE, LONGEST = 250, 20_000
+#: Languages that are learned at most: the most frequent ones. More are taken for slips of the labels.
+LANGUAGES = 256
 #: Steps, step size and weight decay of the training.
 STEPS, RATE, DECAY = 150, 2.0, 1e-4
 #: The text is ambiguous if the winner's share is below this.
@@ -133,17 +135,17 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGES
     """A model from a bounded sample of labelled, not held-out documents.
 
     For each language ``per_language`` texts of at most ``longest`` bytes are
-    taken, those whose ids hash lowest. Rows without text, lang or doc_id are
-    never taken.
+    taken, those whose ids hash lowest, of at most LANGUAGES languages. Rows
+    without text, lang or doc_id are never taken.
     """
     named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     usable = named.where(~held_out() & (F.octet_length("text") <= longest)).withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30))
-    count = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+    count = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).toLocalIterator()}
     if not count:
         return train([], [])
     # A little over the bound, so that the draw reaches it; cut below.
     below = F.create_map(*[F.lit(v) for k, n in sorted(count.items()) for v in (k, min(1.0, 1.3 * per_language / n + 10 / n))])
-    rows = sorted(usable.where(F.col("draw") < below[F.col("lang")]).select("lang", "draw", "doc_id", "text").toLocalIterator(), key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["text"]))
+    rows = sorted(usable.where(F.col("lang").isin(*count)).where(F.col("draw") < below[F.col("lang")]).select("lang", "draw", "doc_id", "text").toLocalIterator(), key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["text"]))
     texts, langs, taken = [], [], dict.fromkeys(count, 0)
     for r in rows:
         if taken[r["lang"]] < per_language:
@@ -157,7 +159,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, lang_pred, score, ambiguous)`` of every row, from the whole text alone.
 
     Null texts and those without letters are ``und`` with score 0; repeated
-    rows each give one; a null doc_id stays null.
+    rows each give one; a null doc_id stays null; other columns are ignored; a
+    very long text is counted in chunks; an empty table gives an empty result.
     """
     session(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)

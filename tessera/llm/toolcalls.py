@@ -30,7 +30,12 @@ Schemas = dict[str, dict[str, tuple[str, bool]]]
 
 
 def canonical(json: Column) -> Column:
-    """Canonical text of a JSON string; null if it isn't JSON."""
+    """Canonical text of a JSON string; null if it isn't JSON.
+
+    Keys are sorted and white space goes. Numbers are written as variants hold
+    them: whole numbers without a point (1.0 as 1), those with an exponent as
+    doubles (1e3 as 1000.0).
+    """
     return F.to_json(F.try_parse_json(json))
 
 
@@ -147,7 +152,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
 
     Of calls or results that repeat an id the first by place and text counts.
     Rows with a null conv_id or call_id link with nothing and are left out.
-    Arguments that aren't JSON are kept as a string. Other columns are ignored.
+    Arguments that aren't JSON are kept as a string, very long ones whole.
+    Other columns are ignored; empty tables give an empty result.
     """
     keys = ["conv_id", "call_id"]
     first = F.min(F.struct("at", "name", "arguments", "needs")).alias("c")

@@ -47,3 +47,51 @@ def test_codewords_are_far_apart():
         c = langid.codewords(n)
         differ = (c[:, None, :] != c[None]).sum(2) + 99 * np.eye(n)
         assert differ.min() >= (1 if n == 2 else 3)
+
+
+def slow_features(text):
+    """n-grams counted one by one, hashed by the same rule."""
+    out, text, data = {}, text.lower(), " "
+    for c in text:
+        data += " " if (c.isspace() or c.isdecimal() or c == "_") and not data.endswith("\0") else c
+    while "  " in data:
+        data = data.replace("  ", " ")
+    raw = (data if data.endswith(" ") and data != " " else data + " ").encode()
+    raw = raw if len(data) > 1 else b"  "
+    for n in range(1, 5):
+        for i in range(len(raw) - n + 1):
+            code = 0
+            for k, b in enumerate(raw[i : i + n]):
+                code = (code * 257 + b + k + 1) % 2**32
+            h = (code * 2654435761 % 2**32) >> (32 - 13)
+            out[h] = out.get(h, 0) + 1
+    return out
+
+
+def test_features_and_decoding_by_brute_force(monkeypatch):
+    for text in ("Hello World", "Schöne Straße 12 und 3_4", "a", "日本語 текст"):
+        counts = slow_features(text)
+        x = langid.features(text)
+        norm = sum(counts.values()) ** 0.5
+        assert {i for i in np.flatnonzero(x).tolist()} == set(counts)
+        assert all(abs(x[i] - c**0.5 / norm) < 1e-5 for i, c in counts.items())
+    whole = langid.features(fixtures.texts()[-2][1])
+    monkeypatch.setattr(langid, "CHUNK", 97)
+    assert np.allclose(langid.features(fixtures.texts()[-2][1]), whole)
+    rows = [r for r in fixtures.texts(6, 60) if r[1] and r[2]]
+    model = langid.train([r[1] for r in rows], [r[2] for r in rows])
+    for _, t, _ in rows[:20]:
+        if not any(c.isalpha() for c in t):
+            continue
+        x = langid.features(t)
+        margins = [float(sum(a * w for a, w in zip(x.tolist(), model.weights[:, j].tolist(), strict=True))) + float(model.bias[j]) for j in range(model.codes.shape[1])]
+        losses = [sum(float(model.trust[j]) * np.log1p(np.exp(-m * float(code[j]))) for j, m in enumerate(margins)) for code in model.codes]
+        lang, score, _ = model.predict([t])[0]
+        assert lang == model.languages[int(np.argmin(losses))]
+        assert abs(score - 1 / sum(np.exp(min(losses) - loss) for loss in losses)) < 1e-4
+
+
+def test_only_frequent_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    rows = fixtures.texts(5, 60) + [(500 + i, "some odd label", f"odd{i}") for i in range(9)]
+    assert langid.fit(fixtures.documents(spark, rows)).languages == ["de", "en"]
