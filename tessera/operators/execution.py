@@ -25,6 +25,8 @@ TIMEOUT, FETCH, SHOWN = 20.0, 30, 300
 STEPS = 10_000
 #: Rows of a result that are read at once and at most, and digests of results that a task remembers.
 PIECE, MOST, KEPT = 10_000, 5_000_000, 100_000
+#: Files that a task has open.
+OPEN = 16
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -45,23 +47,49 @@ def digest(cursor: sqlite3.Cursor) -> bytes:
     return hashlib.sha256(found.tobytes()).digest()
 
 
-def run_sqlite(path: str, sql: str, timeout: float = TIMEOUT, fetch: int | None = None, read: Callable[[sqlite3.Cursor], object] | None = None) -> tuple[str, object, str]:
+def connect(path: str) -> sqlite3.Connection:
+    """A read-only connection; whether the file is there shows when it is asked."""
+    db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    db.text_factory = lambda b: b.decode("utf-8", "replace")
+    return db
+
+
+class Connections:
+    """Connections of a task by path; the one not used for longest is closed when there are more than OPEN."""
+
+    def __init__(self):
+        self.known: OrderedDict[str, sqlite3.Connection] = OrderedDict()
+
+    def get(self, path: str) -> sqlite3.Connection:
+        if path not in self.known:
+            self.known[path] = connect(path)
+        self.known.move_to_end(path)
+        if len(self.known) > OPEN:
+            self.known.popitem(last=False)[1].close()
+        return self.known[path]
+
+    def close(self) -> None:
+        while self.known:
+            self.known.popitem()[1].close()
+
+
+def run_sqlite(path: str, sql: str, timeout: float = TIMEOUT, fetch: int | None = None, read: Callable[[sqlite3.Cursor], object] | None = None, connections: Connections | None = None) -> tuple[str, object, str]:
     """(status, rows, detail): ok, timeout, error, or db_not_found; rows, or what ``read`` makes of them, only if ok.
 
-    The file is opened read-only.
+    The file is opened read-only, for this query alone if no connections are given.
     """
+    own = connections or Connections()
     try:
-        db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
-    except sqlite3.Error as e:
-        return "db_not_found", None, str(e)
-    deadline = time.monotonic() + timeout
-    db.set_progress_handler(lambda: time.monotonic() > deadline, STEPS)
-    db.text_factory = lambda b: b.decode("utf-8", "replace")
-    try:
+        db = own.get(path)
+        deadline = time.monotonic() + timeout
+        db.set_progress_handler(lambda: time.monotonic() > deadline, STEPS)
         cursor = db.execute(sql)
-        if read is not None:
-            return "ok", read(cursor), ""
-        return "ok", cursor.fetchall() if fetch is None else cursor.fetchmany(fetch), ""
+        try:
+            if read is not None:
+                return "ok", read(cursor), ""
+            return "ok", cursor.fetchall() if fetch is None else cursor.fetchmany(fetch), ""
+        finally:
+            cursor.close()
     except sqlite3.OperationalError as e:
         if "unable to open" in str(e):
             return "db_not_found", None, str(e)
@@ -69,7 +97,8 @@ def run_sqlite(path: str, sql: str, timeout: float = TIMEOUT, fetch: int | None
     except (sqlite3.Error, sqlite3.Warning) as e:
         return "error", None, str(e)
     finally:
-        db.close()
+        if connections is None:
+            own.close()
 
 
 def execute(rows: DataFrame, path: str, sql: str, timeout: float = TIMEOUT, fetch: int = FETCH) -> DataFrame:
@@ -77,19 +106,21 @@ def execute(rows: DataFrame, path: str, sql: str, timeout: float = TIMEOUT, fetc
     n_path, n_sql = rows.columns.index(path), rows.columns.index(sql)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        connections = Connections()
         for pdf in batches:
             out = []
             for p, s in zip(pdf.iloc[:, n_path], pdf.iloc[:, n_sql], strict=True):
                 if not (s or "").strip():
                     out.append(("sql_empty", None, None, ""))
                     continue
-                status, got, detail = run_sqlite(p, s, timeout, fetch)
+                status, got, detail = run_sqlite(p, s, timeout, fetch, connections=connections)
                 shown = None if got is None else str(got)
                 shown = shown if shown is None or len(shown) <= SHOWN else shown[:SHOWN] + "..."
                 out.append(("empty_result" if status == "ok" and not got else status, None if got is None else len(got), shown, detail))
             new = pd.DataFrame(out, columns=["status", "n_rows", "result", "detail"])
             new["n_rows"] = new["n_rows"].astype("Int32")
             yield pd.concat([pdf.reset_index(drop=True), new], axis=1)
+        connections.close()
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
     return rows.mapInPandas(run, f"{schema}, status string, n_rows int, result string, detail string")
@@ -106,9 +137,10 @@ def compare(rows: DataFrame, path: str, predicted: str, gold: str, timeout: floa
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: OrderedDict[tuple[str, str], bytes | None] = OrderedDict()
+        connections = Connections()
 
         def results(p: str, s: str) -> bytes | None:
-            status, got, _ = run_sqlite(p, s, timeout, read=digest)
+            status, got, _ = run_sqlite(p, s, timeout, read=digest, connections=connections)
             return got if status == "ok" else None
 
         for pdf in batches:
@@ -121,6 +153,7 @@ def compare(rows: DataFrame, path: str, predicted: str, gold: str, timeout: floa
                     known.popitem(last=False)
                 said.append(known[p, g] is not None and s is not None and results(p, s) == known[p, g])
             yield pdf.assign(correct=said)
+        connections.close()
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
     return rows.mapInPandas(run, f"{schema}, correct boolean")

@@ -127,15 +127,15 @@ def accuracy_band(rollouts: DataFrame, low: float, high: float, max_tokens: int,
 def pair_accuracy(rollouts: DataFrame, score: str, acc: str) -> DataFrame:
     """``(uid, accuracy)``: share of pairs that the score orders as the accuracy does, weighted by its difference; 0.5 if there is none.
 
-    Pairs are those of rollouts in one group, whose size is the number of
-    samples drawn for a prompt.
+    Groups of one have no pairs and no row. Rollouts of a group with equal
+    accuracy and score are one, with their number, before pairs are made.
     """
-    a = rollouts.select("uid", F.col("sample").alias("i"), F.col(score).alias("si"), F.col(acc).alias("ai"))
-    b = rollouts.select("uid", F.col("sample").alias("j"), F.col(score).alias("sj"), F.col(acc).alias("aj"))
-    pairs = a.join(b, "uid").where("i < j")
-    weight = F.abs(F.col("ai") - F.col("aj"))
-    right = ((F.col("si") - F.col("sj")) * (F.col("ai") - F.col("aj")) > 0).cast("double")
-    return pairs.groupBy("uid").agg(F.sum(weight * right).alias("x"), F.sum(weight).alias("y")).select("uid", F.when(F.col("y") > 0, F.col("x") / F.col("y")).otherwise(0.5).alias("accuracy"))
+    cells = rollouts.groupBy("uid", F.col(acc).alias("a"), F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    low, high = (cells.select("uid", F.col("a").alias(f"a{k}"), F.col("s").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in (0, 1))
+    weight = F.col("n0") * F.col("n1") * (F.col("a1") - F.col("a0"))
+    pairs = low.join(high, "uid").where("a0 < a1").groupBy("uid").agg(F.sum(F.when(F.col("s1") > F.col("s0"), weight).otherwise(0.0)).alias("x"), F.sum(weight).alias("y"))
+    groups = rollouts.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("uid")
+    return groups.join(pairs, "uid", "left").select("uid", F.when(F.col("y") > 0, F.col("x") / F.col("y")).otherwise(0.5).alias("accuracy"))
 
 
 def prefer(rollouts: DataFrame, order: str) -> DataFrame:
