@@ -55,6 +55,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _open = threading.local()
+_lock = threading.Lock()
+#: By session: threads that write now, and the setting before the first of them.
+_writing: dict[int, tuple[int, str | None]] = {}
+
+
+@contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """Lets used shuffle files go; the setting is as it was before when the last of the threads inside is done."""
+    key = id(spark)
+    with _lock:
+        n, before = _writing.get(key, (0, None))
+        if not n:
+            before = spark.conf.get(CLEAN, None)
+            spark.conf.set(CLEAN, "true")
+        _writing[key] = (n + 1, before)
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writing[key]
+            _writing[key] = (n - 1, before)
+            if n == 1:
+                del _writing[key]
+                if before is None:
+                    spark.conf.unset(CLEAN)
+                else:
+                    spark.conf.set(CLEAN, before)
 
 
 @contextmanager
@@ -69,7 +96,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        stack.remove(made)
+        stack.pop()
         conf = spark._jsc.hadoopConfiguration()
         for path in made:
             there = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -88,13 +115,6 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     if stack := _open.__dict__.get("stack"):
         stack[-1].append(path)
-    before = spark.conf.get(CLEAN, None)
-    spark.conf.set(CLEAN, "true")
-    try:
+    with cleaning(spark):
         df.select("*").write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEAN)
-        else:
-            spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)

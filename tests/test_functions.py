@@ -440,6 +440,15 @@ def test_scratch_tables_go(spark):
     assert stays.count() == 4 and all(os.path.exists(f.removeprefix("file://")) for f in stays.inputFiles())
 
 
+def test_threads_that_cut_at_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    before = spark.conf.get(shared.CLEAN, None)
+    with ThreadPoolExecutor(4) as pool_:
+        assert list(pool_.map(lambda n: shared.cut(spark.range(n)).count(), range(8))) == list(range(8))
+    assert spark.conf.get(shared.CLEAN, None) == before and not shared._writing
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Context:
         master = "spark://host:7077"
