@@ -88,7 +88,8 @@ def cleaning(spark: SparkSession) -> Iterator[None]:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables that this thread cuts off inside, at the end.
 
-    What is made of them must be written or read by then.
+    What is made of them must be written or read by then, or be cut off as
+    ``outside``: such a table belongs to what is around.
     """
     made: list[str] = []
     stack = _open.__dict__.setdefault("stack", [])
@@ -103,7 +104,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             there.getFileSystem(conf).delete(there, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, outside: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from there.
 
     That ends the lineage, and sizes are known again: a checkpoint would keep
@@ -113,8 +114,9 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    if stack := _open.__dict__.get("stack"):
-        stack[-1].append(path)
+    stack = _open.__dict__.get("stack", [])
+    if len(stack) > outside:
+        stack[-1 - outside].append(path)
     with cleaning(spark):
         df.select("*").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

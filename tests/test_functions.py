@@ -434,9 +434,12 @@ def test_scratch_tables_go(spark):
         files_ = kept.inputFiles()
         with shared.scratch(spark):
             inner = shared.cut(spark.range(2)).inputFiles()
-        assert kept.count() == 3 and not any(os.path.exists(f.removeprefix("file://")) for f in inner)
+            result = shared.cut(spark.range(5), outside=True)
+        files_ += result.inputFiles()
+        assert result.count() == 5 and kept.count() == 3 and not any(os.path.exists(f.removeprefix("file://")) for f in inner)
     assert files_ and not any(os.path.exists(f.removeprefix("file://")) for f in files_)
-    stays = shared.cut(spark.range(4))
+    with shared.scratch(spark):
+        stays = shared.cut(spark.range(4), outside=True)
     assert stays.count() == 4 and all(os.path.exists(f.removeprefix("file://")) for f in stays.inputFiles())
 
 
