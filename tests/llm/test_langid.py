@@ -51,13 +51,12 @@ def test_codewords_are_far_apart():
 
 def slow_features(text):
     """n-grams counted one by one, hashed by the same rule."""
-    out, text, data = {}, text.lower(), " "
-    for c in text:
-        data += " " if (c.isspace() or c.isdecimal() or c == "_") and not data.endswith("\0") else c
-    while "  " in data:
-        data = data.replace("  ", " ")
-    raw = (data if data.endswith(" ") and data != " " else data + " ").encode()
-    raw = raw if len(data) > 1 else b"  "
+    out, data = {}, ""
+    for c in text.lower():
+        blank = c.isspace() or c.isdecimal() or c == "_"
+        if not (blank and data.endswith(" ")):
+            data += " " if blank else c
+    raw = f" {data} ".encode()
     for n in range(1, 5):
         for i in range(len(raw) - n + 1):
             code = 0
