@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import weakref
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import cut, free, reachable, shared_folder
+from tessera.sources.shared import cut, free, reachable, scratch, shared_folder
 
-__all__ = ["ARROW_ROWS", "Memory", "buckets_for", "cut", "forget", "free", "id_and_text", "session", "shared_folder", "table", "total_bytes", "with_number"]
+__all__ = ["ARROW_ROWS", "Memory", "buckets_for", "cut", "forget", "free", "id_and_text", "release", "scratch", "session", "shared_folder", "table", "total_bytes", "with_number"]
 
 #: Rows in one Arrow batch: with texts of up to some 100 KB a batch stays small.
 ARROW_ROWS = 512
@@ -76,3 +78,10 @@ def forget() -> None:
     """Empties all memories of this process: what works on large arrays next needs the room."""
     for memory in list(Memory.known):
         memory.recent, memory.older = {}, {}
+    release()
+
+
+def release() -> None:
+    """Gives memory that is free back to the system: a worker that waits for its next task holds what it has."""
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", int)(0)  # only some C libraries have it

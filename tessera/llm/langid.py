@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_and_text, session, table, with_number
+from tessera.llm.common import id_and_text, release, session, table, with_number
 
 #: Features: hashed byte n-grams of these lengths.
 GRAMS, BUCKETS = (1, 2, 3, 4), 1 << 13
@@ -193,6 +193,7 @@ def known_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
         for batch in batches:
             said = shared.value.predict([None if t is None else str(t) for t in batch.column(place).to_pylist()])
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score, _ in said], pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

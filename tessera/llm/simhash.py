@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, forget, free, session, table, with_number
+from tessera.llm.common import cut, forget, free, release, scratch, session, table, with_number
 from tessera.llm.components import connected_components
 from tessera.llm.sketch import hashes, let, words
 
@@ -100,6 +100,7 @@ def fingerprints(docs: DataFrame, k: int = 3, bits: int = 64, tables: int = 1, s
                     kinds.append(xxhash.xxh64_intdigest(np.unique(np.concatenate(parts)).tobytes() if parts else b"") - (1 << 63))
             out = pd.DataFrame({"doc_id": pdf["doc_id"], "t": pdf["t"], "f": values})
             yield out.assign(s=kinds) if sets else out
+        release()
 
     def split(f: np.ndarray) -> list[int]:
         if bits == 64:
@@ -203,7 +204,7 @@ def alike(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, k: int, simila
     Only documents of some link are read as shingles; each link holds the two
     arrays of hashes once.
     """
-    sets = shingle_sets(docs, of_nodes(pairs.select("a").union(pairs.select("b")), distinct), k)
+    sets = shingle_sets(docs, of_nodes(pairs.select("a").union(pairs.select("b")).distinct(), distinct), k)
     both = pairs.join(sets.withColumnRenamed("s", "sa"), "a").join(sets.select(F.col("a").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
@@ -267,26 +268,32 @@ def alike_links(docs: DataFrame, distinct: DataFrame, bits: int, radius: int, mo
     groups of copies; members that are alike to each other but not to the
     smallest are then found by the rare shingles that they share.
     """
+    spark = docs.sparkSession
     members, near = buckets(distinct, bits, radius)
     members, near = cut(members), cut(near.select("t", F.array_sort("m").alias("m")).distinct())
-    found = cut(alike(cut(within(stars(members, near), distinct, most)), docs, distinct, k, similarity))
-    moved = top_of(found)
-    left = cut(unsettled(members, near, moved))
+    with scratch(spark):
+        found = cut(alike(cut(within(stars(members, near), distinct, most)), docs, distinct, k, similarity), outside=True)
+    with scratch(spark):
+        moved = cut(top_of(found), outside=True)
+    with scratch(spark):
+        left = cut(unsettled(members, near, moved), outside=True)
     if left.isEmpty():
         return moved
-    more = cut(alike(cut(within(sharing(docs, left, distinct, k, similarity), distinct, most)), docs, distinct, k, similarity))
+    with scratch(spark):
+        more = cut(alike(cut(within(sharing(docs, left, distinct, k, similarity), distinct, most)), docs, distinct, k, similarity), outside=True)
     return moved if more.isEmpty() else top_of(found.union(more))
 
 
 def near_rows(docs: DataFrame, k: int = 3, bits: int = 64, tables: int = 1, radius: int = 2, most: int | None = None, similarity: float | None = None) -> DataFrame:
     """``(doc_id, t, f, component_id)`` for every row of ``docs``, t being a hash of its text: see :func:`near_groups`."""
-    fps = cut(fingerprints(docs, k, bits, tables, sets=similarity is not None))
-    distinct = cut(distinct_fingerprints(fps))
-    moved = top_of(links(distinct, bits, radius, most)) if similarity is None else alike_links(docs, distinct, bits, radius, radius if most is None else most, k, similarity)
-    key = [c for c in ("f", "s") if c in distinct.columns]
-    # Nodes are in the order of their smallest doc_id, so the smallest node has the component's.
-    first = distinct.select(F.col("node").alias("top"), F.col("rep").alias("component_id"))
-    by_f = cut(distinct.join(moved, "node", "left").withColumn("top", F.coalesce("top", "node")).join(first, "top", "left").select(*key, "component_id"))
+    with scratch(docs.sparkSession):
+        fps = cut(fingerprints(docs, k, bits, tables, sets=similarity is not None), outside=True)
+        distinct = cut(distinct_fingerprints(fps))
+        moved = top_of(links(distinct, bits, radius, most)) if similarity is None else alike_links(docs, distinct, bits, radius, radius if most is None else most, k, similarity)
+        key = [c for c in ("f", "s") if c in distinct.columns]
+        # Nodes are in the order of their smallest doc_id, so the smallest node has the component's.
+        first = distinct.select(F.col("node").alias("top"), F.col("rep").alias("component_id"))
+        by_f = cut(distinct.join(moved, "node", "left").withColumn("top", F.coalesce("top", "node")).join(first, "top", "left").select(*key, "component_id"), outside=True)
     return fps.join(by_f, key).select("doc_id", "t", "f", "component_id")
 
 
@@ -343,10 +350,11 @@ def near_dedup(docs: DataFrame, **how) -> DataFrame:
     how = NEAR | how
     how = widths(docs.count(), how["similarity"], how["radius"]) | how
     one, two = free(docs, "gone", "hash")
-    found = near_rows(docs, **how).where("doc_id <> component_id")
+    with scratch(docs.sparkSession):
+        found = near_rows(docs, **how).where("doc_id <> component_id")
+        gone = cut(found.select(F.col("doc_id").alias(one), F.col("t").alias(two)).distinct(), outside=True)
     text = F.col("text").cast("string")
     wordless = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
-    gone = found.select(F.col("doc_id").alias(one), F.col("t").alias(two)).distinct()
     return docs.join(gone, (F.col("doc_id") == F.col(one)) & (F.xxhash64(text) == F.col(two)) & ~wordless, "left_anti").select(*docs.columns)
 
 

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import buckets_for, cut, forget, free, session, table, total_bytes
+from tessera.llm.common import buckets_for, cut, forget, free, scratch, session, table, total_bytes
 
 #: Bytes of a repeated string; a name's k-gram has GRAM of them.
 LENGTH, GRAM = 50, 20
@@ -512,7 +512,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     with the same text are cut alike. An empty table gives an empty result.
     """
     id_, sha, left, text = free(docs, "id", "sha", "left", "new")
-    found = cut(remove_repeats(docs, keep_text=True).where("n_removed > 0").select("doc_id", "data"))
+    with scratch(docs.sparkSession):
+        found = cut(remove_repeats(docs, keep_text=True).where("n_removed > 0").select("doc_id", "data"), outside=True)
     changed = found.select(F.col("doc_id").alias(id_), F.lower(F.hex(F.substring("data", 1, 32))).alias(sha), F.expr("substring(data, 33)").cast("string").alias(left)).dropDuplicates([id_, sha])
     own = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
     out = docs.join(changed, (F.col("doc_id") == F.col(id_)) & (own == F.col(sha)), "left")
