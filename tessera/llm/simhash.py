@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, forget, free, release, scratch, session, table, with_number
 from tessera.llm.components import connected_components
 from tessera.llm.sketch import hashes, let, words
+from tessera.operators.batches import number
 
 #: Seed of the shingle hash.
 SEED = 42
@@ -134,26 +135,64 @@ def distinct_fingerprints(fps: DataFrame) -> DataFrame:
         named, order = fps.groupBy("f", "s").agg(F.min(one).alias("least")).select("f", "s", F.col("least.doc_id").alias("rep"), "least.t"), ["rep", "s", "f"]
     else:
         named, order = fps.groupBy("f").agg(F.min("doc_id").alias("rep")), ["rep", "f"]
-    placed = named.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id())
+    placed = number(named, order, "node")
     return placed.withColumn("node", F.when(F.col("rep").isNotNull(), F.col("node")))
 
 
-def buckets(distinct: DataFrame, bits: int = 64, radius: int = 2) -> tuple[DataFrame, DataFrame]:
-    """``(t, hub, node)``: of table t the nodes with one value, and the smallest of them; ``(t, m)``: the hubs whose values share a variant."""
+def buckets(distinct: DataFrame, bits: int = 64, radius: int = 2, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(t, hub, node)``: of table t the nodes with one value, and the smallest of them; ``(t, m)``: the hubs whose values share a variant.
+
+    With ``similarity`` hubs that met by chance are left out: see :func:`near_by`.
+    """
     if radius % 2:
         raise ValueError("the radius must be even: see the module's text")
-    single = distinct.where("node IS NOT NULL").select("node", F.posexplode("f").alias("t", "x"))
-    hubs = single.groupBy("t", "x").agg(F.min("node").alias("hub"))
+    known = distinct.where("node IS NOT NULL")
+    single = known.select("node", F.posexplode("f").alias("t", "x"))
+    if similarity is None:
+        hubs = single.groupBy("t", "x").agg(F.min("node").alias("hub"))
+        spread = hubs.select("t", F.col("hub").alias("h"), F.explode(ball(F.col("x"), bits, radius // 2)).alias("v"))
+    else:
+        # A hub takes some bits of another table along, in the same number: see `near_by`.
+        more = seal_bits(known.count())
+        tables = F.size("f")
+        sealed = known.select("node", F.posexplode("f").alias("t", "x"), "f").select("node", "t", "x", F.shiftrightunsigned(F.get("f", (F.col("t") + 1) % tables), max(0, bits - more)).alias("e"))
+        low = F.min(F.struct("node", "e")).alias("low")
+        hubs = sealed.groupBy("t", "x").agg(low, F.count(F.lit(1)).alias("n")).select("t", "x", F.col("low.node").alias("hub"), F.col("low.e").alias("e"), "n")
+        h = F.shiftleft(F.col("hub"), more + 1) + F.shiftleft((F.col("n") > 1).cast("long"), more) + F.col("e")
+        spread = hubs.select("t", h.alias("h"), F.explode(ball(F.col("x"), bits, radius // 2)).alias("v"))
     # A table's number goes into the bits above its values where there is room. Variants are dealt out as plain
     # rows: nearly all differ, and lists made before the shuffle would only be larger.
-    spread = hubs.select("t", "hub", F.explode(ball(F.col("x"), bits, radius // 2)).alias("v"))
     keys = ["t", "v"] if bits == 64 else ["v"]
     if bits < 64:
-        spread = spread.select((F.shiftleft(F.col("t").cast("long"), bits) + F.col("v")).alias("v"), "hub")
-    near = spread.repartition(*keys).groupBy(*keys).agg(F.collect_list("hub").alias("m")).where(F.size("m") > 1)
+        spread = spread.select((F.shiftleft(F.col("t").cast("long"), bits) + F.col("v")).alias("v"), "h")
+    near = spread.repartition(*keys).groupBy(*keys).agg(F.collect_list("h").alias("m")).where(F.size("m") > 1)
+    if similarity is not None:
+        near = near.withColumn("m", near_by(F.col("m"), more, min(more, bits), similarity)).where(F.size("m") > 1)
     if bits < 64:
         near = near.withColumn("t", F.shiftright("v", bits).cast("int"))
-    return single.join(hubs, ["t", "x"]).select("t", "hub", "node"), near.select("t", "m")
+    return single.join(hubs.select("t", "x", "hub"), ["t", "x"]).select("t", "hub", "node"), near.select("t", "m")
+
+
+def seal_bits(n: int) -> int:
+    """How many bits of another table a hub's number has room for, beside n nodes and a mark."""
+    return max(1, min(28, 61 - max(n, 1).bit_length()))
+
+
+def near_by(m: Column, more: int, bits: int, similarity: float) -> Column:
+    """The hubs of a bucket without those that can be alike to no other one by the bits they took along.
+
+    A value that only its hub has and whose bits differ from all others' in
+    more than ``similarity`` allows met them by chance. A value of several
+    nodes stays, as the bits are only its hub's. A bucket has at most as many
+    hubs as a ball has members.
+    """
+    p = differing(similarity)
+    most = math.ceil(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
+    seal, many = F.lit((1 << more) - 1), F.lit(1 << more)
+    several = lambda x: x.bitwiseAND(many) != 0
+    close = lambda x, y: (F.bit_count(x.bitwiseXOR(y).bitwiseAND(seal)) <= most) | several(x) | several(y)
+    kept = F.filter(m, lambda x: F.exists(m, lambda y: (x != y) & close(x, y)))
+    return F.transform(kept, lambda x: F.shiftright(x, more + 1))
 
 
 def within(pairs: DataFrame, distinct: DataFrame, most: int) -> DataFrame:
@@ -269,7 +308,7 @@ def alike_links(docs: DataFrame, distinct: DataFrame, bits: int, radius: int, mo
     smallest are then found by the rare shingles that they share.
     """
     spark = docs.sparkSession
-    members, near = buckets(distinct, bits, radius)
+    members, near = buckets(distinct, bits, radius, similarity)
     members, near = cut(members), cut(near.select("t", F.array_sort("m").alias("m")).distinct())
     with scratch(spark):
         found = cut(alike(cut(within(stars(members, near), distinct, most)), docs, distinct, k, similarity), outside=True)
@@ -321,6 +360,11 @@ NEAR = {"k": 5, "radius": 2, "similarity": 0.8}
 RECALL, LEAST, ROOM = 0.9, 28, 6
 
 
+def differing(similarity: float) -> float:
+    """The chance that a bit differs for texts of equal length that share so many of their shingles."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
 @lru_cache
 def widths(n: int, similarity: float, radius: int) -> dict[str, int]:
     """Bits of a table, number of tables and most different bits for n documents.
@@ -332,7 +376,7 @@ def widths(n: int, similarity: float, radius: int) -> dict[str, int]:
     with the logarithm of n, so that a value meets few strangers at any size.
     """
     bits = min(56, max(LEAST, math.ceil(math.log2(max(n, 1))) + ROOM))
-    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    p = differing(similarity)
     meet = sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(radius + 1))
     tables = math.ceil(math.log(1 - RECALL) / math.log(1 - meet)) if meet < 1 else 1
     total = bits * tables
