@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, langid, licences, packing, simhash, sketch, suffixes, telephony, toolcalls, urls
+from tessera.llm import bpe, langid, licences, negatives, packing, repair, simhash, sketch, suffixes, telephony, toolcalls, toxicity, urls
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1,
@@ -15,7 +15,10 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8,
     "op9_telephony_audio": telephony.op9,
     "op10_bottom_k_sketch": sketch.op10,
+    "op11_conversation_repair": repair.op11,
+    "op12_hard_negatives": negatives.op12,
+    "op13_toxicity": toxicity.op13,
 }
 
 #: SQL of those that SQL can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op3_tool_calls": toolcalls.OP3_SQL}
+ORACLES: dict[str, str] = {"op3_tool_calls": toolcalls.OP3_SQL, "op11_conversation_repair": repair.OP11_SQL, "op12_hard_negatives": negatives.OP12_SQL}
