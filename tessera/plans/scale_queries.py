@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import codes as C
 from tessera.operators import index as I
+from tessera.operators import joins as J
 from tessera.operators import vectors as V
 from tessera.plans import query, table
+from tessera.plans.rollout_queries import q, r
 from tessera.sources.shared import shared_folder
 
 
@@ -35,3 +37,29 @@ def outlier_scores_codes(spark, d):
     """Outlier scores of all vectors from ten neighbours that codes find."""
     found = C.search(coded(spark, d), table(spark, d, "embeddings"), "vec_id", 10, same=True)
     return V.outliers(table(spark, d, "embeddings"), "vec_id", 10, found.neighbours).select("vec_id", "nearest_sim", "mean_sim", "outlier")
+
+
+# Similarity joins -----------------------------------------------------------------
+
+_BAGS = """w AS MATERIALIZED (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY ALL),
+b AS MATERIALIZED (SELECT doc_id, sum(n) AS n, md5(string_agg(word || ' ' || n, chr(10) ORDER BY word)) AS bag FROM w GROUP BY 1),
+c AS MATERIALIZED (SELECT bag, min(doc_id) AS rep, any_value(n) AS n FROM b GROUP BY bag),
+p AS MATERIALIZED (SELECT x.doc_id AS l, y.doc_id AS r, sum(least(x.n, y.n)) AS common FROM w x JOIN w y ON x.word = y.word AND x.doc_id < y.doc_id
+  WHERE x.doc_id IN (SELECT rep FROM c) AND y.doc_id IN (SELECT rep FROM c) GROUP BY 1, 2),
+s AS MATERIALIZED (SELECT l, r, CAST(common AS DOUBLE) / CAST(x.n + y.n - common AS DOUBLE) AS similarity FROM p JOIN c x ON x.rep = l JOIN c y ON y.rep = r WHERE CAST(common AS DOUBLE) / CAST(x.n + y.n - common AS DOUBLE) >= 0.8)"""
+
+
+def similar_texts(spark, d: str) -> J.Similar:
+    return J.bag_join(table(spark, d, "documents"), "doc_id", "text", 0.8)
+
+
+@query("similar_bags", f"WITH {_BAGS} SELECT l AS \"left\", r AS \"right\", {q('similarity', 'similarity')} FROM s")
+def similar_bags(spark, d):
+    """All pairs of different bags of words that share four fifths and more of their words."""
+    return similar_texts(spark, d).pairs.select("left", "right", r(F.col("similarity"), "similarity"))
+
+
+@query("similar_bag_classes", f"WITH {_BAGS}, e AS (SELECT unnest([l, r]) AS rep, count(*) AS links FROM s GROUP BY 1) SELECT b.doc_id AS key, rep, coalesce(links, 0) AS links FROM b JOIN c USING (bag) LEFT JOIN e USING (rep)")
+def similar_bag_classes(spark, d):
+    """Each document's class of equal bags, and how many other classes are similar to it."""
+    return J.linked(similar_texts(spark, d))
