@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from tessera.operators import codes as C
 from tessera.operators import index as I
 from tessera.operators import joins as J
+from tessera.operators import resampling as B
+from tessera.operators import sampler as S
+from tessera.operators import selection as K
 from tessera.operators import vectors as V
 from tessera.plans import query, table
-from tessera.plans.rollout_queries import q, r
+from tessera.plans.rollout_queries import ROLLOUTS, q, r, rollouts
 from tessera.sources.shared import shared_folder
 
 
@@ -63,3 +66,78 @@ def similar_bags(spark, d):
 def similar_bag_classes(spark, d):
     """Each document's class of equal bags, and how many other classes are similar to it."""
     return J.linked(similar_texts(spark, d))
+
+
+# Farthest first -------------------------------------------------------------------
+
+_PICKS = """RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS e FROM embeddings),
+z AS MATERIALIZED (SELECT a.vec_id, a.e, 1 - max(list_inner_product(a.e, b.e)) AS d FROM v a, v b WHERE a.label <> 0 AND b.label = 0 GROUP BY 1, 2),
+g AS (SELECT 0 AS k, vec_id, e, d FROM z UNION ALL
+  SELECT k + 1, g.vec_id, g.e, least(g.d, 1 - list_inner_product(g.e, t.e)) FROM (SELECT *, first_value(vec_id) OVER (ORDER BY round(d, 12) DESC, vec_id) AS pick FROM g) g JOIN z t ON t.vec_id = g.pick WHERE g.vec_id <> g.pick AND k < 39),
+s AS (SELECT k AS selection_rank, vec_id, d AS distance FROM g QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(d, 12) DESC, vec_id) = 1)"""
+
+
+def complementary(spark, d: str) -> K.Selected:
+    e = table(spark, d, "embeddings")
+    return K.complementary(e.where("label <> 0"), e.where("label = 0"), "vec_id", 40)
+
+
+@query("kcenter_bounded", f"WITH {_PICKS} SELECT selection_rank, vec_id, {q('distance', 'distance')} FROM s")
+def kcenter_bounded(spark, d):
+    """Forty complementary vectors, farthest first from label 0, several picks a job."""
+    return complementary(spark, d).picks.select("selection_rank", "vec_id", r(F.col("distance"), "distance"))
+
+
+@query("kcenter_report", f"WITH {_PICKS} SELECT count(*) AS selected, {q('min(distance)', 'min')}, {q('quantile_cont(distance, 0.5)', 'p50')}, {q('quantile_cont(distance, 0.95)', 'p95')}, {q('max(distance)', 'max')} FROM s")
+def kcenter_report(spark, d):
+    """Statistics of the distances that the selection had."""
+    return K.report(complementary(spark, d).picks).select("selected", *[r(F.col(c), c) for c in ("min", "p50", "p95", "max")])
+
+
+# Resampling -----------------------------------------------------------------------
+
+_DRAWS = f"""{ROLLOUTS}, x AS (SELECT uid % 5 AS source, uid, sample, CAST(n_tokens AS BIGINT) % 3 AS vote, score FROM rollouts)"""
+_MOMENTS = "avg(m) AS mean, avg(s) AS std FROM (SELECT source, uid, stat, avg(v) AS m, stddev_pop(v) AS s FROM d GROUP BY ALL) GROUP BY ALL"
+
+
+def voted(spark, d: str):
+    return rollouts(spark, d).select((F.col("uid") % 5).alias("source"), "uid", (F.col("n_tokens").cast("long") % 3).alias("vote"), "score")
+
+
+@query(
+    "validation_majority",
+    f"""WITH {_DRAWS}, d AS (SELECT source, uid, 'maj@1' AS stat, score AS v FROM x
+UNION ALL SELECT a.source, a.uid, 'maj@2', a.score FROM x a JOIN x b ON a.uid = b.uid
+UNION ALL SELECT a.source, a.uid, 'maj@3', CASE WHEN b.vote = c.vote AND a.vote <> b.vote THEN b.score ELSE a.score END FROM x a JOIN x b ON a.uid = b.uid JOIN x c ON a.uid = c.uid)
+SELECT source, stat, {q('mean', 'mean')}, {q('std', 'std')} FROM (SELECT source, stat, {_MOMENTS})""",
+)
+def validation_majority(spark, d):
+    """What the majority of one, two and three responses of a prompt scores, over all draws."""
+    return B.majority(voted(spark, d), "source", "uid", "vote", "score", (1, 2, 3)).select("source", "stat", r(F.col("mean"), "mean"), r(F.col("std"), "std"))
+
+
+@query(
+    "validation_best_worst",
+    f"""WITH {_DRAWS}, d AS (SELECT a.source, a.uid, unnest(['best@2', 'worst@2']) AS stat, unnest([greatest(a.score, b.score), least(a.score, b.score)]) AS v FROM x a JOIN x b ON a.uid = b.uid
+UNION ALL SELECT a.source, a.uid, unnest(['best@3', 'worst@3']), unnest([greatest(a.score, b.score, c.score), least(a.score, b.score, c.score)]) FROM x a JOIN x b ON a.uid = b.uid JOIN x c ON a.uid = c.uid)
+SELECT source, stat, {q('mean', 'mean')}, {q('std', 'std')} FROM (SELECT source, stat, {_MOMENTS})""",
+)
+def validation_best_worst(spark, d):
+    """The best and the worst of two and of three responses of a prompt, over all draws."""
+    return B.best_and_worst(voted(spark, d), "source", "uid", "score", (2, 3)).select("source", "stat", r(F.col("mean"), "mean"), r(F.col("std"), "std"))
+
+
+@query("sampler_epoch", "SELECT count(*) AS n, count(*) AS places, 0 AS first, count(*) - 1 AS last, count(*) - count(*) // 3 AS resumed, true AS same FROM orders")
+def sampler_epoch(spark, d):
+    """An epoch over all orders, and its last two thirds resumed from a state: each place once, the rest as in the full run."""
+    from tessera.operators import batches
+
+    rows = batches.number(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], "row")
+    whole = S.Sampler(rows.count(), 42, 3)
+    later = S.Sampler(**whole.take(whole.n // 3).state())
+    full = S.rest_of_epoch(rows, "row", whole)
+    rest = S.rest_of_epoch(rows, "row", later).select("row", F.col("position").alias("again"))
+    drawn = S.next_rows(spark, later, whole.n - later.position).select("row", F.col("position").alias("drawn"))
+    x = full.join(rest, "row", "left").join(drawn, "row", "left")
+    same = F.coalesce(F.col("again") == F.col("position"), F.col("position") < later.position) & F.coalesce(F.col("drawn") == F.col("position"), F.col("position") < later.position)
+    return x.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("position").alias("places"), F.min("position").cast("int").alias("first"), F.max("position").alias("last"), F.count("again").alias("resumed"), F.min(same).alias("same"))
