@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import sqlite3
+import struct
 import time
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -23,7 +24,7 @@ from tessera.functions import text as T
 TIMEOUT, FETCH, SHOWN = 20.0, 30, 300
 #: Virtual machine steps between two looks at the clock.
 STEPS = 10_000
-#: Rows of a result that are read at once and at most, and digests of results that a task remembers.
+#: Rows of a result that are read at once, different ones at most, and digests of results that a task remembers.
 PIECE, MOST, KEPT = 10_000, 5_000_000, 100_000
 #: Files that a task has open.
 OPEN = 16
@@ -35,15 +36,41 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return differ.agg((F.count(F.lit(1)) == 0).alias("same"))
 
 
+class TooLarge(sqlite3.Error):
+    """A result has more than MOST different rows: whether it equals another isn't known."""
+
+
+def encoded(value: object) -> bytes:
+    """A value of a result, with its type and length: numbers are equal as they are to SQL, whole floats as whole numbers."""
+    if value is None:
+        return b"n"
+    if isinstance(value, float):
+        if value.is_integer():
+            value = int(value)
+        else:
+            return b"f" + struct.pack(">d", value)
+    if isinstance(value, int):
+        body, kind = b"%d" % value, b"i"
+    elif isinstance(value, str):
+        body, kind = value.encode("utf-8", "surrogatepass"), b"t"
+    else:
+        body, kind = bytes(value), b"b"
+    return kind + b"%d:" % len(body) + body
+
+
 def digest(cursor: sqlite3.Cursor) -> bytes:
-    """A digest of the set of a result's rows: their order and repeats don't count, 1 and 1.0 are equal."""
-    found, n = np.zeros((0, 2), np.int64), 0
+    """A digest of the set of a result's rows: their order and repeats don't count, 1 and 1.0 are equal.
+
+    Rows are hashed as the sequence of their values' bytes, to 128 bits; of
+    these the different ones are kept sorted, MOST of them at most.
+    """
+    found = np.zeros(0, "S32")
     while rows := cursor.fetchmany(PIECE):
-        n += len(rows)
-        if n > MOST:
-            raise sqlite3.Error(f"the result has more than {MOST} rows")
-        new = np.array([(hash(r), hash((r, 1))) for r in rows], np.int64)
-        found = np.unique(np.concatenate([found, new]), axis=0)
+        # As hexadecimal text: arrays of bytes lose zeros at the end.
+        new = np.array([hashlib.blake2b(b"".join(map(encoded, r)), digest_size=16).hexdigest() for r in rows], "S32")
+        found = np.unique(np.concatenate([found, new]))
+        if len(found) > MOST:
+            raise TooLarge(f"the result has more than {MOST} different rows")
     return hashlib.sha256(found.tobytes()).digest()
 
 
@@ -74,7 +101,7 @@ class Connections:
 
 
 def run_sqlite(path: str, sql: str, timeout: float = TIMEOUT, fetch: int | None = None, read: Callable[[sqlite3.Cursor], object] | None = None, connections: Connections | None = None) -> tuple[str, object, str]:
-    """(status, rows, detail): ok, timeout, error, or db_not_found; rows, or what ``read`` makes of them, only if ok.
+    """(status, rows, detail): ok, timeout, error, too_large, or db_not_found; rows, or what ``read`` makes of them, only if ok.
 
     The file is opened read-only, for this query alone if no connections are given.
     """
@@ -94,6 +121,8 @@ def run_sqlite(path: str, sql: str, timeout: float = TIMEOUT, fetch: int | None
         if "unable to open" in str(e):
             return "db_not_found", None, str(e)
         return ("timeout" if "interrupt" in str(e) else "error"), None, str(e)
+    except TooLarge as e:
+        return "too_large", None, str(e)
     except (sqlite3.Error, sqlite3.Warning) as e:
         return "error", None, str(e)
     finally:
@@ -130,29 +159,35 @@ def compare(rows: DataFrame, path: str, predicted: str, gold: str, timeout: floa
     """Adds ``correct``: whether both queries of a row have the same set of result rows.
 
     Results are read in pieces and kept as digests only; of the gold ones the
-    last KEPT used are remembered by a task. A result of more than MOST rows
-    counts as none.
+    last KEPT used are remembered by a task. If both results have
+    more than MOST different rows, ``correct`` is null: it isn't known.
     """
     n_path, n_pred, n_gold = (rows.columns.index(c) for c in (path, predicted, gold))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: OrderedDict[tuple[str, str], bytes | None] = OrderedDict()
+        known: OrderedDict[tuple[str, str], tuple[str, bytes | None]] = OrderedDict()
         connections = Connections()
 
-        def results(p: str, s: str) -> bytes | None:
-            status, got, _ = run_sqlite(p, s, timeout, read=digest, connections=connections)
-            return got if status == "ok" else None
+        def results(p: str, s: str) -> tuple[str, bytes | None]:
+            return run_sqlite(p, s, timeout, read=digest, connections=connections)[:2]
+
+        def correct(p: str, s: str | None, g: str) -> bool | None:
+            if (p, g) not in known:
+                known[p, g] = results(p, g)
+            known.move_to_end((p, g))
+            if len(known) > KEPT:
+                known.popitem(last=False)
+            wanted, want = known[p, g]
+            if s is None or wanted not in ("ok", "too_large"):
+                return False
+            status, got = results(p, s)
+            if status == "too_large" and wanted == "too_large":
+                return None
+            return status == wanted == "ok" and got == want
 
         for pdf in batches:
-            said = []
-            for p, s, g in zip(pdf.iloc[:, n_path], pdf.iloc[:, n_pred], pdf.iloc[:, n_gold], strict=True):
-                if (p, g) not in known:
-                    known[p, g] = results(p, g)
-                known.move_to_end((p, g))
-                if len(known) > KEPT:
-                    known.popitem(last=False)
-                said.append(known[p, g] is not None and s is not None and results(p, s) == known[p, g])
-            yield pdf.assign(correct=said)
+            said = [correct(*x) for x in zip(pdf.iloc[:, n_path], pdf.iloc[:, n_pred], pdf.iloc[:, n_gold], strict=True)]
+            yield pdf.assign(correct=pd.array(said, "boolean"))
         connections.close()
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)

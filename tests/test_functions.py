@@ -407,7 +407,23 @@ def test_results_are_compared_in_pieces(spark, database, monkeypatch):
     monkeypatch.setattr(execution, "PIECE", 1)
     assert execution.run_sqlite(database, "SELECT x FROM p", read=execution.digest)[1] == execution.run_sqlite(database, "SELECT x FROM p ORDER BY id DESC LIMIT 2", read=execution.digest)[1]
     monkeypatch.setattr(execution, "MOST", 2)
-    assert execution.run_sqlite(database, "SELECT id FROM p", read=execution.digest)[0] == "error"
+    assert execution.run_sqlite(database, "SELECT id FROM p", read=execution.digest)[0] == "too_large"
+
+
+def test_digests_tell_results_apart(database):
+    def of(sql):
+        return execution.run_sqlite(database, sql, read=execution.digest)[1]
+
+    for a, b in (("SELECT -1", "SELECT -2"), ("SELECT 0", "SELECT 2305843009213693951"), ("SELECT 'a'", "SELECT x'61'"), ("VALUES (-1, 'Bob'), (5, 'x')", "VALUES (-2, 'Bob'), (5, 'x')"), ("SELECT 'a', 'bc'", "SELECT 'ab', 'c'"), ("SELECT NULL", "SELECT ''"), ("SELECT 1", "SELECT '1'"), ("SELECT 1, 1", "SELECT 1"), ("SELECT 9007199254740993", "SELECT 9007199254740992.0"), ("SELECT 'a'", "SELECT 'a' WHERE 0")):
+        assert of(a) != of(b), (a, b)
+    for a, b in (("SELECT 1", "SELECT 1.0"), ("VALUES (1), (2), (1)", "VALUES (2.0), (1)"), ("SELECT 1e300", "SELECT 1e300"), ("SELECT -0.0", "SELECT 0")):
+        assert of(a) == of(b), (a, b)
+
+
+def test_results_too_large_to_tell_are_a_state_of_their_own(database, monkeypatch):
+    monkeypatch.setattr(execution, "MOST", 3)
+    assert execution.run_sqlite(database, "VALUES (1), (1), (1), (1), (2)", read=execution.digest)[0] == "ok"
+    assert execution.run_sqlite(database, "VALUES (1), (2), (3), (4)", read=execution.digest)[:2] == ("too_large", None)
 
 
 def test_values_of_answers():
