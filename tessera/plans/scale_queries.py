@@ -6,12 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import codes as C
+from tessera.operators import generation as G
 from tessera.operators import index as I
 from tessera.operators import joins as J
 from tessera.operators import resampling as B
 from tessera.operators import sampler as S
 from tessera.operators import selection as K
+from tessera.operators import synthesis as Y
 from tessera.operators import vectors as V
 from tessera.plans import query, table
 from tessera.plans.rollout_queries import ROLLOUTS, q, r, rollouts
@@ -141,3 +144,68 @@ def sampler_epoch(spark, d):
     x = full.join(rest, "row", "left").join(drawn, "row", "left")
     same = F.coalesce(F.col("again") == F.col("position"), F.col("position") < later.position) & F.coalesce(F.col("drawn") == F.col("position"), F.col("position") < later.position)
     return x.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("position").alias("places"), F.min("position").cast("int").alias("first"), F.max("position").alias("last"), F.count("again").alias("resumed"), F.min(same).alias("same"))
+
+
+# Synthesis in stages --------------------------------------------------------------
+
+
+def arithmetic(prompts: list[str]) -> list[str]:
+    """A deterministic generator: what it says follows from the numbers in the prompt, so that SQL can count its failures."""
+    out = []
+    for p in prompts:
+        stage, key, attempt = p.split("|")[:3]
+        n = int(key) * 7 + int(attempt) * 3
+        if stage == "instantiate":
+            out.append("nothing" if n % 4 == 0 else f"<answer>{n % 5}</answer>")
+        elif stage == "backward":
+            out.append("" if n % 6 == 1 else f"<question>q{n}</question>" + ("" if n % 5 == 2 else "<evidence>e</evidence>"))
+        else:
+            out.append(f"<answer>{n % 5 if n % 3 else (n + 1) % 5}</answer>" + ("" if n % 7 == 3 else "<reasoning>r</reasoning>"))
+    return out
+
+
+def staged(spark, d: str, path: str, rounds: int = 12) -> Y.Ledger:
+    """Parts through three stages: a region's number as the query, a question and evidence, and the number again, whose nations must be the same."""
+    nations = table(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("region"), "n_name")
+
+    def said(rows, stage: str):
+        return G.complete(rows.withColumn("prompt", F.concat_ws("|", F.lit(stage), "p_partkey", "attempt", "db")), "prompt", "said", lambda: arithmetic).drop("prompt")
+
+    def instantiate(rows):
+        out = said(rows, "instantiate").withColumn("initial", T.tag(F.col("said"), "answer")).drop("said")
+        return out.withColumn("reason", F.when(F.col("initial").isNull(), "instantiate_parse_fail"))
+
+    def backward(rows):
+        out = said(rows, "backward").withColumn("question", T.tag(F.col("said"), "question")).withColumn("evidence", T.tag(F.col("said"), "evidence")).drop("said")
+        q, e = F.col("question").isNull(), F.col("evidence").isNull()
+        return out.withColumn("reason", F.when(q & e, "backward_parse_fail").when(q, "backward_question_missing").when(e, "backward_evidence_missing"))
+
+    def verify(rows):
+        out = said(rows, "forward").withColumn("final", T.tag(F.col("said"), "answer")).withColumn("reasoning", T.tag(F.col("said"), "reasoning")).drop("said")
+        a, b = (out.select("p_partkey", F.col(c).alias("region")).join(nations, "region").select("p_partkey", "n_name") for c in ("initial", "final"))
+        out = out.join(Y.same_results(a, b, "p_partkey", out), "p_partkey")
+        reason = F.when(F.col("reasoning").isNull(), "forward_reasoning_missing").when(~F.col("same"), "forward_result_differs")
+        return out.withColumn("reason", reason).drop("same")
+
+    ledger = Y.Ledger(spark, path)
+    payload = dict.fromkeys(("initial", "question", "evidence", "final", "reasoning"), "string")
+    stages = [Y.Stage("instantiate", instantiate), Y.Stage("backward", backward), Y.Stage("forward", verify)]
+    Y.synthesize(table(spark, d, "part").select(F.col("p_partkey").cast("long")), "p_partkey", payload, stages, ledger, rounds, 4, lambda key, attempt: Y.drawn(key, attempt, ["north", "south", "west"], 42))
+    return ledger
+
+
+_STAGED = """a AS (SELECT p_partkey, t, p_partkey * 7 + t * 3 AS n FROM part, (SELECT unnest(range(1, 5)) AS t)),
+o AS (SELECT *, CASE WHEN n % 4 = 0 THEN 'instantiate_parse_fail' WHEN n % 6 = 1 THEN 'backward_parse_fail' WHEN n % 5 = 2 THEN 'backward_evidence_missing'
+  WHEN n % 7 = 3 THEN 'forward_reasoning_missing' WHEN n % 3 = 0 THEN 'forward_result_differs' END AS reason FROM a),
+l AS (SELECT p_partkey, coalesce(min(t) FILTER (reason IS NULL), 5) AS won FROM o GROUP BY 1)"""
+
+
+@query("synthesis_stages", f"WITH {_STAGED} SELECT split_part(reason, '_', 1) AS stage, reason, count(*) AS n FROM o JOIN l USING (p_partkey) WHERE t < won GROUP BY ALL UNION ALL SELECT 'forward', CAST(NULL AS VARCHAR), count(*) FROM l WHERE won < 5")
+def synthesis_stages(spark, d):
+    """Failures by stage and reason, and the rows that came through, of synthesis that was stopped after three rounds and gone on with."""
+    path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    staged(spark, d, path, 3)
+    ledger = staged(spark, d, path)
+    lost = Y.failures(ledger, "p_partkey").groupBy("stage", "reason").agg(F.count(F.lit(1)).alias("n"))
+    won = Y.succeeded(ledger).agg(F.lit("forward").alias("stage"), F.lit(None).cast("string").alias("reason"), F.count(F.lit(1)).alias("n"))
+    return lost.unionByName(won)
