@@ -65,26 +65,35 @@ def further(h: np.ndarray, j: int) -> np.ndarray:
 def fingerprint(text: str | None, k: int = 3, words64: int = 1, kinds: list[np.ndarray] | None = None) -> np.ndarray:
     """``words64`` unsigned 64-bit values; a bit is 1 if over half the hashes set it.
 
-    Null, empty and white-space texts give zeros. ``kinds`` gets the different
-    hashes of each chunk of shingles.
+    Null, empty and white-space texts give zeros. With ``kinds`` each different
+    shingle counts once, so that a line counts the same however often it is
+    repeated; their hashes go there.
     """
     ones, n = np.zeros((words64, 64), np.int64), 0
-    source = shingles(text, k)
-    while part := [s for _, s in zip(range(CHUNK), source)]:
-        n += len(part)
-        h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), np.uint64, len(part))
-        if kinds is not None:
-            kinds.append(np.unique(h))
+    parts = hashed(text, k)
+    if kinds is not None:
+        known = [np.unique(h) for h in parts]
+        kinds.append(np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64))
+        parts = (kinds[-1][at : at + CHUNK] for at in range(0, len(kinds[-1]), CHUNK))
+    for h in parts:
+        n += len(h)
         for j in range(words64):
             ones[j] += np.unpackbits(further(h, j).astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
     bits = (2 * ones > n).astype(np.uint8)
     return np.packbits(bits, axis=1).view(">u8").astype(np.uint64).ravel()
 
 
+def hashed(text: str | None, k: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, chunk by chunk."""
+    source = shingles(text, k)
+    while part := [s for _, s in zip(range(CHUNK), source)]:
+        yield np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), np.uint64, len(part))
+
+
 def fingerprints(docs: DataFrame, k: int = 3, bits: int = 64, tables: int = 1, sets: bool = False) -> DataFrame:
     """``(doc_id, t, f)``: f is an array of ``tables`` values of ``bits`` bits (64, or 56 at most), t a hash of the text.
 
-    With ``sets`` also s: a hash of the set of different shingles.
+    With ``sets`` the fingerprints are of the different shingles, and there is s: a hash of their set.
     """
     session(docs)
     words64 = -(-bits * tables // 64)
@@ -98,7 +107,7 @@ def fingerprints(docs: DataFrame, k: int = 3, bits: int = 64, tables: int = 1, s
                 parts: list[np.ndarray] | None = [] if sets else None
                 values.append(split(fingerprint(t, k, words64, parts)))
                 if parts is not None:
-                    kinds.append(xxhash.xxh64_intdigest(np.unique(np.concatenate(parts)).tobytes() if parts else b"") - (1 << 63))
+                    kinds.append(xxhash.xxh64_intdigest(parts[0].tobytes()) - (1 << 63))
             out = pd.DataFrame({"doc_id": pdf["doc_id"], "t": pdf["t"], "f": values})
             yield out.assign(s=kinds) if sets else out
         release()
@@ -276,7 +285,9 @@ def sharing(docs: DataFrame, ids: DataFrame, distinct: DataFrame, k: int, simila
     share ``s`` of their shingles and more, one of the first
     ``n - ceil(2s / (1 + s) n) + 1`` of the shorter's n is among the first
     ``n - ceil(s n) + 1`` of the longer's. What a large group has in common
-    stands last and makes no pairs.
+    stands last and makes no pairs. What two sets share of these prefixes is
+    counted: with it, what follows the last shared one in either must reach
+    the number that they need to share.
     """
     sets = shingle_sets(docs, of_nodes(ids, distinct), k).join(ids, "a")
     each = sets.select("a", "c", F.size("s").alias("n"), F.explode("s").alias("w"))
@@ -285,18 +296,25 @@ def sharing(docs: DataFrame, ids: DataFrame, distinct: DataFrame, k: int, simila
     listed = each.join(often, "w").groupBy("a", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("l"))
     first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1 - (F.col("n") - F.size("l"))
     prefix = cut(
-        listed.withColumns({"probe": first(similarity), "index": first(2 * similarity / (1 + similarity))})
+        listed.withColumns({"probe": first(similarity), "index": first(2 * similarity / (1 + similarity)), "own": F.col("n") - F.size("l")})
         .where("probe > 0")
-        .select("a", "c", "n", "index", F.posexplode(F.slice("l", F.lit(1), F.col("probe").cast("int"))).alias("p", "x"))
-        .select("a", "c", "n", (F.col("p") < F.col("index")).alias("short"), F.col("x.w").alias("w"))
+        .select("a", "c", "n", "index", "own", F.posexplode(F.slice("l", F.lit(1), F.col("probe").cast("int"))).alias("p", "x"))
+        .select("a", "c", "n", (F.col("p") < F.col("index")).alias("short"), F.col("x.w").alias("w"), (F.col("own") + F.col("p") + 1).alias("p"))
     )
     # Components meet before documents do: a shingle of one component alone makes no pairs, however many documents have it.
     ends = cut(prefix.groupBy("w", "c").agg(F.max("short").alias("short")))
     meet = ends.where("short").select("w", F.col("c").alias("cb")).join(ends.select("w", F.col("c").alias("ca")), "w").where("ca <> cb")
-    shorter = prefix.where("short").select("w", F.col("c").alias("cb"), F.col("a").alias("b"), F.col("n").alias("nb"))
-    longer = prefix.select("w", F.col("c").alias("ca"), "a", F.col("n").alias("na"))
-    pairs = cut(meet).join(shorter, ["w", "cb"]).join(longer, ["w", "ca"]).where((F.col("nb") <= F.col("na")) & (F.col("nb") >= similarity * F.col("na") - 1e-9))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    shorter = prefix.where("short").select("w", F.col("c").alias("cb"), F.col("a").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    longer = prefix.select("w", F.col("c").alias("ca"), "a", F.col("n").alias("na"), F.col("p").alias("pa"))
+    enough = similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9
+    follow = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    # Up to a shared place no more can be shared than the shorter way to it holds.
+    pairs = cut(meet).join(shorter, ["w", "cb"]).join(longer, ["w", "ca"])
+    pairs = pairs.where((F.col("nb") <= F.col("na")) & (F.col("nb") >= similarity * F.col("na") - 1e-9) & (F.least("pa", "pb") + follow >= enough))
+    # All that both prefixes share has been met: what was counted is all up to the last of it. The shorter one's prefix
+    # is cut where `short` ends, so what is shared behind that counts as what may follow.
+    counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("n"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    return counted.where(F.col("n") + follow >= enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def alike_links(docs: DataFrame, distinct: DataFrame, bits: int, radius: int, most: int, k: int, similarity: float) -> DataFrame:

@@ -171,3 +171,17 @@ def test_recall_at_the_similarity(spark):
 def test_empty_table(spark):
     assert simhash.near_groups(fixtures.empty(spark)).count() == 0
     assert simhash.near_dedup(fixtures.empty(spark)).count() == 0
+
+
+def test_copies_whose_repeated_line_differs_in_number_are_found(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = " ".join(word() for _ in range(12))
+    rows = []
+    for i in range(60):
+        own = " ".join(word() for _ in range(200))
+        rows += [(2 * i, f"{own}\n{line}"), (2 * i + 1, f"{own}\n" + "\n".join([line] * 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.near_dedup(df).collect()}
+    found = sum(2 * i + 1 not in kept for i in range(60))
+    assert all(2 * i in kept for i in range(60)) and found >= 0.95 * 60, found
