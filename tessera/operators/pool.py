@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import batches
+from tessera.operators import batches, quantiles
+from tessera.sources.shared import cut
 
 #: Pieces of a line of weights, at most: what draws are dealt out by is no larger, whatever the number of rows.
 PIECES = 8192
@@ -145,7 +146,7 @@ def stratified_quota(candidates: DataFrame, weights: list[float], budget: int, s
         if taken is not None:
             own = own.join(taken, "idx", "left_anti")
         got = own.orderBy(*order).limit(int(weight * budget)).withColumn("rank", F.lit(rank))
-        taken = got if taken is None else taken.unionByName(got)
+        taken = cut(got if taken is None else taken.unionByName(got))  # at most the budget; else the plan doubles with each rank
     if taken is None:
         return spark.createDataFrame([], "idx long, rank int")
     left = budget - taken.count()
@@ -170,9 +171,9 @@ def output_stats(rows: DataFrame, kind: str, key: str) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, value: str, at: list[float]) -> DataFrame:
-    """``(p, value)`` for each percentile, exactly."""
-    one = rows.agg(F.percentile(value, F.array(*[F.lit(p / 100) for p in at])).alias("v"))
-    return one.select(F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in at]).alias("p"), F.col("v").alias("value"))).alias("x")).select("x.p", "x.value")
+    """``(p, value)`` for each percentile, exactly, by ranges that are narrowed: see ``operators.quantiles``."""
+    found = quantiles.exact(rows, value, [p / 100 for p in at])
+    return rows.sparkSession.createDataFrame(list(zip(at, found, strict=True)), "p double, value double")
 
 
 def above_edges(rows: DataFrame, edges: DataFrame, value: str, key: str, n: int) -> DataFrame:
