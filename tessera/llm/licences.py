@@ -2,15 +2,19 @@
 
 The index holds where each word stands in the licence templates. How rare a
 word is comes from the number of documents that have it, over the whole
-corpus. Of each template whose mandatory key phrase a document has, the rarest
-words are looked up, so many that no place at which the template stands can
-miss all of them; each of their places proposes where it would start, which is
-verified by the key phrase and by how many words stand where they should.
+corpus. Of each template of which a file has enough words, the file's rarest
+ones are looked up, so many that no notice can do without all of them. Each of
+their places votes for where the template would start. Where votes fall close
+together the other words' places are intersected with the template's by
+relative position: words may be put in, left out or changed, as names and years
+are, as long as starts differ by SHIFT at most and enough words stand in order.
+What stands there is verified by the mandatory key phrase.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pandas as pd
@@ -132,8 +136,12 @@ TEMPLATES = {
     "gpl/note": ("general public license", "this work is licensed under the gnu general public license version 3"),
     "mit/note": ("mit license", "this work is licensed under the mit license"),
 }
-#: Share of a template's words that must stand in their places.
+#: Share of a template's words that must stand in order.
 COVERAGE = 0.6
+#: By how many words a notice may be longer or shorter than its template so far: so many, and a share of its length.
+SHIFT, SHIFT_SHARE = 8, 0.2
+#: Words that may stand between those of the key phrase.
+BETWEEN = 1
 
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -153,52 +161,139 @@ def places(joined: bytes, phrase: bytes) -> list[int]:
     return found
 
 
+def in_order(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The most hits (place in the file, place in the template), both growing, by ascending place in the file."""
+    ends: list[int] = []  # the smallest last template place of a chain of each length
+    last: list[int] = []
+    before: list[int] = []
+    # Of one place in the file the largest template place comes first, so that only one of them gets into a chain.
+    hits = sorted(hits, key=lambda h: (h[0], -h[1]))
+    for k, (_, place) in enumerate(hits):
+        n = bisect_left(ends, place)
+        before.append(last[n - 1] if n else -1)
+        if n == len(ends):
+            ends.append(place)
+            last.append(k)
+        else:
+            ends[n], last[n] = place, k
+    chain, k = [], last[-1] if last else -1
+    while k >= 0:
+        chain.append(hits[k])
+        k = before[k]
+    return chain[::-1]
+
+
+def has_phrase(text: list[bytes], key: list[bytes]) -> bool:
+    """Whether the key's words stand in order, with BETWEEN others among them at most."""
+    for start, w in enumerate(text):
+        if w == key[0]:
+            n = 0
+            for other in text[start : start + len(key) + BETWEEN]:
+                n += n < len(key) and other == key[n]
+            if n == len(key):
+                return True
+    return False
+
+
 class Index:
     """Postings of all templates and the weight of each of their words."""
 
     def __init__(self, templates: dict[str, tuple[str, str]] = TEMPLATES):
-        self.templates = {label: (key.encode(), text.encode().split()) for label, (key, text) in templates.items()}
-        self.postings: dict[bytes, list[tuple[str, int]]] = {}
+        self.templates = {label: (key.encode().split(), text.encode().split()) for label, (key, text) in templates.items()}
+        self.postings: dict[bytes, dict[str, list[int]]] = {}
         for label, (_, text) in self.templates.items():
             for place, word in enumerate(text):
-                self.postings.setdefault(word, []).append((label, place))
+                self.postings.setdefault(word, {}).setdefault(label, []).append(place)
         self.vocabulary = set(self.postings)
-        self.idf: dict[bytes, float] = {}
-        self.rarest: dict[str, dict[bytes, list[int]]] = {}
+        self.needs = {label: math.ceil(COVERAGE * len(text)) for label, (_, text) in self.templates.items()}
+        self.shift = {label: SHIFT + int(SHIFT_SHARE * len(text)) for label, (_, text) in self.templates.items()}
+        self.idf = dict.fromkeys(self.vocabulary, 0.0)
 
     def weigh(self, documents: dict[bytes, int], n: int) -> None:
-        """Sets the words' weights from the number of documents that have them, of n in all.
+        """Sets the words' weights from the number of documents that have them, of n in all."""
+        self.idf = {w: math.log((n + 1) / (documents.get(w, 0) + 1)) for w in self.vocabulary}
+
+    def search(self, text: list[bytes]) -> dict[str, float]:
+        """Labels that are verified, with the largest share of a template's words that stand in order.
 
-        A template's rarest words are those that stand in one more of its
-        places than may differ: one of them is in place wherever it stands.
+        The weights say which words are looked up, never what is found: a
+        template's words that aren't looked up are too few for a notice.
         """
-        self.idf = {w: math.log((n + 1) / (documents.get(w, 0) + 1)) for w in self.vocabulary}
-        for label, (_, text) in self.templates.items():
-            self.rarest[label] = own = {}
-            for w in sorted(set(text), key=lambda w: (-self.idf[w], w)):
-                if (len(text) - sum(map(len, own.values()))) / len(text) < COVERAGE:
-                    break
-                own[w] = [place for other, place in self.postings[w] if other == label]
-
-    def search(self, text: list[bytes], joined: bytes) -> dict[str, float]:
-        """Labels that are verified, with the share of the template's words in place."""
-        rare = {label: self.rarest[label] for label, (key, _) in self.templates.items() if key in joined}
-        if not rare:
+        there = self.vocabulary.intersection(text)
+        held: Counter = Counter()
+        for w in there:
+            for label, at in self.postings[w].items():
+                held[label] += len(at)
+        likely = [label for label, n in held.items() if n >= self.needs[label]]
+        if not likely:
             return {}
-        wanted: dict[bytes, list[int]] = {w: [] for own in rare.values() for w in own}
+        places_: dict[bytes, list[int]] = {w: [] for w in there}
         for i, w in enumerate(text):
-            if w in wanted:
-                wanted[w].append(i)
-        starts = {(label, i - place) for label, own in rare.items() for w, at in own.items() for i in wanted[w] for place in at}
+            if w in there:
+                places_[w].append(i)
         out: dict[str, float] = {}
-        for label, start in starts:
-            key, template = self.templates[label]
-            share = sum(1 for k, w in enumerate(template) if 0 <= start + k < len(text) and text[start + k] == w) / len(template)
+        for label in sorted(likely):
             name = label.split("/")[0]
-            if share >= COVERAGE and share > out.get(name, 0) and key in b" ".join(text[max(0, start) : start + len(template)]):
+            share = self.best(label, text, places_, held[label], out.get(name, 0.0))
+            if share > out.get(name, 0.0):
                 out[name] = share
         return out
 
+    def best(self, label: str, text: list[bytes], places_: dict[bytes, list[int]], held: int, known: float) -> float:
+        """The largest share over ``known`` of the template's words in order around a key phrase; ``known`` if there is none."""
+        key, template = self.templates[label]
+        need, shift = self.needs[label], self.shift[label]
+        own = {w: self.postings[w][label] for w in places_ if label in self.postings[w]}
+        votes: set[int] = set()
+        for w in sorted(own, key=lambda w: (-self.idf[w], w)):
+            if held < need:
+                break
+            held -= len(own[w])
+            votes.update(i - place for i in places_[w] for place in own[w])
+        for low, high in stretches(sorted(votes), shift):
+            hits = []
+            for w, at in own.items():
+                for place in at:
+                    hits += [(i - place, i, place) for i in places_[w][bisect_left(places_[w], low + place) : bisect_right(places_[w], high + place)]]
+            for n, band in bands(sorted(hits), shift, need):
+                if n / len(template) <= known:
+                    break  # the fullest come first
+                chain = in_order(band)
+                share = len(chain) / len(template)
+                if len(chain) >= need and share > known and has_phrase(text[max(chain[0][0] - len(key), 0) : chain[-1][0] + len(key) + 1], key):
+                    known = share
+        return known
+
+
+def stretches(votes: list[int], shift: int) -> list[tuple[int, int]]:
+    """Ranges of starts within ``shift`` of the votes; those that overlap are one."""
+    out: list[tuple[int, int]] = []
+    for v in votes:
+        if out and v - shift <= out[-1][1]:
+            out[-1] = (out[-1][0], v + shift)
+        else:
+            out.append((v - shift, v + shift))
+    return out
+
+
+def bands(hits: list[tuple[int, int, int]], shift: int, need: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Hits ``(start, i, place)`` whose starts are within ``shift``, with the number of their different places, the most first.
+
+    Bands with fewer than ``need`` places are left out.
+    """
+    out, stop, held = [], 0, Counter()
+    for k, (start, _, place) in enumerate(hits):
+        while stop < len(hits) and hits[stop][0] <= start + shift:
+            held[hits[stop][2]] += 1
+            stop += 1
+        if len(held) >= need and (k == 0 or hits[k - 1][0] < start):
+            out.append((len(held), k, stop))
+        held[place] -= 1
+        if not held[place]:
+            del held[place]
+    out.sort(key=lambda b: (-b[0], b[1]))
+    return [(n, [h[1:] for h in hits[k:stop]]) for n, k, stop in out]
+
 
 def document_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> tuple[dict[bytes, int], int]:
     """How many documents have each word of the (bounded) vocabulary, and how many there are."""
@@ -224,7 +319,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, phr
     Columns: n_words, n_base (places of all phrases), first_word and last_word
     (their smallest and largest start; null without any), base_labels, labels
     (the templates' too), score (1 with a base place, else the best verified
-    template's share of words in place, else 0). Null and empty texts have no
+    template's share of words in order, else 0). Null and empty texts have no
     words; repeated rows give one row each; a null doc_id stays null; other
     columns are ignored; a very long text is scanned as a whole; an empty table
     gives an empty result. What other documents hold decides which words are
@@ -245,7 +340,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, phr
                 at = {label: places(joined, p) for p, label in sought}
                 every = [i for x in at.values() for i in x]
                 base = {label for label, x in at.items() if x}
-                verified = own.search(text, joined)
+                verified = own.search(text)
                 score = 1.0 if base else max(verified.values(), default=0.0)
                 rows.append((len(text), len(every), min(every, default=None), max(every, default=None), ",".join(sorted(base)), ",".join(sorted(base | verified.keys())), score))
             out = pd.DataFrame(rows, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
