@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import buckets_for, cut, forget, free, scratch, session, table, total_bytes
@@ -312,7 +312,7 @@ def _compress(batches):
         yield _frame([(_TEXT, None, g, d, None, None, None, None, squeeze.compress(encoded(t))) for d, t, g in zip(pdf["doc_id"], pdf["text"], pdf["grp"], strict=True)])
 
 
-def _done(doc: int | None, data: bytes) -> tuple:
+def _done(doc: int, data: bytes) -> tuple:
     return (_DONE, None, None, doc, len(data), 0, 0, hashlib.sha256(data).hexdigest(), None)
 
 
@@ -330,9 +330,6 @@ def _group_runs(shares: int):
         held: dict[bytes, list[int]] = {}
         for doc, zipped in pdf.loc[pdf["kind"] == _TEXT, ["doc_id", "data"]].itertuples(index=False):
             data = unzip.decompress(zipped)
-            if pd.isna(doc):
-                rows.append(_done(None, data))
-                continue
             doc = int(doc)
             if doc in copied and (doc, sha := hashlib.sha256(data).hexdigest()) in copies:
                 rows.append((_DONE, None, None, doc, len(data), len(data), 1, hashlib.sha256(b"").hexdigest(), bytes.fromhex(sha)))
@@ -471,6 +468,11 @@ def _remove(keep_text: bool):
     return run
 
 
+def _group(groups: int) -> Column:
+    """The group of a document: by id and text, so that one id's different texts are in many."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")
+
+
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, data)`` for every row of ``docs(doc_id, text)``.
 
@@ -487,8 +489,10 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = total_bytes(rows)
     groups, shares = buckets_for(size, GROUP), buckets_for(size, SHARE)
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
-    counted = rows.where(f"doc_id IS NOT NULL AND octet_length(text) >= {LENGTH}")
+    # Rows without an id are as they are: however many there are, they pass no shuffle.
+    unnamed = rows.where("doc_id IS NULL").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), *[F.lit(0).cast("long").alias(c) for c in ("n_removed", "n_spans")], F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.lit(None).cast("binary").alias("data"))
+    rows = rows.where("doc_id IS NOT NULL").withColumn("grp", _group(groups))
+    counted = rows.where(f"octet_length(text) >= {LENGTH}")
     named = counted.select("text", "grp").mapInPandas(_name_rows(shares), "share int, names binary, groups binary")
     shared = named.groupBy("share").applyInPandas(_shared_names, _ROW)
     hashed = counted.select("doc_id", "grp", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
@@ -500,7 +504,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     first = cut(texts.unionByName(shared).unionByName(copies).groupBy("grp").applyInPandas(_group_runs(shares), _ROW))
     older = first.where(F.col("kind") == _RUNS).groupBy("share").applyInPandas(_share_older, _ROW)
     second = first.where(F.col("kind") == _OPEN).unionByName(older).groupBy("grp").applyInPandas(_remove(keep_text), _ROW)
-    return first.where(F.col("kind") == _DONE).unionByName(second).select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "data")
+    done = first.where(F.col("kind") == _DONE).unionByName(second).select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "data")
+    return done.unionByName(unnamed)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

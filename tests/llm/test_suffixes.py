@@ -101,3 +101,17 @@ def test_cut_texts(spark):
 def test_empty_table(spark):
     assert suffixes.remove_repeats(fixtures.empty(spark)).count() == 0
     assert suffixes.without_repeats(fixtures.empty(spark)).count() == 0
+
+
+def test_many_rows_without_an_id_or_with_one(spark, monkeypatch):
+    """A third of the rows have no id, a third one id: they stay whole or are judged alone, in many groups."""
+    monkeypatch.setattr(suffixes, "GROUP", 2000)
+    passage = "a passage that stands in every one of these documents, again and again. "
+    rows = [(None, passage * 2 + str(k)) for k in range(60)] + [(5, f"{k} " + passage + f"{k * k} own words") for k in range(60)] + [(100 + k, passage + f"text {k}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffixes.remove_repeats(df, keep_text=True).collect()
+    assert len(got) == len(rows)
+    by = {(r.doc_id, r.n_bytes, r.kept_sha256) for r in got}
+    assert all((d, len(t), hashlib.sha256(t.encode()).hexdigest()) in by for d, t in rows[:120])
+    assert all(r.n_removed >= len(passage) - 1 and r.n_spans == 1 for r in got if r.doc_id is not None and r.doc_id >= 100)
+    assert df.where("doc_id = 5").select(suffixes._group(8)).distinct().count() > 1
