@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import id_and_text, release, session, table, with_number
@@ -24,6 +24,8 @@ from tessera.llm.common import id_and_text, release, session, table, with_number
 GRAMS, BUCKETS = (1, 2, 3, 4), 1 << 13
 #: Bound of the training sample: texts for each language, and the longest such text in bytes.
 PER_LANGUAGE, LONGEST = 250, 20_000
+#: Of a language all of whose texts are longer, so many of the shortest ones are taken.
+FEW = 10
 #: Languages that are learned at most: the most frequent ones. More are taken for slips of the labels.
 LANGUAGES = 256
 #: Steps, step size and weight decay of the training.
@@ -135,18 +137,30 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGES
     """A model from a bounded sample of labelled, not held-out documents.
 
     For each language ``per_language`` texts of at most ``longest`` bytes are
-    taken, those whose ids hash lowest, of at most LANGUAGES languages. Rows
-    without text, lang or doc_id are never taken.
+    taken, those whose ids hash lowest, of at most LANGUAGES languages; of a
+    language that has longer ones only, the FEW shortest, whole. Rows without
+    text, lang or doc_id are never taken.
     """
     named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    usable = named.where(~held_out() & (F.octet_length("text") <= longest)).withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30))
-    count = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).toLocalIterator()}
-    if not count:
+    labelled = named.where(~held_out()).withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30))
+    short = F.octet_length("text") <= longest
+    usable = labelled.where(short)
+    seen = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(short).alias("short")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not seen:
         return train([], [])
+    count, long = {r["lang"]: r["short"] for r in seen if r["short"]}, [r["lang"] for r in seen if not r["short"]]
+    texts, langs = [], []
+    if long:
+        first = Window.partitionBy("lang").orderBy(F.octet_length("text"), "draw", "doc_id", "text")
+        for r in labelled.where(F.col("lang").isin(*long)).withColumn("k", F.row_number().over(first)).where(F.col("k") <= FEW).orderBy("lang", "k").toLocalIterator():
+            texts.append(r["text"])
+            langs.append(r["lang"])
+    if not count:
+        return train(texts, langs)
     # A little over the bound, so that the draw reaches it; cut below.
     below = F.create_map(*[F.lit(v) for k, n in sorted(count.items()) for v in (k, min(1.0, 1.3 * per_language / n + 10 / n))])
     rows = sorted(usable.where(F.col("lang").isin(*count)).where(F.col("draw") < below[F.col("lang")]).select("lang", "draw", "doc_id", "text").toLocalIterator(), key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["text"]))
-    texts, langs, taken = [], [], dict.fromkeys(count, 0)
+    taken = dict.fromkeys(count, 0)
     for r in rows:
         if taken[r["lang"]] < per_language:
             taken[r["lang"]] += 1

@@ -94,3 +94,14 @@ def test_only_frequent_languages_are_learned(spark, monkeypatch):
     monkeypatch.setattr(langid, "LANGUAGES", 2)
     rows = fixtures.texts(5, 60) + [(500 + i, "some odd label", f"odd{i}") for i in range(9)]
     assert langid.fit(fixtures.documents(spark, rows)).languages == ["de", "en"]
+
+
+def test_a_language_of_long_texts_only(spark):
+    """It is learned from its shortest texts; rows of both languages are told apart."""
+    english, german = "the cat and the dog went over the hill with their friends ", "der Hund und die Katze gingen über den Hügel mit ihren Freunden "
+    rows = [(k, english * (3 + k % 4), "en") for k in range(40)] + [(100 + k, german * (400 + k), "de") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    said = {r.doc_id: r.lang_pred for r in langid.identify(df).collect()}
+    assert said == {d: lang for d, _, lang in rows}
+    only = {r.lang_pred for r in langid.identify(df.where("lang = 'de'")).collect()}
+    assert only == {"de"}
