@@ -103,3 +103,58 @@ def test_conversations_with_odd_rows(spark):
     assert got[1, "c0"].status == "linked" and got[1, "c2"].valid and got[2, "c5"].problems == "needs:c7"
     assert got[4, "c0"].circle and got[4, "c2"].circle and not got[1, "c2"].circle
     assert toolcalls.link(*toolcalls.from_conversations(df.where("false")), toolcalls.REPLY).count() == 0
+
+
+NESTED = {
+    "f": {
+        "type": "object",
+        "properties": {
+            "a": {
+                "type": "object",
+                "properties": {"b": {"type": "array", "items": {"type": "object", "properties": {"c": {"type": ["integer", "null"]}}, "required": ["c"], "additionalProperties": False}}},
+                "required": ["b"],
+            },
+            "e": {"enum": ["x", 2, {"k": [1]}]},
+            "n": {"type": "number", "minimum": 1, "maximum": 2.5},
+            "s": {"type": "string", "minLength": 1, "maxLength": 2},
+            "l": {"type": "array", "minItems": 1, "maxItems": 2},
+        },
+    }
+}
+
+
+@pytest.mark.parametrize(
+    "args,said",
+    [
+        ('{"a": {"b": [{"c": 1}, {"c": null}]}, "free": 1}', ""),
+        ('{"a": {"b": [{"c": "x"}, {"c": "y"}, {}]}}', "missing:a.b[].c,type:a.b[].c"),
+        ('{"a": {"b": [{"c": 1, "d": 2}, 5], "z": 1}}', "type:a.b[],unknown:a.b[].d"),
+        ('{"a": {"b": {}}}', "type:a.b"),
+        ('{"a": {}}', "missing:a.b"),
+        ('{"a": []}', "type:a"),
+        ('{"a": {"b": []}, "e": "x"}', ""),
+        ('{"e": 2}', ""),
+        ('{"e": {"k": [ 1 ]}}', ""),
+        ('{"e": "y"}', "enum:e"),
+        ('{"n": 0.5, "s": "", "l": []}', "minItems:l,minLength:s,minimum:n"),
+        ('{"n": 2.6, "s": "äöü", "l": [1, 2, 3]}', "maxItems:l,maxLength:s,maximum:n"),
+        ('{"n": 2.5, "s": "äö", "l": [null]}', ""),
+        ('{"n": "2", "s": 1, "l": "x"}', "type:l,type:n,type:s"),
+    ],
+)
+def test_nested_schemas(spark, args, said):
+    a = spark.createDataFrame([(1, "a", 0, "f", args, [], "clash")], CALLS)
+    assert toolcalls.link(a, spark.createDataFrame([], RESULTS), NESTED).head().problems == said
+
+
+def test_the_query_has_every_kind_of_problem(spark):
+    """Each remainder of the text's length, and calls that need two others."""
+    rows = [(1, 2 * i, "user", "x" * (12 * 7 + i)) for i in range(14)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    calls, results = toolcalls.from_conversations(df)
+    got = {r.call_id: r for r in toolcalls.link(calls, results, toolcalls.REPLY).collect()}
+    said = {3: "type:turn", 4: "missing:question", 5: "minimum:options.limit,unknown:mood", 6: "enum:options.tone,type:options.tags[]"}
+    for i in range(14):
+        assert [p for p in got[f"c{2 * i}"].problems.split(",") if not p.startswith("needs:")] == said.get(i % 7, "").split(","), i
+    assert {len(r.needs) for r in calls.collect()} == {0, 1, 2}
+    assert {r.valid for r in got.values()} == {True, False}
