@@ -7,21 +7,28 @@ run in Arrow batches, each with a deadline; failures are data.
 from __future__ import annotations
 
 import hashlib
+import signal
 import sqlite3
 import struct
+import threading
 import time
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
 #: Seconds that a query may take, rows that are fetched, characters of a result that are shown.
 TIMEOUT, FETCH, SHOWN = 20.0, 30, 300
+#: Seconds that a scorer may take for a pair.
+SCORING = 300.0
 #: Virtual machine steps between two looks at the clock.
 STEPS = 10_000
 #: Rows of a result that are read at once, different ones at most, and digests of results that a task remembers.
@@ -206,15 +213,60 @@ def rewards(completion: Column, correct: Column) -> Column:
     return F.struct(form.alias("format"), run.alias("exec"), (form + 3 * run).alias("score"), (run > 0).alias("acc_exec"), ((form > 0) & (run > 0)).alias("acc_strict"))
 
 
-def scored(function: Callable[[str | None, str | None], float], answer: Column, truth: Column) -> Column:
-    """A Python scorer as ``struct<score, error>``: pairs for which it fails have 0.0 and what went wrong."""
+def scorer_from(spark: SparkSession, path: str | None, name: str, **more) -> Callable | None:
+    """The function ``name`` of the Python file at ``path``, which gets ``more`` as further keywords; None without a path.
+
+    The file is read by Spark, so any path that its readers open will do, and
+    the function goes to the tasks with what it uses of its file: the
+    executors need no copy. Raises FileNotFoundError where there is no file,
+    RuntimeError where it can't be run, AttributeError where it has no such
+    function.
+    """
+    if not path:
+        return None
+    try:
+        source = spark.read.text(path, wholetext=True).head()
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no file of scorers: {path}") from e
+    space: dict = {"__name__": "scorers"}  # no module of this name is known, so its functions are sent whole
+    try:
+        exec(compile(source[0] if source else "", path, "exec"), space)  # noqa: S102  running the user's file is the feature
+    except Exception as e:  # noqa: BLE001  whatever the file raises
+        raise RuntimeError(f"the file of scorers can't be run: {path}: {e}") from e
+    if not callable(space.get(name)):
+        raise AttributeError(f"no function {name} in {path}")
+    return partial(space[name], **more) if more else space[name]
+
+
+@contextmanager
+def deadline(seconds: float | None) -> Iterator[None]:
+    """Raises TimeoutError in what runs inside for longer; only a process's main thread can be stopped, as a task's is."""
+    if seconds is None or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_: object) -> None:
+        raise TimeoutError(f"more than {seconds:g} s")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def scored(function: Callable[[str | None, str | None], float], answer: Column, truth: Column, seconds: float | None = SCORING) -> Column:
+    """A Python scorer as ``struct<score, error>``: pairs for which it fails, or takes longer than ``seconds``, have 0.0 and what went wrong."""
 
     @F.pandas_udf("score double, error string")
     def run(a: pd.Series, t: pd.Series) -> pd.DataFrame:
         out: list[tuple[float, str | None]] = []
         for x, y in zip(a, t, strict=True):
             try:
-                out.append((float(function(x, y)), None))
+                with deadline(seconds):
+                    out.append((float(function(x, y)), None))
             except Exception as e:  # noqa: BLE001  a scorer's failure is a score of nothing
                 out.append((0.0, f"{type(e).__name__}: {e}"))
         return pd.DataFrame(out, columns=["score", "error"])
