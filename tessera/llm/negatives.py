@@ -213,7 +213,8 @@ def search(shards: DataFrame, blocks: DataFrame, n_shards: int, n_blocks: int, m
     A block is ``(block, ids, labels, vectors, at, query, least, most)``: its
     anchors, and for each query the anchor it is of, its number and its window.
     Each block meets each shard once; those that meet a shard in one task are
-    TOGETHER at most.
+    TOGETHER at most. Both sides are many times as large as the tables they are
+    made of, which Spark's estimates don't see: neither goes through the driver.
     """
     parts = max(1, -(-n_blocks // TOGETHER))
     named = ("ids", "labels", "vectors", "at", "query", "least", "most")
@@ -233,7 +234,7 @@ def search(shards: DataFrame, blocks: DataFrame, n_shards: int, n_blocks: int, m
                 hit = np.isfinite(score)
                 yield pd.DataFrame({"block": np.int32(r.block), "query": np.repeat(query, hit.sum(1)), "other_id": found[hit], "score": score[hit].astype(np.int64)})
 
-    met = there.join(sent, ["shard", "part"]).select("ids", "labels", "vectors", "block", *(f"q_{c}" for c in named))
+    met = there.join(sent.hint("merge"), ["shard", "part"]).select("ids", "labels", "vectors", "block", *(f"q_{c}" for c in named))
     return met.mapInPandas(run, "block int, query long, other_id long, score long")
 
 
