@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from tessera.sources.shared import cut
 
-#: Vectors of a block: a task multiplies two blocks.
+#: Vectors of a block.
 BLOCK = 4096
+#: Blocks of queries and of the base that meet in one task at most, and queries that are multiplied at once.
+TOGETHER, ROWS = (8, 32), 512
+#: Products of which the largest is looked at first.
+RUN = 64
 #: Chosen vectors after which blocks are written anew.
 REFRESH = 16
 #: Dimensions of the built-in embedding.
@@ -60,42 +64,101 @@ def blocks(vectors: DataFrame, key: str, n: int) -> DataFrame:
     return keyed.groupBy("block").applyInPandas(run, "block int, ids binary, matrix binary")
 
 
+def best_of(qi: np.ndarray, qm: np.ndarray, bi: np.ndarray, bm: np.ndarray, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, neighbour and similarity of the k most similar base vectors of each query.
+
+    Products in single precision tell which vectors can be among the k best,
+    with room for their error; these few are compared in double precision.
+    """
+    good_q, good_b = np.isfinite(qm).all(1), np.isfinite(bm).all(1)
+    qi, qm, bi, bm = qi[good_q], qm[good_q], bi[good_b], bm[good_b]
+    first = np.argsort(bi, kind="stable")  # ties go to the smaller id
+    bi, bm = bi[first], bm[first]
+    own = int(np.unique(bi, return_counts=True)[1].max(initial=0)) if same else 0  # so many of the best may be the query's own
+    small, room = bm.astype(np.float32), (bm.shape[1] + 8) * 2.0**-23 + 1e-11
+    queries, neighbours, values = [], [], []
+    for at in range(0, len(qi), ROWS):
+        ids, x = qi[at : at + ROWS], qm[at : at + ROWS]
+        x32, kth = x.astype(np.float32), np.full(len(ids), -np.inf)
+        row, col, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for start in range(0, len(bi), BLOCK):
+            s = x32 @ small[start : start + BLOCK].T
+            if not start:
+                most = min(k + own, s.shape[1])
+                kth = np.where(most > k, np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most] - room, -np.inf)
+            least = (kth - room).astype(np.float32)
+            width = RUN if s.shape[1] % RUN == 0 else s.shape[1]
+            # Runs whose largest product is too small are left at that.
+            run_row, run = np.nonzero(s.reshape(len(ids), -1, width).max(2) >= least[:, None])
+            in_run, c = np.nonzero(s.reshape(len(ids), -1, width)[run_row, run] >= least[run_row][:, None])
+            r, c = run_row[in_run], run[in_run] * width + c
+            crowded = np.flatnonzero(np.bincount(r, minlength=len(ids)) > 16 * (k + own))
+            if len(crowded):  # many are as near as the k-th: these rows are compared as a whole
+                few = ~np.isin(r, crowded)
+                r, c = r[few], c[few]
+            v = np.einsum("ij,ij->i", x[r], bm[start + c])
+            for i in range(0, len(crowded), 64):
+                rows = crowded[i : i + 64]
+                exact = x[rows] @ bm[start : start + BLOCK].T
+                if same:
+                    exact[ids[rows][:, None] == bi[start : start + BLOCK][None, :]] = -np.inf
+                order = np.argsort(-np.round(exact, 12), axis=1, kind="stable")[:, :k]
+                r, c, v = np.concatenate([r, np.repeat(rows, order.shape[1])]), np.concatenate([c, order.ravel()]), np.concatenate([v, np.take_along_axis(exact, order, 1).ravel()])
+            keep = np.isfinite(v) & ~(same & (ids[r] == bi[start + c]))
+            if not keep.any():
+                continue
+            row, col, value = np.concatenate([row, r[keep]]), np.concatenate([col, start + c[keep]]), np.concatenate([value, v[keep]])
+            best = np.lexsort((col, -np.round(value, 12), row))
+            row, col, value = row[best], col[best], value[best]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            top = place < k
+            row, col, value, place = row[top], col[top], value[top], place[top]
+            last = place == k - 1
+            kth[row[last]] = np.maximum(kth[row[last]], value[last])
+        queries.append(ids[row])
+        neighbours.append(bi[col])
+        values.append(value)
+    return tuple(np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((queries, np.int64), (neighbours, np.int64), (values, np.float64)))
+
+
 def nearest(queries: DataFrame, base: DataFrame, key: str, k: int, same: bool = False, block: int = BLOCK) -> DataFrame:
     """``(query, rank, neighbour, similarity)``: the k most similar vectors of ``base`` for each query, exactly.
 
-    Both sides are packed into blocks, every pair of blocks is multiplied in a
-    task of its own and sends k candidates a query, of which the best k are
-    kept. Ties go to the smaller id. ``same``: a vector is not its own
-    neighbour. Work is the number of queries times that of the base: for large
-    bases ask ``operators.index``.
+    Both sides are packed into blocks. Some blocks of queries meet many of the
+    base in a task of bounded size, which sends k candidates a query; the best
+    k are kept. So a vector of one side is sent once for each of the other
+    side's many, not for each block. Ties go to the smaller id. ``same``: a
+    vector is not its own neighbour. Work is the number of queries times that
+    of the base: for large bases ask ``operators.index``.
     """
     n_base, n_queries = max(1, -(-base.count() // block)), max(1, -(-queries.count() // block))
-    left = cut(blocks(queries, key, n_queries)).select(F.col("block").alias("q"), F.col("ids").alias("qi"), F.col("matrix").alias("qm"))
-    right = cut(blocks(base, key, n_base)).select(F.col("block").alias("b"), F.col("ids").alias("bi"), F.col("matrix").alias("bm"))
-    # Each block of one side goes to the places where it meets the blocks of the other: a join of few, large rows.
-    left = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_base - 1))))
-    pairs = left.repartition(max(1, min(n_base * n_queries, 10_000)), "q", "b").join(right, "b")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for qi, qm, bi, bm in pdf[["qi", "qm", "bi", "bm"]].itertuples(index=False):
-                qi, bi = np.frombuffer(qi, np.int64), np.frombuffer(bi, np.int64)
-                qm, bm = (np.frombuffer(m, np.float64).reshape(len(i), -1) for m, i in ((qm, qi), (bm, bi)))
-                for at in range(0, len(qi), 512):
-                    part = qi[at : at + 512]
-                    s = qm[at : at + 512] @ bm.T
-                    if same:
-                        s[part[:, None] == bi[None, :]] = -np.inf
-                    order = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :k]  # ties go to the smaller id
-                    value = np.take_along_axis(s, order, 1)
-                    keep = np.isfinite(value)
-                    yield pd.DataFrame({"query": np.repeat(part, order.shape[1])[keep.ravel()], "neighbour": bi[order].ravel()[keep.ravel()], "similarity": value.ravel()[keep.ravel()]})
-
-    found = pairs.select("qi", "qm", "bi", "bm").mapInPandas(run, "query long, neighbour long, similarity double")
+    wide = -(-n_base // TOGETHER[1])
+    n_right = -(-n_base // wide)
+    # Few queries at a time as long as there would be too few tasks.
+    n_left = max(1, min(TOGETHER[0], n_queries * wide // 24))
+    high = -(-n_queries // n_left)
+    left = cut(blocks(queries, key, n_queries)).withColumn("high", F.expr(f"CAST(block DIV {n_left} AS INT)")).withColumn("wide", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
+    right = cut(blocks(base, key, n_base)).withColumn("wide", F.expr(f"CAST(block DIV {n_right} AS INT)")).withColumn("high", F.explode(F.sequence(F.lit(0), F.lit(high - 1))))
+
+    def run(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if len(q) and len(b):
+            found = best_of(*unpacked(q), *unpacked(b), k, same)
+        return pd.DataFrame(dict(zip(("query", "neighbour", "similarity"), found, strict=True)))
+
+    parts = max(1, min(2 * wide * high, 10_000))
+    sides = [x.select("high", "wide", "ids", "matrix").repartition(parts, "high", "wide").groupBy("high", "wide") for x in (left, right)]
+    found = sides[0].cogroup(sides[1]).applyInPandas(run, "query long, neighbour long, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 12)), "neighbour")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "neighbour", "similarity")
 
 
+def unpacked(blocks_: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of some blocks."""
+    ids = np.frombuffer(b"".join(blocks_["ids"]), np.int64)
+    return ids, np.frombuffer(b"".join(blocks_["matrix"]), np.float64).reshape(len(ids), -1)
+
+
 def outliers(vectors: DataFrame, key: str, k: int, found: DataFrame | None = None) -> DataFrame:
     """``(key, nearest_sim, mean_sim, outlier)`` from the k nearest others; a vector without others has similarity 0.
 

@@ -18,7 +18,7 @@ from tessera.operators import vectors as V
 from tessera.plans import query, table
 from tessera.plans.rollout_queries import q, r
 from tessera.plans.shapes import COMMENTED, NORMAL, ROUGH, SHAPES
-from tessera.sources.shared import shared_folder
+from tessera.sources.shared import cut, shared_folder
 
 # Skeletons ------------------------------------------------------------------------
 
@@ -241,7 +241,8 @@ _OUT = f"{_NEAR}, o AS (SELECT a AS vec_id, max(s) AS nearest_sim, avg(s) AS mea
 
 
 def scores(spark, d: str) -> DataFrame:
-    return V.outliers(table(spark, d, "embeddings"), "vec_id", 10)
+    """Cut off, as most queries read them several times."""
+    return cut(V.outliers(table(spark, d, "embeddings"), "vec_id", 10))
 
 
 @query("normalised_vectors", f"WITH {_UNIT} SELECT vec_id, CAST(1 AS BIGINT) AS length, {q('list_sum(list_transform(e, lambda x: x * x))', 'norm')}, {q('e[1]', 'first')} FROM v")
