@@ -79,13 +79,12 @@ def masked_variance(spark, d):
 
 @query(
     "masked_whiten",
-    f"{WITH_ONCE}, {_MOMENTS} SELECT uid, sample, count(*) AS n, {q('sum((reward - mean) / sqrt(var + 1e-8))', 'white')}, {q('sum(pos * ((reward - mean) / sqrt(var + 1e-8)))', 'placed')}, {q('sum((reward - mean) / sqrt(var + 1e-8) + mean)', 'shifted')} FROM tokens, v GROUP BY uid, sample",
+    f"{WITH_ONCE}, {_MOMENTS} SELECT uid, sample, pos, {q('(reward - mean) / sqrt(var + 1e-8)', 'white')}, {q('(reward - mean) / sqrt(var + 1e-8) + mean', 'shifted')} FROM tokens, v",
 )
 def masked_whiten(spark, d):
-    """Whitened values of every token, as sums of each sequence: plain, by place, and with the mean kept."""
+    """Whitened values of every token: plain, and with the mean kept."""
     out = L.whiten(tokens(spark, d), "reward", "m")
-    sums = r(F.sum("white"), "white"), r(F.sum(F.col("pos") * F.col("white")), "placed"), r(F.sum(F.col("white") + F.col("mean")), "shifted")
-    return out.groupBy("uid", "sample").agg(F.count(F.lit(1)).alias("n"), *sums)
+    return out.select("uid", "sample", "pos", r(F.col("white"), "white"), r(F.col("white") + F.col("mean"), "shifted"))
 
 
 @query("distributed_moments", f"{WITH} SELECT {q('avg(reward)', 'mean')}, max(reward) AS max, min(reward) AS min, {q('stddev_samp(reward)', 'std')} FROM tokens")

@@ -497,3 +497,12 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="share"):
         shared.shared_folder(Session)
+
+
+def test_whitened_values_of_every_token(spark):
+    from tessera.plans import loss_queries
+
+    d = "/root/testdata/sf0.001"
+    got = loss_queries.masked_whiten(spark, d)
+    assert got.columns == ["uid", "sample", "pos", "white", "shifted"]
+    assert got.count() == loss_queries.tokens(spark, d).count()
