@@ -23,9 +23,20 @@ TOKENS = """tokens AS (SELECT uid, sample, n_tokens, pos, CAST((uid + sample * 3
   FROM rollouts, (SELECT unnest(range(0, 11)) AS pos) WHERE pos < n_tokens)"""
 
 
+#: Lines in one partition, about: what sorts and windows of a task hold doesn't grow with the table.
+LINES = 250_000
+
+
+def lines(spark, d: str) -> DataFrame:
+    """The table lineitem, dealt out by order; into more partitions than Spark would make if it is large."""
+    x = table(spark, d, "lineitem")
+    n = -(-x.count() // LINES)
+    return x.repartition(n, "l_orderkey") if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else x
+
+
 def rollouts(spark, d: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    return table(spark, d, "lineitem").select(
+    return lines(spark, d).select(
         F.col("l_orderkey").alias("uid"),
         F.row_number().over(w).cast("long").alias("sample"),
         (F.col("l_quantity").cast("long") % 5).cast("double").alias("reward"),
