@@ -18,6 +18,8 @@ SAMPLE = 50_000
 CELLS, ROUNDS, BLOCK = 4096, 12, 4096
 #: Share of the cells that a search looks into, and how many at least.
 SHARE, LEAST = 0.25, 8
+#: Vectors that are held against all centres at once.
+AT_ONCE = 256
 
 
 @dataclass(frozen=True)
@@ -68,10 +70,11 @@ def celled(vectors: DataFrame, key: str, centres: np.ndarray, probes: int) -> Da
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                s = unit(pdf["embedding"]) @ shared.value.T
+            for at in range(0, len(pdf), AT_ONCE):
+                part = pdf.iloc[at : at + AT_ONCE]
+                s = unit(part["embedding"]) @ shared.value.T
                 near = np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32)
-                yield pd.DataFrame({key: pdf[key], "embedding": pdf["embedding"], "cells": list(near)})
+                yield pd.DataFrame({key: part[key], "embedding": part["embedding"], "cells": list(near)})
 
     found = vectors.select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding")).where(f"{key} IS NOT NULL AND embedding IS NOT NULL")
     return found.mapInPandas(run, f"{key} long, embedding array<double>, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
@@ -136,7 +139,8 @@ def search(index: Index, queries: DataFrame, key: str, k: int, probes: int | Non
                 keep = np.isfinite(value).ravel()
                 yield pd.DataFrame({"query": np.repeat(qi, order.shape[1])[keep], "neighbour": bi[order].ravel()[keep], "similarity": value.ravel()[keep]})
 
-    pairs = left.join(right, ["cell", "piece"]).select("qi", "qm", "bi", "bm")
+    # Each block of queries is there many times, which its files' sizes don't tell: it must not go through the driver.
+    pairs = left.join(right.hint("merge"), ["cell", "piece"]).select("qi", "qm", "bi", "bm")
     found = pairs.mapInPandas(run, "query long, neighbour long, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 12)), "neighbour")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "neighbour", "similarity")
