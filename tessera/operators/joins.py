@@ -58,11 +58,12 @@ def bag_join(rows: DataFrame, key: str, text: str, least: float = 0.8) -> Simila
     words = F.filter(F.split(F.col(text).cast("string"), " "), lambda w: w != "")
     named = rows.select(F.col(key).alias("key"), words.alias("words")).where(F.size("words") > 0)
     named = cut(named.withColumn("sha", F.sha2(F.array_join(F.array_sort("words"), " "), 256)))
-    classes = named.groupBy("sha").agg(F.min("key").alias("rep"))
-    members = cut(named.select("key", "sha").join(classes, "sha").select("key", "rep", "sha").distinct())
-    # A class is known by its hash: a key with several texts may stand for several classes.
-    firsts = named.join(members.where(F.col("key").eqNullSafe(F.col("rep"))).select("key", "sha"), ["sha", "key"]).dropDuplicates(["sha"])
-    ordered = cut(by_frequency(firsts.select(F.col("sha").alias("rep"), "words")))
+    # A class is known by a number, as a key with several texts may stand for several classes: hashes would be most of
+    # what is shuffled.
+    classes = cut(named.groupBy("sha").agg(F.min("key").alias("rep")).withColumn("id", F.monotonically_increasing_id()))
+    members = cut(named.select("key", "sha").join(classes.select("sha", "rep"), "sha").select("key", "rep", "sha").distinct())
+    firsts = named.join(classes.where("rep IS NOT NULL"), (named["sha"] == classes["sha"]) & (named["key"] == classes["rep"])).select("id", "words").dropDuplicates(["id"])
+    ordered = cut(by_frequency(firsts.select(F.col("id").alias("rep"), "words")))
 
     ceil = lambda x: F.ceil(x - 1e-9)  # noqa: E731  a product that is whole but for rounding
     needed = ceil(F.col("n") * least)
@@ -80,7 +81,8 @@ def bag_join(rows: DataFrame, key: str, text: str, least: float = 0.8) -> Simila
         smaller = (F.col("b_n") < F.col("a_n")) | ((F.col("b_n") == F.col("a_n")) & (F.col("b_rep") < F.col("a_rep")))
         enough = ceil((F.col("a_n") + F.col("b_n")) * (least / (1 + least)))
         upto, follow = F.least("a_place", "b_place"), F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
-        return a.join(b, "at").where(smaller & (F.col("b_n") >= ceil(F.col("a_n") * least)) & (upto + follow >= enough))
+        # Many rows are made of each bag, which Spark's estimate doesn't see: they must not go through the driver.
+        return a.join(b.hint("merge"), "at").where(smaller & (F.col("b_n") >= ceil(F.col("a_n") * least)) & (upto + follow >= enough))
 
     # Small bags meet at the first two tokens that they share, and nowhere else.
     shared = F.size(F.array_intersect(F.slice("a_prefix", 1, F.col("a_place").cast("int")), F.slice("b_prefix", 1, F.col("b_place").cast("int"))))
@@ -89,7 +91,7 @@ def bag_join(rows: DataFrame, key: str, text: str, least: float = 0.8) -> Simila
     a, b = (ordered.select(F.col("rep").alias(f"{s}_rep"), F.col("tokens").alias(f"{s}_tokens")) for s in "ab")
     both, total = F.size(F.array_intersect("a_tokens", "b_tokens")), F.size("a_tokens") + F.size("b_tokens")
     held = cut(small.unionByName(large)).join(a, "a_rep").join(b, "b_rep").withColumn("similarity", both / (total - both)).where(F.col("similarity") >= least)
-    keys = classes.select(F.col("sha").alias("a_rep"), F.col("rep").alias("x")), classes.select(F.col("sha").alias("b_rep"), F.col("rep").alias("y"))
+    keys = classes.select(F.col("id").alias("a_rep"), F.col("rep").alias("x")), classes.select(F.col("id").alias("b_rep"), F.col("rep").alias("y"))
     pairs = held.select("a_rep", "b_rep", "similarity").join(keys[0], "a_rep").join(keys[1], "b_rep")
     return Similar(members.select("key", "rep"), pairs.select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"), "similarity"))
 

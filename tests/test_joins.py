@@ -76,3 +76,12 @@ def test_empty_tables_and_wrong_bounds(spark):
     assert found.pairs.count() == 0 and found.members.count() == 0
     with pytest.raises(ValueError):
         joins.bag_join(none, "key", "text", 0.5)
+
+
+def test_classes_are_known_by_numbers(spark, monkeypatch):
+    """What is shuffled for every word, token and meeting has a class in it: a number, not a hash of 64 letters."""
+    kinds, own = [], joins.by_frequency
+    monkeypatch.setattr(joins, "by_frequency", lambda bags: kinds.append(dict(bags.dtypes)["rep"]) or own(bags))
+    rows = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i k"), (3, "a a")], "id long, text string")
+    assert [(p["left"], p["right"]) for p in joins.bag_join(rows, "id", "text", 0.8).pairs.collect()] == [(1, 2)]
+    assert kinds == ["bigint"]
