@@ -29,6 +29,8 @@ from tessera.operators.batches import number
 
 #: Seed of the shingle hash.
 SEED = 42
+#: Words of 64 bits, a power of two, that tell sets of shingles apart before they are compared.
+PARITIES = 8
 #: Shingles hashed at once, so that a very long text needs bounded memory.
 CHUNK = 1 << 15
 
@@ -278,6 +280,22 @@ def unsettled(members: DataFrame, near: DataFrame, moved: DataFrame) -> DataFram
     return known.join(at, ["t", "hub"], "left_semi").select(F.col("node").alias("a"), "c").distinct()
 
 
+def parities(s: Column) -> Column:
+    """64 x PARITIES bits of a set of hashes: whether an odd number of them falls on a bit.
+
+    A hash that only one of two sets has turns one bit: sets differ in at
+    least as many hashes as their bits do.
+    """
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    of = lambda i: F.filter(s, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(PARITIES - 1)) == i)
+    return F.struct(*[F.aggregate(of(i), F.lit(0).cast("long"), lambda z, x: z.bitwiseXOR(bit(x))).alias(f"z{i}") for i in range(PARITIES)])
+
+
+def turned(z: str, y: str) -> Column:
+    """In how many bits two of :func:`parities` differ."""
+    return sum((F.bit_count(F.col(f"{z}.z{i}").bitwiseXOR(F.col(f"{y}.z{i}"))) for i in range(PARITIES)), F.lit(0))
+
+
 def sharing(docs: DataFrame, ids: DataFrame, distinct: DataFrame, k: int, similarity: float) -> DataFrame:
     """Pairs ``(a, b)`` of ``ids(a, c)`` with different c: all that can be as alike, and few others.
 
@@ -287,30 +305,38 @@ def sharing(docs: DataFrame, ids: DataFrame, distinct: DataFrame, k: int, simila
     ``n - ceil(s n) + 1`` of the longer's. What a large group has in common
     stands last and makes no pairs. What two sets share of these prefixes is
     counted: with it, what follows the last shared one in either must reach
-    the number that they need to share.
+    the number that they need to share. Before that, two sets whose parities
+    differ in more bits than sets that share enough may differ in hashes are
+    not paired: members of a large group that are nearly as alike, but not
+    quite, all meet at the same few shingles.
     """
     sets = shingle_sets(docs, of_nodes(ids, distinct), k).join(ids, "a")
     each = sets.select("a", "c", F.size("s").alias("n"), F.explode("s").alias("w"))
+    bits = sets.select("a", parities(F.col("s")).alias("z"))
     often = cut(each.groupBy("w").agg(F.count("*").alias("df")).where("df > 1"))
     # Of the shingles that only one document has the number is enough: they come first and meet none.
     listed = each.join(often, "w").groupBy("a", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("l"))
     first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1 - (F.col("n") - F.size("l"))
-    prefix = cut(
+    prefix = (
         listed.withColumns({"probe": first(similarity), "index": first(2 * similarity / (1 + similarity)), "own": F.col("n") - F.size("l")})
         .where("probe > 0")
         .select("a", "c", "n", "index", "own", F.posexplode(F.slice("l", F.lit(1), F.col("probe").cast("int"))).alias("p", "x"))
         .select("a", "c", "n", (F.col("p") < F.col("index")).alias("short"), F.col("x.w").alias("w"), (F.col("own") + F.col("p") + 1).alias("p"))
     )
+    prefix = cut(prefix.join(bits, "a"))
     # Components meet before documents do: a shingle of one component alone makes no pairs, however many documents have it.
-    ends = cut(prefix.groupBy("w", "c").agg(F.max("short").alias("short")))
-    meet = ends.where("short").select("w", F.col("c").alias("cb")).join(ends.select("w", F.col("c").alias("ca")), "w").where("ca <> cb")
-    shorter = prefix.where("short").select("w", F.col("c").alias("cb"), F.col("a").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
-    longer = prefix.select("w", F.col("c").alias("ca"), "a", F.col("n").alias("na"), F.col("p").alias("pa"))
+    ends = cut(prefix.groupBy("w", "c").agg(F.count_if("short").alias("short"), F.count(F.lit(1)).alias("long")))
+    meet = cut(ends.where("short > 0").select("w", F.col("c").alias("cb"), "short").join(ends.select("w", F.col("c").alias("ca"), "long"), "w").where("ca <> cb"))
+    shorter = prefix.where("short").select("w", F.col("c").alias("cb"), F.col("a").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("z").alias("zb"))
+    longer = prefix.select("w", F.col("c").alias("ca"), "a", F.col("n").alias("na"), F.col("p").alias("pa"), F.col("z").alias("za"))
     enough = similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9
     follow = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     # Up to a shared place no more can be shared than the shorter way to it holds.
-    pairs = cut(meet).join(shorter, ["w", "cb"]).join(longer, ["w", "ca"])
-    pairs = pairs.where((F.col("nb") <= F.col("na")) & (F.col("nb") >= similarity * F.col("na") - 1e-9) & (F.least("pa", "pb") + follow >= enough))
+    # The component with fewer documents comes first: a large one's are only there together with another's.
+    one = meet.where("short <= long").drop("short", "long").join(shorter, ["w", "cb"]).join(longer, ["w", "ca"])
+    two = meet.where("short > long").drop("short", "long").join(longer, ["w", "ca"]).join(shorter, ["w", "cb"])
+    pairs = one.unionByName(two)
+    pairs = pairs.where((F.col("nb") <= F.col("na")) & (F.col("nb") >= similarity * F.col("na") - 1e-9) & (F.least("pa", "pb") + follow >= enough) & (turned("za", "zb") <= F.col("na") + F.col("nb") - 2 * enough))
     # All that both prefixes share has been met: what was counted is all up to the last of it. The shorter one's prefix
     # is cut where `short` ends, so what is shared behind that counts as what may follow.
     counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("n"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -185,3 +186,39 @@ def test_copies_whose_repeated_line_differs_in_number_are_found(spark):
     kept = {r.doc_id for r in simhash.near_dedup(df).collect()}
     found = sum(2 * i + 1 not in kept for i in range(60))
     assert all(2 * i in kept for i in range(60)) and found >= 0.95 * 60, found
+
+
+def test_members_of_a_group_that_are_not_quite_alike_make_few_pairs(spark):
+    """Each with three words of one text changed, so 0.66 alike; some of them in copies that have one more changed."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**7)}" for _ in range(150)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(5, 145), 3):
+            words[at] = f"x{rng.randrange(10**7)}"
+        texts.append(" ".join(words))
+        if i % 10 == 0:
+            words[2] = "copy"
+            texts.append(" ".join(words))
+    df = fixtures.documents(spark, [(i, t, "en") for i, t in enumerate(texts)], odd=False)
+    distinct = cut(simhash.distinct_fingerprints(simhash.fingerprints(df, 5, WIDE["bits"], WIDE["tables"], sets=True)))
+    ids = distinct.selectExpr("node AS a", "node AS c")
+    rep = {r.node: r.rep for r in distinct.collect()}
+    got = {tuple(sorted((rep[r.a], rep[r.b]))) for r in simhash.sharing(df, ids, distinct, 5, 0.8).collect()}
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(want) >= 6 and want <= got
+    assert len(got) <= 3 * len(want), len(got)
+
+
+def test_parities_differ_in_no_more_bits_than_sets_differ_in_hashes(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(200):
+        both, a, b = ([rng.getrandbits(64) - (1 << 63) for _ in range(rng.choice([0, 1, 30, 400]))] for _ in range(3))
+        rows.append((i, len(a) + len(b), both + a, b + both))
+    df = spark.createDataFrame(rows, "i int, n int, a array<long>, b array<long>").select("n", simhash.parities(F.col("a")).alias("x"), simhash.parities(F.col("b")).alias("y"))
+    found = df.select("n", simhash.turned("x", "y").alias("bits")).collect()
+    assert all(r.bits <= r.n and r.bits % 2 == r.n % 2 for r in found)
+    assert all(r.bits >= 0.8 * r.n for r in found if r.n <= 60)
