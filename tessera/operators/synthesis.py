@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import free
+from tessera.sources.shared import free, scratch
 
 OPEN, DONE, GIVEN_UP = "open", "done", "given_up"
 
@@ -95,17 +95,22 @@ def synthesize(rows: DataFrame, key: str, payload: dict[str, str], stages: list[
             break
         if database is not None:
             left = left.withColumn("db", database(F.col(key), F.col("attempt")))
-        record = None
-        for i, stage in enumerate(stages):
-            tried = stage.step(left.where(F.col("stage") == i).drop("reason")).withColumn("tried", F.lit(stage.name)).withColumn("tried_attempt", F.col("attempt"))
-            record = tried if record is None else record.unionByName(tried)
-        good = F.col("reason").isNull()
-        status = F.when(good & (F.col("stage") == len(stages) - 1), DONE).when(~good & (F.col("attempt") >= attempts), GIVEN_UP).otherwise(OPEN)
-        record = record.withColumn("status", status)
-        if back == 0:  # a new attempt has nothing of the last one
-            record = record.withColumns({c: F.when(good, F.col(c)) for c in payload})
-        record = record.withColumn("attempt", F.when(good, F.col("attempt")).otherwise(F.col("attempt") + 1)).withColumn("stage", F.when(good, F.col("stage") + 1).otherwise(F.lit(back)))
-        ledger.append(record, k)
+        with scratch(ledger.spark):  # what a step puts aside goes when its round is written
+            ledger.append(after(left, stages, payload, attempts, back), k)
+
+
+def after(left: DataFrame, stages: list[Stage], payload: dict[str, str], attempts: int, back: int) -> DataFrame:
+    """The records of a round for the rows that were open before it."""
+    record = None
+    for i, stage in enumerate(stages):
+        tried = stage.step(left.where(F.col("stage") == i).drop("reason")).withColumn("tried", F.lit(stage.name)).withColumn("tried_attempt", F.col("attempt"))
+        record = tried if record is None else record.unionByName(tried)
+    good = F.col("reason").isNull()
+    status = F.when(good & (F.col("stage") == len(stages) - 1), DONE).when(~good & (F.col("attempt") >= attempts), GIVEN_UP).otherwise(OPEN)
+    record = record.withColumn("status", status)
+    if back == 0:  # a new attempt has nothing of the last one
+        record = record.withColumns({c: F.when(good, F.col(c)) for c in payload})
+    return record.withColumn("attempt", F.when(good, F.col("attempt")).otherwise(F.col("attempt") + 1)).withColumn("stage", F.when(good, F.col("stage") + 1).otherwise(F.lit(back)))
 
 
 def succeeded(ledger: Ledger) -> DataFrame:
@@ -121,8 +126,11 @@ def failures(ledger: Ledger, key: str) -> DataFrame:
 def same_results(a: DataFrame, b: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """``(key, same)`` for each of ``keys``: whether its rows in ``a`` and ``b`` are the same set.
 
-    One EXCEPT each way for the results of all keys: order and repeats don't
-    count, nulls are equal; keys without rows on either side are the same.
+    One grouping of both sides' rows for the results of all keys, so that each
+    is read once: order and repeats don't count, nulls are equal; keys without
+    rows on either side are the same.
     """
-    differ = a.subtract(b).unionByName(b.subtract(a)).select(key).distinct().withColumn("differs", F.lit(True))
+    (side,) = free(a, "side")
+    both = a.withColumn(side, F.lit(1)).union(b.withColumn(side, F.lit(2)))
+    differ = both.groupBy(*a.columns).agg(F.bit_or(side).alias(side)).where(F.col(side) != 3).select(key).distinct().withColumn("differs", F.lit(True))
     return keys.select(key).distinct().join(differ, key, "left").select(key, F.col("differs").isNull().alias("same"))

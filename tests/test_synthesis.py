@@ -82,3 +82,20 @@ def test_same_results(spark):
     b = spark.createDataFrame([(1, None), (1, "x"), (2, "y"), (2, "w"), (4, "z")], "k int, v string")
     keys = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5)], "k int")
     assert {r.k: r.same for r in synthesis.same_results(a, b, "k", keys).collect()} == {1: True, 2: False, 3: False, 4: False, 5: True}
+
+
+def test_same_results_reads_each_side_once(spark, tmp_path):
+    def logged(name):
+        log = str(tmp_path / name)
+
+        def run(batches):
+            for pdf in batches:
+                with open(log, "a") as f:
+                    f.writelines("row\n" for _ in range(len(pdf)))
+                yield pdf
+
+        return spark.range(20).selectExpr("id AS k", f"IF(id = 3, '{name}', 'v') AS side").mapInPandas(run, "k long, side string")
+
+    got = {r.k: r.same for r in synthesis.same_results(logged("a"), logged("b"), "k", spark.range(21).withColumnRenamed("id", "k")).collect()}
+    assert got == {k: k != 3 for k in range(21)}
+    assert [len(open(tmp_path / n).readlines()) for n in "ab"] == [20, 20]
