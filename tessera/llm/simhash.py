@@ -213,9 +213,14 @@ def within(pairs: DataFrame, distinct: DataFrame, most: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").where(differ <= most).select("a", "b")
 
 
+def spokes(near: DataFrame) -> DataFrame:
+    """``(t, a, b)``: each bucket's smallest hub and its other ones."""
+    return near.select("t", F.array_min("m").alias("a"), F.explode(F.array_remove("m", F.array_min("m"))).alias("b"))
+
+
 def stars(members: DataFrame, near: DataFrame, one_table: bool = False) -> DataFrame:
     """The pairs ``(a, b)`` of each bucket's smallest node and its other ones."""
-    found = near.select(F.array_min("m").alias("a"), F.explode("m").alias("b"))
+    found = spokes(near).select("a", "b")
     return (found if one_table else found.union(members.select(F.col("hub").alias("a"), F.col("node").alias("b")))).where("a <> b").distinct()
 
 
@@ -270,13 +275,22 @@ def top_of(found: DataFrame) -> DataFrame:
 def unsettled(members: DataFrame, near: DataFrame, moved: DataFrame) -> DataFrame:
     """``(a, c)``: the nodes, with their components, of buckets that hold three or more of more than one component.
 
-    Of three some were not held against each other.
+    Of three some were not held against each other. Buckets of a dense group
+    overlap: a pair of hubs is in several, and a hub in as many as a ball has
+    members. So a bucket's smallest hub is held against the others once for
+    all buckets, and buckets then meet those that differ by their smallest.
     """
     known = cut(members.join(moved, "node", "left").select("t", "hub", "node", F.coalesce("top", "node").alias("c")))
     value = cut(known.groupBy("t", "hub").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")))
-    key = near.select("t", "m", F.explode("m").alias("hub")).join(value, ["t", "hub"])
-    mixed = key.groupBy("t", "m").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 2 AND low <> high")
-    at = mixed.select("t", F.explode("m").alias("hub")).union(value.where("n > 2 AND low <> high").select("t", "hub")).distinct()
+    first, second = (value.select("t", F.col("hub").alias(x), *[F.col(c).alias(c + x) for c in ("n", "low", "high")]) for x in ("a", "b"))
+    pairs = spokes(near).distinct().join(first, ["t", "a"]).join(second, ["t", "b"])
+    apart = cut(pairs.where("least(lowa, lowb) <> greatest(higha, highb)").select("t", "a", "b", (F.col("na") + F.col("nb")).alias("n")))
+    # The hubs that differ from one lie within the radius of it, so a list holds few.
+    lists = apart.groupBy("t", "a").agg(F.collect_list("b").alias("others"))
+    mixed = near.where(F.size("m") > 2).withColumn("a", F.array_min("m")).join(lists, ["t", "a"]).where(F.arrays_overlap("m", "others"))
+    # Buckets of two hubs are pairs themselves.
+    two = apart.where("n > 2").select("t", F.explode(F.array("a", "b")).alias("hub"))
+    at = mixed.select("t", F.explode("m").alias("hub")).union(two).union(value.where("n > 2 AND low <> high").select("t", "hub")).distinct()
     return known.join(at, ["t", "hub"], "left_semi").select(F.col("node").alias("a"), "c").distinct()
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,6 +213,43 @@ def test_members_of_a_group_that_are_not_quite_alike_make_few_pairs(spark):
     assert len(got) <= 3 * len(want), len(got)
 
 
+def joins_made(spark, since):
+    """The most rows that a join made in the executions from number ``since`` on."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    for k in range(since, store.executionsCount()):
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+@pytest.mark.parametrize("several", [1, 3])
+def test_a_dense_groups_buckets_are_settled_by_few_rows(spark, several):
+    """All values within two bits of one, in some of which ``several`` nodes lie, in two components and more."""
+    bits, rng = 28, random.Random(9)
+    values = sorted({1 << i ^ 1 << j for i in range(bits) for j in range(i)} | {1 << i for i in range(bits)} | {0, (1 << 20) - 1, (1 << 20) - 2})
+    rng.shuffle(values)
+    rows = [(i * 3 + j, 5, [v], i * 3 + j) for i, v in enumerate(values) for j in range(several if i % 50 == 0 else 1)]
+    distinct = spark.createDataFrame(rows, "node long, t long, f array<long>, s long")
+    members, near = (cut(x) for x in simhash.buckets(distinct, bits, 2, 0.8))
+    near = cut(near.select("t", F.array_sort("m").alias("m")).distinct())
+    top = {r[0]: 0 if r[2][0] % 3 else r[0] for r in rows}
+    moved = spark.createDataFrame(list(top.items()), "node long, top long")
+    nodes = defaultdict(list)
+    for r in members.collect():
+        nodes[r.hub].append(r.node)
+    held = [[x for h in r.m for x in nodes[h]] for r in near.collect()]
+    want = {x for b in [*held, *nodes.values()] if len(b) > 2 and len({top[x] for x in b}) > 1 for x in b}
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = {r.a: r.c for r in simhash.unsettled(members, near, moved).collect()}
+    assert len(want) > 300 and got == {x: top[x] for x in want}
+    inside = near.select(F.sum(F.size("m"))).head()[0]
+    assert inside > 5000 and joins_made(spark, since) < 0.7 * inside
+
+
 def test_parities_differ_in_no_more_bits_than_sets_differ_in_hashes(spark):
     rng = random.Random(6)
     rows = []
