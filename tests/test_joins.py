@@ -85,3 +85,42 @@ def test_classes_are_known_by_numbers(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i k"), (3, "a a")], "id long, text string")
     assert [(p["left"], p["right"]) for p in joins.bag_join(rows, "id", "text", 0.8).pairs.collect()] == [(1, 2)]
     assert kinds == ["bigint"]
+
+
+def test_what_is_written_follows_the_texts(spark, monkeypatch):
+    """Texts that share a rare word and little else aren't written as pairs, and no list of tokens is written or shuffled."""
+    rng = random.Random(3)
+    often, rare = [f"w{i}" for i in range(400)], [f"r{i}" for i in range(120)]
+    rows = [(i, " ".join([*rng.choices(often, k=60), *rng.sample(rare, 20), *(f"own{i}_{k}" for k in range(3))])) for i in range(300)]
+    rows += [(1000 + i, rows[i][1].replace(f"own{i}_0", "other", 1)) for i in range(10)]
+    written, own = [], joins.cut
+
+    def cut(df, *args, **kwargs):
+        out = own(df, *args, **kwargs)
+        written.append((out.dtypes, out.count()))
+        return out
+
+    monkeypatch.setattr(joins, "cut", cut)
+    found = joins.bag_join(spark.createDataFrame(rows, "key long, text string"), "key", "text")
+    assert sorted((r.left, r.right) for r in found.pairs.collect()) == [(i, 1000 + i) for i in range(10)]
+    assert written and not any(t.startswith("array") for kinds, _ in written for _, t in kinds)
+    assert max(n for _, n in written) <= len(rows)
+
+
+def test_large_bags_and_large_groups(spark, monkeypatch):
+    """Parts of large bags, bags at the borders between two numbers of parts, and groups of more bags than a block."""
+    monkeypatch.setattr(joins, "GROUP", 4, raising=False)
+    monkeypatch.setattr(joins, "TOGETHER", 3000, raising=False)
+    rng = random.Random(4)
+    rows = []
+    for size in (14, 17, 90, 96, 110, 700, 768, 900, 7000):
+        base = [f"w{int(rng.paretovariate(0.4)) % 5000}" for _ in range(size)]
+        for _ in range(9):
+            gone = rng.randint(0, size // 6)
+            words = rng.sample(base, size - gone) + [f"n{rng.random()}" for _ in range(rng.randint(0, size // 9))]
+            rows.append((len(rows), " ".join(words)))
+    found = joins.bag_join(spark.createDataFrame(rows, "key long, text string"), "key", "text")
+    pairs, members = slow(rows, 0.8)
+    assert len(pairs) > 100
+    assert sorted((r.left, r.right, round(r.similarity, 9)) for r in found.pairs.collect()) == pairs
+    assert {(r.key, r.rep) for r in found.members.collect()} == members
