@@ -17,10 +17,11 @@ from tessera.sources.shared import cut, scratch
 SMALL = 16
 #: Larger bags are dealt into parts: bags of PART * DEAL ** j tokens and more into DEAL ** j, so of PART tokens at least.
 PART, DEAL = 12, 8
-#: Tokens are counted in this many numbers, whatever the table's size: a byte for each goes to the tasks.
-COUNTERS = 1 << 20
-#: Words that a task in Python looks at together, and bags of one group that are compared in one task.
-TOGETHER, GROUP = 1 << 20, 256
+#: Tokens are counted in this many numbers, whatever the table's size, which are added up in pieces: a byte for each goes
+#: through the driver to the tasks.
+COUNTERS, PIECES = 1 << 20, 256
+#: Words that a task in Python looks at together, bags of small groups that one task compares, and of a large group's block.
+TOGETHER, FEW, GROUP = 1 << 20, 256, 2048
 #: A product that is whole but for rounding.
 ROUNDING = 1e-9
 
@@ -78,17 +79,24 @@ def by_frequency(bags: DataFrame) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(COUNTERS, np.int64)
+        n = np.zeros(COUNTERS, np.uint32)
         for _, _, token in tokens(batches):
-            n += np.bincount((token % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["at", "n"])
+            np.add.at(n, (token % np.uint64(COUNTERS)).astype(np.int64), np.uint32(1))
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in np.split(n, PIECES)], pa.binary())], ["piece", "n"])
 
-    counts = bags.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    found = counts.where("n > 1").select("at", F.least(F.lit(255), F.ceil(8 * F.log2("n"))).cast("short").alias("level")).toPandas()
-    levels = np.zeros(COUNTERS, np.uint8)
-    levels[found["at"].to_numpy()] = found["level"].to_numpy()
-    return levels
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(COUNTERS // PIECES, np.int64)
+        for x in pdf["n"]:
+            n += np.frombuffer(x, np.uint32)
+        level = np.minimum(np.ceil(8 * np.log2(np.maximum(n, 1))), 255).astype(np.uint8)
+        return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "level": [level.tobytes()]})
+
+    found = bags.mapInArrow(count, "piece int, n binary").groupBy("piece").applyInPandas(add, "piece int, level binary").collect()
+    levels = np.zeros((PIECES, COUNTERS // PIECES), np.uint8)
+    for r in found:
+        levels[r["piece"]] = np.frombuffer(r["level"], np.uint8)
+    return levels.ravel()
 
 
 def meetings(bags: DataFrame, levels: np.ndarray, least: float) -> DataFrame:
@@ -147,23 +155,22 @@ def meetings(bags: DataFrame, levels: np.ndarray, least: float) -> DataFrame:
 
 def shares(pairs: pd.DataFrame, texts: pd.DataFrame, least: float) -> pd.DataFrame:
     """``(a, b, similarity)`` of ``pairs(a, b)`` whose ``texts(id, text)`` share ``least`` and more of their words."""
-    lists = [[w for w in t.split(" ") if w] for t in texts["text"]]
-    flat = pd.factorize(np.array([w for words in lists for w in words], object))[0]
-    bag, word, k = numbered(np.repeat(np.arange(len(lists)), [len(words) for words in lists]), flat)
-    token = pd.factorize(word * (int(k.max(initial=0)) + 1) + k)[0]
-    starts = np.searchsorted(bag, np.arange(len(lists) + 1))
-    places = pd.Series(np.arange(len(lists)), texts["id"].to_numpy())
+    codes: dict[str, int] = {}
+    bags = []
+    for t in texts["text"]:
+        bags.append(np.unique(np.array([codes.setdefault(w, len(codes)) for w in t.split(" ") if w], np.int32), return_counts=True))
+    places = pd.Series(np.arange(len(bags)), texts["id"].to_numpy())
     pairs = pairs.sort_values(["a", "b"])
     a, b = places[pairs["a"]].to_numpy(), places[pairs["b"]].to_numpy()
-    both, n = np.zeros(len(pairs), np.int64), np.diff(starts)
-    has = np.zeros(len(token) and int(token.max()) + 1, bool)
+    both, n = np.zeros(len(pairs), np.int64), np.array([c.sum() for _, c in bags])
+    has = np.zeros(len(codes), np.int64)
     edges = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True])
     for first, last in zip(edges[:-1], edges[1:], strict=True):
-        own = token[starts[a[first]] : starts[a[first] + 1]]
-        has[own] = True
+        words, counts = bags[a[first]]
+        has[words] = counts
         for i in range(first, last):
-            both[i] = np.count_nonzero(has[token[starts[b[i]] : starts[b[i] + 1]]])
-        has[own] = False
+            both[i] = np.minimum(has[bags[b[i]][0]], bags[b[i]][1]).sum()
+        has[words] = 0
     similarity = both / (n[a] + n[b] - both)
     return pairs.assign(similarity=similarity)[similarity >= least][["a", "b", "similarity"]]
 
@@ -178,7 +185,7 @@ def verified(met: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     roots = met.groupBy("b").agg(F.min("a").alias("root"))
     grouped = cut(met.join(roots.withColumnRenamed("b", "a"), "a", "left").select("a", "b", F.coalesce("root", "a").alias("group")))
     sizes = grouped.groupBy("group").agg(F.ceil((F.countDistinct("b") + 1) / GROUP).alias("blocks"))
-    few = max(1, grouped.select("b").distinct().count() // GROUP)
+    few = max(1, grouped.select("b").distinct().count() // FEW)
     one = F.col("blocks") == 1
     block = lambda c: F.when(one, 0).otherwise(F.pmod(F.xxhash64(c), "blocks")).cast("long")
     # Many small groups are one; large ones keep their own number, below zero.
@@ -229,7 +236,9 @@ def bag_join(rows: DataFrame, key: str, text: str, least: float = 0.8) -> Simila
         classes = cut(named.groupBy("sha").agg(first.alias("first")).select("sha", "first.*").withColumnRenamed("key", "rep").withColumn("id", F.monotonically_increasing_id()))
         members = cut(named.select("key", "sha").join(classes.select("sha", "rep"), "sha").select("key", "rep", "sha").distinct(), outside=True)
         firsts = classes.where("rep IS NOT NULL").select(F.col("rep").alias("key"), "hash", "id")
-        bags = cut(texts.withColumn("hash", F.xxhash64("text")).join(firsts, ["key", "hash"]).select("id", "text").dropDuplicates(["id"]))
+        # Copies go before the join, by the same columns: texts are shuffled once.
+        single = texts.where("text IS NOT NULL").withColumn("hash", F.xxhash64("text")).dropDuplicates(["key", "hash"])
+        bags = cut(single.join(firsts, ["key", "hash"]).select("id", "text"))
 
         hashed = bags.select(F.col("id").alias("rep"), F.transform(words_of("text"), lambda w: F.xxhash64(w)).alias("words"))
         rarest = meetings(hashed, by_frequency(hashed), least)
